@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.shared import SPACES
+from factledger.llm.shared import SPACES, materialise
 
 _TWO63, _TWO64 = Decimal(2**63), Decimal(2**64)
 
@@ -37,7 +37,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keep = F.when(rest > 0, (F.lit(_TWO63) - rest).cast("long"))
     # two different texts that share both digests can't be told apart by the join below, so that stops the job
     safe = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256"))).otherwise(F.col("group_size"))
-    groups = groups.select("h", "text_sha256", keep.alias("keep_id"), safe.alias("group_size"))
+    # written out, so that the join deals both sides itself and can split the rows of a hot group
+    groups = materialise(groups.select("h", "text_sha256", keep.alias("keep_id"), safe.alias("group_size")), "exact-groups")
     rows = base.select("doc_id", "h", digest.alias("text_sha256"))
     out = rows.join(groups, ["h", "text_sha256"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
