@@ -101,7 +101,9 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, rows: int
                     out.append((i, len(s), *np.frombuffer(f, "<i8").tolist(), _bands(minmax(s), rows, bands)))
                 else:
                     out.append((i, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "f1", "f2", "bands"]).astype({"doc_id": "Int64", "f1": "Int64", "f2": "Int64"})
+            ids, n, f1, f2, b = zip(*out) if out else ((),) * 5
+            whole = lambda x: pd.array([pd.NA if pd.isna(v) else int(v) for v in x], dtype="Int64")  # noqa: E731  not through floats
+            yield pd.DataFrame({"doc_id": whole(ids), "n_shingles": np.array(n, np.int64), "f1": whole(f1), "f2": whole(f2), "bands": pd.Series(b, dtype=object)})
 
     return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
@@ -221,3 +223,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), width=2)
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of df of which near_duplicates says kept, with all their columns: one document of each component. Rows that
+    share an id stay together, if any of them is kept."""
+    kept = near_duplicates(df, id_col, text_col, width, threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")

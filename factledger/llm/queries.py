@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import chat, exact_dedup, mixing, packing, sharding, topk
+from factledger.llm import chat, exact_dedup, langid, lm, minhash, mixing, packing, quality, sharding, topk
 from factledger.llm.shared import documents
 
 
@@ -12,10 +12,14 @@ def op3(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_minhash_dedup": minhash.op1,
+    "op2_language_id": langid.op2,
     "op3_source_mix": op3,
     "op4_packing": packing.op4,
+    "op5_lm_score": lm.op5,
     "op6_topk": topk.op6,
     "op7_chat_format": chat.op7,
+    "op8_quality": quality.op8,
     "op9_shard_placement": sharding.op9,
     "op10_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(documents(spark, sf_dir)),
 }
