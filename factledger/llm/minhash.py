@@ -211,7 +211,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).cast("int")
     sized = listed.groupBy("cluster").agg(chunks.alias("chunks"))
     listed = materialise(listed.drop("n").join(sized, "cluster"), "listed")
-    texts = df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").join(listed, F.col("doc_id") == F.col("rep")).drop("rep")
+    # dealt by id at every size: the list of members grows with the input, so it isn't broadcast even where it is small
+    texts = df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").join(listed.hint("merge"), F.col("doc_id") == F.col("rep")).drop("rep")
     links = materialise(confirmed_links(texts, width, threshold), "links")
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("component"))
