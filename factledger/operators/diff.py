@@ -94,14 +94,15 @@ def verify_chain(releases: DataFrame) -> DataFrame:
     """releases(release, parent, published_at_ms, n_ops) -> violations: gap, parent, time, empty. One row per release, so
     the window over all of them is bounded by releases, not by facts."""
     order = Window.partitionBy().orderBy("release")
-    before = lambda c: F.lag(c).over(order)
+    r = releases.withColumn("_release", F.lag("release").over(order)).withColumn("_at", F.lag("published_at_ms").over(order))
+    follows = F.col("_release").isNotNull()
     reasons = F.array_compact(F.array(
-        F.when(before("release").isNotNull() & (F.col("release") != before("release") + 1), "gap"),
-        F.when(before("release").isNotNull() & ~F.col("parent").eqNullSafe(before("release")), "parent"),
-        F.when(F.col("published_at_ms") <= before("published_at_ms"), "time"),
+        F.when(follows & (F.col("release") != F.col("_release") + 1), "gap"),
+        F.when(follows & ~F.col("parent").eqNullSafe(F.col("_release")), "parent"),
+        F.when(F.col("published_at_ms") <= F.col("_at"), "time"),
         F.when(F.coalesce("n_ops", F.lit(0)) == 0, "empty"),
     ))
-    return releases.select("release", F.explode(reasons).alias("violation"))
+    return r.select("release", F.explode(reasons).alias("violation"))
 
 
 def shrink_guard(held: DataFrame, incoming: DataFrame) -> DataFrame:

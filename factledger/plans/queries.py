@@ -1,6 +1,565 @@
-"""The registered ledger queries and the SQL that gives the same rows."""
+"""The registered ledger queries and the SQL that gives the same rows.
+
+Histories come from the given tables: an event is an era of the fact (user_id, event_type); hours of events are polls, and
+an hour with four or more errors is a failed one; error events make closed correction windows; orders before and after
+a date are two snapshots; parts, customers, suppliers and nations carry the rule layers.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from factledger.functions.money import exact_ratio, to_minor_units, to_nano
+from factledger.operators import asof, corrections, diff, layers, ledger, rules
+from factledger.sources import documents as src
+
+AT = 1_705_276_800_000  # 2024-01-15
+HOUR = 3_600_000
+KEYS = ["user_id", "fact_key"]
+
+
+def table(spark, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def ms(df: DataFrame, col: str) -> Column:
+    """Epoch milliseconds, whatever the session's time zone."""
+    if dict(df.dtypes)[col] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', {col})").cast("long")
+    return F.unix_millis(col)
+
+
+def eras(spark, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    value = F.floor("value").cast("long").cast("string")
+    e = e.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("fact_key"), value.alias("value_json"), ms(e, "ts").alias("boundary"))
+    return e.withColumn("observation_id", F.floor(F.col("boundary") / HOUR).cast("long")).withColumn("prior_ms", F.col("boundary") - (F.col("id") % 50 + 1) * HOUR)
+
+
+def fixes(spark, d: str) -> DataFrame:
+    return eras(spark, d).where("fact_key = 'error' AND id % 5 = 0").select("user_id", F.lit("view").alias("fact_key"), (F.col("boundary") - 48 * HOUR).alias("from_ms"), (F.col("boundary") + 48 * HOUR).alias("until_ms"), F.col("id").alias("record"))
+
+
+def polls(spark, d: str) -> DataFrame:
+    by = eras(spark, d).groupBy("observation_id").agg(F.count_if(F.col("fact_key") == "error").alias("errors"), F.max("value_json").alias("etag"))
+    failed = F.col("errors") >= 4
+    return by.select(F.col("observation_id").alias("id"), F.lit("events").alias("source"), ((F.col("observation_id") + 1) * HOUR).alias("observed_at_ms"), F.when(failed, "failed").otherwise("changed").alias("outcome"), F.when(failed, F.when(F.col("errors") % 2 == 0, "network").otherwise("parse")).alias("failure_class"), F.when(~failed, F.col("etag")).alias("etag"))
+
+
+def order_facts(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of each customer's order statuses: before a date, and with everything but a seventh of the customers."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    def snap(rows: DataFrame) -> DataFrame:
+        facts = rows.groupBy("o_custkey", F.concat(F.lit("k"), (F.col("o_orderkey") % 5).cast("string")).alias("fact_key")).agg(F.concat(F.lit('"'), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")), F.lit('"')).alias("value_json"))
+        return facts.unionByName(rows.select("o_custkey").distinct().select("o_custkey", F.lit("existence").alias("fact_key"), F.lit('"present"').alias("value_json")))
+    return snap(o.where("o_orderdate < '1998-01-01'")), snap(o.where("o_orderdate >= '1996-01-01' AND o_custkey % 7 <> 0"))
+
+
+_ERAS = "eras AS (SELECT event_id AS id, user_id, event_type AS fact_key, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS value_json, (epoch_us(ts) // 1000) AS boundary, (epoch_us(ts) // 1000) // 3600000 AS observation_id, (epoch_us(ts) // 1000) - (event_id % 50 + 1) * 3600000 AS prior_ms FROM events)"
+_FIX = "fixes AS (SELECT user_id, 'view' AS fact_key, boundary - 172800000 AS from_ms, boundary + 172800000 AS until_ms, id AS record FROM eras WHERE fact_key = 'error' AND id % 5 = 0)"
+_POLLS = "polls AS (SELECT observation_id AS id, 'events' AS source, (observation_id + 1) * 3600000 AS observed_at_ms, CASE WHEN errors >= 4 THEN 'failed' ELSE 'changed' END AS outcome, CASE WHEN errors >= 4 THEN CASE WHEN errors % 2 = 0 THEN 'network' ELSE 'parse' END END AS failure_class, CASE WHEN errors < 4 THEN etag END AS etag FROM (SELECT observation_id, count(*) FILTER (fact_key = 'error') AS errors, max(value_json) AS etag FROM eras GROUP BY 1))"
+_ASOF = f"inforce AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, fact_key ORDER BY boundary DESC, id DESC) AS rn FROM eras WHERE boundary <= {AT}) WHERE rn = 1)"
+_SNAPS = """oa AS (SELECT * FROM orders WHERE o_orderdate < '1998-01-01'), ob AS (SELECT * FROM orders WHERE o_orderdate >= '1996-01-01' AND o_custkey % 7 <> 0),
+a AS (SELECT o_custkey, 'k' || (o_orderkey % 5) AS fact_key, '"' || arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) || '"' AS value_json FROM oa GROUP BY 1, 2 UNION ALL SELECT DISTINCT o_custkey, 'existence', '"present"' FROM oa),
+b AS (SELECT o_custkey, 'k' || (o_orderkey % 5) AS fact_key, '"' || arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) || '"' AS value_json FROM ob GROUP BY 1, 2 UNION ALL SELECT DISTINCT o_custkey, 'existence', '"present"' FROM ob)"""
+_PREV = "prev AS (SELECT *, lag(value_json) OVER w AS previous_value, row_number() OVER w > 1 AS has_previous FROM eras WINDOW w AS (PARTITION BY user_id, fact_key ORDER BY boundary, id))"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+    return add
+
+
+# as-of reads and windows
+
+@query("asof_state", f"WITH {_ERAS}, {_ASOF} SELECT user_id, fact_key, value_json, boundary, id FROM inforce")
+def _(s, d):
+    return asof.as_of(eras(s, d), AT, KEYS).select(*KEYS, "value_json", "boundary", "id")
+
+
+@query("current_values", f"WITH {_ERAS} SELECT user_id, fact_key, arg_max(value_json, {{'b': boundary, 'i': id}}) AS value_json, max(boundary) AS boundary FROM eras GROUP BY 1, 2")
+def _(s, d):
+    return asof.current(eras(s, d), KEYS).select(*KEYS, "value_json", "boundary")
+
+
+@query("asof_join_orders", f"""WITH {_ERAS}, o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, 1704067200000 + (o_orderkey * 7919 % 2592000) * 1000 AS "at" FROM orders), v AS (SELECT * FROM eras WHERE fact_key = 'purchase'),
+r AS (SELECT o.o_orderkey, o.user_id, o."at", v.value_json, v.boundary, row_number() OVER (PARTITION BY o_orderkey ORDER BY v.boundary DESC, v.id DESC) AS rn FROM o LEFT JOIN v ON o.user_id = v.user_id AND v.boundary <= o."at") SELECT o_orderkey, user_id, "at", value_json, boundary FROM r WHERE rn = 1""")
+def _(s, d):
+    o = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (F.lit(1704067200000) + (F.col("o_orderkey") * 7919 % 2592000) * 1000).alias("at"))
+    return asof.as_of_join(o, eras(s, d).where("fact_key = 'purchase'"), ["user_id"], "at", ["value_json", "boundary"])
+
+
+@query("era_intervals", f"WITH {_ERAS} SELECT id, user_id, fact_key, boundary, lead(boundary) OVER (PARTITION BY user_id, fact_key ORDER BY boundary, id) AS valid_to FROM eras")
+def _(s, d):
+    return asof.with_intervals(eras(s, d), KEYS).select("id", *KEYS, "boundary", "valid_to")
+
+
+@query("claim_changes", f"WITH {_ERAS}, {_PREV} SELECT id, user_id, fact_key, value_json, boundary FROM prev WHERE NOT has_previous OR value_json <> previous_value")
+def _(s, d):
+    return asof.changes(eras(s, d), KEYS).select("id", *KEYS, "value_json", "boundary")
+
+
+@query("previous_claim", f"WITH {_ERAS}, {_PREV} SELECT id, previous_value FROM prev")
+def _(s, d):
+    return asof.with_previous(eras(s, d), KEYS).select("id", "previous_value")
+
+
+@query("last_changed", f"WITH {_ERAS}, {_PREV} SELECT user_id, fact_key, max(boundary) AS last_changed FROM prev WHERE boundary <= {AT} AND NOT (observation_id % 3 = 0 AND has_previous AND value_json = previous_value) GROUP BY 1, 2")
+def _(s, d):
+    e = eras(s, d)
+    return asof.last_changed(e, e.where("observation_id % 3 = 0").select("observation_id"), AT, KEYS)
+
+
+@query("fact_history", f"WITH {_ERAS} SELECT user_id, fact_key, id, boundary, prior_ms, row_number() OVER (PARTITION BY user_id, fact_key ORDER BY boundary, id)::INTEGER AS n FROM eras")
+def _(s, d):
+    from pyspark.sql import Window
+    h = asof.histories(eras(s, d), KEYS)
+    return h.select(*KEYS, "id", "boundary", "prior_ms", F.row_number().over(Window.partitionBy(*KEYS).orderBy("boundary", "id")).alias("n"))
+
+
+# corrections and uncertainty
+
+@query("corrections_stab", f"WITH {_ERAS}, {_FIX} SELECT user_id, fact_key, record, from_ms, until_ms FROM fixes WHERE from_ms <= {AT} AND until_ms >= {AT}")
+def _(s, d):
+    return corrections.corrections_at(fixes(s, d), AT)
+
+
+@query("corrections_many", f"WITH {_ERAS}, {_FIX} SELECT e.id, f.record FROM eras e JOIN fixes f ON e.user_id = f.user_id AND e.fact_key = f.fact_key AND e.boundary BETWEEN f.from_ms AND f.until_ms")
+def _(s, d):
+    return corrections.corrections_covering(eras(s, d).select("id", *KEYS, "boundary"), fixes(s, d), KEYS, "boundary", 96 * HOUR).select("id", "record")
+
+
+@query("withheld_facts", f"WITH {_ERAS}, {_FIX}, {_ASOF}, c AS (SELECT DISTINCT user_id, fact_key FROM fixes WHERE from_ms <= {AT} AND until_ms >= {AT}) SELECT a.user_id, a.fact_key, a.value_json, c.user_id IS NOT NULL AS withheld FROM inforce a LEFT JOIN c ON a.user_id = c.user_id AND a.fact_key = c.fact_key")
+def _(s, d):
+    kept, held = corrections.withhold(asof.as_of(eras(s, d), AT, KEYS), corrections.corrections_at(fixes(s, d), AT), KEYS)
+    return kept.select(*KEYS, "value_json", F.lit(False).alias("withheld")).unionByName(held.select(*KEYS, "value_json", F.lit(True).alias("withheld")))
+
+
+@query("uncertain_facts", f"WITH {_ERAS}, {_ASOF} SELECT e.user_id, e.fact_key, e.prior_ms, e.boundary FROM eras e WHERE e.prior_ms < {AT} AND e.boundary > {AT} AND EXISTS (SELECT 1 FROM inforce a WHERE a.user_id = e.user_id AND a.fact_key = e.fact_key)")
+def _(s, d):
+    e = eras(s, d)
+    return corrections.uncertain(asof.as_of(e, AT, KEYS), e, AT, KEYS)
+
+
+@query("value_at_state", f"""WITH {_ERAS}, {_FIX}, {_ASOF}, k AS (SELECT DISTINCT user_id, fact_key FROM eras),
+t AS (SELECT k.*, a.value_json, CASE WHEN EXISTS (SELECT 1 FROM fixes f WHERE f.user_id = k.user_id AND f.fact_key = k.fact_key AND f.from_ms <= {AT} AND f.until_ms >= {AT}) THEN 'corrected' WHEN a.id IS NULL THEN 'unknown'
+ WHEN EXISTS (SELECT 1 FROM eras e WHERE e.user_id = k.user_id AND e.fact_key = k.fact_key AND e.prior_ms < {AT} AND e.boundary > {AT}) THEN 'known_stale' ELSE 'known' END AS state FROM k LEFT JOIN inforce a ON a.user_id = k.user_id AND a.fact_key = k.fact_key)
+SELECT user_id, fact_key, state, CASE WHEN state IN ('known', 'known_stale') THEN value_json END AS value_json FROM t""")
+def _(s, d):
+    return corrections.value_at(eras(s, d), fixes(s, d), AT, KEYS)
+
+
+@query("correction_plan", f"""WITH {_ERAS}, {_FIX}, cur AS (SELECT user_id, fact_key, max(boundary) AS since, arg_max(value_json, {{'b': boundary, 'i': id}}) AS v FROM eras GROUP BY 1, 2),
+t AS (SELECT f.record, list_filter([CASE WHEN f.record % 3 = 0 THEN 'not_addressable' END, CASE WHEN cur.since IS NULL THEN 'no_such_fact' END, CASE WHEN cur.since BETWEEN f.from_ms AND f.until_ms THEN 'current_in_window' END,
+ CASE WHEN NOT EXISTS (SELECT 1 FROM eras e WHERE e.user_id = f.user_id AND e.fact_key = f.fact_key AND e.boundary BETWEEN f.from_ms AND f.until_ms) AND (SELECT arg_max(value_json, {{'b': boundary, 'i': id}}) FROM eras e WHERE e.user_id = f.user_id AND e.fact_key = f.fact_key AND e.boundary < f.from_ms) = cur.v THEN 'unchanged' END,
+ CASE WHEN f.record % 2 = 0 THEN 'already_recorded' END], lambda x: x IS NOT NULL) AS r FROM fixes f LEFT JOIN cur ON cur.user_id = f.user_id AND cur.fact_key = f.fact_key)
+SELECT record, array_to_string(r, ',') AS refusals FROM t""")
+def _(s, d):
+    f = fixes(s, d)
+    plan = corrections.plan_corrections(f.withColumn("reason", F.lit("audit")), eras(s, d), f.where("record % 2 = 0"), KEYS, F.col("record") % 3 != 0)
+    return plan.select("record", F.array_join("refusals", ",").alias("refusals"))
+
+
+@query("change_instants", f"WITH {_ERAS}, {_FIX} SELECT user_id, boundary AS \"at\" FROM eras UNION SELECT user_id, from_ms FROM fixes UNION SELECT user_id, until_ms + 1 FROM fixes")
+def _(s, d):
+    return corrections.change_instants(eras(s, d), fixes(s, d), ["user_id"])
+
+
+@query("timeline_segments", """WITH t AS (SELECT o_custkey, (epoch_us(o_orderdate) // 1000) AS "at", max(o_orderstatus) AS status FROM orders GROUP BY 1, 2), n AS (SELECT *, lag(status) OVER (PARTITION BY o_custkey ORDER BY "at") IS DISTINCT FROM status OR row_number() OVER (PARTITION BY o_custkey ORDER BY "at") = 1 AS isnew FROM t)
+SELECT o_custkey, status, "at" AS from_at, lead("at") OVER (PARTITION BY o_custkey ORDER BY "at") AS to_at FROM n WHERE isnew""")
+def _(s, d):
+    o = table(s, d, "orders")
+    return corrections.timeline(o.groupBy("o_custkey", ms(o, "o_orderdate").alias("at")).agg(F.max("o_orderstatus").alias("status")), ["o_custkey"], "at", ["status"])
+
+
+# differences and deltas
+
+_PLAN = f"""WITH {_SNAPS}, m AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.fact_key, b.fact_key) AS fact_key, a.value_json AS old, b.value_json AS new FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.fact_key = b.fact_key),
+p AS (SELECT m.*, m.o_custkey IN (SELECT o_custkey FROM a) AS known, m.o_custkey IN (SELECT o_custkey FROM b) AS there FROM m),
+r AS (SELECT o_custkey, fact_key, CASE WHEN NOT there THEN '"absent"' WHEN new IS NOT NULL THEN new ELSE 'null' END AS value_json, CASE WHEN NOT there AND fact_key = 'existence' THEN 'disappeared' WHEN NOT there THEN NULL WHEN NOT known THEN 'new' WHEN new IS NOT NULL AND old IS DISTINCT FROM new THEN 'changed' WHEN new IS NULL THEN 'withdrawn' END AS change FROM p)"""
+
+
+@query("snapshot_diff", f"{_PLAN} SELECT * FROM r WHERE change IS NOT NULL")
+def _(s, d):
+    return diff.plan_ingest(*order_facts(s, d), ["o_custkey"])
+
+
+@query("scoped_diff", f"{_PLAN} SELECT * FROM r WHERE change IS NOT NULL AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _(s, d):
+    touched = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return diff.plan_ingest(*order_facts(s, d), ["o_custkey"], touched)
+
+
+@query("ingest_totals", f"{_PLAN} SELECT change, count(*) AS n FROM r WHERE change IS NOT NULL GROUP BY 1")
+def _(s, d):
+    return diff.ingest_totals(diff.plan_ingest(*order_facts(s, d), ["o_custkey"]))
+
+
+@query("keyed_diff", f"WITH {_SNAPS} SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.fact_key, b.fact_key) AS fact_key, a.value_json AS old_value, b.value_json AS new_value, CASE WHEN a.fact_key IS NULL THEN 'added' WHEN b.fact_key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.fact_key = b.fact_key WHERE a.value_json IS DISTINCT FROM b.value_json")
+def _(s, d):
+    return diff.diff_keyed(*order_facts(s, d), ["o_custkey", "fact_key"], "value_json")
+
+
+@query("publish_ops", f"WITH {_SNAPS} SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.fact_key, b.fact_key) AS fact_key, CASE WHEN b.fact_key IS NULL THEN 'remove' ELSE 'set' END AS op, b.value_json AS value FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.fact_key = b.fact_key WHERE a.value_json IS DISTINCT FROM b.value_json")
+def _(s, d):
+    return diff.publish_delta(*order_facts(s, d), ["o_custkey", "fact_key"])
+
+
+@query("replay_change", f"WITH {_SNAPS} SELECT o_custkey, fact_key, value_json FROM b")
+def _(s, d):
+    a, b = order_facts(s, d)
+    return diff.replay_change(a, diff.publish_delta(a, b, ["o_custkey", "fact_key"]), ["o_custkey", "fact_key"])[0]
+
+
+@query("replay_net_state", f"WITH {_ERAS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, fact_key ORDER BY id DESC) AS rn FROM eras) SELECT user_id, fact_key, value_json FROM o WHERE rn = 1 AND id % 4 <> 0")
+def _(s, d):
+    ops = eras(s, d).select(*KEYS, F.when(F.col("id") % 4 == 0, "remove").otherwise("set").alias("op"), F.col("value_json").alias("value"), "id")
+    return diff.replay_chain(None, ops, KEYS, ["id"])
+
+
+@query("conflicts", "SELECT l_partkey, l_suppkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS flags, count(DISTINCT l_returnflag)::INTEGER AS n FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1")
+def _(s, d):
+    _, bad = diff.split_conflicts(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_returnflag")
+    return bad.select("l_partkey", "l_suppkey", F.array_join("values", ",").alias("flags"), F.size("values").alias("n"))
+
+
+@query("digest_rows", """WITH f AS (SELECT c_nationkey, c_custkey::VARCHAR AS fact_key, c_mktsegment AS value_json FROM customer), h AS (SELECT c_nationkey, sha256(length(fact_key) || ':' || fact_key || coalesce(length(value_json) || ':' || value_json, '-')) AS x FROM f)
+SELECT c_nationkey, sha256(string_agg(x, '' ORDER BY x)) AS digest FROM h GROUP BY 1""")
+def _(s, d):
+    c = table(s, d, "customer").select("c_nationkey", F.col("c_custkey").cast("string").alias("fact_key"), F.col("c_mktsegment").alias("value_json"))
+    return diff.facts_digest(c, ["c_nationkey"])
+
+
+@query("shrink_guard", f"WITH {_SNAPS}, n AS (SELECT (SELECT count(*) FROM a WHERE fact_key = 'existence') AS held, (SELECT count(*) FROM b WHERE fact_key = 'existence') AS incoming) SELECT held, incoming, held >= 100 AND (held - incoming) * 4 > held AS refused FROM n")
+def _(s, d):
+    return diff.shrink_guard(*(x.where("fact_key = 'existence'") for x in order_facts(s, d)))
+
+
+@query("chain_violations", f"""WITH {_ERAS}, r AS (SELECT observation_id AS release, observation_id - 1 - CASE WHEN observation_id % 50 = 0 THEN 1 ELSE 0 END AS parent, max(boundary) - CASE WHEN observation_id % 40 = 0 THEN 90000000 ELSE 0 END AS published_at_ms, count(*) FILTER (fact_key = 'error') AS n_ops FROM eras GROUP BY observation_id),
+v AS (SELECT *, lag(release) OVER (ORDER BY release) AS pr, lag(published_at_ms) OVER (ORDER BY release) AS pt FROM r)
+SELECT release, 'gap' AS violation FROM v WHERE pr IS NOT NULL AND release <> pr + 1 UNION ALL SELECT release, 'parent' FROM v WHERE pr IS NOT NULL AND parent IS DISTINCT FROM pr UNION ALL SELECT release, 'time' FROM v WHERE published_at_ms <= pt UNION ALL SELECT release, 'empty' FROM v WHERE n_ops = 0""")
+def _(s, d):
+    o = F.col("observation_id")
+    r = eras(s, d).groupBy("observation_id").agg(F.max("boundary").alias("b"), F.count_if(F.col("fact_key") == "error").alias("n_ops"))
+    return diff.verify_chain(r.select(o.alias("release"), (o - 1 - F.when(o % 50 == 0, 1).otherwise(0)).alias("parent"), (F.col("b") - F.when(o % 40 == 0, 90_000_000).otherwise(0)).alias("published_at_ms"), "n_ops"))
+
+
+# logs, polls and curated histories
+
+@query("prior_confirming", f"WITH {_ERAS}, {_POLLS} SELECT id, max(CASE WHEN outcome <> 'failed' THEN observed_at_ms END) OVER (ORDER BY observed_at_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_ms FROM polls")
+def _(s, d):
+    return ledger.prior_confirming(polls(s, d), ["source"]).select("id", "prior_ms")
+
+
+@query("failure_streak", f"WITH {_ERAS}, {_POLLS}, i AS (SELECT *, sum(CASE WHEN outcome = 'failed' THEN 0 ELSE 1 END) OVER (ORDER BY observed_at_ms) AS g FROM polls) SELECT id, (sum(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY observed_at_ms))::BIGINT AS streak FROM i")
+def _(s, d):
+    return ledger.streaks(polls(s, d), ["source"]).select("id", "streak")
+
+
+@query("failure_history", f"WITH {_ERAS}, {_POLLS} SELECT source, count(*) FILTER (outcome = 'failed') AS failures, max(observed_at_ms) FILTER (outcome = 'failed') AS last_failed_ms, arg_max(failure_class, observed_at_ms) FILTER (outcome = 'failed') AS last_class, count(*) FILTER (observed_at_ms > (SELECT max(observed_at_ms) FROM polls WHERE outcome = 'failed')) AS polls_since FROM polls GROUP BY 1")
+def _(s, d):
+    return ledger.failure_history(polls(s, d), ["source"])
+
+
+@query("freshness", f"""WITH {_ERAS}, {_POLLS}, l AS (SELECT source, max(observed_at_ms) AS last_attempt_ms, max(observed_at_ms) FILTER (outcome <> 'failed') AS last_confirmed_ms FROM polls GROUP BY 1),
+f AS (SELECT l.*, (SELECT count(*) FROM polls p WHERE p.source = l.source AND outcome = 'failed' AND p.observed_at_ms > l.last_confirmed_ms) AS failing FROM l) SELECT *, CASE WHEN 1706655600000 - last_attempt_ms > 4200000 THEN 'silent' WHEN failing >= 4 THEN 'failing' WHEN 1706655600000 - last_confirmed_ms > 7200000 THEN 'stale' ELSE 'fresh' END AS status FROM f""")
+def _(s, d):
+    return ledger.freshness(polls(s, d), 1_706_655_600_000, ["source"])
+
+
+@query("recent_polls", f"WITH {_ERAS}, {_POLLS} SELECT id, outcome, failure_class FROM polls ORDER BY observed_at_ms DESC, id DESC LIMIT 20")
+def _(s, d):
+    return ledger.recent(polls(s, d), 20).select("id", "outcome", "failure_class")
+
+
+@query("last_etag", f"WITH {_ERAS}, {_POLLS} SELECT source, arg_max(etag, observed_at_ms) FILTER (etag IS NOT NULL) AS etag FROM polls GROUP BY 1")
+def _(s, d):
+    return ledger.last_non_null(polls(s, d), "etag", ["source"])
+
+
+_EX = "x AS (SELECT id, user_id, CASE WHEN fact_key IN ('signup', 'error') THEN 'existence' ELSE fact_key END AS fact_key, CASE fact_key WHEN 'signup' THEN '\"present\"' WHEN 'error' THEN '\"absent\"' ELSE value_json END AS value_json, boundary, observation_id FROM eras)"
+
+
+def existence_eras(s, d) -> DataFrame:
+    k = F.col("fact_key")
+    return eras(s, d).select("id", "user_id", F.when(k.isin("signup", "error"), "existence").otherwise(k).alias("fact_key"), F.when(k == "signup", '"present"').when(k == "error", '"absent"').otherwise(F.col("value_json")).alias("value_json"), "boundary", "observation_id")
+
+
+@query("poll_composition", f"""WITH {_ERAS}, {_EX}, g AS (SELECT observation_id, user_id, count(*) AS n, max(CASE WHEN fact_key = 'existence' AND value_json = '"present"' THEN 1 ELSE 0 END) AS a, max(CASE WHEN fact_key = 'existence' AND value_json = '"absent"' THEN 1 ELSE 0 END) AS w FROM x GROUP BY 1, 2)
+SELECT observation_id, sum(n)::BIGINT AS eras, sum(a)::BIGINT AS arrived, sum(w)::BIGINT AS withdrawn, sum(CASE WHEN a = 0 AND w = 0 THEN n ELSE 0 END)::BIGINT AS facts_changed FROM g GROUP BY 1""")
+def _(s, d):
+    return ledger.poll_composition(existence_eras(s, d), ["user_id"])
+
+
+@query("presence_filter", f"""WITH {_ERAS}, {_EX}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, fact_key ORDER BY boundary DESC, id DESC) AS rn FROM x WHERE boundary <= {AT}) WHERE rn = 1)
+SELECT user_id, fact_key, value_json FROM c WHERE user_id IN (SELECT user_id FROM c WHERE fact_key = 'existence' AND value_json = '"present"')""")
+def _(s, d):
+    return asof.filter_presence(asof.as_of(existence_eras(s, d), AT, KEYS), ["user_id"]).select(*KEYS, "value_json")
+
+
+@query("restating_polls", f"WITH {_ERAS}, {_PREV} SELECT observation_id, count(*) AS eras, count(*) FILTER (has_previous AND value_json = previous_value) AS restated, count(*) FILTER (has_previous AND value_json = previous_value) / count(*) AS fraction FROM prev GROUP BY 1 HAVING count(*) FILTER (has_previous AND value_json = previous_value) > 0")
+def _(s, d):
+    return ledger.restating(eras(s, d).withColumn("kind", F.lit("observed")), KEYS)
+
+
+@query("live_marks", f"WITH {_ERAS} SELECT observation_id FROM eras WHERE fact_key IN ('click', 'view') GROUP BY 1 HAVING arg_max(fact_key, id) = 'click'")
+def _(s, d):
+    e = eras(s, d).where("fact_key IN ('click', 'view')")
+    return ledger.live_marks(e.select("observation_id", "id", F.when(F.col("fact_key") == "click", "mark").otherwise("retract").alias("action")))
+
+
+@query("version_cursor", f"WITH {_ERAS}, b AS (SELECT observation_id AS id, min(boundary) // 100000000 * 1000 AS now_ms FROM eras GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM b) SELECT id, now_ms, greatest(1704000, max(now_ms - n) OVER (ORDER BY id)) + n AS version FROM n")
+def _(s, d):
+    b = eras(s, d).groupBy(F.col("observation_id").alias("id")).agg((F.floor(F.min("boundary") / 100_000_000).cast("long") * 1000).alias("now_ms"))
+    return ledger.versions(b, 1_704_000)
+
+
+@query("latest_judgment", f"WITH {_ERAS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS rn FROM eras WHERE boundary <= {AT}) SELECT user_id, value_json AS grade, id FROM l WHERE rn = 1 AND fact_key <> 'error'")
+def _(s, d):
+    log = eras(s, d).select("user_id", F.col("value_json").alias("grade"), "id", F.col("boundary").alias("recorded_at_ms"), F.when(F.col("fact_key") == "error", 1).otherwise(0).alias("withdrawn"))
+    return ledger.latest_judgments(log, ["user_id"], AT).select("user_id", "grade", "id")
+
+
+@query("run_origin", """WITH e AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) // 1000) AS boundary, l_returnflag AS claim FROM lineitem WHERE l_linenumber = 1), i AS (SELECT k, max(id) AS id, max(boundary) AS boundary, max(claim) AS claim FROM e GROUP BY k, id),
+f AS (SELECT *, first_value(claim) OVER w AS newest FROM i WINDOW w AS (PARTITION BY k ORDER BY id DESC)), r AS (SELECT *, sum(CASE WHEN claim = newest THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY id DESC) AS breaks FROM f)
+SELECT k, max(id) AS id, arg_max(claim, id) AS claim, arg_max(boundary, id) AS boundary, min(boundary) AS origin FROM r WHERE breaks = 0 GROUP BY 1""")
+def _(s, d):
+    li = table(s, d, "lineitem").where("l_linenumber = 1")
+    e = li.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ms(li, "l_shipdate").alias("boundary"), F.col("l_returnflag").alias("claim"))
+    e = e.groupBy("k", "id").agg(F.max("boundary").alias("boundary"), F.max("claim").alias("claim"))
+    return ledger.run_origin(e, 2**62, ["k"], "claim")
+
+
+@query("scd2_append", """WITH h AS (SELECT s_suppkey AS k, CAST(floor(s_acctbal) AS BIGINT) AS claim, s_suppkey % 9 = 0 AS dead FROM supplier WHERE s_suppkey % 5 <> 0), r AS (SELECT s_suppkey AS k, CAST(floor(s_acctbal) AS BIGINT) + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS claim FROM supplier WHERE s_suppkey % 4 <> 0)
+SELECT coalesce(h.k, r.k) AS k, r.claim, CASE WHEN h.k IS NULL THEN 77 ELSE 1000 END::BIGINT AS boundary, CASE WHEN r.k IS NULL THEN 'missing' END AS tombstone_reason FROM h FULL JOIN r ON h.k = r.k WHERE h.k IS NULL OR (r.k IS NULL AND NOT h.dead) OR (h.k IS NOT NULL AND r.k IS NOT NULL AND (h.dead OR h.claim <> r.claim))""")
+def _(s, d):
+    sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.floor("s_acctbal").cast("long").alias("claim"))
+    h = sup.where("k % 5 <> 0").select("k", "claim", F.lit(500).cast("long").alias("boundary"), F.lit(1).alias("id"), F.when(F.col("k") % 9 == 0, "missing").alias("tombstone_reason"))
+    r = sup.where("k % 4 <> 0").select("k", (F.col("claim") + F.when(F.col("k") % 3 == 0, 1).otherwise(0)).alias("claim"), F.lit(77).cast("long").alias("established_at_ms"))
+    return ledger.append_scd2(r, h, ["k"], "claim", 1000)
+
+
+@query("price_append", """WITH h AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) // 1000) AS boundary, CAST(l_quantity AS BIGINT) AS claim FROM lineitem WHERE l_linenumber = 1), r AS (SELECT p_partkey AS k, p_size::BIGINT AS claim, 900000000000 AS boundary FROM part WHERE p_partkey % 6 <> 0),
+l AS (SELECT r.k, r.claim, r.boundary, max(h.id) FILTER (h.boundary <= r.boundary) AS lid FROM r LEFT JOIN h ON h.k = r.k GROUP BY 1, 2, 3), c AS (SELECT l.*, (SELECT max(h.claim) FROM h WHERE h.k = l.k AND h.id = l.lid) AS old FROM l)
+SELECT k, claim, boundary FROM c WHERE lid IS NULL OR claim IS DISTINCT FROM old UNION ALL SELECT DISTINCT k, NULL::BIGINT, 1000000000000 FROM h WHERE k NOT IN (SELECT k FROM r)""")
+def _(s, d):
+    li = table(s, d, "lineitem").where("l_linenumber = 1")
+    h = li.select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ms(li, "l_shipdate").alias("boundary"), F.col("l_quantity").cast("long").alias("claim"))
+    r = table(s, d, "part").where("p_partkey % 6 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("claim"), F.lit(900_000_000_000).alias("boundary"))
+    return ledger.append_prices(r, h, ["k"], "claim", 1_000_000_000_000)
+
+
+@query("catalog_counts", f"""WITH {_ERAS}, {_EX}, {_FIX}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, fact_key ORDER BY boundary DESC, id DESC) AS rn FROM x WHERE boundary <= {AT}) WHERE rn = 1 AND (user_id, fact_key) NOT IN (SELECT user_id, fact_key FROM fixes WHERE from_ms <= {AT} AND until_ms >= {AT})),
+g AS (SELECT user_id, bool_or(fact_key = 'existence' AND value_json = '"present"') AS p, bool_or(fact_key = 'view') AS r FROM c GROUP BY 1) SELECT count(*) FILTER (p) AS present, count(*) FILTER (p AND r) AS priced FROM g""")
+def _(s, d):
+    k = F.col("fact_key")
+    e = existence_eras(s, d).withColumn("value_json", F.when(k == "view", '{"state":"priced"}').otherwise(F.col("value_json"))).withColumn("fact_key", F.when(k == "view", "rate.view").otherwise(k))
+    f = corrections.corrections_at(fixes(s, d), AT).withColumn("fact_key", F.lit("rate.view"))
+    return ledger.catalog_counts(e, AT, ["user_id"], f)
+
+
+@query("ledger_bounds", f"WITH {_ERAS} SELECT min(boundary) AS begins_at, max(boundary) AS newest, count(*) AS eras, max(id) AS latest_id FROM eras")
+def _(s, d):
+    return ledger.ledger_bounds(eras(s, d))
+
+
+@query("invariants", f"WITH {_ERAS} SELECT 'kind' AS violation, count(*) AS n FROM eras WHERE fact_key = 'error' HAVING count(*) > 0 UNION ALL SELECT 'seed', count(*) FROM eras WHERE fact_key = 'signup' AND id % 2 = 0 HAVING count(*) > 0 UNION ALL SELECT 'observed', count(*) FROM eras WHERE fact_key NOT IN ('error', 'signup') AND id % 11 = 0 HAVING count(*) > 0")
+def _(s, d):
+    k, n = F.col("fact_key"), F.lit(None).cast("long")
+    e = eras(s, d).select("id", *KEYS, "boundary", F.when(k == "error", "odd").when(k == "signup", "seed").otherwise("observed").alias("kind"), F.when(k == "signup", F.when(F.col("id") % 2 == 0, F.col("prior_ms"))).when(F.col("id") % 11 != 0, F.col("prior_ms")).alias("prior_ms"), n.alias("from_ms"), n.alias("until_ms"))
+    return ledger.check_invariants(e, ledger.era_rules(), [*KEYS, "boundary"]).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+# rules and layers
+
+@query("rule_rejects", """WITH r AS (SELECT s_suppkey, s_suppkey % 60 AS k, CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE s_name END AS target, s_acctbal FROM supplier), n AS (SELECT k, count(*) AS c FROM r GROUP BY 1)
+SELECT s_suppkey, array_to_string(list_filter([CASE WHEN trim(target) = '' THEN 'empty_target' END, CASE WHEN NOT s_acctbal > 0 THEN 'not_positive' END, CASE WHEN c > 1 THEN 'duplicate_key' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r JOIN n USING (k) WHERE trim(target) = '' OR NOT s_acctbal > 0 OR c > 1""")
+def _(s, d):
+    r = table(s, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 60).alias("k"), F.when(F.col("s_suppkey") % 13 == 0, "").otherwise(F.col("s_name")).alias("target"), "s_acctbal")
+    _, bad = rules.load_rules(r, rules.RuleSpec(("k",), ("target",), {"not_positive": F.col("s_acctbal") > 0}))
+    return bad.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("overdue_rules", f"WITH r AS (SELECT s_suppkey, {AT} - (s_suppkey - 40) * 40000000 AS review_by_ms FROM supplier) SELECT s_suppkey, review_by_ms, ({AT} - review_by_ms) // 86400000 AS days_overdue FROM r WHERE review_by_ms <= {AT}")
+def _(s, d):
+    return ledger.overdue(table(s, d, "supplier").select("s_suppkey", (F.lit(AT) - (F.col("s_suppkey") - 40) * 40_000_000).alias("review_by_ms")), AT)
+
+
+@query("rule_audit", "WITH r AS (SELECT n_nationkey * 11 AS c_custkey, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS replaces FROM nation) SELECT r.c_custkey, CASE WHEN c.c_custkey IS NULL THEN 'unused' ELSE 'stale' END AS finding FROM r LEFT JOIN customer c ON c.c_custkey = r.c_custkey WHERE c.c_custkey IS NULL OR c.c_mktsegment <> r.replaces")
+def _(s, d):
+    r = table(s, d, "nation").select((F.col("n_nationkey") * 11).cast("long").alias("c_custkey"), F.when(F.col("n_nationkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("replaces"))
+    return rules.audit_rules(r, table(s, d, "customer"), ["c_custkey"], "c_mktsegment")
+
+
+def customer_facts(s, d) -> DataFrame:
+    c = table(s, d, "customer")
+    pair = F.explode(F.array(F.struct(F.lit("segment").alias("k"), F.col("c_mktsegment").alias("v")), F.struct(F.lit("balance").alias("k"), F.floor("c_acctbal").cast("long").cast("string").alias("v"))))
+    return c.select(F.col("c_nationkey").cast("string").alias("provider"), F.col("c_custkey").cast("string").alias("model"), pair.alias("p")).select("provider", "model", F.col("p.k").alias("fact_key"), F.col("p.v").alias("value_json"))
+
+
+_CF = "cf AS (SELECT c_nationkey::VARCHAR AS provider, c_custkey::VARCHAR AS model, 'segment' AS fact_key, c_mktsegment AS value_json FROM customer UNION ALL SELECT c_nationkey::VARCHAR, c_custkey::VARCHAR, 'balance', CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) FROM customer)"
+
+
+@query("override_guarded", f"""WITH {_CF}, o AS (SELECT c_nationkey::VARCHAR AS provider, c_custkey::VARCHAR AS model, c_custkey FROM customer WHERE c_custkey % 3 = 0)
+SELECT cf.provider, cf.model, cf.fact_key, CASE WHEN o.model IS NOT NULL AND cf.fact_key = 'segment' AND cf.value_json = 'BUILDING' THEN 'FIXED' ELSE cf.value_json END AS value_json, o.model IS NOT NULL AND cf.fact_key = 'segment' AND cf.value_json = 'BUILDING' AS overridden FROM cf LEFT JOIN o ON cf.provider = o.provider AND cf.model = o.model
+UNION ALL SELECT provider, model, 'tier', 'gold', true FROM o WHERE c_custkey % 2 = 0""")
+def _(s, d):
+    f = customer_facts(s, d)
+    o = f.where("fact_key = 'segment' AND cast(model AS long) % 3 = 0")
+    a = o.select("provider", "model", "fact_key", F.lit("FIXED").alias("value"), F.lit("BUILDING").alias("replaces"))
+    b = o.where("cast(model AS long) % 2 = 0").select("provider", "model", F.lit("tier").alias("fact_key"), F.lit("gold").alias("value"), F.lit(None).cast("string").alias("replaces"))
+    return layers.apply_overrides(f, a.unionByName(b))
+
+
+@query("correction_precedence", f"""WITH {_CF}, ids AS (SELECT DISTINCT provider, model FROM cf), v AS (SELECT i.provider, i.model, CASE WHEN i.model::BIGINT % 10 = 0 THEN CASE WHEN i.model::BIGINT % 20 = 0 THEN 'exact' END WHEN i.provider::INT % 5 = 1 THEN NULL ELSE coalesce((SELECT max(value_json) FROM cf WHERE cf.provider = i.provider AND cf.model = i.model AND cf.fact_key = 'segment' AND cf.value_json <> 'BUILDING'), CASE WHEN i.provider::INT % 2 = 0 THEN 'star' END) END AS value_json FROM ids i)
+SELECT provider, model, 'segment' AS fact_key, value_json FROM v WHERE value_json IS NOT NULL UNION ALL SELECT * FROM cf WHERE fact_key <> 'segment'""")
+def _(s, d):
+    f = customer_facts(s, d).where("NOT (fact_key = 'segment' AND value_json = 'BUILDING')")
+    ids = layers.known_ids(f)
+    exact = ids.where("try_cast(model AS long) % 10 = 0").select("provider", "model", F.when(F.col("model").try_cast("long") % 20 == 0, "exact").alias("value"))
+    star = ids.where("try_cast(provider AS int) % 2 = 0").select("provider").distinct().select("provider", F.lit("*").alias("model"), F.lit("star").alias("value"))
+    return layers.apply_corrections_table(f, exact.unionByName(star), ids.where("try_cast(provider AS int) % 5 = 1").select("provider").distinct(), "segment")
+
+
+@query("null_safe_lookup", "WITH l AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_nationkey % 4 END AS shape FROM customer), r AS (SELECT DISTINCT c_mktsegment, shape, c_mktsegment || coalesce(shape::VARCHAR, '-') AS family FROM l WHERE c_mktsegment <> 'BUILDING') SELECT l.c_custkey, r.family FROM l LEFT JOIN r ON l.c_mktsegment = r.c_mktsegment AND l.shape IS NOT DISTINCT FROM r.shape")
+def _(s, d):
+    c = table(s, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_nationkey") % 4 != 0, F.col("c_nationkey") % 4).alias("shape"))
+    r = c.where("c_mktsegment <> 'BUILDING'").select("c_mktsegment", "shape").distinct().withColumn("family", F.concat("c_mktsegment", F.coalesce(F.col("shape").cast("string"), F.lit("-"))))
+    return layers.lookup_null_safe(c, r, ["c_mktsegment", "shape"], "family").select("c_custkey", "family")
+
+
+@query("inherit_price", """WITH p AS (SELECT p_brand, p_partkey, p_partkey % 40 AS m, p_type, p_size FROM part), mm AS (SELECT p_brand AS provider, m::VARCHAR AS model, max(p_size) AS s, max(p_type) AS family FROM p GROUP BY 1, 2),
+priced AS (SELECT * FROM mm WHERE s % 3 <> 0), creators AS (SELECT family, min(provider) AS creator FROM mm GROUP BY 1)
+SELECT h.provider, h.model, 'rate.input' AS fact_key, g.s::VARCHAR AS value_json, c.creator AS inherited_from FROM mm h JOIN creators c ON c.family = h.family AND c.creator <> h.provider JOIN priced g ON g.provider = c.creator AND g.model = h.model WHERE h.s % 3 = 0""")
+def _(s, d):
+    p = table(s, d, "part").select(F.col("p_brand").alias("provider"), (F.col("p_partkey") % 40).cast("string").alias("model"), "p_size", "p_type").groupBy("provider", "model").agg(F.max("p_size").alias("s"), F.max("p_type").alias("family"))
+    row = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    f = p.select("provider", "model", F.explode(F.array(row("family", F.concat(F.lit('"'), "family", F.lit('"'))), row("open_weights", F.lit("true")), row("rate.input", F.when(F.col("s") % 3 != 0, F.col("s").cast("string"))), row("rate.input.mode.fast", F.when(F.col("s") % 3 != 0, F.lit("1"))))).alias("p")).where("p.v IS NOT NULL").select("provider", "model", F.col("p.k").alias("fact_key"), F.col("p.v").alias("value_json"))
+    return layers.inherit_rates(f, p.groupBy("family").agg(F.min("provider").alias("creator"))).where("inherited_from IS NOT NULL")
+
+
+@query("alias_projection", f"""WITH {_CF}, al AS (SELECT c_nationkey::VARCHAR AS provider, CASE WHEN c_custkey % 12 = 0 THEN c_custkey::VARCHAR ELSE 'alias-' || c_custkey END AS model, c_custkey::VARCHAR AS target FROM customer WHERE c_custkey % 4 = 0)
+SELECT al.provider, al.model, cf.fact_key, cf.value_json FROM al JOIN cf ON cf.provider = al.provider AND cf.model = al.target WHERE al.model LIKE 'alias-%' AND cf.fact_key <> 'balance'""")
+def _(s, d):
+    f = customer_facts(s, d)
+    n = F.col("model").cast("long")
+    al = layers.known_ids(f).where(n % 4 == 0).select("provider", F.when(n % 12 == 0, F.col("model")).otherwise(F.concat(F.lit("alias-"), "model")).alias("model"), F.col("model").alias("target"), F.lit(None).cast("string").alias("name"))
+    return layers.project_aliases(f, al, ["balance"])[0].select(*layers.FACT)
+
+
+@query("curated_union", f"WITH {_CF}, keep AS (SELECT * FROM cf WHERE model::BIGINT % 5 <> 0), cur AS (SELECT DISTINCT provider, model FROM cf WHERE model::BIGINT % 4 = 0 AND model::BIGINT % 5 = 0 AND model::BIGINT % 3 <> 0) SELECT * FROM keep UNION ALL SELECT provider, model, 'segment', 'CURATED' FROM cur")
+def _(s, d):
+    f = customer_facts(s, d)
+    n = F.col("model").cast("long")
+    up, ids = f.where(n % 5 != 0), layers.known_ids(f)
+    cur = ids.where(n % 4 == 0).select("provider", "model", F.lit("segment").alias("fact_key"), F.lit("CURATED").alias("value_json"))
+    return layers.apply_curated(up, cur, up, ids.where(n % 3 == 0))
+
+
+@query("retired_ids", f"WITH {_CF} SELECT * FROM cf UNION ALL SELECT s_nationkey::VARCHAR, 's' || s_suppkey, 'existence', '\"absent\"' FROM supplier UNION ALL SELECT s_nationkey::VARCHAR, 's' || s_suppkey, 'successor', '\"' || s_name || '\"' FROM supplier WHERE s_suppkey % 2 = 0")
+def _(s, d):
+    r = table(s, d, "supplier").select(F.col("s_nationkey").cast("string").alias("provider"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("model"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("successor"))
+    return layers.apply_retired(customer_facts(s, d), r)
+
+
+@query("local_overlay", f"WITH {_CF} SELECT provider, model, fact_key, value_json AS before, 'LOCAL' AS after FROM cf WHERE fact_key = 'segment' AND model::BIGINT % 6 = 0")
+def _(s, d):
+    f = customer_facts(s, d)
+    local = f.where("fact_key = 'segment' AND cast(model AS long) % 6 = 0").withColumn("value_json", F.lit("LOCAL"))
+    return layers.overlay(f, local, layers.KEY, "value_json")[1]
+
+
+@query("lineage_precedence", """SELECT p_partkey::VARCHAR AS model, CASE WHEN p_partkey % 10 = 0 THEN 'by-model' WHEN p_partkey % 7 <> 0 AND p_type = 'PROMO' THEN 'by-family' WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'by-lab' WHEN p_partkey % 7 <> 0 THEN 'by-provider' END AS lineage FROM part""")
+def _(s, d):
+    p = table(s, d, "part").select(F.lit("p").alias("provider"), F.col("p_partkey").cast("string").alias("model"), F.col("p_type").alias("family"), F.col("p_brand").alias("lab"), (F.col("p_partkey") % 7 == 0).alias("is_alias"))
+    one = lambda keys, c: keys.toDF("key").distinct().withColumn("class", F.lit(c))
+    return layers.classify_lineage(p, one(p.where("cast(model AS long) % 10 = 0").select("model"), "by-model"), one(p.where("family = 'PROMO'").select("family"), "by-family"), one(p.where("lab IN ('Brand#1', 'Brand#2')").select("lab"), "by-lab"), one(p.select("provider"), "by-provider")).select("model", "lineage")
+
+
+@query("limits_by_rule", """WITH e AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, p_size, p_partkey FROM part), l AS (SELECT DISTINCT p_brand AS provider, p_size % 4 AS t, p_size AS lim FROM part)
+SELECT e.provider, e.model, l.t::VARCHAR AS modality, min(l.lim)::BIGINT AS limit FROM e JOIN l ON e.provider = l.provider AND e.p_partkey % 3 + 1 >= l.t AND (l.t = 0 OR e.p_size >= l.t * 10) GROUP BY 1, 2, 3""".replace(" AS limit", ' AS "limit"'))
+def _(s, d):
+    p = table(s, d, "part")
+    e = p.select(F.col("p_brand").alias("provider"), F.col("p_partkey").cast("string").alias("model"), F.col("p_size").alias("context"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 3 + 1), lambda x: x.cast("string")).alias("modalities"))
+    t = F.col("p_size") % 4
+    return layers.apply_limits(e, p.select(F.col("p_brand").alias("provider"), t.cast("string").alias("modality"), F.col("p_size").cast("long").alias("limit"), F.when(t != 0, t * 10).alias("min_context")).distinct())
+
+
+@query("ttl_rates", """WITH r AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, unnest([0, 1]) AS tier, CAST(p_retailprice * 100 AS BIGINT) AS input, p_partkey FROM part), q AS (SELECT *, CASE WHEN input * 5 % 4 = 0 THEN input * 5 // 4 END AS short, CASE WHEN p_partkey % 9 = 0 AND tier = 1 THEN 1 ELSE input * 5 // 4 END AS cache_write FROM r),
+ok AS (SELECT provider, model FROM q GROUP BY 1, 2 HAVING bool_and(short IS NOT NULL AND short = cache_write)) SELECT q.provider, q.model, q.tier, t.ttl, CASE t.ttl WHEN '5m' THEN q.short ELSE q.input * 2 END AS rate FROM q JOIN ok USING (provider, model), (VALUES ('5m'), ('1h')) t(ttl)""")
+def _(s, d):
+    i = F.round(F.col("p_retailprice") * 100).cast("long")
+    r = table(s, d, "part").select(F.col("p_brand").alias("provider"), F.col("p_partkey").cast("string").alias("model"), F.explode(F.array(F.lit(0), F.lit(1))).alias("tier"), i.alias("input"), "p_partkey")
+    r = r.withColumn("cache_write", F.when((F.col("p_partkey") % 9 == 0) & (F.col("tier") == 1), F.lit(1).cast("long")).otherwise(F.floor(F.col("input") * 5 / 4).cast("long")))
+    rule = r.select("provider", "model").distinct().select("provider", "model", F.explode(F.array(F.struct(F.lit("5m").alias("ttl"), F.lit(5).alias("num"), F.lit(4).alias("den")), F.struct(F.lit("1h").alias("ttl"), F.lit(2).alias("num"), F.lit(1).alias("den")))).alias("x")).select("provider", "model", "x.ttl", "x.num", "x.den")
+    return layers.derive_ttl_rates(r.drop("p_partkey"), rule)
+
+
+@query("plane_rules", """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS entity, unnest(['quantity', 'tax', 'discount', 'price']) AS class, 0 AS tier, unnest([l_quantity, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_tax END, l_discount, l_extendedprice]) AS v FROM lineitem), f AS (SELECT entity, class, tier, CAST(CAST(v * 100 AS BIGINT) AS VARCHAR) AS value FROM (SELECT entity, class, tier, max(v) AS v FROM r GROUP BY 1, 2, 3) WHERE v IS NOT NULL)
+SELECT f.entity, f.class, CASE f.class WHEN 'tax' THEN 'stated_zero' WHEN 'discount' THEN coalesce(t.value, 'not_established') WHEN 'price' THEN q.value ELSE f.value END AS value, f.class <> 'quantity' AS ruled FROM f LEFT JOIN f t ON t.entity = f.entity AND t.class = 'tax' AND f.class = 'discount' LEFT JOIN f q ON q.entity = f.entity AND q.class = 'quantity' AND f.class = 'price'""")
+def _(s, d):
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
+    li = table(s, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entity"), F.col("l_linenumber")).agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount", "l_extendedprice")])
+    pair = lambda k, v: F.struct(F.lit(k).alias("class"), v.alias("value"))
+    r = li.select("entity", F.explode(F.array(pair("quantity", cents("l_quantity")), pair("tax", F.when(F.col("l_linenumber") % 2 != 0, cents("l_tax"))), pair("discount", cents("l_discount")), pair("price", cents("l_extendedprice")))).alias("x")).select("entity", "x.class", F.lit(0).alias("tier"), "x.value").where("value IS NOT NULL")
+    rule = r.select("class").distinct().where("class <> 'quantity'").select("class", F.when(F.col("class") == "tax", "stated_zero").otherwise("billed_as").alias("action"), F.when(F.col("class") == "discount", "tax").when(F.col("class") == "price", "quantity").alias("target"))
+    return layers.apply_plane(r, rule).drop("tier")
+
+
+# scalar functions, sources and exports
+
+@query("money_half_even", "WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * l_discount AS DECIMAL(18,4)) AS x FROM lineitem) SELECT l_orderkey, l_linenumber, x::VARCHAR AS text, CAST(round_even(x * 100, 0) AS BIGINT) AS units, CASE WHEN x > 0 AND round_even(x * 100, 0) = 0 THEN 'rounds_to_zero' END AS error FROM t")
+def _(s, d):
+    x = (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,4)")
+    t = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", x.cast("string").alias("text"))
+    m = t.withColumn("m", to_minor_units(F.col("text"), 2))
+    return m.select("l_orderkey", "l_linenumber", "text", F.col("m.units").alias("units"), F.col("m.error").alias("error"))
+
+
+@query("nano_and_ratio", "SELECT p_partkey, p_size::BIGINT * CAST(pow(10, 9 - p_partkey % 10) AS BIGINT) AS nano, CASE WHEN p_size * 5 % 4 = 0 THEN p_size::BIGINT * 5 // 4 END AS ratio FROM part")
+def _(s, d):
+    n = F.col("p_size").cast("long")
+    return table(s, d, "part").select("p_partkey", to_nano(n, F.col("p_partkey") % 10).alias("nano"), exact_ratio(n, F.lit(5), F.lit(4)).alias("ratio"))
+
+
+@query("facts_unpivot", "SELECT p_partkey, unnest(['name', 'brand', 'type', 'size']) AS fact_key, unnest([p_name, p_brand, p_type, p_size::VARCHAR]) AS value_json FROM part")
+def _(s, d):
+    return table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("size")).unpivot("p_partkey", ["name", "brand", "type", "size"], "fact_key", "value_json")
+
+
+@query("size_profile", f"""WITH {_CF} SELECT provider, sum(length('{{"fact_key":"' || fact_key || '","value_json":"' || value_json || '"}}'))::BIGINT AS bytes, count(*) AS facts FROM cf GROUP BY 1""")
+def _(s, d):
+    return src.size_profile(customer_facts(s, d))
+
+
+@query("directory", "SELECT c_nationkey AS provider, max(n_name) AS name, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS modalities FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT 1000 + r_regionkey, r_name, 'text' FROM region")
+def _(s, d):
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    none = F.lit(None).cast("string").alias("doc")
+    up = c.select(F.col("c_nationkey").alias("provider"), F.col("n_name").alias("name"), none, F.array("c_mktsegment").alias("modalities"))
+    kept = table(s, d, "region").select((F.lit(1000) + F.col("r_regionkey")).alias("provider"), F.col("r_name").alias("name"), none, F.array(F.lit("text")).alias("modalities"))
+    return src.provider_directory(up, kept).select("provider", "name", F.array_join("modalities", ",").alias("modalities"))
+
+
+@query("snapshot_round_trip", f"WITH {_CF} SELECT * FROM cf")
+def _(s, d):
+    return src.read_snapshot(src.export_snapshot(customer_facts(s, d)))
+
+
+@query("served_view", f"WITH {_CF} SELECT provider, model, fact_key, CASE WHEN fact_key = 'segment' AND value_json = 'BUILDING' AND model::BIGINT % 3 = 0 THEN 'FIXED' ELSE value_json END AS value_json FROM cf WHERE fact_key = 'segment' AND model::BIGINT % 8 <> 0")
+def _(s, d):
+    from factledger.plans.view import Rules, served_view
+    f = customer_facts(s, d)
+    n = F.col("model").cast("long")
+    alive = layers.known_ids(f).select("provider", "model", F.lit("existence").alias("fact_key"), F.when(n % 8 == 0, '"absent"').otherwise('"present"').alias("value_json"))
+    e = f.unionByName(alive).withColumn("boundary", F.lit(1).cast("long")).withColumn("id", F.lit(1).cast("long")).withColumn("prior_ms", F.lit(None).cast("long"))
+    o = f.where((F.col("fact_key") == "segment") & (n % 3 == 0)).select("provider", "model", "fact_key", F.lit("FIXED").alias("value"), F.lit("BUILDING").alias("replaces"))
+    return served_view(e, Rules(overrides=o), at=5, prefixes=["segment"]).facts
