@@ -39,8 +39,10 @@ def freshness(obs: DataFrame, now: int, by: list[str], stale_ms: int = 7_200_000
 
 
 def failure_history(obs: DataFrame, by: list[str]) -> DataFrame:
-    """Failures: how many, the last instant and class, and the polls since."""
-    failed = obs.where("outcome = 'failed'").groupBy(*by).agg(F.count(F.lit(1)).alias("failures"), F.max("observed_at_ms").alias("last_failed_ms"), F.max_by("failure_class", F.struct("observed_at_ms", "id")).alias("last_class"))
+    """Failures of every source: how many, the last instant and class, and the polls since (0 where none failed)."""
+    bad = F.col("outcome") == "failed"
+    when = lambda c: F.when(bad, c)
+    failed = obs.groupBy(*by).agg(F.count_if(bad).alias("failures"), F.max(when(F.col("observed_at_ms"))).alias("last_failed_ms"), F.max_by("failure_class", when(F.struct("observed_at_ms", "id"))).alias("last_class"))
     since = obs.join(failed.select(*by, "last_failed_ms"), by).where("observed_at_ms > last_failed_ms").groupBy(*by).agg(F.count(F.lit(1)).alias("polls_since"))
     return failed.join(since, by, "left").withColumn("polls_since", F.coalesce("polls_since", F.lit(0)))
 

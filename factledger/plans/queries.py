@@ -388,9 +388,9 @@ def _(s, d):
     return bad.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("overdue_rules", f"WITH r AS (SELECT s_suppkey, {AT} - (s_suppkey - 40) * 40000000 AS review_by_ms FROM supplier) SELECT s_suppkey, review_by_ms, ({AT} - review_by_ms) // 86400000 AS days_overdue FROM r WHERE review_by_ms <= {AT}")
+@query("overdue_rules", f"WITH r AS (SELECT s_suppkey, {AT} - (s_suppkey - 4) * 40000000 AS review_by_ms FROM supplier) SELECT s_suppkey, review_by_ms, ({AT} - review_by_ms) // 86400000 AS days_overdue FROM r WHERE review_by_ms <= {AT}")
 def _(s, d):
-    return ledger.overdue(table(s, d, "supplier").select("s_suppkey", (F.lit(AT) - (F.col("s_suppkey") - 40) * 40_000_000).alias("review_by_ms")), AT)
+    return ledger.overdue(table(s, d, "supplier").select("s_suppkey", (F.lit(AT) - (F.col("s_suppkey") - 4) * 40_000_000).alias("review_by_ms")), AT)
 
 
 @query("rule_audit", "WITH r AS (SELECT n_nationkey * 11 AS c_custkey, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS replaces FROM nation) SELECT r.c_custkey, CASE WHEN c.c_custkey IS NULL THEN 'unused' ELSE 'stale' END AS finding FROM r LEFT JOIN customer c ON c.c_custkey = r.c_custkey WHERE c.c_custkey IS NULL OR c.c_mktsegment <> r.replaces")
