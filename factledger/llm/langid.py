@@ -29,9 +29,11 @@ SCHEMA = "doc_id long, lang_pred string, score double, ambiguous boolean"
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n codewords of +-1, as rows: the exhaustive code for up to 5 languages, else the best of seeded random codes by least distance."""
+    if n <= 1:
+        return np.ones((n, 1), int)
     if n <= 5:
         bits = np.array([[(c >> i) & 1 for c in range(1, max(2, 1 << (n - 1)))] for i in range(n - 1)] + [[0] * (max(2, 1 << (n - 1)) - 1)])
-        return np.where(bits[:n] > 0, 1, -1)
+        return np.where(bits > 0, 1, -1)
     rng, best, least = np.random.default_rng(seed), None, -1
     for _ in range(200):
         code = rng.choice((-1, 1), (n, LONG_CODE))
