@@ -21,15 +21,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return materialise(met.where("u <> v").distinct(), "edges")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two greater-to-lesser edges or both ends: then each component is a star around its least node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(u long, v long) -> (node, root): root is the least node of node's component; every node of an edge appears once.
     Null ends and loops are left out. No edges give no rows."""
     e = materialise(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not _stars(e):
         e = _star(_star(e, large=True), large=False)
-        now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == seen:
-            break
-        seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

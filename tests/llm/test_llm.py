@@ -130,6 +130,20 @@ def test_components(spark):
     assert components(chain.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("edges", [[(5, 2), (2, 5), (9, 2)], [(2, 5), (2, 9), (5, 9)], [(3, 1), (3, 2), (7, 2), (8, 6)], "random"])
+def test_components_against_plain_python(spark, edges):
+    if edges == "random":
+        rng = np.random.default_rng(3)
+        edges = [(int(u), int(v)) for u, v in rng.integers(0, 300, (220, 2))]
+    label = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in label:
+        for u, v in edges:
+            if u != v:
+                label[u] = label[v] = min(label[u], label[v])
+    rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(rows) == len(label) and {r["node"]: r["root"] for r in rows} == label
+
+
 # mixing
 
 def test_mix(docs, none, spark):
