@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions.money import exact_ratio, to_minor_units, to_nano
-from factledger.operators import asof, corrections, diff, layers, ledger, rules
+from factledger.operators import asof, corrections, diff, judged, layers, ledger, reports, rules
 from factledger.sources import documents as src
 
 AT = 1_705_276_800_000  # 2024-01-15
@@ -563,3 +563,177 @@ def _(s, d):
     e = f.unionByName(alive).withColumn("boundary", F.lit(1).cast("long")).withColumn("id", F.lit(1).cast("long")).withColumn("prior_ms", F.lit(None).cast("long"))
     o = f.where((F.col("fact_key") == "segment") & (n % 3 == 0)).select("provider", "model", "fact_key", F.lit("FIXED").alias("value"), F.lit("BUILDING").alias("replaces"))
     return served_view(e, Rules(overrides=o), at=5, prefixes=["segment"]).facts
+
+
+# judged facts and reports
+
+@query("limit_conditions", """WITH x AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, p_partkey % 3 AS m, CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS context, right(p_brand, 1)::INT % 4 AS k FROM part)
+SELECT provider, model, 'limit.image_bytes' AS fact_key, CASE WHEN k < 2 OR (k = 2 AND context = 10) OR (k = 3 AND context >= 10) THEN '5000' ELSE '700' END AS value_json FROM x WHERE m >= 1 AND (k < 2 OR context IS NOT NULL)
+UNION ALL SELECT provider, model, 'limit.image_bytes.above_images.' || n, (3000 - n)::VARCHAR FROM x, (VALUES (20), (50)) v(n) WHERE m >= 1 AND k = 1
+UNION ALL SELECT provider, model, 'limit.document_pages', '100' FROM x WHERE m = 2""")
+def _(s, d):
+    p = table(s, d, "part")
+    words = F.slice(F.array(F.lit("text"), F.lit("image"), F.lit("pdf")), F.lit(1), (F.col("p_partkey") % 3 + 1).cast("int"))
+    e = p.select(F.col("p_brand").alias("provider"), F.col("p_partkey").cast("string").alias("model"), words.alias("modalities"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).otherwise(0).alias("context"))
+    k = F.substring("p_brand", -1, 1).cast("int") % 4
+    kind = F.when(k == 0, "fixed").when(k == 1, "image_count").when(k == 2, "context_equals").otherwise("context_at_least")
+    two = F.transform(F.array(F.lit(20), F.lit(50)), lambda n: F.struct(n.alias("above"), (3000 - n).alias("value")))
+    b = p.select(F.col("p_brand").alias("provider"), kind.alias("kind")).distinct()
+    image = b.select("provider", F.lit("limit.image_bytes").alias("fact_key"), F.lit("image").alias("modality"), "kind", F.lit(5000).alias("value"), F.lit(10).alias("at"), F.lit(700).alias("other"), two.alias("conditions"))
+    pages = image.withColumns({"fact_key": F.lit("limit.document_pages"), "modality": F.lit("pdf"), "kind": F.lit("fixed"), "value": F.lit(100)})
+    return judged.limit_facts(e, image.unionByName(pages))
+
+
+@query("audio_rates", """WITH c AS (SELECT c_nationkey AS p, c_custkey AS m FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 6 <> 0), t AS (SELECT *, CASE WHEN m % 4 = 0 THEN (p + 1) % 25 ELSE p END AS tp FROM c)
+SELECT p::VARCHAR AS provider, m::VARCHAR AS model, 'limit.audio_tokens_per_second' AS fact_key, CASE WHEN m % 10 = 0 AND m % 4 <> 0 THEN '999' ELSE tp::VARCHAR END AS value_json FROM t WHERE tp % 3 <> 0 AND tp IN (SELECT c_nationkey FROM customer)""")
+def _(s, d):
+    c = table(s, d, "customer")
+    p, m = F.col("c_nationkey").cast("string").alias("provider"), F.col("c_custkey").cast("string").alias("model")
+    fact = lambda rows, key: rows.select(p, m, F.lit(key).alias("fact_key"), F.lit("1").alias("value_json"))
+    f = fact(c.where("c_custkey % 2 = 0"), "rate.input_audio").unionByName(fact(c.where("c_custkey % 6 = 0"), "limit.audio_tokens_per_second"))
+    aliases = c.where("c_custkey % 4 = 0").select(p, m, ((F.col("c_nationkey") + 1) % 25).cast("string").alias("target_provider"), F.lit("other").alias("target"))
+    return judged.audio_rates(f, c.where("c_nationkey % 3 <> 0").select(p, F.col("c_nationkey").alias("value")).distinct(), c.where("c_custkey % 10 = 0").select(p, m, F.lit(999).alias("value")), aliases)
+
+
+@query("alias_efforts", """WITH c AS (SELECT c_nationkey::VARCHAR AS provider, c_custkey::VARCHAR AS model, c_custkey % 3 = 0 AS mapped FROM customer)
+SELECT provider, model, 'capability.reasoning_options' AS fact_key, CASE WHEN mapped THEN '[{"type":"effort","values":["low","high"]},{"type":"budget","min":1}]' ELSE '[{"type":"effort","values":["low","medium","high"]},{"type":"budget","min":1}]' END AS value_json FROM c
+UNION ALL SELECT provider, model, 'route.reasoning_wire_ids', '{"high":"H","low":"L"}' FROM c WHERE mapped""")
+def _(s, d):
+    c = table(s, d, "customer")
+    ids = [F.col("c_nationkey").cast("string").alias("provider"), F.col("c_custkey").cast("string").alias("model")]
+    f = c.select(*ids, F.lit("capability.reasoning_options").alias("fact_key"), F.lit('[{"type":"effort","values":["low","medium","high"]},{"type":"budget","min":1}]').alias("value_json"))
+    return judged.restrict_efforts(f, c.where("c_custkey % 3 = 0").select(*ids, F.create_map(F.lit("high"), F.lit("H"), F.lit("low"), F.lit("L")).alias("wire_ids")))
+
+
+@query("effort_facts", """WITH e AS (SELECT c_nationkey::VARCHAR AS provider, c_custkey::VARCHAR AS model, c_custkey % 3 <> 0 AS hi, CASE WHEN c_custkey % 4 = 0 THEN 'lab/' || (c_custkey % 10) WHEN c_custkey % 5 <> 0 THEN c_nationkey || '/' || c_custkey END AS key FROM customer),
+k AS (SELECT DISTINCT c_custkey % 10 AS k FROM customer), g AS (SELECT 'lab/' || k AS key, CASE WHEN k % 4 = 0 THEN 'low' ELSE 'high' END AS effort, k AS recorded FROM k),
+d AS (SELECT 'lab/' || k AS key, 'low' AS effort, k AS elo, k + 1 AS eq, 100 + k AS recorded FROM k UNION ALL SELECT c_nationkey || '/' || c_custkey, 'high', c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN 5 END, 7 FROM customer),
+u AS (SELECT e.provider, e.model, d.*  FROM e JOIN d USING (key) LEFT JOIN g USING (key) WHERE (d.effort = 'low' OR hi) AND d.effort IS DISTINCT FROM g.effort), w AS (SELECT e.*, k, k % 6 = 0 AS outside FROM e JOIN k ON e.key = 'lab/' || k)
+SELECT provider, model, 'quality.graded_effort' AS fact_key, '"' || effort || '"' AS value_json, recorded AS recorded_at_ms FROM e JOIN g USING (key) WHERE effort = 'low' OR hi
+UNION ALL SELECT provider, model, 'quality.elo.effort.' || effort, elo::VARCHAR, recorded FROM u UNION ALL SELECT provider, model, 'quality.eq.effort.' || effort, eq::VARCHAR, recorded FROM u WHERE eq IS NOT NULL
+UNION ALL SELECT provider, model, 'workload.chat.excluded', 'true', k FROM w WHERE outside UNION ALL SELECT provider, model, 'workload.chat.effort_default', '"high"', k FROM w WHERE NOT outside AND hi UNION ALL SELECT provider, model, 'workload.chat.effort_minimum', '"max"', k FROM w WHERE NOT outside""")
+def _(s, d):
+    c = table(s, d, "customer")
+    n, own = F.col("c_custkey"), F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_custkey").cast("string"))
+    e = c.select(F.col("c_nationkey").cast("string").alias("provider"), n.cast("string").alias("model"), F.when(n % 4 == 0, F.concat(F.lit("lab/"), (n % 10).cast("string"))).alias("canonical_id"), (n % 5 == 0).alias("is_alias"), F.when(n % 3 == 0, F.array(F.lit("low"))).otherwise(F.array(F.lit("low"), F.lit("high"))).alias("efforts"))
+    k, key = F.col("k"), F.concat(F.lit("lab/"), F.col("k").cast("string")).alias("key")
+    lab = c.select((n % 10).alias("k")).distinct()
+    graded = lab.select(key, F.when(k % 4 == 0, "low").otherwise("high").alias("effort"), k.alias("recorded_at_ms"))
+    derived = lab.select(key, F.lit("low").alias("effort"), k.alias("elo"), (k + 1).alias("eq"), (k + 100).alias("recorded_at_ms"))
+    derived = derived.unionByName(c.select(own.alias("key"), F.lit("high").alias("effort"), n.alias("elo"), F.when(n % 7 != 0, F.lit(5).cast("long")).alias("eq"), F.lit(7).cast("long").alias("recorded_at_ms")))
+    work = lab.select(key, F.lit("chat").alias("workload"), F.lit("high").alias("effort_default"), F.lit("max").alias("effort_minimum"), (k % 6 == 0).alias("excluded"), k.alias("recorded_at_ms"))
+    return judged.effort_facts(e, graded, derived, work)
+
+
+_SE = "se AS (SELECT s_nationkey::VARCHAR AS provider, s_suppkey::VARCHAR AS model, s_suppkey AS n, s_name FROM supplier)"
+
+
+def supplier_eras(s, d) -> tuple[DataFrame, DataFrame]:
+    """Existence and name eras of suppliers, and corrections of the existence of some."""
+    t = table(s, d, "supplier")
+    n, at = F.col("s_suppkey"), lambda x: F.lit(x).cast("long")
+    ids = [F.col("s_nationkey").cast("string").alias("provider"), n.cast("string").alias("model")]
+    a = t.select(n.alias("id"), *ids, F.lit("existence").alias("fact_key"), F.when(n % 4 == 0, '"absent"').otherwise('"present"').alias("value_json"), at(10).alias("boundary"), at(None).alias("prior_ms"))
+    b = t.select(n.alias("id"), *ids, F.lit("provider.name").alias("fact_key"), F.concat(F.lit('"'), "s_name", F.lit('"')).alias("value_json"), (n % 3 + 20).alias("boundary"), at(None).alias("prior_ms"))
+    return a.unionByName(b), t.where("s_suppkey % 5 = 0").select(*ids, F.lit("existence").alias("fact_key"), (n + 30).alias("from_ms"), (n + 1_000_000_000).alias("until_ms"))
+
+
+@query("provider_labels", f"WITH {_SE}, f AS (SELECT provider, min(model) AS model FROM se WHERE n % 4 <> 0 GROUP BY 1) SELECT provider, s_name AS label FROM f JOIN se USING (provider, model) WHERE NOT (n % 5 = 0 AND n + 30 <= 1000000)")
+def _(s, d):
+    return reports.provider_labels(*supplier_eras(s, d), 1_000_000)
+
+
+@query("label_instants", f"WITH {_SE} SELECT DISTINCT provider, unnest(CASE WHEN n % 5 = 0 THEN [10, n % 3 + 20, n + 30, n + 1000000001] ELSE [10, n % 3 + 20] END) AS \"at\" FROM se")
+def _(s, d):
+    return reports.label_instants(*supplier_eras(s, d))
+
+
+@query("recorded_keys", f"WITH {_ERAS} SELECT DISTINCT user_id, fact_key FROM eras UNION SELECT c_custkey % 150, 'segment' FROM customer UNION SELECT o_custkey % 150, unnest(['total', 'status']) FROM orders")
+def _(s, d):
+    o = table(s, d, "orders").select((F.col("o_custkey") % 150).alias("user_id"), F.to_json(F.struct(F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"))).alias("facts_json"))
+    c = table(s, d, "customer").select((F.col("c_custkey") % 150).alias("user_id"), F.lit("segment").alias("fact_key"))
+    return reports.all_keys(eras(s, d), c, o, ["user_id"])
+
+
+@query("distinct_providers", f"WITH {_CF} SELECT DISTINCT provider FROM cf")
+def _(s, d):
+    return reports.providers(customer_facts(s, d))
+
+
+@query("present_count", f"""WITH {_ERAS}, {_EX} SELECT count(*) FILTER (v = '"present"') AS present FROM (SELECT user_id, arg_max(value_json, {{'b': boundary, 'i': id}}) AS v FROM x WHERE fact_key = 'existence' GROUP BY 1)""")
+def _(s, d):
+    return reports.present_count(existence_eras(s, d), ["user_id"])
+
+
+@query("state_counts", f"WITH {_ERAS}, {_ASOF} SELECT count(DISTINCT user_id) AS entities, count(*) AS facts FROM inforce")
+def _(s, d):
+    return reports.state_counts(asof.as_of(eras(s, d), AT, KEYS), ["user_id"])
+
+
+@query("price_list", f"""WITH {_ERAS}, e AS (SELECT user_id, id, boundary, CASE WHEN fact_key <> 'error' THEN value_json END AS price FROM eras WHERE boundary <= {AT}), f AS (SELECT *, first_value(price) OVER w AS newest FROM e WINDOW w AS (PARTITION BY user_id ORDER BY id DESC)),
+r AS (SELECT *, sum(CASE WHEN price IS NOT DISTINCT FROM newest THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY id DESC) AS breaks FROM f), p AS (SELECT user_id, max(id) AS id, max(price) AS price, max_by(boundary, id) AS boundary, min(boundary) AS origin FROM r WHERE breaks = 0 GROUP BY 1),
+q AS (SELECT user_id, fact_key, arg_max(value_json, {{'b': boundary, 'i': id}}) AS value FROM eras WHERE boundary <= {AT} GROUP BY 1, 2)
+SELECT p.*, CASE WHEN price IS NOT NULL THEN a.value END AS quota_value, CASE WHEN price IS NOT NULL THEN b.value END AS service_tiers, CASE WHEN price IS NOT NULL THEN c.value END AS concurrency
+FROM p LEFT JOIN q a ON a.user_id = p.user_id AND a.fact_key = 'view' LEFT JOIN q b ON b.user_id = p.user_id AND b.fact_key = 'click' LEFT JOIN q c ON c.user_id = p.user_id AND c.fact_key = 'purchase'""")
+def _(s, d):
+    e = eras(s, d)
+    sub = lambda k: e.where(F.col("fact_key") == k).select("user_id", F.col("value_json").alias("value"), "boundary", "id")
+    prices = e.select("user_id", "id", "boundary", F.when(F.col("fact_key") != "error", F.col("value_json")).alias("price"))
+    return reports.price_list(prices, sub("view"), sub("click"), sub("purchase"), AT, ["user_id"], "price")
+
+
+@query("judgment_list", f"WITH {_ERAS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS rn FROM eras WHERE user_id::VARCHAR LIKE '1%') SELECT user_id::VARCHAR AS model, value_json AS grade, id FROM l WHERE rn = 1 AND fact_key <> 'error'")
+def _(s, d):
+    log = eras(s, d).select(F.col("user_id").cast("string").alias("model"), F.col("value_json").alias("grade"), "id", F.when(F.col("fact_key") == "error", 1).otherwise(0).alias("withdrawn"))
+    return reports.list_judgments(log, "model", "1").select("model", "grade", "id")
+
+
+@query("history_detail", f"""WITH {_ERAS}, {_FIX}, {_PREV}, v AS (SELECT *, lead(boundary) OVER (PARTITION BY user_id, fact_key ORDER BY boundary, id) AS valid_to FROM eras),
+n AS (SELECT v.id, count(*) AS n FROM v JOIN fixes f ON f.user_id = v.user_id AND f.fact_key = v.fact_key AND f.until_ms >= v.boundary AND (v.valid_to IS NULL OR f.from_ms < v.valid_to) GROUP BY 1),
+c AS (SELECT user_id, fact_key, max(boundary) AS last_changed FROM prev WHERE boundary <= {AT} AND NOT (observation_id % 3 = 0 AND has_previous AND value_json = previous_value) GROUP BY 1, 2)
+SELECT v.id, v.valid_to, coalesce(n.n, 0) AS corrections, c.last_changed FROM v LEFT JOIN n ON n.id = v.id LEFT JOIN c ON c.user_id = v.user_id AND c.fact_key = v.fact_key""")
+def _(s, d):
+    e = eras(s, d)
+    return reports.fact_history(e, fixes(s, d), e.where("observation_id % 3 = 0").select("observation_id"), KEYS, AT).select("id", "valid_to", "corrections", "last_changed")
+
+
+@query("status_polls", f"""WITH {_ERAS}, {_POLLS}, {_EX}, r AS (SELECT * FROM polls ORDER BY observed_at_ms DESC, id DESC LIMIT 40), g AS (SELECT observation_id, user_id, count(*) AS n, max(CASE WHEN fact_key = 'existence' AND value_json = '"present"' THEN 1 ELSE 0 END) AS a, max(CASE WHEN fact_key = 'existence' AND value_json = '"absent"' THEN 1 ELSE 0 END) AS w FROM x GROUP BY 1, 2)
+SELECT r.id AS observation_id, r.outcome, coalesce(sum(n), 0)::BIGINT AS eras, coalesce(sum(a), 0)::BIGINT AS arrived, coalesce(sum(w), 0)::BIGINT AS withdrawn, coalesce(sum(CASE WHEN a = 0 AND w = 0 THEN n ELSE 0 END), 0)::BIGINT AS facts_changed FROM r LEFT JOIN g ON g.observation_id = r.id GROUP BY 1, 2""")
+def _(s, d):
+    return reports.source_status(polls(s, d), existence_eras(s, d), ["user_id"], 40)[3].select("observation_id", "outcome", "eras", "arrived", "withdrawn", "facts_changed")
+
+
+@query("draft_proposals", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN '{\"a\":1,\"b\":' || c_nationkey || '}' END AS current, '{\"b\": ' || (c_nationkey + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END) || ', \"a\": 1}' AS proposed FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey % 5 = 0 OR c_custkey % 2 = 0)")
+def _(s, d):
+    c, n = table(s, d, "customer"), F.col("c_nationkey").cast("long")
+    state = c.where("c_custkey % 5 <> 0").select("c_custkey", F.concat(F.lit('{"a":1,"b":'), n.cast("string"), F.lit("}")).alias("value"))
+    drafts = c.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit('{"b": '), (n + F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0)).cast("string"), F.lit(', "a": 1}')).alias("value"))
+    return reports.diff_proposals(state, drafts, ["c_custkey"])
+
+
+@query("rule_changes", f"WITH {_SNAPS}, m AS (SELECT a.value_json AS o, b.value_json AS n FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.fact_key = b.fact_key) SELECT CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'changed' END AS change, count(*) AS rows FROM m WHERE o IS DISTINCT FROM n GROUP BY 1".replace(" AS rows", ' AS "rows"'))
+def _(s, d):
+    return reports.rule_changes(*order_facts(s, d), ["o_custkey", "fact_key"], "value_json")
+
+
+@query("curation_export", f"""WITH {_ERAS}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC) AS rn FROM eras), j AS (SELECT 'grade' AS kind, user_id::VARCHAR AS key, value_json AS value, boundary AS approved FROM l WHERE rn = 1 AND fact_key <> 'error'),
+u AS (SELECT * FROM j UNION ALL SELECT 'rule', s_name, s_nationkey::VARCHAR, s_suppkey FROM supplier) SELECT kind, '{{' || string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) || '}}' AS entries, max(approved) AS approved_at_ms FROM u GROUP BY 1""")
+def _(s, d):
+    log = eras(s, d).select(F.lit("grade").alias("kind"), F.col("user_id").cast("string").alias("key"), F.col("value_json").alias("value"), "id", F.when(F.col("fact_key") == "error", 1).otherwise(0).alias("withdrawn"), F.col("boundary").alias("recorded_at_ms"))
+    docs = table(s, d, "supplier").select(F.lit("rule").alias("kind"), F.col("s_name").alias("key"), F.col("s_nationkey").cast("string").alias("value"), F.col("s_suppkey").alias("boundary"), F.col("s_suppkey").alias("id"))
+    return reports.export_curation(log, docs)
+
+
+@query("release_rows", f"{_PLAN} SELECT *, 5000::BIGINT AS boundary, 7::BIGINT AS observation_id FROM r WHERE change IS NOT NULL AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def _(s, d):
+    ops = table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return reports.release_rows(*order_facts(s, d), ops, ["o_custkey"], 7, 5000)
+
+
+@query("rate_cursors", f"""WITH {_ERAS}, b AS (SELECT observation_id AS id, min(boundary) // 100000000 * 1000 AS now_ms, count(*) FILTER (fact_key = 'purchase') > 0 AS rates FROM eras WHERE fact_key <> 'view' GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM b), v AS (SELECT id, rates, greatest(1704000, max(now_ms - n) OVER (ORDER BY id)) + n AS version FROM n)
+SELECT id, version, max(CASE WHEN rates THEN version END) OVER (ORDER BY id) AS rates_version FROM v""")
+def _(s, d):
+    e = eras(s, d).where("fact_key <> 'view'")
+    b = e.groupBy(F.col("observation_id").alias("id")).agg((F.floor(F.min("boundary") / 100_000_000).cast("long") * 1000).alias("now_ms"))
+    key = F.when(F.col("fact_key") == "purchase", "rate.input").otherwise("quality.note")
+    return reports.version_cursors(b, e.select(F.col("observation_id").alias("id"), key.alias("fact_key")), 1_704_000)

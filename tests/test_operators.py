@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factledger.functions import claims, keys, money, times
-from factledger.operators import corrections, diff, layers, ledger, rules
+from factledger.operators import corrections, diff, judged, layers, ledger, reports, rules
 from factledger.sources import documents, tables
 from factledger.streaming import capture
 
@@ -162,3 +162,34 @@ def test_stream_capture_agrees_with_batch(spark, tmp_path):
     want = changes(src, ["key"]).select("key", "value_json", "boundary").collect()
     assert sorted((r["key"], r["value_json"], r["boundary"]) for r in got) == sorted(map(tuple, want))
     assert {r["prior_ms"] for r in got} == {None, 1, 3}
+
+
+def test_limits_by_condition(spark):
+    e = spark.createDataFrame([("p", "a", ["text", "image"], 10), ("p", "b", ["image"], None), ("p", "c", ["text"], 10)], "provider string, model string, modalities array<string>, context long")
+    lim = spark.createDataFrame([("p", "l.eq", "image", "context_equals", 1, 10, 2, None), ("p", "l.at", "image", "context_at_least", 1, 11, 2, None), ("p", "l.n", "image", "image_count", 8, None, None, [(20, 5)])], "provider string, fact_key string, modality string, kind string, value long, at long, other long, conditions array<struct<above long, value long>>")
+    got = {(r["model"], r["fact_key"]): r["value_json"] for r in judged.limit_facts(e, lim).collect()}
+    assert got == {("a", "l.eq"): "1", ("a", "l.at"): "2", ("a", "l.n"): "8", ("a", "l.n.above_images.20"): "5", ("b", "l.n"): "8", ("b", "l.n.above_images.20"): "5"}
+
+
+def test_efforts_are_gated_by_the_list(spark):
+    e = spark.createDataFrame([("p", "m", None, False, ["low"]), ("p", "alias", None, True, ["low"]), ("p", "n", None, False, None)], "provider string, model string, canonical_id string, is_alias boolean, efforts array<string>")
+    graded = spark.createDataFrame([("p/m", "low", 5), ("p/n", "low", 6)], "key string, effort string, recorded_at_ms long")
+    derived = spark.createDataFrame([("p/m", "low", 1.0, 1.0, 5), ("p/m", "high", 1.0, None, 5)], "key string, effort string, elo double, eq double, recorded_at_ms long")
+    work = spark.createDataFrame([("p/n", "chat", "low", "max", False, 9), ("p/m", "chat", "low", "max", True, 9)], "key string, workload string, effort_default string, effort_minimum string, excluded boolean, recorded_at_ms long")
+    got = {(r["model"], r["fact_key"]): r["value_json"] for r in judged.effort_facts(e, graded, derived, work).collect()}
+    assert got == {("m", "quality.graded_effort"): '"low"', ("m", "workload.chat.excluded"): "true", ("n", "workload.chat.effort_minimum"): '"max"'}
+
+
+def test_scope_is_refused_not_empty(spark):
+    e = spark.createDataFrame([("p", "m", 10)], "provider string, model string, boundary long")
+    assert reports.select_scope(e, "p", "m", 10).count() == 1
+    with pytest.raises(ValueError):
+        reports.select_scope(e, model="m")
+    for scope in (dict(provider="q"), dict(provider="p", model="x"), dict(at=9)):
+        with pytest.raises(reports.NoCoverage):
+            reports.select_scope(e, **scope)
+    price = spark.createDataFrame([("p", 1, 10, "5")], "provider string, id long, boundary long, price string")
+    sub = spark.createDataFrame([("p", "q", 1, 1)], "provider string, value string, boundary long, id long")
+    assert reports.price_list(price, sub, sub.limit(0), sub.limit(0), 20, ["provider"], "price", "p").first()["quota_value"] == "q"
+    with pytest.raises(reports.NoCoverage):
+        reports.price_list(price, sub, sub, sub, 20, ["provider"], "price", "other")
