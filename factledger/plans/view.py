@@ -11,13 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factledger.operators import layers
+from factledger.operators import judged, layers
 from factledger.operators.asof import as_of, current, filter_presence, select_prefixes
 from factledger.operators.corrections import corrections_at, uncertain, withhold
 
 KEYS = ["provider", "model", "fact_key"]
+OPTIONS, CANONICAL = "capability.reasoning_options", "model.canonical_id"
 #: What a derived fact is made from, besides itself.
-NEEDS = {"rate.": ["rate.", "family", "open_weights"], "temperature.": ["temperature"], "mode_of": ["rate."], "lineage": ["family"]}
+NEEDS = {"rate.": ["rate.", "family", "open_weights"], "temperature.": ["temperature"], "mode_of": ["rate."], "lineage": ["family"], "limit.": ["modalities.input", "limit.", "rate.input_audio"], "quality.": [OPTIONS, CANONICAL], "workload.": [OPTIONS, CANONICAL]}
 
 
 @dataclass
@@ -33,6 +34,12 @@ class Rules:
     creators: DataFrame | None = None
     ranges: DataFrame | None = None
     twins: DataFrame | None = None
+    limits: DataFrame | None = None
+    audio: DataFrame | None = None
+    audio_overrides: DataFrame | None = None
+    graded: DataFrame | None = None
+    derived: DataFrame | None = None
+    workloads: DataFrame | None = None
 
 
 @dataclass
@@ -49,16 +56,35 @@ def widen(prefixes: list[str] | None) -> list[str] | None:
     return sorted({*prefixes, *more, "existence"})
 
 
+def entities(facts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """What the judged layers ask of an entity, from its facts: modalities, context, canonical_id, efforts; and is_alias."""
+    def said(key):
+        return F.max(F.when(F.col("fact_key") == key, F.col("value_json")))
+    e = facts.groupBy("provider", "model").agg(said("modalities.input").alias("m"), said("limit.context").alias("c"), said(CANONICAL).alias("i"), said(OPTIONS).alias("o"))
+    e = e.select("provider", "model", F.from_json("m", "array<string>").alias("modalities"), F.col("c").try_cast("long").alias("context"), F.get_json_object(F.concat(F.lit('{"v":'), "i", F.lit("}")), "$.v").alias("canonical_id"), judged.listed_efforts(F.col("o")).alias("efforts"))
+    if aliases is None:
+        return e.withColumn("is_alias", F.lit(False))
+    marked = aliases.select("provider", "model", F.lit(True).alias("_a")).distinct()
+    return e.join(marked, ["provider", "model"], "left").withColumn("is_alias", F.coalesce("_a", F.lit(False))).drop("_a")
+
+
+def _put(facts: DataFrame, new: DataFrame) -> DataFrame:
+    """new facts in the place of those of the same key."""
+    new = new.select(*KEYS, "value_json")
+    return layers.merge_layers(facts.join(new.select(*KEYS), KEYS, "left_anti"), new)
+
+
 def served_view(eras: DataFrame, rules: Rules, corrections: DataFrame | None = None, at: int | None = None, prefixes: list[str] | None = None, provider: str | None = None, include_retired: bool = False) -> ServedView:
     """One lazy plan. Filters on provider and on widened prefixes stand before the first aggregation, so they reach the scan."""
     rows = select_prefixes(eras, widen(prefixes))
     if provider is not None:
         rows = rows.where(F.col("provider") == provider)
     held_back = doubtful = None
+    told = rows.select(*KEYS, "value_json", "boundary", "id")  # the aggregation carries whole rows, so they are narrow
     if at is None:
-        facts = current(rows, KEYS)
+        facts = current(told, KEYS)
     else:
-        facts = as_of(rows, at, KEYS)
+        facts = as_of(told, at, KEYS)
         if corrections is not None:
             facts, held_back = withhold(facts, corrections_at(corrections, at), KEYS)
         doubtful = uncertain(facts, rows, at, KEYS)
@@ -67,13 +93,27 @@ def served_view(eras: DataFrame, rules: Rules, corrections: DataFrame | None = N
         facts = layers.apply_overrides(facts, rules.overrides, held_back).drop("overridden")
     if rules.creators is not None:
         facts = layers.inherit_rates(facts, rules.creators).drop("inherited_from")
+    projected = None
     if rules.aliases is not None:
-        facts = layers.merge_layers(facts, layers.project_aliases(facts, rules.aliases, list(rules.route_keys))[0].drop("borrowed_from"))
+        rows, projected = layers.project_aliases(facts, rules.aliases, list(rules.route_keys))
+        facts = layers.merge_layers(facts, rows.drop("borrowed_from"))
     if rules.curated is not None:
         none = rules.curated.select("provider", "model").limit(0)
         facts = layers.apply_curated(facts, rules.curated, facts.where("fact_key = 'existence'"), none if rules.held is None else rules.held)
     if include_retired and rules.retired is not None:
         facts = layers.apply_retired(facts, rules.retired)
+    # none of these reads what another adds, so all are made from the same facts and put in at once
+    judgments, added = (rules.graded, rules.derived, rules.workloads), []
+    if rules.limits is not None:
+        added.append(judged.limit_facts(entities(facts, projected).where("NOT is_alias"), rules.limits))
+    if rules.audio is not None:
+        own = rules.audio.select("provider", F.lit(None).cast("string").alias("model"), "value").limit(0) if rules.audio_overrides is None else rules.audio_overrides
+        targets = None if projected is None else projected.withColumn("target_provider", F.col("provider"))
+        added.append(judged.audio_rates(facts, rules.audio, own, targets))
+    if all(j is not None for j in judgments):
+        added.append(judged.effort_facts(entities(facts, projected), *judgments).drop("recorded_at_ms"))
+    if added:
+        facts = _put(facts, layers.merge_layers(*added))
     if rules.ranges is not None:
         facts = layers.apply_ranges(facts, rules.ranges)
     if rules.twins is not None:

@@ -193,3 +193,21 @@ def test_scope_is_refused_not_empty(spark):
     assert reports.price_list(price, sub, sub.limit(0), sub.limit(0), 20, ["provider"], "price", "p").first()["quota_value"] == "q"
     with pytest.raises(reports.NoCoverage):
         reports.price_list(price, sub, sub, sub, 20, ["provider"], "price", "other")
+
+
+def test_view_with_limits_audio_and_efforts(spark):
+    from factledger.plans.view import Rules, served_view
+
+    said = {"existence": '"present"', "modalities.input": '["image","text"]', "limit.context": "10", "rate.input_audio": '{"state":"priced"}', "capability.reasoning_options": '[{"type":"effort","values":["low"]}]'}
+    e = spark.createDataFrame([(i, "p", "m", k, v, 1, None) for i, (k, v) in enumerate(said.items())], "id long, provider string, model string, fact_key string, value_json string, boundary long, prior_ms long")
+    r = Rules(
+        aliases=spark.createDataFrame([("p", "a", "m", None)], "provider string, model string, target string, name string"),
+        limits=spark.createDataFrame([("p", "limit.image_bytes", "image", "context_at_least", 5, 10, 2, None)], "provider string, fact_key string, modality string, kind string, value long, at long, other long, conditions array<struct<above long, value long>>"),
+        audio=spark.createDataFrame([("p", 25)], "provider string, value long"),
+        audio_overrides=spark.createDataFrame([("p", "m", 32)], "provider string, model string, value long"),
+        graded=spark.createDataFrame([("p/m", "low", 5)], "key string, effort string, recorded_at_ms long"),
+        derived=spark.createDataFrame([("p/m", "high", 1.0, 1.0, 5)], "key string, effort string, elo double, eq double, recorded_at_ms long"),
+        workloads=spark.createDataFrame([("p/m", "chat", "high", "low", False, 9)], "key string, workload string, effort_default string, effort_minimum string, excluded boolean, recorded_at_ms long"),
+    )
+    got = {(x["model"], x["fact_key"]): x["value_json"] for x in served_view(e, r, prefixes=["limit.", "quality.", "workload."]).facts.collect()}
+    assert got == {("m", "limit.context"): "10", ("a", "limit.context"): "10", ("m", "limit.image_bytes"): "5", ("m", "limit.audio_tokens_per_second"): "32", ("a", "limit.audio_tokens_per_second"): "32", ("m", "quality.graded_effort"): '"low"', ("m", "workload.chat.effort_minimum"): '"low"'}
