@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from factledger.functions.claims import same_claim
 from factledger.functions.keys import withdrawal_value
@@ -77,16 +82,48 @@ def replay_chain(base: DataFrame | None, ops: DataFrame, keys: list[str], order:
     return out if base is None else base.select(*keys, value).join(last, keys, "left_anti").unionByName(out)
 
 
+def running_digest(rows: DataFrame, by: list[str], part: str) -> DataFrame:
+    """(by, digest): SHA-256 of the group's parts in order, one after another. Groups are sorted on disk where they are large and
+    streamed through one running hash, so no row or task holds a group. Null parts are passed over."""
+    schema = StructType([rows.schema[c] for c in by] + [StructField("digest", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, types, sha = None, None, None, None
+
+        def closed(found: list) -> pa.RecordBatch:
+            columns = list(zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.string()])], names=[*by, "digest"])
+
+        for batch in batches:
+            types, found = [batch.schema.field(c).type for c in by], []
+            *keys, parts = [batch.column(i).to_pylist() for i in range(len(by) + 1)]
+            for *key, x in zip(*keys, parts):
+                same = [None if v is None else ("nan",) if v != v else v for v in key]
+                if sha is None or same != now:
+                    if sha is not None:
+                        found.append((*group, sha.hexdigest()))
+                    now, group, sha = same, key, hashlib.sha256()
+                if x is not None:
+                    sha.update(x.encode())
+            if found:
+                yield closed(found)
+        if sha is not None:
+            yield closed([(*group, sha.hexdigest())])
+
+    return rows.select(*by, part).repartition(*by).sortWithinPartitions(*by, part).mapInArrow(run, schema)
+
+
 def facts_digest(facts: DataFrame, entity: list[str], key: str = "fact_key", value: str = "value_json") -> DataFrame:
     """A digest per entity that does not depend on the order of rows and moves exactly when a fact does: lengths keep the
     borders of key and value apart."""
     row = F.concat(F.length(key).cast("string"), F.lit(":"), F.col(key), F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), F.col(value)), F.lit("-")))
-    return facts.groupBy(*entity).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(row, 256))), ""), 256).alias("digest"))
+    return running_digest(facts.select(*entity, F.sha2(row, 256).alias("_row")), entity, "_row")
 
 
 def state_digest(entities: DataFrame, entity: list[str], fan: int = 1024) -> DataFrame:
     """One digest of all entities' digests, in two levels: `fan` slices by hash of the entity, then the slices."""
-    slices = entities.groupBy(F.pmod(F.xxhash64(*entity), F.lit(fan)).alias("slice")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(F.to_json(F.struct(*entity, "digest")), 256))), ""), 256).alias("digest"))
+    rows = entities.select(F.pmod(F.xxhash64(*entity), F.lit(fan)).alias("slice"), F.sha2(F.to_json(F.struct(*entity, "digest")), 256).alias("_row"))
+    slices = running_digest(rows, ["slice"], "_row")
     return slices.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "slice", "digest"))), ""), 256).alias("digest"))
 
 

@@ -126,13 +126,25 @@ def rule_changes(old: DataFrame, new: DataFrame, keys: list[str], value: str) ->
     return diff_keyed(old, new, keys, value).groupBy("change").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def curation_rows(judgments: DataFrame, documents: DataFrame, at: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The curation set as rows: (kind, key, value) in order over ranges, to be written by kind, and (kind, approved_at_ms), the newest
+    approval time of each. Inputs as for export_curation; nothing is collected, so a kind may have any number of rows."""
+    rows = _curation(judgments, documents, at)
+    return rows.select("kind", "key", "value").orderBy("kind", "key", "value"), rows.groupBy("kind").agg(F.max("approved").alias("approved_at_ms"))
+
+
 def export_curation(judgments: DataFrame, documents: DataFrame, at: int | None = None) -> DataFrame:
     """The curation set, one JSON per kind: judgments(kind, key, value, id, withdrawn, recorded_at_ms) in force and
-    documents(kind, key, value, boundary, id), with the newest approval time of the kind. A group is one kind of rule."""
+    documents(kind, key, value, boundary, id), with the newest approval time of the kind. All entries of a kind are held in one
+    row: for kinds that don't fit one, see curation_rows."""
+    pair = F.struct("key", "value")
+    return _curation(judgments, documents, at).groupBy("kind").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(pair)))).alias("entries"), F.max("approved").alias("approved_at_ms"))
+
+
+def _curation(judgments: DataFrame, documents: DataFrame, at: int | None) -> DataFrame:
     j = latest_judgments(judgments, ["kind", "key"], at).select("kind", "key", "value", F.col("recorded_at_ms").alias("approved"))
     d = (current(documents, ["kind", "key"]) if at is None else as_of(documents, at, ["kind", "key"])).select("kind", "key", "value", F.col("boundary").alias("approved"))
-    pair = F.struct("key", "value")
-    return j.unionByName(d).groupBy("kind").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(pair)))).alias("entries"), F.max("approved").alias("approved_at_ms"))
+    return j.unionByName(d)
 
 
 def release_rows(before: DataFrame, after: DataFrame, ops: DataFrame, entity: list[str], release: int, published_at: int) -> DataFrame:
