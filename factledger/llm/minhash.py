@@ -157,11 +157,11 @@ def confirmed_links(texts: DataFrame, width: int, threshold: float) -> DataFrame
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     rows = texts.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
     rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "f1", "f2", "text")
-    rows = rows.repartition(F.col("cluster"), F.col("i"), F.col("j")).sortWithinPartitions("cluster", "i", "j", "doc_id")
+    rows = rows.repartition(F.col("cluster"), F.col("i"), F.col("j")).sortWithinPartitions("cluster", "i", "j", "doc_id", "f1", "f2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, minmax = Shingler(width), MinMax(SKETCH // 2, seed=17)
-        key, ids, chunks, sets = None, [], [], []
+        key, ids, chunks, sets, last = None, [], [], [], None
 
         def closed() -> list[tuple[int, int]]:
             if len(ids) < 2:
@@ -171,16 +171,17 @@ def confirmed_links(texts: DataFrame, width: int, threshold: float) -> DataFrame
             if not left or not right:
                 return []
             sketches = np.stack([minmax(s) for s in sets])
-            return [(ids[x], ids[y]) for x, y in joins(left, right, sets, sketches, threshold, key[1] == key[2])]
+            return [(ids[x], ids[y]) for x, y in joins(left, right, sets, sketches, threshold, key[1] == key[2]) if ids[x] != ids[y]]
 
         for pdf in batches:
             out = []
             for cluster, i, j, c, doc, f1, f2, text in pdf.itertuples(index=False, name=None):
                 if (cluster, i, j) != key:
                     out += closed()
-                    key, ids, chunks, sets = (cluster, i, j), [], [], []
+                    key, ids, chunks, sets, last = (cluster, i, j), [], [], [], None
                 s = shingles(text)
-                if (not ids or ids[-1] != doc) and xxhash.xxh3_128_digest(s.tobytes()) == np.array([f1, f2], "<i8").tobytes():
+                if (doc, f1, f2) != last and xxhash.xxh3_128_digest(s.tobytes()) == np.array([f1, f2], "<i8").tobytes():
+                    last = (doc, f1, f2)
                     ids.append(doc)
                     chunks.append(c)
                     sets.append(s)
