@@ -18,12 +18,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 PART_SCHEMA = "conv_id long, message long, role string, rendered string, loss_start long, loss_end long"
+DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+KINDS = ("message", "delta", "edit", "regenerate")
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.S)
 
 
@@ -43,20 +45,24 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{END}\n", *mask
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")))
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(columns, kinds)], names=list(names))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by conversation, message, sequence -> one rendered part for each final message, in order."""
     conv, message, role, pieces, live = object(), None, "", [], False
     void = earlier = None  # newest regeneration of any earlier message; of this message too
+    out: list[tuple] = []
 
-    for pdf in batches:
-        out = []
-
-        def close() -> None:
-            if live:
-                out.append((None if pd.isna(conv) else int(conv), None if pd.isna(message) else int(message), role, *render(role, "".join(pieces))))
+    def close() -> None:
+        if live:
+            out.append((conv, message, role, *render(role, "".join(pieces))))
 
-        for c, m, seq, kind, r, text in pdf[["conv_id", "message", "seq", "kind", "role", "text"]].itertuples(index=False, name=None):
-            c, m = (None if pd.isna(x) else x for x in (c, m))
+    for batch in batches:
+        for c, m, seq, kind, r, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if c != conv or m != message:
                 close()
                 if c != conv:
@@ -64,27 +70,25 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 conv, message, live, pieces, void = c, m, False, [], earlier
             if void is not None and seq < void:
                 continue
-            text = text if isinstance(text, str) else ""
+            text = text or ""
             if kind == "message":
                 close()  # a second opening at the same place is a turn of its own
-                role, pieces, live = r if isinstance(r, str) else "", [text], True
+                role, pieces, live = r or "", [text], True
                 continue
             if not live:
-                role, pieces, live = r if isinstance(r, str) else "assistant", [], True
+                role, pieces, live = "assistant" if r is None else r, [], True
             if kind == "delta":
                 pieces.append(text)
             elif kind == "edit":
                 pieces = [text]
-            elif kind == "regenerate":
-                pieces, earlier = [], seq if earlier is None else max(earlier, seq)
             else:
-                raise ValueError(f"unknown kind of event: {kind}")
+                pieces, earlier = [], seq if earlier is None else max(earlier, seq)
         if out:
-            yield pd.DataFrame(out, columns=["conv_id", "message", "role", "rendered", "loss_start", "loss_end"]).astype({"conv_id": "Int64", "message": "Int64"})
-    out = []
-    if live:
-        out = [(None if pd.isna(conv) else int(conv), None if pd.isna(message) else int(message), role, *render(role, "".join(pieces)))]
-        yield pd.DataFrame(out, columns=["conv_id", "message", "role", "rendered", "loss_start", "loss_end"]).astype({"conv_id": "Int64", "message": "Int64"})
+            yield _batch(out, PART_SCHEMA)
+            out = []
+    close()
+    if out:
+        yield _batch(out, PART_SCHEMA)
 
 
 def format_chats(events: DataFrame) -> DataFrame:
@@ -92,28 +96,28 @@ def format_chats(events: DataFrame) -> DataFrame:
     rendered). The formatted conversation is its parts in the order of message; rows come sorted so within a partition.
 
     Null texts and roles count as empty; a null conv_id is a conversation of its own. Events with equal conversation,
-    message and sequence are ordered by kind, role and text. Other columns are ignored. No events give no rows.
+    message and sequence are ordered by kind, role and text. A null kind is a message; one that is not in KINDS stops the job,
+    since what it did to a message can't be guessed. Other columns are ignored. No events give no rows.
     """
-    cols = [F.col("conv_id").cast("long"), F.col("message").cast("long"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce(F.col("kind"), F.lit("message")).alias("kind"), F.col("role").cast("string"), F.col("text").cast("string")]
+    kind = F.coalesce(F.col("kind"), F.lit("message"))
+    kind = F.when(kind.isin(*KINDS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown kind of event: "), kind)))
+    cols = [F.col("conv_id").cast("long"), F.col("message").cast("long"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), kind.alias("kind"), F.col("role").cast("string"), F.col("text").cast("string")]
     rows = events.select(*cols).repartition(F.col("conv_id"))
     rows = rows.sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
-    return rows.mapInPandas(_fold, PART_SCHEMA)
+    return rows.mapInArrow(_fold, PART_SCHEMA)
 
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    conv, state = object(), None
-    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv, state, out = object(), None, []
 
-    def row():
-        return (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
+    def close() -> None:
+        if state:
+            out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
-    for pdf in batches:
-        out = []
-        for c, rendered, a, b in pdf[["conv_id", "rendered", "loss_start", "loss_end"]].itertuples(index=False, name=None):
-            c = None if pd.isna(c) else int(c)
+    for batch in batches:
+        for c, rendered, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if c != conv:
-                if state:
-                    out.append(row())
+                close()
                 conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             end = 0
             for m in _TURN.finditer(rendered):
@@ -129,14 +133,16 @@ def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state[3].update(loss.encode())
             state[4] += len(rendered)
         if out:
-            yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
-    if state:
-        yield pd.DataFrame([row()], columns=columns).astype({"conv_id": "Int64"})
+            yield _batch(out, DIGEST_SCHEMA)
+            out = []
+    close()
+    if out:
+        yield _batch(out, DIGEST_SCHEMA)
 
 
 def chat_digests(parts: DataFrame) -> DataFrame:
     """Reads the output of format_chats back (parts must come in its order): a row per conversation with digests of its turns and of the text under the loss mask."""
-    return parts.mapInPandas(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return parts.select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(_read_back, DIGEST_SCHEMA)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factledger.llm.shared import SPACES, materialise
 
-_TWO63, _TWO64 = Decimal(2**63), Decimal(2**64)
+_TWO63, _TWO65 = Decimal(2**63), Decimal(2**65)
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,11 +29,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(text, SPACES, "").alias("norm"), F.char_length(text).cast("decimal(10,0)").alias("n"))
     base = base.withColumn("h", F.md5("norm"))
     # (most code points, smallest id) as one number, which a hash aggregation can hold in place
-    rank = F.col("n") * F.lit(_TWO64) + F.coalesce(F.lit(_TWO63) - F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(0)))
+    rank = F.col("n") * F.lit(_TWO65) + F.coalesce(F.lit(_TWO63) - F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(0)))
     texts = base.groupBy("h", "norm").agg(F.max(rank.cast("decimal(38,0)")).alias("top"), F.count(F.lit(1)).alias("size"))
     digest = F.sha2("norm", 256)
     groups = texts.select("h", digest.alias("text_sha256"), "top", "size").groupBy("h", "text_sha256").agg(F.max("top").alias("top"), F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
-    rest = F.col("top") % F.lit(_TWO64)
+    rest = F.col("top") % F.lit(_TWO65)
     keep = F.when(rest > 0, (F.lit(_TWO63) - rest).cast("long"))
     # two different texts that share both digests can't be told apart by the join below, so that stops the job
     safe = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256"))).otherwise(F.col("group_size"))

@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factledger.llm.shared import documents, residue
 
 BUCKETS = 1 << 16
-#: Bounds of the training sample and of the model.
-DOCS_PER_LANGUAGE, MAX_LANGUAGES, LONG_CODE = 2000, 256, 31
+#: Bound of the training sample, and bits of the code from 6 languages on (more above 128 languages).
+DOCS_PER_LANGUAGE, LONG_CODE = 2000, 31
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -28,17 +29,17 @@ SCHEMA = "doc_id long, lang_pred string, score double, ambiguous boolean"
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n codewords of +-1, as rows: the exhaustive code for up to 5 languages, else the best of seeded random codes by least distance."""
+    """n codewords of +-1, as rows: the exhaustive code for up to 5 languages, else the best of seeded random codes by least distance between words."""
     if n <= 1:
         return np.ones((n, 1), int)
     if n <= 5:
         bits = np.array([[(c >> i) & 1 for c in range(1, max(2, 1 << (n - 1)))] for i in range(n - 1)] + [[0] * (max(2, 1 << (n - 1)) - 1)])
         return np.where(bits > 0, 1, -1)
-    rng, best, least = np.random.default_rng(seed), None, -1
+    rng, best, least, bits = np.random.default_rng(seed), None, -1, max(LONG_CODE, 4 * n.bit_length())
     for _ in range(200):
-        code = rng.choice((-1, 1), (n, LONG_CODE))
-        gram = code @ code.T - 2 * LONG_CODE * np.eye(n, dtype=int)
-        distance = (LONG_CODE - gram.max()) // 2
+        code = rng.choice((-1, 1), (n, bits))
+        gram = code @ code.T - 2 * bits * np.eye(n, dtype=int)
+        distance = (bits - gram.max()) // 2
         if distance > least and (np.abs(code.sum(0)) < n).all():
             best, least = code, distance
     return best
@@ -82,20 +83,21 @@ class LanguageModel:
 
 
 def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> LanguageModel:
-    """Learns from a sample of the rows that `usable` holds for and whose language and text are not null: about
-    docs_per_language whole texts of each language, by a hash of the id (a Bernoulli sample, so runs agree)."""
-    rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.lit("langid"), F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; map the labels to fewer first")
+    """Learns from a sample of the rows that `usable` holds for and whose language and text are not null: docs_per_language
+    whole texts of each language, those with the least hashes of id and text (all, if fewer), so runs agree."""
+    rows = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     languages = sorted(sizes)
     code = codewords(len(languages))
+    model = LanguageModel(languages, code, np.zeros((2, BUCKETS, code.shape[1]), np.float32))
     if not languages:
-        return LanguageModel([], code, np.zeros((2, BUCKETS, code.shape[1]), np.float32))
-    chance = F.lit(0.0)
-    for name, n in sizes.items():
-        chance = F.when(F.col("lang") == name, F.lit(min(1.0, docs_per_language / n))).otherwise(chance)
-    sample = rows.where(F.pmod("h", F.lit(1 << 20)) < chance * (1 << 20)).repartition(F.col("lang"))
+        return model
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    # only this share of the hashes, of which more than enough lie below the edge, is shuffled and ranked, however large a language is
+    share = {name: min(1.0, (2 * docs_per_language + 200) / n) for name, n in sizes.items()}
+    edges = df.sparkSession.createDataFrame([(name, int(-(2**63) + x * (2**64 - 1))) for name, x in share.items()], "lang string, edge long")
+    near = rows.join(F.broadcast(edges), "lang").where(F.col("h") <= F.col("edge"))  # a row for each language
+    sample = near.select("lang", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= docs_per_language)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, np.ndarray] = {}
@@ -107,18 +109,21 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         for lang, table in found.items():
             yield pd.DataFrame({"lang": [lang], "counts": [table.astype("<f4").tobytes()]})
 
-    counts = np.zeros((len(languages), 2, BUCKETS))
-    for r in sample.select("lang", "text").mapInPandas(count, "lang string, counts binary").collect():
-        counts[languages.index(r["lang"])] += np.frombuffer(r["counts"], "<f4").reshape(2, BUCKETS)
-    share = counts / np.maximum(counts.sum(2, keepdims=True), 1)  # every language weighs the same
-    weights = np.zeros((2, BUCKETS, code.shape[1]), np.float32)
-    for bit in range(code.shape[1]):
-        for k in range(2):
-            a, b = (share[code[:, bit] == side, k].sum(0) for side in (1, -1))
-            weights[k, :, bit] = np.log((a + 1e-6) / max(a.sum(), 1)) - np.log((b + 1e-6) / max(b.sum(), 1))
-    model = LanguageModel(languages, code, weights)
+    # every language weighs the same; of each only the n-grams that it has are kept
+    shares, sides = {}, np.zeros((2, 2, BUCKETS, code.shape[1]))
+    for r in sample.select("lang", "text").mapInPandas(count, "lang string, counts binary").toLocalIterator():
+        counts = np.frombuffer(r["counts"], "<f4").reshape(2, BUCKETS)
+        own = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        shares[r["lang"]] = [(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in own]
+        bits = code[languages.index(r["lang"])]
+        for k, (at, x) in enumerate(shares[r["lang"]]):
+            for side, sign in enumerate((1, -1)):
+                sides[side, k, at[:, None], np.flatnonzero(bits == sign)] += x[:, None]
+    total = np.maximum(sides.sum(2, keepdims=True), 1)
+    logs = np.log((sides + 1e-6) / total)
+    model.weights = (logs[0] - logs[1]).astype(np.float32)
     # the scale of the margins: such that the sampled languages' own mean margins decode with a logit of about 6 a bit
-    own = np.array([[(share[i, k] @ weights[k]) for k in range(2)] for i in range(len(languages))]).mean(1)
+    own = np.array([np.mean([x @ model.weights[k, at] for k, (at, x) in enumerate(s)], axis=0) for s in shares.values()])
     model.scale = float(6 / max(np.median(np.abs(own)), 1e-6))
     return model
 
@@ -131,13 +136,13 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     """
     known = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # Arrow: ids stay whole beside nulls
         m = known.value
-        for pdf in batches:
-            lang, score, unsure = zip(*map(m.predict, pdf["text"])) if len(pdf) else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": list(lang), "score": np.array(score, float), "ambiguous": np.array(unsure, bool)})
+        for batch in batches:
+            lang, score, unsure = zip(*(m.predict(t.as_py()) for t in batch.column(1))) if len(batch) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInPandas(run, SCHEMA)
+    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
 
 
 def label_rows(df: DataFrame, model: LanguageModel, text_col: str = "text", pred: str = "lang_pred", score: str = "lang_score", unsure: str = "lang_ambiguous") -> DataFrame:

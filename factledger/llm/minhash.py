@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,24 +89,26 @@ def _bands(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (128 bits of the set; null for an empty one) and bands (array<long>)."""
+    """doc_id, n_shingles, f1, f2 (128 bits of the set; null for an empty one) and bands (array<long>, empty for an empty set)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # Arrow: ids stay whole beside nulls
         shingles, minmax = Shingler(width), MinMax(-(-rows * bands // 2))
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                s = shingles(text)
+        for batch in batches:
+            n, prints, found = [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py())
+                n.append(len(s))
                 if len(s):
-                    f = xxhash.xxh3_128_digest(s.tobytes())
-                    out.append((i, len(s), *np.frombuffer(f, "<i8").tolist(), _bands(minmax(s), rows, bands)))
+                    prints.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist())
+                    found.append(_bands(minmax(s), rows, bands))
                 else:
-                    out.append((i, 0, None, None, None))
-            ids, n, f1, f2, b = zip(*out) if out else ((),) * 5
-            whole = lambda x: pd.array([pd.NA if pd.isna(v) else int(v) for v in x], dtype="Int64")  # noqa: E731  not through floats
-            yield pd.DataFrame({"doc_id": whole(ids), "n_shingles": np.array(n, np.int64), "f1": whole(f1), "f2": whole(f2), "bands": pd.Series(b, dtype=object)})
+                    prints.append((None, None))
+            ends = np.concatenate(([0], np.cumsum(np.array(n, np.int64) > 0))) * bands
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
+            f1, f2 = zip(*prints) if prints else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
 
-    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factledger.llm.shared import WORD, materialise
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, "mix-1"
+FACTS = ["size", "source_size", "target", "whole", "times", "taken"]
 
 
 def word_count(text_col: str) -> Column:
@@ -82,21 +83,36 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Rows that repeat an id move together. Sources' taken words miss their target by at most half of one document (or of
     the rows that share its id). Columns of df that have one of these names are replaced. An empty table stays empty.
     """
-    df = df.drop("size", "source_size", "target", "whole", "times", "taken")
-    facts = df.select(F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), order_key(id_col, seed).alias("key"))
-    plan = plan_mix(materialise(facts, "mix-sizes"), weights, share, epochs)
-    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", F.col("cutoff").alias("_cutoff"))
-    rows = df.withColumn("size", word_count(text_col))
-    out = rows.join(plan, rows[source_col].cast("string").eqNullSafe(plan["_s"]))
-    extra = F.when(order_key(id_col, seed) <= F.col("_cutoff"), 1).otherwise(0)
-    return out.withColumn("times", (F.col("whole") + extra).cast("long")).withColumn("taken", F.col("size") * F.col("times")).drop("_s", "_cutoff")
-
-
-def repeat_rows(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of df as many times as the mix takes it, with the columns of df."""
-    names = df.columns
-    out = mix(df, **options).where("times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*names)
+    keep = [c for c in df.columns if c not in FACTS]
+    return _mixed(df, keep, id_col, text_col, source_col, weights, share, epochs, seed).select(*[F.col("row").getField(c).alias(c) for c in keep], *FACTS)
+
+
+def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """What mix() adds, beside the id alone; every text is read and counted once."""
+    out = _mixed(df, [id_col], id_col, text_col, source_col, weights, share, epochs, seed)
+    return out.select(F.col("row").getField(id_col).alias(id_col), *FACTS)
+
+
+def _mixed(df: DataFrame, keep: list[str], id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, epochs: int, seed: str) -> DataFrame:
+    """row (the columns `keep`) beside the columns of mix(); apart, so that no name clashes. Rows without their text are written out
+    with their sizes; rows with it are counted again rather than written whole."""
+    facts = df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(text_col).alias("size"), order_key(id_col, seed).alias("key"))
+    if text_col not in keep:
+        facts = materialise(facts, "mix-sizes")
+        sizes = facts.select("source", "size", "key")
+    else:
+        sizes = materialise(facts.select("source", "size", "key"), "mix-sizes")
+    per_source = plan_mix(sizes, weights, share, epochs)
+    per_source = per_source.select(F.col("source").alias("s"), "source_size", "target", "whole", "cutoff")
+    out = facts.join(per_source, facts["source"].eqNullSafe(per_source["s"]))
+    extra = F.when(F.col("key") <= F.col("cutoff"), 1).otherwise(0)
+    return out.withColumn("times", (F.col("whole") + extra).cast("long")).withColumn("taken", F.col("size") * F.col("times"))
+
+
+def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: every row of df as many times as the mix takes it, with all columns of df as they were, whatever their names."""
+    out = _mixed(df, df.columns, id_col, text_col, source_col, weights, share, epochs, seed).where("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 ORACLE = r"""

@@ -11,16 +11,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm.shared import documents, residue
+from factledger.llm.shared import documents, least, residue
 
 CHUNK, STEP, WIDTH, DEPTH, FILTERS = 512, 448, 6, 4, 24
-#: Bounds of the training sample: documents, and chunks of one document (all its chunks, up to this many drawn at random).
-MAX_DOCS, MAX_CHUNKS, EPOCHS, SEED = 2400, 48, 10, 11
+#: Bound of the training sample: labelled documents, each with its whole text.
+MAX_DOCS, EPOCHS, SEED = 2400, 10, 11
 SCHEMA = "doc_id long, score double"
 
 
@@ -52,15 +52,22 @@ class ByteNet:
         view = sliding_window_view(x.reshape(len(block), -1), WIDTH * DEPTH, axis=1)[:, ::DEPTH]
         return np.ascontiguousarray(view)  # chunks x places x WIDTH * DEPTH
 
-    def pooled(self, block: np.ndarray, places: bool = False):
-        """Max of each filter over each chunk (through a ReLU); with places, where it was, too."""
-        w = self.windows(block)
-        y = (w.reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(block), -1, FILTERS)
-        if not places:
-            return np.maximum(y.max(1) + self.bias, 0)
-        at = y.argmax(1)
-        top = np.take_along_axis(y, at[:, None], 1)[:, 0] + self.bias
-        return np.maximum(top, 0), at, w
+    def pooled(self, block: np.ndarray) -> np.ndarray:
+        """Max of each filter over each chunk (through a ReLU)."""
+        y = (self.windows(block).reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(block), -1, FILTERS)
+        return np.maximum(y.max(1) + self.bias, 0)
+
+    def traced(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """pooled(), and of each filter where its maximum was and what it saw there; a few chunks at a time, so that the windows of a
+        long text are never held at once."""
+        parts = []
+        for i in range(0, len(block), 256):
+            w = self.windows(block[i : i + 256])
+            y = (w.reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(w), -1, FILTERS)
+            at = y.argmax(1)
+            top = np.take_along_axis(y, at[:, None], 1)[:, 0] + self.bias
+            parts.append((np.maximum(top, 0), at, w[np.arange(len(w))[:, None], at]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def score(self, data: bytes) -> float:
         rows, total, top = chunks(data), np.zeros(FILTERS), np.zeros(FILTERS)
@@ -79,10 +86,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int =
     if len(set(labels.tolist())) < 2:
         net.out[:] = 0
         return net
-    docs = []
-    for t in texts:
-        c = chunks(t)
-        docs.append(c if len(c) <= MAX_CHUNKS else c[np.sort(rng.choice(len(c), MAX_CHUNKS, replace=False))])
+    docs = [chunks(t) for t in texts]
     names = ("embed", "filters", "bias", "out", "out_bias")
     m, v, step = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
     for epoch in range(epochs):
@@ -90,7 +94,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int =
         for i in range(0, len(order), 64):
             pick = order[i : i + 64]
             block, owner = np.concatenate([docs[j] for j in pick]), np.repeat(np.arange(len(pick)), [len(docs[j]) for j in pick])
-            h, at, w = net.pooled(block, places=True)
+            h, at, seen = net.traced(block)  # seen: chunks x FILTERS x WIDTH * DEPTH
             n = np.bincount(owner, minlength=len(pick)).astype(np.float32)
             starts = np.concatenate(([0], np.cumsum(n[:-1]).astype(int)))
             mean, top = np.add.reduceat(h, starts) / n[:, None], np.maximum.reduceat(h, starts)
@@ -103,7 +107,6 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int =
             dh = (back[:, :FILTERS] / n[:, None])[owner] + back[owner, FILTERS:] * is_top
             dh *= h > 0
             grad["bias"] = dh.sum(0)
-            seen = w[np.arange(len(block))[:, None], at]  # chunks x FILTERS x WIDTH * DEPTH
             grad["filters"] = np.einsum("cf,cfk->kf", dh, seen)
             back_x = (dh[:, :, None] * net.filters.T).reshape(-1, DEPTH)
             letters = block[np.arange(len(block))[:, None, None], at[:, :, None] + np.arange(WIDTH)].reshape(-1)
@@ -118,11 +121,12 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", max_docs: int = MAX_DOCS) -> ByteNet:
-    """Learns from at most about max_docs labelled rows that `usable` (on doc_id) holds for, by a hash of the id. A null or
-    unknown label or a null id is not learned from; a document with labels both ways counts once for each."""
+    """Learns from the whole texts of at most max_docs labelled rows that `usable` (on doc_id) holds for: those with the least hashes
+    of id and label. A null or unknown label or a null id is not learned from; a document with labels both ways counts once for
+    each, and rows of docs that repeat an id count each."""
     known = labels.where(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y")).distinct()
-    n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) < int(min(1.0, max_docs / max(n, 1)) * (1 << 20)))
+    chosen = least(known.withColumn("h", F.xxhash64(F.lit("quality"), "doc_id", "y")), "h", max_docs, known.count()).select("doc_id", "y")
+    # max_docs rows of two numbers are broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toPandas()
     rows = rows.sort_values(["doc_id", "y", "text"], kind="stable")
     return fit([t.encode("utf-8", "replace") for t in rows["text"]], rows["y"].to_numpy(np.float32))
@@ -133,12 +137,12 @@ def score(df: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "
     pass through, other columns are ignored, an empty table gives an empty result."""
     shared = df.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [shared.value.score((t or "").encode("utf-8", "replace")) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.array(got, float)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # Arrow: ids stay whole beside nulls
+        for batch in batches:
+            got = [shared.value.score((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInPandas(run, SCHEMA)
+    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,7 @@ from factledger.llm.shared import documents
 
 
 def op3(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {

@@ -14,9 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (local tests)."""
+    """The folder that driver and executors share. Where none is set, a folder of our own, but only in local mode: on a cluster
+    the executors would write to disks that nobody else reads."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="factledger-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,3 +41,13 @@ def residue(id_col: str | Column, modulus: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def least(rows: DataFrame, h: str, k: int, n: int) -> DataFrame:
+    """The rows with the k least values of the 64-bit hash h (rows that share the k-th value too), of n rows in all. Only hashes below an
+    edge that more than k surely lie under are ranked, so one task gets some k numbers however many rows there are."""
+    if k >= n:
+        return rows
+    edge = int(-(2**63) + (2 * k + 200) / n * (2**64 - 1)) if 2 * k + 200 < n else 2**63 - 1
+    found = rows.where(F.col(h) <= edge).select(h).orderBy(h).limit(k).agg(F.max(h)).first()[0]
+    return rows.where(F.col(h) <= (-(2**63) if found is None else found)) if k else rows.limit(0)

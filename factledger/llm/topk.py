@@ -71,10 +71,13 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     n_rows, n_queries = rows.count(), queries.count()
     q = _blocks(queries, QUERY_BLOCK, n_queries).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
     c = _blocks(rows, CANDIDATE_BLOCK, n_rows)
-    # a stated query set against all rows, block by block: each candidate block meets each query block under its number
-    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    pairs = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(q, "q_block")
-    pairs = pairs.repartition(max(1, min(n_blocks * max(1, -(-n_rows // CANDIDATE_BLOCK)), 10_000)), "q_block", "block")
+    # a stated query set against all rows, block by block: each side goes to every block of the other under the number of the pair,
+    # so a pair is a key of its own and no task gets more than its share of pairs
+    n_q, n_c = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_rows // CANDIDATE_BLOCK))
+    tasks = max(1, min(n_q * n_c, 10_000))
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))).repartition(tasks, "q_block", "block")
+    c = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).repartition(tasks, "q_block", "block")
+    pairs = c.join(q.hint("shuffle_hash"), ["q_block", "block"])
     found = pairs.mapInPandas(lambda it: _best(it, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
