@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factledger.llm.shared import documents, residue
+from factledger.llm.shared import documents, edge_of, residue
 
 BUCKETS = 1 << 16
 #: Bound of the training sample, and bits of the code from 6 languages on (more above 128 languages).
@@ -95,7 +95,7 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     order = Window.partitionBy("lang").orderBy("h", "text")
     # only this share of the hashes, of which more than enough lie below the edge, is shuffled and ranked, however large a language is
     share = {name: min(1.0, (2 * docs_per_language + 200) / n) for name, n in sizes.items()}
-    edges = df.sparkSession.createDataFrame([(name, int(-(2**63) + x * (2**64 - 1))) for name, x in share.items()], "lang string, edge long")
+    edges = df.sparkSession.createDataFrame([(name, edge_of(x)) for name, x in share.items()], "lang string, edge long")
     near = rows.join(F.broadcast(edges), "lang").where(F.col("h") <= F.col("edge"))  # a row for each language
     sample = near.select("lang", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= docs_per_language)
 

@@ -43,11 +43,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def edge_of(share: float) -> int:
+    """The value that this share of all 64-bit hashes does not exceed."""
+    return min(2**63 - 1, -(2**63) + int(share * 2**64))
+
+
 def least(rows: DataFrame, h: str, k: int, n: int) -> DataFrame:
     """The rows with the k least values of the 64-bit hash h (rows that share the k-th value too), of n rows in all. Only hashes below an
     edge that more than k surely lie under are ranked, so one task gets some k numbers however many rows there are."""
     if k >= n:
         return rows
-    edge = int(-(2**63) + (2 * k + 200) / n * (2**64 - 1)) if 2 * k + 200 < n else 2**63 - 1
-    found = rows.where(F.col(h) <= edge).select(h).orderBy(h).limit(k).agg(F.max(h)).first()[0]
+    found = rows.where(F.col(h) <= edge_of((2 * k + 200) / n)).select(h).orderBy(h).limit(k).agg(F.max(h)).first()[0]
     return rows.where(F.col(h) <= (-(2**63) if found is None else found)) if k else rows.limit(0)

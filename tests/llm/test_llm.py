@@ -252,32 +252,34 @@ def test_lm_base_and_order(docs, none, spark):
     assert lm.score(none, usable, lm.train(none, usable)).count() == 0
 
 
+def _model(rng):
+    """A model that knows every pair that begins with one of a few bytes, with counts of all 256 bytes in each context."""
+    asked = lm.Asked()
+    for a in (b"", b"a", b"ab", *(b"ab" + bytes([x]) for x in range(256))):
+        for x in range(256):
+            asked.add(a + bytes([x]), True, 1)
+    asked._count()
+    k, n = asked.pairs.all()
+    return lm.ByteModel(lm._odds(k, rng.integers(1, 9, len(k))), rng.normal(0.3, 0.1, (lm.PREDICTORS, 3, 8)).astype(np.float32), rng.normal(0, 3, 8 * lm.CELLS).astype(np.float32), k)
+
+
 def test_lm_is_a_distribution():
-    rng = np.random.default_rng(0)
-    m = lm.ByteModel(rng.integers(0, 2**32, lm.SLOTS, dtype=np.uint32), rng.normal(0.3, 0.1, (lm.PREDICTORS, 3, 8)).astype(np.float32), rng.normal(0, 3, 8 * lm.CELLS).astype(np.float32))
-    total = 0.0
-    for last in range(256):  # all texts that go on from "ab" by one byte and end there
-        total += 10 ** (m.log10(b"ab" + bytes([last])) - _step(m, b"ab" + bytes([last])))
-    assert abs(total - 10 ** _prefix(m, b"ab")) < 1e-6
+    m = _model(np.random.default_rng(0))
+    # after "ab", the 256 bytes share what is left
+    total = sum(10 ** _costs(m, b"ab" + bytes([x]))[2] for x in range(256))
+    assert abs(total - 1) < 1e-4
 
 
 def _costs(m, data):
-    part = np.frombuffer(bytes(lm.GAP) + data + b"\0", np.uint8)
-    x, gate, sign = m.odds(part), lm._CLASS[part[lm.GAP - 1 : -1]], lm._SIGNS[part[lm.GAP :]]
+    """log10 of the probability of each byte, before any update."""
+    words, now, last = m.odds([bytes(lm.GAP) + data + b"\0"])
+    x, gate, sign = words.view(np.int8).reshape(-1, lm.PREDICTORS, 8).transpose(1, 0, 2).astype(float), lm._CLASS[last], lm._SIGNS[now]
     z = sum(x[k] * m.weights[k][gate] for k in range(lm.PREDICTORS))
     cell = (np.clip(z * sign, -127, 127) / 8 + (lm.CELLS // 2 + 0.5)).astype(np.intp) + lm._CELL_OF_BIT
     z = np.clip(z + m.refine[cell] * sign, -160, 160)
     return -np.log1p(np.exp(-z / 16)).sum(1) / math.log(10)
 
 
-def _step(m, data):
-    return _costs(m, data)[-1]
-
-
-def _prefix(m, data):
-    return _costs(m, data)[:-1].sum()
-
-
 # top-k
 
 def test_topk(spark):
@@ -344,8 +346,130 @@ def test_sharding(docs, none):
         sharding.lookup_table(names, 4100)
 
 
+@tables
+def test_the_slot_of_every_document_in_sql(spark):
+    import duckdb
+
+    got = sorted((r["doc_id"], r["slot"]) for r in QUERIES["op9_shard_placement"](spark, SF).select("doc_id", "slot").collect())
+    sql = f"SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.PRIME} FROM '{SF}/documents.parquet' ORDER BY 1"
+    assert got == duckdb.sql(sql).fetchall()
+
+
+# ids beside nulls, names that clash, folders, samples
+
+BIG = 2**53 + 1
+
+
+def test_ids_stay_whole_beside_nulls(spark):
+    words_ = [f"w{i}" for i in range(40)]
+    rows_ = [(None, " ".join(words_[:20])), (BIG, " ".join(words_)), (BIG + 1, " ".join(words_)), (BIG + 2, " ".join(words_[:39]) + " z")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)
+    ids = {BIG, BIG + 1, BIG + 2, None}
+    of = lambda out: {r["doc_id"] for r in out.collect()}
+    lang = langid.train(df.withColumn("lang", F.lit("en")), F.lit(True))
+    assert of(langid.identify(df, lang)) == ids
+    net = quality.fit([b"a", b"b"], np.array([0.0, 1.0], np.float32), epochs=1)
+    assert of(quality.score(df, net)) == ids
+    assert of(minhash.near_duplicates(df, width=2)) == ids and of(exact_dedup.exact_groups(df)) == ids
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, width=2).collect()} == {None: None, BIG: BIG, BIG + 1: BIG, BIG + 2: BIG}
+    usable = F.lit(True)
+    assert of(lm.score(df, usable, lm.train(df, usable))) == ids
+    import public_tokenizers
+
+    assert of(packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"))) == ids
+    assert of(mixing.plan(df.withColumn("source", F.lit("s")))) == ids
+    ev = df.select(F.col("doc_id").alias("conv_id"), F.lit(BIG).alias("message"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("kind"), F.lit("user").alias("role"), "text")
+    parts = chat.format_chats(ev)
+    assert {r["conv_id"] for r in parts.collect()} == ids and {r["message"] for r in parts.collect()} == {BIG} and {r["conv_id"] for r in chat.chat_digests(parts).collect()} == ids
+
+
+def test_exact_dedup_keeps_one_row_at_the_ends_of_the_id_range(spark):
+    ends = (-(2**63), -1, 0, 2**63 - 1)
+    df = spark.createDataFrame([(i, "same") for i in ends] + [(2**63 - 1, "longer one"), (None, "longer one")], "doc_id long, text string")
+    got = {(r["doc_id"], r["group_size"]): (r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()}
+    assert all(got[i, 4] == (ends[0], i == ends[0]) for i in ends) and got[ends[3], 2] == (ends[3], True) and got[None, 2] == (ends[3], False)
+    assert exact_dedup.drop_copies(df).count() == 2
+
+
+def test_the_mix_leaves_columns_of_any_name_alone(spark):
+    names = ["size", "target", "taken", "times", "whole", "source_size", "_s", "_cutoff", "s", "key", "row", "copy"]
+    df = spark.createDataFrame([(i, "w " * (i % 9), f"z{i % 3}", *[f"{n}{i}" for n in names]) for i in range(60)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.repeat_rows(df)
+    assert out.columns == df.columns
+    seen = Counter(r["doc_id"] for r in out.collect())
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+    plan = {r["doc_id"]: r["times"] for r in mixing.plan(df).collect()}
+    assert seen == Counter({i: t for i, t in plan.items() if t})
+    assert {r["doc_id"]: r["times"] for r in mixing.mix(df).collect()} == plan and mixing.mix(df).columns == ["doc_id", "text", "source", "_s", "_cutoff", "s", "key", "row", "copy", *mixing.FACTS]
+
+
+def test_an_unknown_kind_of_event_stops_the_job(spark):
+    ev = spark.createDataFrame([(1, 0, 0, "redact", "user", "x")], "conv_id long, message long, seq long, kind string, role string, text string")
+    with pytest.raises(Exception, match="unknown kind of event: redact"):
+        chat.format_chats(ev).collect()
+
+
+def test_the_least_hashes_are_drawn_at_every_size(spark):
+    from factledger.llm.shared import least
+
+    rows_ = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    want = sorted(r["h"] for r in rows_.collect())[:7]
+    assert sorted(r["h"] for r in least(rows_, "h", 7, 20_000).collect()) == want
+    assert least(rows_, "h", 30_000, 20_000).count() == 20_000 and least(rows_, "h", 0, 20_000).count() == 0 and least(rows_.limit(0), "h", 5, 0).count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from factledger.llm.shared import shared_dir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master)))
+
+
 # models on the test tables
 
+def test_decoding_in_plain_python():
+    rng = np.random.default_rng(3)
+    for n in (2, 4, 7):
+        code = langid.codewords(n)
+        model = langid.LanguageModel([f"l{i}" for i in range(n)], code, rng.normal(0, 2, (2, langid.BUCKETS, code.shape[1])).astype(np.float32), 1.7)
+        for text in ("Hello, World", "é", "abc " * 50, "a1b2"):
+            b = [32, *(x if x >= 128 or chr(x).isalpha() else 32 for x in text.lower().encode()), 32]
+            pairs = [b[i] << 8 | b[i + 1] for i in range(len(b) - 1)]
+            triples = [((((b[i] << 8 | b[i + 1]) << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 16) & 0xFFFF for i in range(len(b) - 2)]
+            z = [(sum(float(model.weights[0, p, k]) for p in pairs) + sum(float(model.weights[1, t, k]) for t in triples)) / (len(pairs) + len(triples)) for k in range(code.shape[1])]
+            loss = [sum(math.log1p(math.exp(-c * 1.7 * x)) for c, x in zip(word, z)) for word in code.tolist()]
+            chance = [math.exp(min(loss) - x) for x in loss]
+            chance = [c / sum(chance) for c in chance]
+            lang, score, unsure = model.predict(text)
+            best = max(range(n), key=lambda i: chance[i])
+            assert lang == f"l{best}" and abs(score - chance[best]) < 1e-5 and unsure == (sorted(chance)[-2] > 0.8 * chance[best])
+
+
+def test_the_network_forward_by_loops():
+    net = quality.ByteNet.fresh(3, 0.3)
+    net.bias = np.random.default_rng(1).normal(0, 0.3, quality.FILTERS).astype(np.float32)
+    for data in (b"", b"abc", bytes(range(256)) * 4):
+        pooled, at = [], 0
+        while True:
+            chunk = list(data[at : at + quality.CHUNK].ljust(quality.CHUNK, b"\0"))
+            tops = []
+            for f in range(quality.FILTERS):
+                best = max(sum(float(net.embed[chunk[i + w], d]) * float(net.filters[w * quality.DEPTH + d, f]) for w in range(quality.WIDTH) for d in range(quality.DEPTH)) for i in range(0, quality.CHUNK - quality.WIDTH + 1))
+                tops.append(max(0.0, best + float(net.bias[f])))
+            pooled.append(tops)
+            if at + quality.CHUNK >= len(data):
+                break
+            at += quality.STEP
+        feats = [sum(c) / len(pooled) for c in zip(*pooled)] + [max(c) for c in zip(*pooled)]
+        z = sum(x * float(w) for x, w in zip(feats, net.out)) + float(net.out_bias[0])
+        assert abs(net.score(data) - 1 / (1 + math.exp(-z))) < 1e-5
+        break_even = net.traced(quality.chunks(data))[0]
+        assert np.allclose(break_even, pooled, atol=1e-5)
+
+
 def test_codewords():
     for n in (1, 2, 3, 4, 5, 9):
         code = langid.codewords(n)
@@ -395,5 +519,68 @@ def test_pipeline_against_plain_python(spark):
     assert sorted(near) == sorted({*label.values()})
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, df, "").columns == df.columns
-    total = corpus_pipeline.run(spark, "/root/testdata/sf0.001").agg(F.sum("length"), F.count_distinct("doc_id")).first()
+
+
+@tables
+def test_language_mix_and_pack_stages_against_plain_python(spark):
+    import corpus_pipeline
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(df, F.lit(True))
+    kept = {}
+    for r in df.collect():
+        lang, _, unsure = model.predict(r["text"])
+        if lang != "und" and not unsure:
+            kept[r["doc_id"]] = r.asDict() | {"lang": r["lang"] if r["lang"] is not None else lang}
+    assert {r["doc_id"]: r.asDict() for r in corpus_pipeline.language(spark, df, "").collect()} == kept
+    plan = {r["doc_id"]: r["times"] for r in mixing.plan(df).collect()}
+    mixed = corpus_pipeline.mixed(spark, df, "").collect()
+    rows_ = {r["doc_id"]: r for r in df.collect()}
+    assert Counter(r["doc_id"] for r in mixed) == Counter({i: t for i, t in plan.items() if t}) and all(r == rows_[r["doc_id"]] for r in mixed)
+    some = df.where("doc_id < 60")
+    pieces = corpus_pipeline.packed(spark, some, "").collect()
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p["doc_id"]].append(p)
+        by_seq[p["sequence_id"]].append((p["offset"], p["length"]))
+    for r in some.collect():
+        ids = np.array(ids_by_tokenizers(r["text"]), "<u4")
+        mine = sorted(by_doc[r["doc_id"]], key=lambda p: p["start"])
+        assert [p["start"] for p in mine] == [0, *np.cumsum([p["length"] for p in mine])[:-1]] and sum(p["length"] for p in mine) == len(ids)
+        assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in mine)
+    for seq in by_seq.values():
+        seq.sort()
+        assert [o for o, _ in seq] == [0, *np.cumsum([n for _, n in seq])[:-1]] and sum(n for _, n in seq) <= 1024
+
+
+@tables
+def test_ids_of_the_whole_corpus_agree_with_tokenizers(spark):
+    import public_tokenizers
+
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for text, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
+        assert list(encode(text)) == e.ids
+
+
+@tables
+def test_near_duplicates_of_the_corpus_against_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    n = [f"t{i}" for i in range(12)]  # 10 shingles of two words, of which 8 of 10 or 7 of 10 are shared
+    more = [(-1, " ".join(n[:10])), (-2, " ".join(n[:9])), (-11, " ".join([*n[:9], "q"])), (-21, " ".join(n[:7]))]
+    df = df.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    label, _ = brute_components([(r["doc_id"], r["text"]) for r in df.collect()], 2)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, width=2).collect()} == label
+    edge = [(1, "a b c d e f"), (2, "a b c d e"), (3, "a b c d")]  # 4 of 5 shingles are 0.8 exactly, 3 of 4 are less
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(edge, "doc_id long, text string"), width=2).collect()} == {1: 1, 2: 1, 3: 3}
+    total = corpus_total(spark)
     assert total[0] > 0 and total[1] > 50
+
+
+def corpus_total(spark):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, "/root/testdata/sf0.001").agg(F.sum("length"), F.count_distinct("doc_id")).first()
