@@ -6,9 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the field that the engine itself adds to a stored value, which is no part of the claim.
+ANNOTATION = "unit_provenance"
+
+
 def canonical(c: Column) -> Column:
-    """JSON with sorted keys and no spaces; text that is no JSON stays as it is. The order of arrays stays."""
-    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    """JSON with sorted keys, no spaces and no annotation; text that is no JSON stays as it is. The order of arrays stays."""
+    j = F.to_json(F.try_parse_json(c))
+    field = rf'"{ANNOTATION}":(?:\{{[^{{}}]*\}}|"[^"]*"|[^,{{}}"]+),?'
+    bare = F.regexp_replace(F.regexp_replace(j, field, ""), r",\}$", "}")
+    return F.coalesce(F.when(j.contains(f'"{ANNOTATION}"'), bare).otherwise(j), c)
 
 
 def same_claim(a: Column, b: Column) -> Column:
@@ -27,3 +34,44 @@ def put(facts: Column, key: Column, value: Column) -> Column:
     """A map with one entry set, whether it was there or not."""
     rest = F.map_filter(facts, lambda k, _: k != key)
     return F.map_concat(F.coalesce(rest, F.create_map().cast("map<string,string>")), F.create_map(key, value))
+
+
+def put_all(facts: Column, new: Column) -> Column:
+    """A map with all entries of another set."""
+    rest = F.map_filter(facts, lambda k, _: ~F.map_contains_key(new, k))
+    return F.map_concat(rest, new)
+
+
+def quoted(c: Column) -> Column:
+    """Text as a JSON string; null stays null."""
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+
+
+def text_of(value: Column) -> Column:
+    """The text of a JSON string; null for anything else that has none."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+
+
+def with_field(value: Column, name: str, said: Column) -> Column:
+    """A JSON object with one field more (JSON) unless it has it; other values stay."""
+    add = value.rlike(r"^\s*\{") & F.get_json_object(value, f"$.{name}").isNull()
+    body = F.regexp_replace(value, r"\}\s*$", "")
+    comma = F.when(body.rlike(r"^\s*\{\s*$"), F.lit("")).otherwise(F.lit(","))
+    return F.when(add, F.concat(body, comma, F.lit(f'"{name}":'), said, F.lit("}"))).otherwise(value)
+
+
+#: The shape of an entity's reasoning options: a list of which the entries of type effort name values.
+OPTIONS = "array<struct<type string, values array<string>, min bigint, max bigint>>"
+
+
+def listed_efforts(options: Column) -> Column:
+    """All values of the entries of type effort of an entity's reasoning options (JSON); none for null."""
+    entries = F.filter(F.from_json(options, OPTIONS), lambda o: (o["type"] == "effort") & o["values"].isNotNull())
+    return F.coalesce(F.flatten(F.transform(entries, lambda o: o["values"])), F.array().cast("array<string>"))
+
+
+def restricted_options(options: Column, wire_ids: Column) -> Column:
+    """Option lists with only the effort values that the map has, in their order; entries of another type stay."""
+    def kept(o: Column) -> Column:
+        return F.when(o["type"] == "effort", o.withField("values", F.filter(o["values"], lambda v: F.map_contains_key(wire_ids, v)))).otherwise(o)
+    return F.coalesce(F.to_json(F.transform(F.from_json(options, OPTIONS), kept)), options)

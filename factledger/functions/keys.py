@@ -49,3 +49,21 @@ def has_prefix(key: Column, prefixes: list[str] | None) -> Column:
     for p in prefixes:
         out = out | key.startswith(p)
     return out
+
+
+def is_mode_rate(key: Column) -> Column:
+    return key.startswith("rate.") & key.contains(".mode.")
+
+
+#: Kinds of fields and what their keys begin with.
+FIELDS = {"rate": "rate.", "limit": "limit.", "capability": "capability.", "model": "model.", "wire": "wire."}
+
+
+def fact_key_for(kind: Column, name: Column, mode: Column) -> Column:
+    """The fact key of a field: kind existence, provider_name, or one of FIELDS with a name; a rate with a mode is that of the mode. Null for
+    fields that no single key holds: tiers and charge units, and modes whose name can't be part of a key."""
+    key = F.when(kind == "existence", "existence").when(kind == "provider_name", "provider.name")
+    for k, prefix in FIELDS.items():
+        plain = F.concat(F.lit(prefix), name)
+        key = key.when(kind == k, F.when(mode.isNull(), plain).when((kind == "rate") & is_mode_name(mode), F.concat(plain, F.lit(".mode."), mode)))
+    return key

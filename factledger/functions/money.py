@@ -45,3 +45,9 @@ def encode_rate(units: Column, exponent: int = 9, currency: str = "USD", reason:
     """JSON of a rate that is priced, a stated zero, or unpriced with a reason."""
     priced = F.to_json(F.struct(F.lit("priced").alias("state"), units.alias("units"), F.lit(exponent).alias("exponent"), F.lit(currency).alias("currency")))
     return F.when(units.isNull(), F.to_json(F.struct(F.lit("unpriced").alias("state"), F.lit(reason).alias("reason")))).when(units == 0, F.lit('{"state":"stated_zero"}')).otherwise(priced)
+
+
+def nano_amount(value: Column) -> Column:
+    """Nano units of a rate (JSON) that is priced on its own account: null for other states, for inherited prices and beyond nine places."""
+    own = (F.get_json_object(value, "$.state") == "priced") & F.get_json_object(value, "$.inherited_from").isNull()
+    return F.when(own, to_nano(F.get_json_object(value, "$.units").try_cast("long"), F.get_json_object(value, "$.exponent").try_cast("int")))

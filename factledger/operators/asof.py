@@ -35,17 +35,30 @@ def with_intervals(eras: DataFrame, keys: list[str]) -> DataFrame:
     return eras.withColumn("valid_to", F.lead("boundary").over(Window.partitionBy(*keys).orderBy(*ORDER)))
 
 
-def as_of_join(left: DataFrame, eras: DataFrame, on: list[str], at_col: str, value_cols: list[str], how: str = "left") -> DataFrame:
+def as_of_join(left: DataFrame, eras: DataFrame, on: list[str], at_col: str, value_cols: list[str], how: str = "left", bucket_ms: int | None = None) -> DataFrame:
     """For each row of left the era of its keys in force at its instant.
 
     Rows and eras are merged into one ordered history per key and the last era is carried forward: one shuffle, no range
-    join, whatever the number of instants. At equal instants the era comes first.
+    join, whatever the number of instants. At equal instants the era comes first. With bucket_ms a history is cut into stretches of
+    that length, so a hot key is many tasks' work; each stretch is opened by the last era before it, which costs one row per
+    stretch that has rows and a window over these. At an instant that is null, no era is in force.
     """
     carried = F.struct(*[F.col(c) for c in value_cols])
-    a = left.select(*on, F.col(at_col).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_id"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).cast(eras.select(carried.alias("x")).schema[0].dataType).alias("_era"))
-    b = eras.select(*on, F.col("boundary").alias("_t"), F.lit(0).alias("_side"), F.col("id").cast("long").alias("_id"), F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in left.columns]).alias("x")).schema[0].dataType).alias("_left"), carried.alias("_era"))
-    order = Window.partitionBy(*on).orderBy("_t", "_side", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = a.unionByName(b).withColumn("_era", F.last("_era", ignorenulls=True).over(order)).where("_side = 1")
+    kind = eras.select(carried.alias("x")).schema[0].dataType
+    own = F.struct(*[F.col(c) for c in left.columns])
+    a = left.select(*on, F.col(at_col).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_id"), own.alias("_left"), F.lit(None).cast(kind).alias("_era"))
+    b = eras.select(*on, F.col("boundary").alias("_t"), F.lit(0).alias("_side"), F.col("id").cast("long").alias("_id"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), carried.alias("_era"))
+    both, by = a.unionByName(b), list(on)
+    if bucket_ms is not None:
+        both, by = both.withColumn("_bucket", F.floor(F.col("_t") / bucket_ms)), [*on, "_bucket"]
+        newest = F.max_by(F.col("_era"), F.when(F.col("_side") == 0, F.struct("_t", "_id")))
+        ends = both.groupBy(*by).agg(newest.alias("_last"))
+        before = Window.partitionBy(*on).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        opens = ends.withColumn("_era", F.last("_last", ignorenulls=True).over(before)).where("_era IS NOT NULL AND _bucket IS NOT NULL")
+        opens = opens.select(*on, (F.col("_bucket") * bucket_ms).cast("long").alias("_t"), F.lit(-1).alias("_side"), F.lit(0).cast("long").alias("_id"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), "_era", "_bucket")
+        both = both.unionByName(opens)
+    order = Window.partitionBy(*by).orderBy("_t", "_side", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_era", F.last("_era", ignorenulls=True).over(order)).where("_side = 1")
     if how == "inner":
         met = met.where(F.col("_era").isNotNull())
     return met.select(*[F.col("_left")[c].alias(c) for c in left.columns], *[F.col("_era")[c].alias(c) for c in value_cols])

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factledger.operators.asof import as_of, latest_per_key
+from factledger.functions.claims import same_claim
+from factledger.operators.asof import as_of, as_of_join, latest_per_key
 
 
 def corrections_at(corrections: DataFrame, at: int) -> DataFrame:
@@ -51,33 +52,45 @@ def value_at(eras: DataFrame, corrections: DataFrame, at: int, keys: list[str])
     return out.select(*keys, state.alias("state"), F.when(state.isin("known", "known_stale"), F.col("value_json")).alias("value_json"))
 
 
-def plan_corrections(requests: DataFrame, eras: DataFrame, corrections: DataFrame, keys: list[str], addressable: Column | None = None) -> DataFrame:
-    """requests(keys, from_ms, until_ms, reason) with current value, current_since and `refusals`, an array of every reason
-    against the request: bad_window, not_addressable, no_such_fact, current_in_window, unchanged, already_recorded."""
+def plan_corrections(requests: DataFrame, eras: DataFrame, corrections: DataFrame, keys: list[str], addressable: Column | None = None, together: list[str] | None = None) -> DataFrame:
+    """requests(keys, from_ms, until_ms, reason) with current value, current_since and `refusals`, an array of the first reason against
+    the request, or none: bad_window; not_addressable; no_such_fact; present_still_affected (the era in force began before the
+    window ended, so what is served now would be marked wrong; one that begins just there is the ordinary case); unchanged (the
+    claim at the window's start and every era in it restate the current claim); already_recorded (same window and reason).
+    together: columns that make requests one plan; where one of these is refused, the others say plan_refused."""
     now = latest_per_key(eras, keys, ["boundary", "id"]).select(*keys, F.col("value_json").alias("current_value"), F.col("boundary").alias("current_since"))
-    before = requests.select(*keys, "from_ms").distinct().join(eras.select(*keys, "boundary", "id", "value_json"), keys).where("boundary < from_ms")
-    before = before.groupBy(*keys, "from_ms").agg(F.max_by("value_json", F.struct("boundary", "id")).alias("before_value"), F.lit(True).alias("_before"))
-    moved = requests.select(*keys, "from_ms", "until_ms").distinct().join(eras.select(*keys, "boundary"), keys).where("boundary >= from_ms AND boundary <= until_ms").select(*keys, "from_ms", "until_ms").distinct().withColumn("_moved", F.lit(True))
-    known = corrections.select(*keys, "from_ms", "until_ms").distinct().withColumn("_known", F.lit(True))
-    r = requests.join(now, keys, "left").join(before, [*keys, "from_ms"], "left").join(moved, [*keys, "from_ms", "until_ms"], "left").join(known, [*keys, "from_ms", "until_ms"], "left")
+    window = [*keys, "from_ms", "until_ms"]
+    met = requests.select(*window).distinct().join(now, keys).join(eras.select(*keys, "boundary", "id", "value_json"), keys)
+    entering = F.max_by("value_json", F.when(F.col("boundary") <= F.col("from_ms"), F.struct("boundary", "id")))
+    inside = (F.col("boundary") > F.col("from_ms")) & (F.col("boundary") <= F.col("until_ms"))
+    met = met.groupBy(*window).agg(entering.alias("_entering"), F.max(inside & ~same_claim(F.col("value_json"), F.col("current_value"))).alias("_moved"))
+    known = corrections.select(*window, "reason").distinct().withColumn("_known", F.lit(True))
+    r = requests.join(now, keys, "left").join(met, window, "left").join(known, [*window, "reason"], "left")
     ok = F.lit(True) if addressable is None else addressable
-    reasons = [
-        F.when(F.col("from_ms") > F.col("until_ms"), "bad_window"),
-        F.when(~ok, "not_addressable"),
-        F.when(F.col("current_since").isNull(), "no_such_fact"),
-        F.when((F.col("current_since") >= F.col("from_ms")) & (F.col("current_since") <= F.col("until_ms")), "current_in_window"),
-        F.when(F.col("_moved").isNull() & F.col("_before") & F.col("before_value").eqNullSafe(F.col("current_value")), "unchanged"),
-        F.when(F.col("_known"), "already_recorded"),
-    ]
-    return r.withColumn("refusals", F.array_compact(F.array(*reasons))).drop("_before", "_moved", "_known", "before_value")
+    reason = (
+        F.when(F.col("from_ms") > F.col("until_ms"), "bad_window")
+        .when(~ok, "not_addressable")
+        .when(F.col("current_since").isNull(), "no_such_fact")
+        .when(F.col("current_since") < F.col("until_ms"), "present_still_affected")
+        .when(F.col("_entering").isNotNull() & same_claim(F.col("_entering"), F.col("current_value")) & ~F.coalesce("_moved", F.lit(False)), "unchanged")
+        .when(F.col("_known"), "already_recorded")
+    )
+    r = r.withColumn("refusals", F.array_compact(F.array(reason))).drop("_entering", "_moved", "_known")
+    if together:
+        bad = r.where(F.size("refusals") > 0).select(*together).distinct().withColumn("_bad", F.lit(True))
+        r = r.join(bad, together, "left").withColumn("refusals", F.when(F.col("_bad") & (F.size("refusals") == 0), F.array(F.lit("plan_refused"))).otherwise(F.col("refusals"))).drop("_bad")
+    return r
 
 
 def apply_corrections(plan: DataFrame, eras: DataFrame, now: int, keys: list[str]) -> DataFrame:
-    """New eras of kind corrected for the plan's accepted rows whose fact has not moved since the planning; they carry the
-    current value, so the present stays as it is."""
-    latest = latest_per_key(eras, keys, ["boundary", "id"]).select(*keys, F.col("boundary").alias("_since"))
-    ok = plan.where((F.size("refusals") == 0) & (F.col("until_ms") <= now)).join(latest, keys).where(F.col("_since") == F.col("current_since"))
-    return ok.select(*keys, F.col("current_value").alias("value_json"), F.lit(now).cast("long").alias("boundary"), F.lit("corrected").alias("kind"), "from_ms", "until_ms", "reason")
+    """New eras of kind corrected for the plan's accepted rows; they carry the current value, so the present stays as it is. A fact that
+    moved since the planning stops the job: the plan was made against a state that is no more, and none of it is written."""
+    latest = as_of(eras, now, keys).select(*keys, F.col("boundary").alias("_since"))
+    ok = plan.where((F.size("refusals") == 0) & (F.col("until_ms") <= now)).join(latest, keys, "left")
+    still = F.col("_since").eqNullSafe(F.col("current_since"))
+    moved = F.raise_error(F.concat(F.lit("a fact has changed since the plan was made: "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
+    value = F.when(still, F.col("current_value")).otherwise(moved)
+    return ok.select(*keys, value.alias("value_json"), F.lit(now).cast("long").alias("boundary"), F.lit("corrected").alias("kind"), "from_ms", "until_ms", "reason")
 
 
 def change_instants(eras: DataFrame, corrections: DataFrame, entity: list[str], *others: DataFrame) -> DataFrame:
@@ -97,3 +110,30 @@ def timeline(states: DataFrame, entity: list[str], at_col: str, claim_cols: list
     first = F.lag(F.lit(1)).over(order).isNull()
     starts = states.withColumn("_new", first | ~claim.eqNullSafe(F.lag(claim).over(order))).where("_new")
     return starts.select(*entity, *claim_cols, F.col(at_col).alias("from_at"), F.lead(at_col).over(order).alias("to_at"))
+
+
+def served_timeline(eras: DataFrame, corrections: DataFrame, keys: list[str], overrides: DataFrame | None = None) -> DataFrame:
+    """What a fact was served as, as contiguous segments (keys, from_ms, until_ms, state, value, source, reason), neighbours differ; until_ms is
+    null for the last. state: value; absent (recorded, but nothing in force); refused (a correction covers the instant). source: upstream, or
+    override where overrides(keys, value, replaces, boundary, id; value null: withdrawn) had one in force whose `replaces` is what upstream
+    said (null: it said nothing). A timeline begins with the first era of its fact."""
+    told = eras.select(*keys, F.col("boundary").alias("at")).unionByName(corrections.select(*keys, F.col("from_ms").alias("at"))).unionByName(corrections.select(*keys, (F.col("until_ms") + 1).alias("at")))
+    if overrides is not None:
+        told = told.unionByName(overrides.select(*keys, F.col("boundary").alias("at")))
+    begins = eras.groupBy(*keys).agg(F.min("boundary").alias("_begin"))
+    at = told.distinct().join(begins, keys).where(F.col("at") >= F.col("_begin")).drop("_begin")
+    rows = as_of_join(at, eras.select(*keys, "boundary", "id", F.col("value_json").alias("_up")), keys, "at", ["_up"])
+    source, value = F.lit("upstream"), F.col("_up")
+    if overrides is not None:
+        o = overrides.select(*keys, "boundary", "id", F.struct("value", "replaces").alias("_o"))
+        rows = as_of_join(rows, o, keys, "at", ["_o"])
+        fits = F.when(F.col("_o.replaces").isNull(), F.col("_up").isNull() | (F.col("_up") == "null")).otherwise(same_claim(F.col("_up"), F.col("_o.replaces")))
+        hit = F.coalesce(F.col("_o.value").isNotNull() & fits, F.lit(False))
+        source, value = F.when(hit, "override").otherwise("upstream"), F.when(hit, F.col("_o.value")).otherwise(F.col("_up"))
+    covered = corrections_covering(rows.select(*keys, "at"), corrections.select(*keys, "from_ms", "until_ms"), keys, "at", 30 * 86_400_000).select(*keys, "at").distinct().withColumn("_hit", F.lit(True))
+    rows = rows.join(covered, [*keys, "at"], "left")
+    state = F.when(F.col("_hit"), "refused").when(value.isNull() | (value == "null"), "absent").otherwise("value")
+    shown = state == "value"
+    rows = rows.select(*keys, "at", state.alias("state"), F.when(shown, value).alias("value"), F.when(shown, source).alias("source"), F.when(state == "refused", "correction").alias("reason"))
+    out = timeline(rows, keys, "at", ["state", "value", "source", "reason"])
+    return out.withColumnsRenamed({"from_at": "from_ms", "to_at": "until_ms"})

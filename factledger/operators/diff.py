@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -25,25 +25,28 @@ def diff_keyed(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> D
 def plan_ingest(current: DataFrame, incoming: DataFrame, entity: list[str], touched: DataFrame | None = None) -> DataFrame:
     """The eras to append so that facts in force become the incoming ones: (entity, fact_key, value_json, change).
 
-    New entities: all their facts. Known ones: changed facts, and a withdrawal for each fact no longer stated (once). Entities
-    that are gone: only existence = "absent". With `touched`, other entities are left alone. Facts of `existence` are in
-    both tables like any other.
+    Entities that are not present now (unknown, or said to be absent) are `new`: their existence, and every fact that differs from
+    what is still held of them. Of those present, changed facts are `changed`. A held fact that is no longer stated is
+    `withdrawn` (once). A present entity that is gone `disappeared`: only existence = "absent". With `touched`, other entities
+    are left alone. Facts of `existence` are in both tables like any other.
     """
     if touched is not None:
         current, incoming = (d.join(touched.select(*entity).distinct(), entity, "left_semi") for d in (current, incoming))
     keys = [*entity, "fact_key"]
-    known, there = current.select(*entity).distinct().withColumn("_known", F.lit(True)), incoming.select(*entity).distinct().withColumn("_there", F.lit(True))
-    both = current.select(*keys, F.col("value_json").alias("old")).withColumn("_old", F.lit(True)).join(incoming.select(*keys, F.col("value_json").alias("new")).withColumn("_new", F.lit(True)), keys, "full_outer")
-    both = both.join(known, entity, "left").join(there, entity, "left")
-    gone = F.col("_there").isNull()
+    existence = F.col("fact_key") == "existence"
+    a = current.select(*keys, F.col("value_json").alias("old"), F.lit(True).alias("_old"))
+    b = incoming.select(*keys, F.col("value_json").alias("new"), F.lit(True).alias("_new"))
+    both = a.join(b, keys, "full_outer")
+    # one row per entity: whether it is present now, and whether it is stated
+    state = both.groupBy(*entity).agg(F.max(existence & (F.col("old") == '"present"')).alias("_present"), F.max(F.col("_new")).alias("_there"))
+    both = both.join(state, entity).withColumn("_present", F.coalesce("_present", F.lit(False)))
+    gone, fresh = F.col("_there").isNull(), F.when(F.col("_present"), "changed").otherwise("new")
     value = F.when(gone, F.lit('"absent"')).when(F.col("_new"), F.col("new")).otherwise(withdrawal_value(F.col("fact_key")))
     change = (
-        F.when(gone & (F.col("fact_key") == "existence") & ~same_claim(F.col("old"), F.lit('"absent"')), "disappeared")
-        .when(gone, F.lit(None))
-        .when(F.col("_known").isNull(), "new")
-        .when(F.col("_new") & F.col("_old").isNull(), "changed")
-        .when(F.col("_new") & ~same_claim(F.col("old"), F.col("new")), "changed")
-        .when(F.col("_new").isNull() & ~same_claim(F.col("old"), withdrawal_value(F.col("fact_key"))), "withdrawn")
+        F.when(gone, F.when(existence & F.col("_present"), "disappeared"))
+        .when(F.col("_new") & existence, F.when(~F.col("_present"), "new"))
+        .when(F.col("_new") & (F.col("_old").isNull() | ~same_claim(F.col("old"), F.col("new"))), fresh)
+        .when(F.col("_new").isNull() & ~existence & ~same_claim(F.col("old"), withdrawal_value(F.col("fact_key"))), "withdrawn")
     )
     return both.select(*keys, value.alias("value_json"), change.alias("change")).where("change IS NOT NULL")
 
@@ -66,13 +69,32 @@ def publish_delta(old: DataFrame, new: DataFrame, keys: list[str], value: str =
     return met.select(*keys, F.when(F.col("_b").isNull(), "remove").otherwise("set").alias("op"), "value")
 
 
-def replay_change(facts: DataFrame, ops: DataFrame, keys: list[str], value: str = "value_json") -> tuple[DataFrame, DataFrame]:
-    """(facts after one change, violations): a key may occur once in a change, and a removal must hit."""
+def replay_change(facts: DataFrame, ops: DataFrame, keys: list[str], value: str = "value_json", order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts after one change, violations): a key may occur once in a change, and a removal must hit. With `order`, the columns that
+    number the ops, keys must rise strictly (not_sorted).
+
+    Where keys are (provider, model, ...), rows without a model are facts of the provider itself: one may be set only where the provider
+    has facts or the change gives it a model (unknown_provider), and a provider must not be left with these alone
+    (orphan_provider_facts).
+    """
     last = ops.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("op", "value"), F.col("op")).alias("o"))
-    repeated = last.where("n > 1").select(*keys, F.lit("repeated_key").alias("violation"))
-    missed = last.where("o.op = 'remove'").join(facts.select(*keys), keys, "left_anti").select(*keys, F.lit("removes_nothing").alias("violation"))
-    after = facts.select(*keys, value).join(last, keys, "left_anti").unionByName(last.where("o.op = 'set'").select(*keys, F.col("o.value").alias(value)))
-    return after, repeated.unionByName(missed)
+    named = lambda rows, text: rows.select(*keys, F.lit(text).alias("violation"))
+    met = last.join(facts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_there")), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    bad = named(last.where("n > 1"), "repeated_key").unionByName(named(met.where("o.op = 'remove' AND _there IS NULL"), "removes_nothing"))
+    kept = facts.select(*keys, value).join(last.select(*[F.col(k).alias(f"_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+    after = kept.unionByName(last.where("o.op = 'set'").select(*keys, F.col("o.value").alias(value)))
+    if order:
+        by = Window.partitionBy().orderBy(*order)  # the ops of one change
+        n = ops.withColumn("_before", F.lag(F.struct(*[F.coalesce(k, F.lit("")).alias(k) for k in keys])).over(by))
+        bad = bad.unionByName(named(n.where(F.col("_before") > F.struct(*[F.coalesce(k, F.lit("")).alias(k) for k in keys])), "not_sorted"))
+    if keys[:2] == ["provider", "model"]:
+        had = facts.select("provider").distinct().withColumn("_had", F.lit(True))
+        gives = last.where("model IS NOT NULL AND o.op = 'set'").select("provider").distinct().withColumn("_gives", F.lit(True))
+        own = last.where("model IS NULL AND o.op = 'set'").join(had, "provider", "left").join(gives, "provider", "left")
+        bad = bad.unionByName(named(own.where("_had IS NULL AND _gives IS NULL"), "unknown_provider"))
+        alone = after.groupBy("provider").agg(F.max("model").alias("_m")).where("_m IS NULL").select("provider")
+        bad = bad.unionByName(alone.join(ops.select("provider").distinct(), "provider", "left_semi").select("provider", *[F.lit(None).cast(facts.schema[k].dataType).alias(k) for k in keys[1:]], F.lit("orphan_provider_facts").alias("violation")))
+    return after, bad
 
 
 def replay_chain(base: DataFrame | None, ops: DataFrame, keys: list[str], order: list[str], value: str = "value_json") -> DataFrame:
@@ -127,17 +149,46 @@ def state_digest(entities: DataFrame, entity: list[str], fan: int = 1024) -> Dat
     return slices.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "slice", "digest"))), ""), 256).alias("digest"))
 
 
-def verify_chain(releases: DataFrame) -> DataFrame:
-    """releases(release, parent, published_at_ms, n_ops) -> violations: gap, parent, time, empty. One row per release, so
-    the window over all of them is bounded by releases, not by facts."""
+def state_hash(curation_hash: Column, upstream_hash: Column) -> Column:
+    """The hash of a state from those of its two halves."""
+    return F.sha2(F.to_json(F.struct(curation_hash.alias("curation"), upstream_hash.alias("upstream"))), 256)
+
+
+def change_digests(ops: DataFrame, by: str = "release", pos: str = "pos") -> DataFrame:
+    """(by, digest, sorted): SHA-256 of the ops of each change in order, and whether their keys rise strictly. Streamed; no change is gathered."""
+    key = F.to_json(F.struct("provider", F.coalesce("model", F.lit("")).alias("model"), "fact_key"), {"ignoreNullFields": "false"})
+    row = F.concat(F.lpad(F.col(pos).cast("string"), 19, "0"), F.lit(":"), F.sha2(F.concat_ws("|", "op", key, F.coalesce("value", F.lit("-"))), 256))
+    order = Window.partitionBy(by).orderBy(pos)
+    rank = F.struct(F.col("provider"), F.coalesce("model", F.lit("")), F.col("fact_key"))
+    rising = ops.select(by, (F.lag(rank).over(order) < rank).alias("_up")).groupBy(by).agg(F.coalesce(F.min("_up"), F.lit(True)).alias("sorted"))
+    return running_digest(ops.select(by, row.alias("_row")), [by], "_row").join(rising, by)
+
+
+def verify_chain(releases: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """releases(release, parent, published_at_ms, n_ops) -> (release, violation): gap, parent, time, empty; curation_version where it is
+    there and does not advance by the change of curation (column curation_changed), state_hash where the hash of the state isn't that
+    of its two halves (columns state_hash, curation_hash, upstream_hash); and with digests (release, digest, sorted; see change_digests)
+    change_hash and not_sorted. One row per release, so the window over all of them is bounded by releases, not by facts."""
     order = Window.partitionBy().orderBy("release")
     r = releases.withColumn("_release", F.lag("release").over(order)).withColumn("_at", F.lag("published_at_ms").over(order))
-    follows = F.col("_release").isNotNull()
+    follows, never = F.col("_release").isNotNull(), F.lit(None).cast("string")
+    changed = F.coalesce("curation_changed", F.lit(False)) if "curation_changed" in r.columns else F.lit(False)
+    version = hashes = change = sorted_ = never
+    if "curation_version" in r.columns:
+        r = r.withColumn("_version", F.lag("curation_version").over(order))
+        version = F.when(follows & F.when(changed, F.col("curation_version") <= F.col("_version")).otherwise(F.col("curation_version") != F.col("_version")), "curation_version")
+    if "state_hash" in r.columns:
+        hashes = F.when(~F.col("state_hash").eqNullSafe(state_hash(F.col("curation_hash"), F.col("upstream_hash"))), "state_hash")
+    if digests is not None:
+        r = r.join(digests.select("release", F.col("digest").alias("_digest"), F.col("sorted").alias("_sorted")), "release", "left")
+        change = F.when((F.coalesce("n_ops", F.lit(0)) > 0) & ~F.col("change_hash").eqNullSafe(F.col("_digest")), "change_hash")
+        sorted_ = F.when(~F.coalesce("_sorted", F.lit(True)), "not_sorted")
     reasons = F.array_compact(F.array(
         F.when(follows & (F.col("release") != F.col("_release") + 1), "gap"),
         F.when(follows & ~F.col("parent").eqNullSafe(F.col("_release")), "parent"),
         F.when(F.col("published_at_ms") <= F.col("_at"), "time"),
-        F.when(F.coalesce("n_ops", F.lit(0)) == 0, "empty"),
+        F.when((F.coalesce("n_ops", F.lit(0)) == 0) & ~changed, "empty"),
+        version, hashes, change, sorted_,
     ))
     return r.select("release", F.explode(reasons).alias("violation"))
 

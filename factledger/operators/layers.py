@@ -1,23 +1,45 @@
-"""Layers over recorded facts: rules that fill, replace, inherit and re-price, as joins on small rule tables.
+"""Layers over recorded facts: rules that fill, replace, inherit and re-price.
 
-Facts are rows (provider, model, fact_key, value_json). Rule tables are left to Spark's own broadcast threshold, which
-looks at their size; nothing here forces a broadcast.
+An entity is one row (provider, model, facts map), so a layer is an expression over the map and a join with a small rule
+table on the entity, its provider or its family; the facts themselves are folded once and unfolded once, whatever the
+number of layers. Rule tables are left to Spark's own broadcast threshold, which looks at their size. An entity has
+some dozens of facts, so its map is small; entities are as many as they are.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.functions.claims import same_claim
-from factledger.functions.keys import parse_rate_key
-from factledger.functions.money import exact_ratio
+from factledger.functions.claims import put, put_all, quoted, same_claim, text_of, with_field
+from factledger.functions.keys import is_mode_rate
+from factledger.functions.money import exact_ratio, nano_amount
 
 ID = ["provider", "model"]
 KEY = [*ID, "fact_key"]
 FACT = [*KEY, "value_json"]
+EMPTY = "map<string,string>"
+#: Facts of an endpoint, which an alias that is served elsewhere doesn't take from its target.
+ROUTE_FACTS = ("model.name", "provider.name", "capability.structured_output", "limit.temperature_min", "limit.temperature_max", "capability.server_side_fallback", "capability.mid_conversation_system", "capability.reasoning_default", "wire.npm", "wire.api", "wire.shape", "wire.family")
+#: Rate classes that are said to have no price where a card that is asked for doesn't exist.
+BASE_CLASSES = ("input", "output", "cache_read", "cache_write", "reasoning")
+NO_CARD, NOT_ESTABLISHED, ZERO = '{"reason":"no_api_card","state":"unpriced"}', '{"reason":"not_established","state":"unpriced"}', '{"state":"stated_zero"}'
+
+
+def fact_map() -> Column:
+    return F.col("facts")
+
+
+def fold(facts: DataFrame, *others: Column) -> DataFrame:
+    """Facts, one row per key, as one row per entity."""
+    entry = F.struct("fact_key", "value_json")
+    return facts.groupBy(*ID).agg(F.map_from_entries(F.collect_list(entry)).alias("facts"), *others)
+
+
+def unfold(entities: DataFrame, *others: str) -> DataFrame:
+    return entities.select(*ID, *others, F.explode("facts").alias("fact_key", "value_json")).select(*FACT, *others)
 
 
 def merge_layers(*frames: DataFrame) -> DataFrame:
@@ -28,179 +50,304 @@ def known_ids(facts: DataFrame) -> DataFrame:
     return facts.select(*ID).distinct()
 
 
-def project_aliases(facts: DataFrame, aliases: DataFrame, route_keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(facts of alias ids that were never recorded themselves, disclosures). aliases(provider, model, target, name): the
-    target's facts but for route_keys (temperature stays where it is false), under the alias's own name; rates are marked
-    borrowed. One hop only: an alias of an alias finds nothing."""
-    live = aliases.join(known_ids(facts), ID, "left_anti")
-    t = facts.withColumnRenamed("model", "target")
-    rows = t.join(live.select("provider", "model", "target", "name"), ["provider", "target"])
-    keep = ~F.col("fact_key").isin(*route_keys) | ((F.col("fact_key") == "temperature") & (F.col("value_json") == "false"))
-    value = F.when((F.col("fact_key") == "model.name") & F.col("name").isNotNull(), F.concat(F.lit('"'), "name", F.lit('"'))).otherwise(F.col("value_json"))
-    out = rows.where(keep).select("provider", "model", "fact_key", value.alias("value_json"), F.when(F.col("fact_key").startswith("rate."), F.col("target")).alias("borrowed_from"))
-    return out, rows.select("provider", "model", "target").distinct()
-
-
-def inherit_rates(facts: DataFrame, creators: DataFrame) -> DataFrame:
-    """Facts plus inherited ones: an entity without any rate whose open_weights is true and whose family has a creator
-    (creators(family, creator)) takes that provider's rates for the same model, modes left out; marked in inherited_from."""
-    rate = F.col("fact_key").startswith("rate.")
-    rates = facts.where(rate)
-    family = facts.where("fact_key = 'family'").select(*ID, F.get_json_object(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "$.v").alias("family"))
-    heirs = family.join(facts.where("fact_key = 'open_weights' AND value_json = 'true'").select(*ID), ID, "left_semi").join(rates.select(*ID).distinct(), ID, "left_anti")
-    heirs = heirs.join(creators, "family").where("creator <> provider").select("provider", "model", "creator")
-    plain = parse_rate_key(F.col("fact_key"))["mode"].isNull()
-    given = rates.where(plain).select(F.col("provider").alias("creator"), "model", "fact_key", "value_json")
-    got = heirs.join(given, ["creator", "model"]).select(*FACT, F.col("creator").alias("inherited_from"))
-    return merge_layers(facts, got)
-
-
-def borrow_rates(facts: DataFrame, cards: DataFrame, fillers: list[str]) -> DataFrame:
-    """cards(provider, model, card_provider, card_model): the entity's rates are replaced by the card's; where the card has
-    none, the filler keys say unpriced with reason no_api_card."""
-    rate = F.col("fact_key").startswith("rate.")
-    rest = facts.where(~rate).unionByName(facts.where(rate).join(cards.select(*ID), ID, "left_anti"))
-    theirs = facts.where(rate).select(F.col("provider").alias("card_provider"), F.col("model").alias("card_model"), "fact_key", "value_json")
-    got = cards.join(theirs, ["card_provider", "card_model"]).select(*FACT)
-    none = cards.join(theirs.select("card_provider", "card_model").distinct(), ["card_provider", "card_model"], "left_anti")
-    filled = none.select(*ID, F.explode(F.array(*map(F.lit, fillers))).alias("fact_key"), F.lit('{"state":"unpriced","reason":"no_api_card"}').alias("value_json"))
-    return merge_layers(rest, got, filled)
-
-
-def apply_curated(facts: DataFrame, curated: DataFrame, present: DataFrame, held: DataFrame) -> DataFrame:
-    """Curated facts of entities that upstream does not have present and that are not held replace what the entity had."""
-    rows = curated.join(present.select(*ID).distinct(), ID, "left_anti").join(held.select(*ID).distinct(), ID, "left_anti")
-    return merge_layers(facts.join(known_ids(rows), ID, "left_anti"), rows.select(*FACT))
-
-
-def apply_overrides(facts: DataFrame, overrides: DataFrame, withheld: DataFrame | None = None) -> DataFrame:
-    """overrides(KEY, value, replaces): a fact is replaced only while upstream still says `replaces`; with replaces null the fact
-    is added only where the entity exists, lacks the key, and the key is not withheld. Adds the column overridden."""
-    o = overrides.select(*KEY, F.col("value").alias("_v"), F.col("replaces").alias("_r"), F.lit(True).alias("_o"))
-    hit = F.coalesce(F.col("_o") & F.col("_r").isNotNull() & same_claim(F.col("value_json"), F.col("_r")), F.lit(False))
-    kept = facts.join(o, KEY, "left").withColumn("overridden", hit).withColumn("value_json", F.when(hit, F.col("_v")).otherwise(F.col("value_json"))).drop("_v", "_r", "_o")
-    new = o.where("_r IS NULL").join(facts.select(*KEY), KEY, "left_anti").join(known_ids(facts), ID, "left_semi")
-    if withheld is not None:
-        new = new.join(withheld.select(*KEY), KEY, "left_anti")
-    return merge_layers(kept, new.select(*KEY, F.col("_v").alias("value_json"), F.lit(True).alias("overridden")))
-
-
-def apply_corrections_table(facts: DataFrame, rules: DataFrame, complete: DataFrame, key: str) -> DataFrame:
-    """Precedence for one fact key of every entity: an exact rule's value; else nothing where the provider is complete (its
-    other rows are withheld); else the recorded value; else the provider's `*` value. rules(provider, model, value)."""
-    exact = rules.where("model <> '*'").select("provider", "model", F.col("value").alias("_exact"), F.lit(True).alias("_hit"))
-    star = rules.where("model = '*'").select("provider", F.col("value").alias("_star"))
-    done = complete.select("provider", F.lit(True).alias("_done")).distinct()
-    own = facts.where(F.col("fact_key") == key).select(*ID, F.col("value_json").alias("_own"))
-    met = known_ids(facts).join(own, ID, "left").join(exact, ID, "left").join(star, "provider", "left").join(done, "provider", "left")
-    value = F.when(F.col("_hit"), F.col("_exact")).when(F.col("_done"), F.lit(None)).otherwise(F.coalesce("_own", "_star"))
-    fixed = met.select(*ID, F.lit(key).alias("fact_key"), value.alias("value_json")).where("value_json IS NOT NULL")
-    return merge_layers(facts.where(F.col("fact_key") != key), fixed)
+def has(key: str | Column) -> Column:
+    return F.map_contains_key(fact_map(), key)
 
 
-def lookup_null_safe(left: DataFrame, rules: DataFrame, on: list[str], value: str) -> DataFrame:
-    """Left join in which null is a value like any other, not a wildcard."""
-    r = rules.select(*[F.col(c).alias(f"_{c}") for c in on], value)
-    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"_{c}"]) for c in on])
-    return left.join(r, cond, "left").drop(*[f"_{c}" for c in on])
+def stated(said: dict[str, Column]) -> Column:
+    """A map of the keys whose value isn't null."""
+    entries = [F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in said.items()]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda x: x["v"].isNotNull()))
 
 
-def fill_missing(facts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """rules(provider, model, value) become the fact `key` of entities that exist and lack it."""
-    add = rules.select(*ID, F.lit(key).alias("fact_key"), F.col("value").alias("value_json")).join(known_ids(facts), ID, "left_semi").join(facts.select(*KEY), KEY, "left_anti")
-    return merge_layers(facts, add)
+def without(test) -> Column:
+    """The facts but for those whose key passes the test."""
+    return F.map_filter(fact_map(), lambda k, _: ~test(k))
 
 
-def classify_lineage(entities: DataFrame, by_model: DataFrame, by_family: DataFrame, by_lab: DataFrame, by_provider: DataFrame) -> DataFrame:
-    """entities(provider, model, family, lab, is_alias) with lineage: by exact model, else by family (final where there is a
-    family rule), else by lab, else by provider; aliases skip family and provider. Tables are (key, class)."""
-    e = entities
-    for name, table, col in (("_m", by_model, "model"), ("_f", by_family, "family"), ("_l", by_lab, "lab"), ("_p", by_provider, "provider")):
-        e = e.join(table.select(F.col("key").alias(col), F.col("class").alias(name)), col, "left")
-    own = ~F.col("is_alias")
-    return e.withColumn("lineage", F.coalesce("_m", F.when(own, F.col("_f")), "_l", F.when(own, F.col("_p")))).drop("_m", "_f", "_l", "_p").select(*entities.columns, "lineage")
-
-
-def apply_limits(entities: DataFrame, limits: DataFrame) -> DataFrame:
-    """entities(provider, modalities array, context) x limits(provider, modality, limit, min_context): the strictest limit
-    whose modality the entity has and whose context threshold (null: none) it reaches."""
-    met = entities.join(limits, "provider").where(F.array_contains("modalities", F.col("modality")) & (F.col("min_context").isNull() | (F.col("context") >= F.col("min_context"))))
-    return met.groupBy(*ID, "modality").agg(F.min("limit").alias("limit"))
-
+def hide_nulls(e: DataFrame, policy: str | None = None) -> DataFrame:
+    """Withdrawn names, types and connection claims are in the history as null; they are not served. With a policy, a priced rate that doesn't
+    say where its unit comes from says that it is assumed by it."""
+    hidden = lambda k, v: (v == "null") & (k.startswith("wire.") | k.isin("model.name", "provider.name", "model.type"))
+    facts = F.map_filter(fact_map(), lambda k, v: ~hidden(k, v))
+    if policy is not None:
+        said = F.lit('{"kind":"assumed_by_policy","policy":"%s"}' % policy)
+        facts = F.transform_values(facts, lambda k, v: F.when(k.startswith("rate.") & (F.get_json_object(v, "$.state") == "priced"), with_field(v, "unit_provenance", said)).otherwise(v))
+    return e.withColumn("facts", facts)
 
-def apply_ranges(facts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges(provider, low, high): every entity gets temperature.min and temperature.max unless its temperature is false."""
-    off = facts.where("fact_key = 'temperature' AND value_json = 'false'").select(*ID)
-    rows = known_ids(facts).join(off, ID, "left_anti").join(ranges, "provider")
-    both = F.explode(F.map_from_arrays(F.array(F.lit("temperature.min"), F.lit("temperature.max")), F.array(F.col("low").cast("string"), F.col("high").cast("string"))))
-    return merge_layers(facts, rows.select(*ID, both.alias("fact_key", "value_json")))
 
+def apply_overrides(e: DataFrame, overrides: DataFrame) -> DataFrame:
+    """overrides(KEY, value, replaces): a fact is replaced only while upstream still says `replaces`; with replaces null the fact is
+    added only where the key is absent or null and not among `withheld` (an array of keys, if e has it). A default effort must be
+    among the efforts that the entity lists. Adds the column overridden: the facts that an override gave."""
+    from factledger.functions.claims import listed_efforts
 
-def derive_ttl_rates(rates: DataFrame, rules: DataFrame) -> DataFrame:
-    """rates(provider, model, tier, input, cache_write) x rules(provider, model, ttl, num, den): input times each lifetime's
-    exact ratio, for entities whose every tier states the write rate that the shortest lifetime's ratio gives; else none."""
-    first = rules.groupBy(*ID).agg(F.min_by(F.struct("num", "den"), F.col("num") / F.col("den")).alias("s"))
-    same = exact_ratio(F.col("input"), F.col("s.num"), F.col("s.den")).eqNullSafe(F.col("cache_write"))
-    gate = rates.join(first, ID).groupBy(*ID).agg(F.min(same.cast("int")).alias("ok")).where("ok = 1").select(*ID)
-    out = rates.join(gate, ID, "left_semi").join(rules, ID)
-    return out.select(*ID, "tier", "ttl", exact_ratio(F.col("input"), F.col("num"), F.col("den")).alias("rate")).where("rate IS NOT NULL")
+    rows = overrides.groupBy(*ID).agg(F.map_from_entries(F.collect_list(F.struct("fact_key", F.struct("value", "replaces")))).alias("_o"))
+    held = F.coalesce(F.col("withheld"), F.array().cast("array<string>")) if "withheld" in e.columns else F.array().cast("array<string>")
+    efforts = listed_efforts(F.col("facts")["capability.reasoning_options"])
 
+    def applies(k: Column, o: Column) -> Column:
+        there = F.map_contains_key(fact_map(), k)
+        replaced = o["replaces"].isNotNull() & there & same_claim(fact_map()[k], o["replaces"])
+        added = o["replaces"].isNull() & (~there | (fact_map()[k] == "null")) & ~F.array_contains(held, k)
+        fits = (k != "capability.reasoning_default") | F.array_contains(efforts, F.get_json_object(o["value"], "$.value"))
+        return F.coalesce((replaced | added) & fits, F.lit(False))
 
-def apply_grades(entities: DataFrame, grades: DataFrame, marks: DataFrame) -> DataFrame:
-    """entities(provider, model, canonical_id, kind, is_alias): grade of the canonical id, else of the own id (aliases need a
-    canonical one); chat grades only on chat rows. marks(key) become decommissioned."""
-    key = F.coalesce("canonical_id", F.when(~F.col("is_alias"), F.concat_ws("/", "provider", "model")))
-    e = entities.withColumn("_key", key)
-    g = grades.select(F.col("key").alias("_key"), "grade", F.col("kind").alias("_kind"))
-    m = marks.select(F.col("key").alias("_key"), F.lit(True).alias("decommissioned")).distinct()
-    out = e.join(g, (e["_key"] == g["_key"]) & ((g["_kind"] != "chat") | (e["kind"] == "chat")), "left").drop(g["_key"]).drop("_kind")
-    return out.join(m, "_key", "left").withColumn("decommissioned", F.coalesce("decommissioned", F.lit(False))).drop("_key")
+    m = e.join(rows, ID, "left")
+    m = m.withColumn("overridden", F.coalesce(F.transform_values(F.map_filter("_o", applies), lambda _, o: o["value"]), F.create_map().cast(EMPTY)))
+    return m.withColumn("facts", put_all(fact_map(), F.col("overridden"))).drop("_o")
 
 
-def overlay(published: DataFrame, local: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """(local over published, disclosure of before and after where they differ)."""
-    merged = merge_layers(published.join(local.select(*keys), keys, "left_anti"), local)
-    both = local.select(*keys, F.col(value).alias("after")).join(published.select(*keys, F.col(value).alias("before")), keys, "left")
-    return merged, both.where(~F.col("before").eqNullSafe(F.col("after")))
+def apply_corrections_table(e: DataFrame, rules: DataFrame, complete: DataFrame, key: str) -> DataFrame:
+    """Precedence for one fact key of every entity: an exact rule's value (null: withheld); else withheld where the provider is complete;
+    else the recorded value; else the provider's `*` value. rules(provider, model, value). Adds the column endpoint_withheld."""
+    exact = rules.where("model <> '*'").select(*ID, F.struct("value").alias("_exact"))
+    star = rules.where("model = '*'").select("provider", F.col("value").alias("_star"))
+    done = complete.select("provider", F.lit(True).alias("_done")).distinct()
+    m = e.join(exact, ID, "left").join(star, "provider", "left").join(done, "provider", "left")
+    ruled, value = F.col("_exact").isNotNull(), F.col("_exact.value")
+    withheld = F.when(ruled, value.isNull()).otherwise(F.coalesce("_done", F.lit(False)))
+    put_value = F.when(ruled, value).when(~has(key), F.col("_star"))
+    facts = F.when(withheld, without(lambda k: k == key)).when(put_value.isNotNull(), put(fact_map(), F.lit(key), put_value)).otherwise(fact_map())
+    return m.select(*e.columns, facts.alias("_f"), withheld.alias("endpoint_withheld")).withColumn("facts", F.col("_f")).drop("_f")
 
 
-def apply_logins(entities: DataFrame, rows: DataFrame, method: str | None) -> DataFrame:
-    """rows(provider, model, methods array): with a method, entities whose list lacks it go."""
-    barred = rows.where(F.lit(method is not None) & ~F.array_contains("methods", method or "")).select(*ID)
-    return entities.join(barred, ID, "left_anti")
+def lookup_null_safe(left: DataFrame, rules: DataFrame, on: list[str], value: str) -> DataFrame:
+    """Left join in which null is a value like any other, not a wildcard."""
+    r = rules.select(*[F.col(c).alias(f"_{c}") for c in on], value)
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(r[f"_{c}"]) for c in on])
+    return left.join(r, cond, "left").drop(*[f"_{c}" for c in on])
 
 
-def apply_retired(facts: DataFrame, retired: DataFrame) -> DataFrame:
-    """retired(provider, model, successor): ids that upstream never knew get existence = "absent" and the successor."""
-    rows = retired.join(known_ids(facts), ID, "left_anti")
-    absent = rows.select(*ID, F.lit("existence").alias("fact_key"), F.lit('"absent"').alias("value_json"))
-    successor = rows.where("successor IS NOT NULL").select(*ID, F.lit("successor").alias("fact_key"), F.concat(F.lit('"'), "successor", F.lit('"')).alias("value_json"))
-    return merge_layers(facts, absent, successor)
+def apply_families(e: DataFrame, families: DataFrame) -> DataFrame:
+    """families(npm, shape, family): wire.family by package and shape, unless the endpoint is withheld."""
+    said = e.withColumn("npm", F.get_json_object(fact_map()["wire.npm"], "$.value")).withColumn("shape", F.get_json_object(fact_map()["wire.shape"], "$.value"))
+    met = lookup_null_safe(said, families, ["npm", "shape"], "family")
+    serve = F.col("family").isNotNull() & (~F.col("endpoint_withheld") if "endpoint_withheld" in e.columns else F.lit(True))
+    return met.withColumn("facts", F.when(serve, put(fact_map(), F.lit("wire.family"), quoted(F.col("family")))).otherwise(fact_map())).select(*e.columns)
+
+
+def fill_missing(e: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """rules(provider, model, value) become the fact `key` of entities that lack it or hold null."""
+    met = e.join(rules.select(*ID, F.col("value").alias("_v")), ID, "left")
+    add = F.col("_v").isNotNull() & F.coalesce(fact_map()[key] == "null", F.lit(True))
+    return met.withColumn("facts", F.when(add, put(fact_map(), F.lit(key), F.col("_v"))).otherwise(fact_map())).drop("_v")
+
+
+def _marker(provider: Column, family: Column, basis: str, model: Column | None = None) -> Column:
+    fields = [F.lit(basis).alias("basis"), F.coalesce(family, F.lit("")).alias("family")] + ([model.alias("model_id")] if model is not None else []) + [provider.alias("provider_id")]
+    return F.to_json(F.struct(*fields))
+
+
+def _marked(rates: Column, marker: Column) -> Column:
+    return F.transform_values(rates, lambda k, v: F.when(k.startswith("rate."), with_field(v, "inherited_from", marker)).otherwise(v))
+
+
+def rate_cards(e: DataFrame, by: DataFrame) -> DataFrame:
+    """(provider, model, card): the rates of entities of the providers in by(provider), with model.family beside them."""
+    card = F.map_filter(fact_map(), lambda k, _: k.startswith("rate.") | (k == "model.family"))
+    return e.join(by.select("provider").distinct(), "provider", "left_semi").select(*ID, card.alias("card"))
+
+
+def inherit_rates(e: DataFrame, creators: DataFrame, cards: DataFrame) -> DataFrame:
+    """An entity without any rate whose model.open_weights is true and whose family has a creator (creators(family, creator)) takes
+    that provider's rates for the same model, mode rates left out, marked with inherited_from."""
+    none = ~F.exists(F.map_keys(fact_map()), lambda k: k.startswith("rate."))
+    heir = none & (fact_map()["model.open_weights"] == "true")
+    m = e.withColumn("family", F.when(heir, text_of(fact_map()["model.family"]))).join(creators, "family", "left")
+    c = cards.select(F.col("provider").alias("creator"), "model", "card")
+    m = m.join(c, ["creator", "model"], "left")
+    got = F.map_filter("card", lambda k, _: k.startswith("rate.") & ~is_mode_rate(k))
+    take = F.col("card").isNotNull() & (F.col("creator") != F.col("provider"))
+    facts = F.when(take, put_all(fact_map(), _marked(got, _marker(F.col("creator"), F.col("family"), "open_weights")))).otherwise(fact_map())
+    return m.withColumn("facts", facts).select(*e.columns)
+
+
+ALIAS = "provider string, model string, target_provider string, target string, name string, wire_family string, wire_ids map<string,string>, default_effort string, output_limit long"
+
+
+def project_aliases(e: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
+    """e and a row for each alias (see ALIAS) whose id was never recorded (known: every id that ever was) and whose target is in e: the
+    target's facts but for those of its endpoint (capability.temperature stays where it is false), with the alias's own name, family,
+    efforts and limit; rates say through which row they are borrowed, unless they are inherited already. One hop only. Adds
+    the column alias_of, null for entities of their own."""
+    from factledger.functions.claims import restricted_options
+
+    columns = [f.split()[0] for f in ALIAS.split(", ")]
+    own = [F.col(c) if c in aliases.columns else F.lit(None).cast(f.split(" ", 1)[1]).alias(c) for c, f in zip(columns, ALIAS.split(", "))]
+    live = aliases.select(*own).join(known.select(*ID), ID, "left_anti")
+    to = live.groupBy(F.col("target_provider").alias("_p"), F.col("target").alias("_m")).agg(F.collect_list(F.struct(*columns)).alias("_a"))
+    m = e.join(to, (e["provider"] == F.col("_p")) & (e["model"] == F.col("_m")), "left").drop("_p", "_m")
+    me = F.lit(None).cast(f"struct<{', '.join(f.replace(' ', ': ', 1) for f in ALIAS.split(', '))}>")
+    m = m.withColumn("_a", F.explode(F.concat(F.array(me), F.coalesce("_a", F.array().cast(m.schema["_a"].dataType)))))
+    a = F.col("_a")
+    kept = without(lambda k: k.isin(*ROUTE_FACTS) | k.startswith("route.") | ((k == "capability.temperature") & (F.coalesce(fact_map()["capability.temperature"], F.lit("")) != "false")))
+    kept = _marked(kept, _marker(F.col("provider"), text_of(fact_map()["model.family"]), "alias", F.col("model")))
+    mapped = F.coalesce(F.size(a["wire_ids"]) > 0, F.lit(False))
+    options = "capability.reasoning_options"
+    said = {
+        "wire.family": quoted(a["wire_family"]), "model.name": quoted(a["name"]), "limit.output": a["output_limit"].cast("string"),
+        options: F.when(mapped & has(options), restricted_options(fact_map()[options], a["wire_ids"])),
+        "route.reasoning_wire_ids": F.when(mapped, F.to_json(a["wire_ids"])), "route.reasoning_default": quoted(a["default_effort"]),
+    }
+    said = stated(said)
+    facts = F.when(a.isNull(), fact_map()).otherwise(put_all(kept, said))
+    of = F.when(a.isNotNull(), F.struct(F.col("provider"), F.col("model")))
+    rest = [c for c in e.columns if c not in (*ID, "facts")]
+    return m.select(F.coalesce(a["provider"], "provider").alias("provider"), F.coalesce(a["model"], "model").alias("model"), facts.alias("facts"), of.alias("alias_of"), *rest)
+
+
+def apply_curated(e: DataFrame, curated: DataFrame, held: DataFrame, method: str | None = None) -> DataFrame:
+    """curated(provider, model, facts map, auth_methods): rows of ids that are not held and that upstream does not have present (an alias
+    doesn't count) replace what the id had, whole; with a login method only rows that allow it, the others leave nothing.
+    e has existence among its facts where upstream knows the id. Adds the column curated."""
+    rows = curated.join(held.select(*ID).distinct(), ID, "left_anti").select(*ID, F.col("facts").alias("_f"), F.col("auth_methods").alias("_auth"), F.lit(True).alias("curated"))
+    m = e.join(rows, ID, "full_outer")
+    present = F.coalesce(fact_map()["existence"] == '"present"', F.lit(False))
+    if "alias_of" in e.columns:
+        present = present & F.col("alias_of").isNull()
+    m = m.withColumn("curated", F.coalesce("curated", F.lit(False)) & ~present)
+    if method is not None:
+        m = m.where(~F.col("curated") | F.coalesce(F.array_contains("_auth", method), F.lit(False)))
+    return m.withColumn("facts", F.when(F.col("curated"), F.col("_f")).otherwise(fact_map())).drop("_f", "_auth")
+
+
+def apply_logins(e: DataFrame, rows: DataFrame, method: str | None) -> DataFrame:
+    """rows(provider, model, methods array): with a method, upstream's own entities whose list lacks it go; aliases and curated rows have
+    lists of their own. Adds the column login_methods."""
+    m = e.join(rows.select(*ID, F.col("methods").alias("login_methods")), ID, "left")
+    own = reduce(lambda a, b: a & b, [F.col("alias_of").isNull() if "alias_of" in e.columns else F.lit(True), ~F.col("curated") if "curated" in e.columns else F.lit(True)])
+    m = m.withColumn("login_methods", F.when(own, F.col("login_methods")))
+    return m if method is None else m.where(F.col("login_methods").isNull() | F.array_contains("login_methods", method))
+
+
+def apply_lifetimes(e: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules(provider, model, lifetimes array, ratios array<struct<ttl, num, den>>, shortest first): the fact capability.cache_lifetimes, and
+    for every tier the price of each lifetime, the input's times an exact ratio. A tier whose write rate is not the shortest
+    lifetime's price, or of which a product isn't whole, withholds the prices of the whole card. Inherited prices establish none."""
+    m = e.join(rules.select(*ID, F.col("lifetimes").alias("_l"), F.col("ratios").alias("_r")), ID, "left")
+    tier = r"^rate\.(?:input|cache_write)((?:\.above_context\.[0-9]+)?)$"
+    tiers = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.filter(F.map_keys(fact_map()), lambda k: k.rlike(tier)), lambda k: F.regexp_extract(k, tier, 1))))
+    cost = lambda t, r: exact_ratio(nano_amount(fact_map()[F.concat(F.lit("rate.input"), t)]), r["num"], r["den"])
+    write = lambda t: fact_map()[F.concat(F.lit("rate.cache_write"), t)]
+    sound = F.forall(tiers, lambda t: F.coalesce((cost(t, F.col("_r")[0]) == nano_amount(write(t))) & F.forall("_r", lambda r: cost(t, r).isNotNull()), F.lit(False)))
+    price = lambda t, r: F.regexp_replace(F.regexp_replace(write(t), r'"units":[0-9]+', F.concat(F.lit('"units":'), cost(t, r).cast("string"))), r'"exponent":[0-9]+', '"exponent":9')
+    entries = F.flatten(F.transform(tiers, lambda t: F.transform("_r", lambda r: F.struct(F.concat(F.lit("rate.cache_write"), t, F.lit(".ttl."), r["ttl"]), price(t, r)))))
+    priced = F.when((F.size("_r") > 0) & sound, F.map_from_entries(entries)).otherwise(F.create_map().cast(EMPTY))
+    facts = put(put_all(fact_map(), priced), F.lit("capability.cache_lifetimes"), F.to_json("_l"))
+    return m.withColumn("facts", F.when(F.col("_l").isNotNull(), facts).otherwise(fact_map())).drop("_l", "_r")
+
+
+def apply_ranges(e: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges(provider, low, high): limit.temperature_min and _max, unless the entity is an alias or its temperature is false."""
+    m = e.join(ranges.select("provider", F.col("low").cast("string").alias("_lo"), F.col("high").cast("string").alias("_hi")), "provider", "left")
+    told = F.col("_lo").isNotNull() & ~F.coalesce(fact_map()["capability.temperature"] == "false", F.lit(False))
+    if "alias_of" in e.columns:
+        told = told & F.col("alias_of").isNull()
+    both = F.create_map(F.lit("limit.temperature_min"), F.col("_lo"), F.lit("limit.temperature_max"), F.col("_hi"))
+    return m.withColumn("facts", F.when(told, put_all(fact_map(), both)).otherwise(fact_map())).select(*e.columns)
+
+
+def lineage(e: DataFrame, by_model: DataFrame, by_family: DataFrame, by_lab: DataFrame, by_provider: DataFrame) -> DataFrame:
+    """model.lineage: by exact id (provider/model); else, where there is a family and the entity is no alias, by family and nothing else;
+    else, where there is a canonical id, by its lab and nothing else; else, of entities of their own, by provider. Tables are
+    (key, class)."""
+    is_alias = F.col("alias_of").isNotNull() if "alias_of" in e.columns else F.lit(False)
+    m = e.withColumn("_id", F.concat_ws("/", *ID)).withColumn("_family", text_of(fact_map()["model.family"])).withColumn("_canon", text_of(fact_map()["model.canonical_id"]))
+    m = m.withColumn("_lab", F.when(F.instr("_canon", "/") > 0, F.substring_index("_canon", "/", 1)))
+    for name, table, col in (("_1", by_model, "_id"), ("_2", by_family, "_family"), ("_3", by_lab, "_lab"), ("_4", by_provider, "provider")):
+        m = m.join(table.select(F.col("key").alias(col), F.col("class").alias(name)), col, "left")
+    found = F.when(F.col("_1").isNotNull(), F.col("_1")).when(~is_alias & F.col("_family").isNotNull(), F.col("_2")).when(F.col("_canon").isNotNull(), F.col("_3")).when(~is_alias, F.col("_4"))
+    return m.withColumn("facts", F.when(found.isNotNull(), put(fact_map(), F.lit("model.lineage"), quoted(found))).otherwise(fact_map())).select(*e.columns)
+
+
+def borrow_rates(e: DataFrame, cards: DataFrame, target: Column, provider: str) -> DataFrame:
+    """Rates of a subscription that borrows `provider`'s: target names the model whose card stands in, marked as quota_proxy; where there is
+    no such card every rate, and the base classes, say unpriced for that reason."""
+    c = cards.where(F.col("provider") == provider).select(F.col("model").alias("_t"), "card")
+    m = e.withColumn("_t", target).join(c, "_t", "left")
+    rest = without(lambda k: k.startswith("rate."))
+    theirs = F.map_filter("card", lambda k, _: k.startswith("rate."))
+    got = put_all(rest, _marked(theirs, _marker(F.lit(provider), text_of(F.col("card")["model.family"]), "quota_proxy", F.col("_t"))))
+    none = F.transform_values(fact_map(), lambda k, v: F.when(k.startswith("rate."), F.lit(NO_CARD)).otherwise(v))
+    none = put_all(none, F.map_from_arrays(F.array(*[F.lit(f"rate.{c}") for c in BASE_CLASSES]), F.array(*[F.lit(NO_CARD)] * len(BASE_CLASSES))))
+    return m.withColumn("facts", F.when(F.col("card").isNotNull(), got).otherwise(none)).drop("_t", "card")
+
+
+def apply_plane(e: DataFrame, rules: DataFrame, keep_published: bool) -> DataFrame:
+    """A billing plane's rules(provider, class, action, target, model_ids array or null): for the base rate of the class, and for every
+    context tier that the class (of billed_as also the target) has, the entity says billed_as with the target's key (not established
+    where the target has no such rate), stated zero or not established. Targets and tiers are those before any rule.
+    keep_published leaves a rate that is there alone. Adds the column ruled: the facts that a rule gave."""
+    mine = rules.groupBy("provider").agg(F.collect_list(F.struct("class", "action", "target", "model_ids")).alias("_r"))
+    m = e.join(mine, "provider", "left")
+    ours = F.filter(F.coalesce("_r", F.array().cast(m.schema["_r"].dataType)), lambda r: r["model_ids"].isNull() | F.array_contains(r["model_ids"], F.col("model")))
+    tail = r"\.above_context\.[0-9]+$"
+    starts = lambda k, c: k.startswith(F.concat(F.lit("rate."), c, F.lit(".above_context."))) & (F.regexp_replace(k, tail, "") == F.concat(F.lit("rate."), c))
+
+    def entries(r: Column) -> Column:
+        billed = r["action"] == "billed_as"
+        hit = F.filter(F.map_keys(fact_map()), lambda k: starts(k, r["class"]) | F.coalesce(billed & starts(k, r["target"]), F.lit(False)))
+        tiers = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(hit, lambda k: F.regexp_extract(k, tail, 0))))
+        if keep_published:
+            tiers = F.filter(tiers, lambda t: ~F.map_contains_key(fact_map(), F.concat(F.lit("rate."), r["class"], t)))
+        of = lambda t: F.concat(F.lit("rate."), r["target"], t)
+        value = lambda t: F.when(billed & F.coalesce(F.map_contains_key(fact_map(), of(t)), F.lit(False)), F.to_json(F.struct(of(t).alias("key"), F.lit("billed_as").alias("state")))).when(r["action"] == "stated_zero", F.lit(ZERO)).otherwise(F.lit(NOT_ESTABLISHED))
+        return F.transform(tiers, lambda t: F.struct(F.concat(F.lit("rate."), r["class"], t).alias("k"), value(t).alias("v")))
+
+    m = m.withColumn("ruled", F.map_from_entries(F.flatten(F.transform(ours, entries))))
+    return m.withColumn("facts", put_all(fact_map(), F.col("ruled"))).drop("_r")
+
+
+def apply_twins(e: DataFrame, twins: DataFrame) -> DataFrame:
+    """twins(provider, base, mode, twin, label): a twin's rates, but for mode rates, become the base's rates of that mode, in place of the base's
+    own, where both are served; the base says route.mode_wire_ids and route.mode_labels, the twin model.mode_of. One shuffle: twins
+    send their card to the row of their base."""
+    t = twins.groupBy("provider", F.col("twin").alias("model")).agg(F.first(F.struct("base", "mode", "label")).alias("_t"))
+    m = e.join(t, ID, "left")
+    of = F.to_json(F.struct(F.struct(F.col("_t.mode").alias("mode"), F.col("_t.base").alias("model_id")).alias("v")))
+    of = F.regexp_extract(of, r'^\{"v":(.*)\}$', 1)
+    plain = F.map_filter(fact_map(), lambda k, _: k.startswith("rate.") & ~is_mode_rate(k))
+    moded = F.transform_keys(plain, lambda k, _: F.concat(F.regexp_extract(k, r"^rate\.[a-z0-9_]+", 0), F.lit(".mode."), F.col("_t.mode"), F.regexp_extract(k, r"^rate\.[a-z0-9_]+(.*)$", 1)))
+    sent = F.when(F.col("_t").isNotNull(), F.struct(F.col("_t.base").alias("model"), F.lit(None).cast(e.schema["facts"].dataType).alias("facts"), F.struct(F.col("model").alias("twin"), F.col("_t.mode").alias("mode"), F.col("_t.label").alias("label"), moded.alias("rates")).alias("card")))
+    self_facts = F.when(F.col("_t").isNotNull(), put(fact_map(), F.lit("model.mode_of"), of)).otherwise(fact_map())
+    me = F.struct(F.col("model").alias("model"), self_facts.alias("facts"), F.lit(None).cast("struct<twin:string,mode:string,label:string,rates:map<string,string>>").alias("card"))
+    rest = [c for c in e.columns if c not in (*ID, "facts")]
+    carried = F.struct(*rest) if rest else F.struct(F.lit(None).alias("none"))
+    parts = m.select("provider", F.explode(F.array_compact(F.array(F.struct(me.alias("x"), F.lit(True).alias("own")), F.when(sent.isNotNull(), F.struct(sent.alias("x"), F.lit(False).alias("own")))))).alias("y"), carried.alias("_rest"))
+    parts = parts.select("provider", F.col("y.x.model").alias("model"), F.col("y.x.facts").alias("facts"), F.col("y.x.card").alias("card"), F.when(F.col("y.own"), F.col("_rest")).alias("_rest"))
+    g = parts.groupBy(*ID).agg(F.first("facts", ignorenulls=True).alias("facts"), F.first("_rest", ignorenulls=True).alias("_rest"), F.array_sort(F.collect_list("card"), lambda a, b: F.when(a["mode"] < b["mode"], -1).when(a["mode"] > b["mode"], 1).otherwise(0)).alias("cards")).where("facts IS NOT NULL")
+    rates = F.aggregate("cards", F.create_map().cast(EMPTY), lambda acc, c: put_all(acc, c["rates"]))
+    named = lambda field: F.to_json(F.map_from_entries(F.transform(F.col("cards"), lambda c: F.struct(c["mode"], c[field]))))
+    got = put_all(fact_map(), put_all(rates, F.create_map(F.lit("route.mode_wire_ids"), named("twin"), F.lit("route.mode_labels"), named("label"))))
+    return g.select(*ID, F.when(F.size("cards") > 0, got).otherwise(fact_map()).alias("facts"), *[F.col("_rest")[c].alias(c) for c in rest])
+
+
+def apply_retired(e: DataFrame, retired: DataFrame, known: DataFrame) -> DataFrame:
+    """retired(provider, model, successor): ids that upstream never knew and that nothing serves get existence = "absent" and the successor."""
+    rows = retired.join(known.select(*ID), ID, "left_anti").select(*ID, F.col("successor").alias("_s"), F.lit(True).alias("_x"))
+    m = e.join(rows, ID, "full_outer")
+    gone = F.create_map(F.lit("existence"), F.lit('"absent"'))
+    gone = F.when(F.col("_s").isNotNull(), F.map_concat(gone, F.create_map(F.lit("successor"), quoted(F.col("_s"))))).otherwise(gone)
+    return m.withColumn("facts", F.coalesce(fact_map(), F.when(F.col("_x"), gone))).drop("_s", "_x")
 
 
-def apply_twins(facts: DataFrame, twins: DataFrame) -> DataFrame:
-    """twins(provider, base, mode, twin): the twin's rates become the base's rates of that mode, and the twin says mode_of."""
-    t = facts.where(F.col("fact_key").startswith("rate.")).withColumnRenamed("model", "twin").join(twins, ["provider", "twin"])
-    key = F.concat(F.regexp_extract("fact_key", r"^rate\.[a-z0-9_]+", 0), F.lit(".mode."), F.col("mode"), F.regexp_extract("fact_key", r"^rate\.[a-z0-9_]+(.*)$", 1))
-    rates = t.select("provider", F.col("base").alias("model"), key.alias("fact_key"), "value_json").join(facts.select(*KEY), KEY, "left_anti")
-    of = twins.select("provider", F.col("twin").alias("model"), F.lit("mode_of").alias("fact_key"), F.concat(F.lit('"'), "base", F.lit('"')).alias("value_json")).join(known_ids(facts), ID, "left_semi")
-    return merge_layers(facts, rates, of)
+def overlay(published: DataFrame, local: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(local over published, disclosure of before and after where they differ). One full join of the two."""
+    p = published.select(*keys, F.col(value).alias("before"), F.lit(True).alias("_p"))
+    mine = local.select(*keys, F.col(value).alias("after"), F.lit(True).alias("_l"))
+    met = p.join(mine, keys, "full_outer")
+    merged = met.select(*keys, F.when(F.col("_l"), F.col("after")).otherwise(F.col("before")).alias(value))
+    return merged, met.where(F.col("_l") & ~F.col("before").eqNullSafe(F.col("after"))).select(*keys, "after", "before")
 
 
-def apply_plane(rates: DataFrame, rules: DataFrame, keep_published: bool = False) -> DataFrame:
-    """rates(entity, class, tier, value) under a billing plane's rules(class, action, target): billed_as takes the target class's
-    value of the same tier *as it was before any rule* (not_established where there is none), stated_zero and
-    not_established say so. keep_published leaves published values alone."""
-    r = rules.select(F.col("class"), "action", "target")
-    before = rates.select("entity", F.col("class").alias("target"), "tier", F.col("value").alias("_target"))
-    met = rates.join(r, "class", "left").join(before, ["entity", "target", "tier"], "left")
-    new = F.when(F.col("action") == "billed_as", F.coalesce("_target", F.lit("not_established"))).when(F.col("action").isNotNull(), F.col("action")).otherwise(F.col("value"))
-    if keep_published:
-        new = F.coalesce("value", new)
-    return met.select("entity", "class", "tier", new.alias("value"), F.col("action").isNotNull().alias("ruled"))
+def strictest_limits(entities: DataFrame, limits: DataFrame) -> DataFrame:
+    """entities(provider, modalities array, context) x limits(provider, modality, limit, min_context): the strictest limit
+    whose modality the entity has and whose context threshold (null: none) it reaches."""
+    met = entities.join(limits, "provider").where(F.array_contains("modalities", F.col("modality")) & (F.col("min_context").isNull() | (F.col("context") >= F.col("min_context"))))
+    return met.groupBy(*ID, "modality").agg(F.min("limit").alias("limit"))
 
 
 def prune(disclosures: DataFrame, facts: DataFrame, keys: list[str], value: str | None = None) -> DataFrame:
     """Disclosures whose fact is still served (with `value`: with the same value)."""
     return disclosures.join(facts.select(*keys, *([value] if value else [])).distinct(), [*keys, *([value] if value else [])], "left_semi")
-

@@ -28,23 +28,40 @@ def streaks(obs: DataFrame, by: list[str]) -> DataFrame:
     return island.withColumn("streak", F.sum(F.when(F.col("outcome") == "failed", 1).otherwise(0)).over(within)).drop("_island")
 
 
+def _instants(obs: DataFrame, by: list[str]) -> DataFrame:
+    """One row per source: bounds, and every poll since the last confirmation or failure counted with one window over the polls."""
+    ok, bad = F.col("outcome").isin(*CONFIRMING), F.col("outcome") == "failed"
+    last = Window.partitionBy(*by)
+    written = F.max(F.when(F.col("outcome") != "unrecorded", F.col("observed_at_ms"))).over(last)
+    told = obs.withColumn("_written", written).withColumn("_ok", F.max(F.when(ok, F.col("observed_at_ms"))).over(last)).withColumn("_bad", F.max(F.when(bad, F.col("observed_at_ms"))).over(last))
+    at = F.col("observed_at_ms")
+    return told.groupBy(*by).agg(
+        F.max(at).alias("last_attempt_ms"), F.max("_ok").alias("last_confirmed_ms"), F.max("_bad").alias("last_failed_ms"), F.count_if(bad).alias("failures"),
+        F.count_if(bad & (F.col("_ok").isNull() | (at > F.col("_ok")))).alias("failing"), F.count_if(at > F.col("_bad")).alias("polls_since"),
+        F.count_if(F.col("_written").isNull() | (at > F.col("_written"))).alias("unrecorded"),
+        F.max_by("failure_class", F.when(bad, F.struct("observed_at_ms", "id"))).alias("last_class"),
+    )
+
+
 def freshness(obs: DataFrame, now: int, by: list[str], stale_ms: int = 7_200_000, failures: int = 4, idle_ms: int = 4_200_000) -> DataFrame:
-    """Per source: the last attempt and confirmation, the failures since, and a status: silent, failing, stale or fresh."""
-    ok = F.col("outcome").isin(*CONFIRMING)
-    last = obs.groupBy(*by).agg(F.max("observed_at_ms").alias("last_attempt_ms"), F.max(F.when(ok, F.col("observed_at_ms"))).alias("last_confirmed_ms"))
-    run = obs.where("outcome = 'failed'").join(last.select(*by, "last_confirmed_ms"), by).where("last_confirmed_ms IS NULL OR observed_at_ms > last_confirmed_ms").groupBy(*by).agg(F.count(F.lit(1)).alias("failing"))
-    out = last.join(run, by, "left").withColumn("failing", F.coalesce("failing", F.lit(0)))
-    status = F.when(F.lit(now) - F.col("last_attempt_ms") > idle_ms, "silent").when(F.col("failing") >= failures, "failing").when(F.col("last_confirmed_ms").isNull() | (F.lit(now) - F.col("last_confirmed_ms") > stale_ms), "stale").otherwise("fresh")
-    return out.withColumn("status", status)
+    """Per source: the last attempt and confirmation, the failures since, and a status: silent, unrecorded (the newest two polls or more could
+    not be written down, outcome unrecorded), failing, stale or fresh."""
+    out = _instants(obs, by)
+    status = F.when(F.lit(now) - F.col("last_attempt_ms") > idle_ms, "silent").when(F.col("unrecorded") >= 2, "unrecorded").when(F.col("failing") >= failures, "failing").when(F.col("last_confirmed_ms").isNull() | (F.lit(now) - F.col("last_confirmed_ms") > stale_ms), "stale").otherwise("fresh")
+    return out.select(*by, "last_attempt_ms", "last_confirmed_ms", "failing", status.alias("status"))
 
 
 def failure_history(obs: DataFrame, by: list[str]) -> DataFrame:
     """Failures of every source: how many, the last instant and class, and the polls since (0 where none failed)."""
-    bad = F.col("outcome") == "failed"
-    when = lambda c: F.when(bad, c)
-    failed = obs.groupBy(*by).agg(F.count_if(bad).alias("failures"), F.max(when(F.col("observed_at_ms"))).alias("last_failed_ms"), F.max_by("failure_class", when(F.struct("observed_at_ms", "id"))).alias("last_class"))
-    since = obs.join(failed.select(*by, "last_failed_ms"), by).where("observed_at_ms > last_failed_ms").groupBy(*by).agg(F.count(F.lit(1)).alias("polls_since"))
-    return failed.join(since, by, "left").withColumn("polls_since", F.coalesce("polls_since", F.lit(0)))
+    return _instants(obs, by).select(*by, "failures", "last_failed_ms", "last_class", "polls_since")
+
+
+def read_observations(obs: DataFrame, since: int | None = None, before: int | None = None, n: int | None = None) -> DataFrame:
+    """Polls from an instant on and before another, the newest n of them if given, newest first."""
+    rows = obs if since is None else obs.where(F.col("observed_at_ms") >= since)
+    rows = rows if before is None else rows.where(F.col("observed_at_ms") < before)
+    rows = rows.orderBy(F.desc("observed_at_ms"), F.desc("id"))
+    return rows if n is None else rows.limit(n)
 
 
 def recent(obs: DataFrame, n: int) -> DataFrame:
@@ -120,12 +137,12 @@ def curated_at(eras: DataFrame, at: int, keys: list[str], tombstones: bool = Fal
 
 
 def run_origin(eras: DataFrame, at: int, keys: list[str], claim: str) -> DataFrame:
-    """Of each key the newest *id* among boundaries not after `at`, with origin: the first boundary of the current run of
-    equal claims (read backwards by id until the claim differs)."""
+    """Of each key the newest *id* among boundaries not after `at`, with origin: the boundary of the least id in the current
+    run of equal claims (read backwards by id until the claim differs)."""
     back = Window.partitionBy(*keys).orderBy(F.desc("id"))
     rows = eras.where(F.col("boundary") <= at).withColumn("_newest", F.first(claim).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_breaks", F.sum(F.when(F.col(claim).eqNullSafe(F.col("_newest")), 0).otherwise(1)).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("_breaks = 0").groupBy(*keys).agg(F.max("id").alias("id"), F.max_by(claim, "id").alias(claim), F.max_by("boundary", "id").alias("boundary"), F.min_by("boundary", F.struct("boundary", "id")).alias("origin"))
+    return rows.where("_breaks = 0").groupBy(*keys).agg(F.max("id").alias("id"), F.max_by(claim, "id").alias(claim), F.max_by("boundary", "id").alias("boundary"), F.min_by("boundary", "id").alias("origin"))
 
 
 def append_scd2(rows: DataFrame, history: DataFrame, keys: list[str], claim: str, now: int, established: str | None = "established_at_ms") -> DataFrame:
@@ -184,13 +201,15 @@ def check_invariants(df: DataFrame, rules: dict[str, Column], unique: list[str]
 
 
 def era_rules() -> dict[str, Column]:
-    """Column rules of an era: a known kind; a window only for corrections and then not backwards; a seed without a window of
-    uncertainty; an observed era with the poll before it."""
-    kind = F.col("kind")
+    """Column rules of an era: a known kind; the window and its reason come with a correction, all of them, and with nothing else; the poll
+    before it comes with an observed era and nothing else, and lies before the boundary; a seed names no poll."""
+    kind, extent = F.col("kind"), [F.col(c).isNotNull() for c in ("from_ms", "until_ms", "reason")]
+    whole, none = extent[0] & extent[1] & extent[2], ~(extent[0] | extent[1] | extent[2])
     return {
         "kind": kind.isin("observed", "asserted", "seed", "corrected"),
-        "window": (kind == "corrected") == F.col("from_ms").isNotNull(),
-        "window_order": F.coalesce(F.col("from_ms") <= F.col("until_ms"), kind != "corrected"),
-        "seed": (kind != "seed") | F.col("prior_ms").isNull(),
-        "observed": (kind != "observed") | F.col("prior_ms").isNotNull(),
+        "prior": (kind == "observed") == F.col("prior_ms").isNotNull(),
+        "prior_order": F.col("prior_ms").isNull() | (F.col("prior_ms") < F.col("boundary")),
+        "window": F.when(kind == "corrected", whole).otherwise(none),
+        "window_order": F.col("from_ms").isNull() | (F.col("from_ms") <= F.col("until_ms")),
+        "seed_poll": (kind != "seed") | F.col("observation_id").isNull(),
     }

@@ -38,7 +38,7 @@ def eras(spark, d: str) -> DataFrame:
 
 
 def fixes(spark, d: str) -> DataFrame:
-    return eras(spark, d).where("fact_key = 'error' AND id % 5 = 0").select("user_id", F.lit("view").alias("fact_key"), (F.col("boundary") - 48 * HOUR).alias("from_ms"), (F.col("boundary") + 48 * HOUR).alias("until_ms"), F.col("id").alias("record"))
+    return eras(spark, d).where("fact_key = 'error'").select("user_id", F.lit("view").alias("fact_key"), (F.col("boundary") - 48 * HOUR).alias("from_ms"), (F.col("boundary") + 48 * HOUR).alias("until_ms"), F.col("id").alias("record"))
 
 
 def polls(spark, d: str) -> DataFrame:
@@ -50,18 +50,20 @@ def polls(spark, d: str) -> DataFrame:
 def order_facts(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Two snapshots of each customer's order statuses: before a date, and with everything but a seventh of the customers."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
-    def snap(rows: DataFrame) -> DataFrame:
+    def snap(rows: DataFrame, absent: str = "false") -> DataFrame:
+        state = F.when(F.expr(absent), '"absent"').otherwise('"present"')
         facts = rows.groupBy("o_custkey", F.concat(F.lit("k"), (F.col("o_orderkey") % 5).cast("string")).alias("fact_key")).agg(F.concat(F.lit('"'), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")), F.lit('"')).alias("value_json"))
-        return facts.unionByName(rows.select("o_custkey").distinct().select("o_custkey", F.lit("existence").alias("fact_key"), F.lit('"present"').alias("value_json")))
-    return snap(o.where("o_orderdate < '1998-01-01'")), snap(o.where("o_orderdate >= '1996-01-01' AND o_custkey % 7 <> 0"))
+        return facts.unionByName(rows.select("o_custkey").distinct().select("o_custkey", F.lit("existence").alias("fact_key"), state.alias("value_json")))
+    # some customers are held as absent, with facts from before: they return
+    return snap(o.where("o_orderdate < '1998-01-01'"), "o_custkey % 11 = 0"), snap(o.where("o_orderdate >= '1996-01-01' AND o_custkey % 7 <> 0"))
 
 
 _ERAS = "eras AS (SELECT event_id AS id, user_id, event_type AS fact_key, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS value_json, (epoch_us(ts) // 1000) AS boundary, (epoch_us(ts) // 1000) // 3600000 AS observation_id, (epoch_us(ts) // 1000) - (event_id % 50 + 1) * 3600000 AS prior_ms FROM events)"
-_FIX = "fixes AS (SELECT user_id, 'view' AS fact_key, boundary - 172800000 AS from_ms, boundary + 172800000 AS until_ms, id AS record FROM eras WHERE fact_key = 'error' AND id % 5 = 0)"
+_FIX = "fixes AS (SELECT user_id, 'view' AS fact_key, boundary - 172800000 AS from_ms, boundary + 172800000 AS until_ms, id AS record FROM eras WHERE fact_key = 'error')"
 _POLLS = "polls AS (SELECT observation_id AS id, 'events' AS source, (observation_id + 1) * 3600000 AS observed_at_ms, CASE WHEN errors >= 4 THEN 'failed' ELSE 'changed' END AS outcome, CASE WHEN errors >= 4 THEN CASE WHEN errors % 2 = 0 THEN 'network' ELSE 'parse' END END AS failure_class, CASE WHEN errors < 4 THEN etag END AS etag FROM (SELECT observation_id, count(*) FILTER (fact_key = 'error') AS errors, max(value_json) AS etag FROM eras GROUP BY 1))"
 _ASOF = f"inforce AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, fact_key ORDER BY boundary DESC, id DESC) AS rn FROM eras WHERE boundary <= {AT}) WHERE rn = 1)"
 _SNAPS = """oa AS (SELECT * FROM orders WHERE o_orderdate < '1998-01-01'), ob AS (SELECT * FROM orders WHERE o_orderdate >= '1996-01-01' AND o_custkey % 7 <> 0),
-a AS (SELECT o_custkey, 'k' || (o_orderkey % 5) AS fact_key, '"' || arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) || '"' AS value_json FROM oa GROUP BY 1, 2 UNION ALL SELECT DISTINCT o_custkey, 'existence', '"present"' FROM oa),
+a AS (SELECT o_custkey, 'k' || (o_orderkey % 5) AS fact_key, '"' || arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) || '"' AS value_json FROM oa GROUP BY 1, 2 UNION ALL SELECT DISTINCT o_custkey, 'existence', CASE WHEN o_custkey % 11 = 0 THEN '"absent"' ELSE '"present"' END FROM oa),
 b AS (SELECT o_custkey, 'k' || (o_orderkey % 5) AS fact_key, '"' || arg_max(o_orderstatus, {'d': o_orderdate, 'k': o_orderkey}) || '"' AS value_json FROM ob GROUP BY 1, 2 UNION ALL SELECT DISTINCT o_custkey, 'existence', '"present"' FROM ob)"""
 _PREV = "prev AS (SELECT *, lag(value_json) OVER w AS previous_value, row_number() OVER w > 1 AS has_previous FROM eras WINDOW w AS (PARTITION BY user_id, fact_key ORDER BY boundary, id))"
 
@@ -158,13 +160,12 @@ def _(s, d):
 
 
 @query("correction_plan", f"""WITH {_ERAS}, {_FIX}, cur AS (SELECT user_id, fact_key, max(boundary) AS since, arg_max(value_json, {{'b': boundary, 'i': id}}) AS v FROM eras GROUP BY 1, 2),
-t AS (SELECT f.record, list_filter([CASE WHEN f.record % 3 = 0 THEN 'not_addressable' END, CASE WHEN cur.since IS NULL THEN 'no_such_fact' END, CASE WHEN cur.since BETWEEN f.from_ms AND f.until_ms THEN 'current_in_window' END,
- CASE WHEN NOT EXISTS (SELECT 1 FROM eras e WHERE e.user_id = f.user_id AND e.fact_key = f.fact_key AND e.boundary BETWEEN f.from_ms AND f.until_ms) AND (SELECT arg_max(value_json, {{'b': boundary, 'i': id}}) FROM eras e WHERE e.user_id = f.user_id AND e.fact_key = f.fact_key AND e.boundary < f.from_ms) = cur.v THEN 'unchanged' END,
- CASE WHEN f.record % 2 = 0 THEN 'already_recorded' END], lambda x: x IS NOT NULL) AS r FROM fixes f LEFT JOIN cur ON cur.user_id = f.user_id AND cur.fact_key = f.fact_key)
-SELECT record, array_to_string(r, ',') AS refusals FROM t""")
+w AS (SELECT f.record, f.record % 2 = 0 AS known, f.until_ms, any_value(cur.since) AS since, any_value(cur.v) AS v, arg_max(e.value_json, {{'b': e.boundary, 'i': e.id}}) FILTER (e.boundary <= f.from_ms) AS entering, count(*) FILTER (e.boundary > f.from_ms AND e.boundary <= f.until_ms AND e.value_json <> cur.v) AS moved
+ FROM fixes f LEFT JOIN cur USING (user_id, fact_key) LEFT JOIN eras e ON e.user_id = f.user_id AND e.fact_key = f.fact_key GROUP BY 1, 2, 3)
+SELECT record, CASE WHEN record % 3 = 0 THEN 'not_addressable' WHEN since IS NULL THEN 'no_such_fact' WHEN since < until_ms THEN 'present_still_affected' WHEN entering = v AND moved = 0 THEN 'unchanged' WHEN known THEN 'already_recorded' ELSE '' END AS refusals FROM w""")
 def _(s, d):
-    f = fixes(s, d)
-    plan = corrections.plan_corrections(f.withColumn("reason", F.lit("audit")), eras(s, d), f.where("record % 2 = 0"), KEYS, F.col("record") % 3 != 0)
+    f = fixes(s, d).withColumn("reason", F.lit("audit"))
+    plan = corrections.plan_corrections(f, eras(s, d), f.where("record % 2 = 0"), KEYS, F.col("record") % 3 != 0)
     return plan.select("record", F.array_join("refusals", ",").alias("refusals"))
 
 
@@ -183,8 +184,8 @@ def _(s, d):
 # differences and deltas
 
 _PLAN = f"""WITH {_SNAPS}, m AS (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.fact_key, b.fact_key) AS fact_key, a.value_json AS old, b.value_json AS new FROM a FULL JOIN b ON a.o_custkey = b.o_custkey AND a.fact_key = b.fact_key),
-p AS (SELECT m.*, m.o_custkey IN (SELECT o_custkey FROM a) AS known, m.o_custkey IN (SELECT o_custkey FROM b) AS there FROM m),
-r AS (SELECT o_custkey, fact_key, CASE WHEN NOT there THEN '"absent"' WHEN new IS NOT NULL THEN new ELSE 'null' END AS value_json, CASE WHEN NOT there AND fact_key = 'existence' THEN 'disappeared' WHEN NOT there THEN NULL WHEN NOT known THEN 'new' WHEN new IS NOT NULL AND old IS DISTINCT FROM new THEN 'changed' WHEN new IS NULL THEN 'withdrawn' END AS change FROM p)"""
+p AS (SELECT m.*, m.o_custkey IN (SELECT o_custkey FROM a WHERE fact_key = 'existence' AND value_json = '"present"') AS here, m.o_custkey IN (SELECT o_custkey FROM b) AS there FROM m),
+r AS (SELECT o_custkey, fact_key, CASE WHEN NOT there THEN '"absent"' WHEN new IS NOT NULL THEN new ELSE 'null' END AS value_json, CASE WHEN NOT there THEN CASE WHEN here AND fact_key = 'existence' THEN 'disappeared' END WHEN fact_key = 'existence' THEN CASE WHEN NOT here THEN 'new' END WHEN new IS NULL THEN 'withdrawn' WHEN old IS DISTINCT FROM new THEN CASE WHEN here THEN 'changed' ELSE 'new' END END AS change FROM p)"""
 
 
 @query("snapshot_diff", f"{_PLAN} SELECT * FROM r WHERE change IS NOT NULL")
@@ -330,7 +331,7 @@ def _(s, d):
 
 @query("run_origin", """WITH e AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) // 1000) AS boundary, l_returnflag AS claim FROM lineitem WHERE l_linenumber = 1), i AS (SELECT k, max(id) AS id, max(boundary) AS boundary, max(claim) AS claim FROM e GROUP BY k, id),
 f AS (SELECT *, first_value(claim) OVER w AS newest FROM i WINDOW w AS (PARTITION BY k ORDER BY id DESC)), r AS (SELECT *, sum(CASE WHEN claim = newest THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY id DESC) AS breaks FROM f)
-SELECT k, max(id) AS id, arg_max(claim, id) AS claim, arg_max(boundary, id) AS boundary, min(boundary) AS origin FROM r WHERE breaks = 0 GROUP BY 1""")
+SELECT k, max(id) AS id, arg_max(claim, id) AS claim, arg_max(boundary, id) AS boundary, arg_min(boundary, id) AS origin FROM r WHERE breaks = 0 GROUP BY 1""")
 def _(s, d):
     li = table(s, d, "lineitem").where("l_linenumber = 1")
     e = li.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ms(li, "l_shipdate").alias("boundary"), F.col("l_returnflag").alias("claim"))
@@ -371,10 +372,14 @@ def _(s, d):
     return ledger.ledger_bounds(eras(s, d))
 
 
-@query("invariants", f"WITH {_ERAS} SELECT 'kind' AS violation, count(*) AS n FROM eras WHERE fact_key = 'error' HAVING count(*) > 0 UNION ALL SELECT 'seed', count(*) FROM eras WHERE fact_key = 'signup' AND id % 2 = 0 HAVING count(*) > 0 UNION ALL SELECT 'observed', count(*) FROM eras WHERE fact_key NOT IN ('error', 'signup') AND id % 11 = 0 HAVING count(*) > 0")
+@query("invariants", f"""WITH {_ERAS}, x AS (SELECT *, CASE fact_key WHEN 'error' THEN 'odd' WHEN 'signup' THEN 'seed' WHEN 'purchase' THEN 'corrected' ELSE 'observed' END AS kind FROM eras), y AS (SELECT *, CASE WHEN kind = 'seed' AND id % 2 = 0 THEN prior_ms WHEN kind = 'observed' AND id % 13 = 0 THEN boundary + 5 WHEN kind = 'observed' AND id % 11 <> 0 THEN prior_ms END AS prior, CASE WHEN kind = 'corrected' THEN boundary END AS lo, CASE WHEN kind = 'corrected' AND id % 3 <> 0 THEN boundary - id % 2 END AS hi, CASE WHEN kind = 'seed' AND id % 5 = 0 THEN 1 END AS poll FROM x)
+SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN kind = 'odd' THEN 'kind' END, CASE WHEN (kind = 'observed') <> (prior IS NOT NULL) THEN 'prior' END, CASE WHEN prior >= boundary THEN 'prior_order' END, CASE WHEN kind = 'corrected' AND hi IS NULL THEN 'window' END, CASE WHEN lo > hi OR (lo IS NOT NULL AND hi IS NULL) THEN 'window_order' END, CASE WHEN kind = 'seed' AND poll IS NOT NULL THEN 'seed_poll' END], lambda x: x IS NOT NULL)) AS violation FROM y) GROUP BY 1""")
 def _(s, d):
-    k, n = F.col("fact_key"), F.lit(None).cast("long")
-    e = eras(s, d).select("id", *KEYS, "boundary", F.when(k == "error", "odd").when(k == "signup", "seed").otherwise("observed").alias("kind"), F.when(k == "signup", F.when(F.col("id") % 2 == 0, F.col("prior_ms"))).when(F.col("id") % 11 != 0, F.col("prior_ms")).alias("prior_ms"), n.alias("from_ms"), n.alias("until_ms"))
+    k, i, b = F.col("fact_key"), F.col("id"), F.col("boundary")
+    e = eras(s, d).withColumn("kind", F.when(k == "error", "odd").when(k == "signup", "seed").when(k == "purchase", "corrected").otherwise("observed"))
+    seed, seen, fixed = (F.col("kind") == x for x in ("seed", "observed", "corrected"))
+    prior = F.when(seed & (i % 2 == 0), F.col("prior_ms")).when(seen & (i % 13 == 0), b + 5).when(seen & (i % 11 != 0), F.col("prior_ms"))
+    e = e.select("id", *KEYS, "boundary", "kind", prior.alias("prior_ms"), F.when(fixed, b).alias("from_ms"), F.when(fixed & (i % 3 != 0), b - i % 2).alias("until_ms"), F.when(fixed, F.lit("audit")).alias("reason"), F.when(seed & (i % 5 == 0), F.lit(1).cast("long")).alias("observation_id"))
     return ledger.check_invariants(e, ledger.era_rules(), [*KEYS, "boundary"]).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -416,7 +421,8 @@ def _(s, d):
     o = f.where("fact_key = 'segment' AND cast(model AS long) % 3 = 0")
     a = o.select("provider", "model", "fact_key", F.lit("FIXED").alias("value"), F.lit("BUILDING").alias("replaces"))
     b = o.where("cast(model AS long) % 2 = 0").select("provider", "model", F.lit("tier").alias("fact_key"), F.lit("gold").alias("value"), F.lit(None).cast("string").alias("replaces"))
-    return layers.apply_overrides(f, a.unionByName(b))
+    out = layers.unfold(layers.apply_overrides(layers.fold(f), a.unionByName(b)), "overridden")
+    return out.select(*layers.FACT, F.map_contains_key("overridden", F.col("fact_key")).alias("overridden"))
 
 
 @query("correction_precedence", f"""WITH {_CF}, ids AS (SELECT DISTINCT provider, model FROM cf), v AS (SELECT i.provider, i.model, CASE WHEN i.model::BIGINT % 10 = 0 THEN CASE WHEN i.model::BIGINT % 20 = 0 THEN 'exact' END WHEN i.provider::INT % 5 = 1 THEN NULL ELSE coalesce((SELECT max(value_json) FROM cf WHERE cf.provider = i.provider AND cf.model = i.model AND cf.fact_key = 'segment' AND cf.value_json <> 'BUILDING'), CASE WHEN i.provider::INT % 2 = 0 THEN 'star' END) END AS value_json FROM ids i)
@@ -426,7 +432,7 @@ def _(s, d):
     ids = layers.known_ids(f)
     exact = ids.where("try_cast(model AS long) % 10 = 0").select("provider", "model", F.when(F.col("model").try_cast("long") % 20 == 0, "exact").alias("value"))
     star = ids.where("try_cast(provider AS int) % 2 = 0").select("provider").distinct().select("provider", F.lit("*").alias("model"), F.lit("star").alias("value"))
-    return layers.apply_corrections_table(f, exact.unionByName(star), ids.where("try_cast(provider AS int) % 5 = 1").select("provider").distinct(), "segment")
+    return layers.unfold(layers.apply_corrections_table(layers.fold(f), exact.unionByName(star), ids.where("try_cast(provider AS int) % 5 = 1").select("provider").distinct(), "segment"))
 
 
 @query("null_safe_lookup", "WITH l AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_nationkey % 4 END AS shape FROM customer), r AS (SELECT DISTINCT c_mktsegment, shape, c_mktsegment || coalesce(shape::VARCHAR, '-') AS family FROM l WHERE c_mktsegment <> 'BUILDING') SELECT l.c_custkey, r.family FROM l LEFT JOIN r ON l.c_mktsegment = r.c_mktsegment AND l.shape IS NOT DISTINCT FROM r.shape")
@@ -442,46 +448,70 @@ SELECT h.provider, h.model, 'rate.input' AS fact_key, g.s::VARCHAR AS value_json
 def _(s, d):
     p = table(s, d, "part").select(F.col("p_brand").alias("provider"), (F.col("p_partkey") % 40).cast("string").alias("model"), "p_size", "p_type").groupBy("provider", "model").agg(F.max("p_size").alias("s"), F.max("p_type").alias("family"))
     row = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
-    f = p.select("provider", "model", F.explode(F.array(row("family", F.concat(F.lit('"'), "family", F.lit('"'))), row("open_weights", F.lit("true")), row("rate.input", F.when(F.col("s") % 3 != 0, F.col("s").cast("string"))), row("rate.input.mode.fast", F.when(F.col("s") % 3 != 0, F.lit("1"))))).alias("p")).where("p.v IS NOT NULL").select("provider", "model", F.col("p.k").alias("fact_key"), F.col("p.v").alias("value_json"))
-    return layers.inherit_rates(f, p.groupBy("family").agg(F.min("provider").alias("creator"))).where("inherited_from IS NOT NULL")
+    price = F.when(F.col("s") % 3 != 0, F.to_json(F.struct(F.lit("priced").alias("state"), F.col("s").alias("units"))))
+    f = p.select("provider", "model", F.explode(F.array(row("model.family", F.concat(F.lit('"'), "family", F.lit('"'))), row("model.open_weights", F.lit("true")), row("rate.input", price), row("rate.input.mode.fast", price))).alias("p")).where("p.v IS NOT NULL").select("provider", "model", F.col("p.k").alias("fact_key"), F.col("p.v").alias("value_json"))
+    e, creators = layers.fold(f), p.groupBy("family").agg(F.min("provider").alias("creator"))
+    out = layers.unfold(layers.inherit_rates(e, creators, layers.rate_cards(e, creators.select(F.col("creator").alias("provider")))))
+    said = lambda path: F.get_json_object("value_json", path)
+    return out.select("provider", "model", "fact_key", said("$.units").alias("value_json"), said("$.inherited_from.provider_id").alias("inherited_from")).where("inherited_from IS NOT NULL")
 
 
-@query("alias_projection", f"""WITH {_CF}, al AS (SELECT c_nationkey::VARCHAR AS provider, CASE WHEN c_custkey % 12 = 0 THEN c_custkey::VARCHAR ELSE 'alias-' || c_custkey END AS model, c_custkey::VARCHAR AS target FROM customer WHERE c_custkey % 4 = 0)
-SELECT al.provider, al.model, cf.fact_key, cf.value_json FROM al JOIN cf ON cf.provider = al.provider AND cf.model = al.target WHERE al.model LIKE 'alias-%' AND cf.fact_key <> 'balance'""")
+@query("alias_projection", f"""WITH {_CF}, al AS (SELECT CASE WHEN c_custkey % 8 = 0 THEN 'x' ELSE '' END || c_nationkey AS provider, CASE WHEN c_custkey % 12 = 0 AND c_custkey % 8 <> 0 THEN c_custkey::VARCHAR ELSE 'alias-' || c_custkey END AS model, c_nationkey::VARCHAR AS tp, c_custkey::VARCHAR AS target FROM customer WHERE c_custkey % 4 = 0)
+SELECT al.provider, al.model, cf.fact_key, cf.value_json FROM al JOIN cf ON cf.provider = al.tp AND cf.model = al.target WHERE al.model LIKE 'alias-%' AND cf.fact_key <> 'balance' UNION ALL SELECT provider, model, 'model.name', '"n-' || target || '"' FROM al WHERE model LIKE 'alias-%'""")
 def _(s, d):
-    f = customer_facts(s, d)
-    n = F.col("model").cast("long")
-    al = layers.known_ids(f).where(n % 4 == 0).select("provider", F.when(n % 12 == 0, F.col("model")).otherwise(F.concat(F.lit("alias-"), "model")).alias("model"), F.col("model").alias("target"), F.lit(None).cast("string").alias("name"))
-    return layers.project_aliases(f, al, ["balance"])[0].select(*layers.FACT)
+    f = customer_facts(s, d).withColumn("fact_key", F.when(F.col("fact_key") == "balance", "wire.api").otherwise(F.col("fact_key")))  # an alias takes no endpoint
+    n, m = F.col("model").cast("long"), F.col("model")
+    al = layers.known_ids(f).where(n % 4 == 0).select(F.concat(F.when(n % 8 == 0, "x").otherwise(""), "provider").alias("provider"), F.when((n % 12 == 0) & (n % 8 != 0), m).otherwise(F.concat(F.lit("alias-"), m)).alias("model"), F.col("provider").alias("target_provider"), m.alias("target"), F.concat(F.lit("n-"), m).alias("name"))
+    return layers.unfold(layers.project_aliases(layers.fold(f), al, layers.known_ids(f)).where("alias_of IS NOT NULL"))
 
 
-@query("curated_union", f"WITH {_CF}, keep AS (SELECT * FROM cf WHERE model::BIGINT % 5 <> 0), cur AS (SELECT DISTINCT provider, model FROM cf WHERE model::BIGINT % 4 = 0 AND model::BIGINT % 5 = 0 AND model::BIGINT % 3 <> 0) SELECT * FROM keep UNION ALL SELECT provider, model, 'segment', 'CURATED' FROM cur")
+@query("curated_union", f"WITH {_CF}, keep AS (SELECT * FROM cf WHERE model::BIGINT % 5 <> 0 OR (model::BIGINT % 4 <> 0 AND model::BIGINT % 10 <> 0)), gone AS (SELECT DISTINCT provider, model FROM cf WHERE model::BIGINT % 4 = 0 AND model::BIGINT % 5 = 0 AND model::BIGINT % 3 <> 0 AND model::BIGINT % 7 <> 0) SELECT * FROM keep UNION ALL SELECT provider, model, 'segment', 'CURATED' FROM gone")
 def _(s, d):
     f = customer_facts(s, d)
-    n = F.col("model").cast("long")
-    up, ids = f.where(n % 5 != 0), layers.known_ids(f)
-    cur = ids.where(n % 4 == 0).select("provider", "model", F.lit("segment").alias("fact_key"), F.lit("CURATED").alias("value_json"))
-    return layers.apply_curated(up, cur, up, ids.where(n % 3 == 0))
+    n, ids = F.col("model").cast("long"), layers.known_ids(customer_facts(s, d))
+    # upstream: present, or absent (every fifth; every tenth was never recorded); curated: every fourth, of which every third is held
+    state = ids.where(n % 10 != 0).select("provider", "model", F.lit("existence").alias("fact_key"), F.when(n % 5 == 0, '"absent"').otherwise('"present"').alias("value_json"))
+    up = layers.fold(f.where(n % 10 != 0).unionByName(state))
+    auth = F.when(n % 7 == 0, F.array(F.lit("other"))).otherwise(F.array(F.lit("key"), F.lit("other")))
+    cur = ids.where(n % 4 == 0).select("provider", "model", F.create_map(F.lit("segment"), F.lit("CURATED")).alias("facts"), auth.alias("auth_methods"))
+    return layers.unfold(layers.apply_curated(up, cur, ids.where(n % 3 == 0), "key")).where("fact_key <> 'existence'")
 
 
 @query("retired_ids", f"WITH {_CF} SELECT * FROM cf UNION ALL SELECT s_nationkey::VARCHAR, 's' || s_suppkey, 'existence', '\"absent\"' FROM supplier UNION ALL SELECT s_nationkey::VARCHAR, 's' || s_suppkey, 'successor', '\"' || s_name || '\"' FROM supplier WHERE s_suppkey % 2 = 0")
 def _(s, d):
     r = table(s, d, "supplier").select(F.col("s_nationkey").cast("string").alias("provider"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("model"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("successor"))
-    return layers.apply_retired(customer_facts(s, d), r)
+    f = customer_facts(s, d)
+    return layers.unfold(layers.apply_retired(layers.fold(f), r, layers.known_ids(f)))
 
 
 @query("local_overlay", f"WITH {_CF} SELECT provider, model, fact_key, value_json AS before, 'LOCAL' AS after FROM cf WHERE fact_key = 'segment' AND model::BIGINT % 6 = 0")
 def _(s, d):
+    return layers.overlay(*local_facts(s, d), layers.KEY, "value_json")[1]
+
+
+@query("local_merged", f"WITH {_CF} SELECT provider, model, fact_key, CASE WHEN fact_key = 'segment' AND model::BIGINT % 6 = 0 THEN 'LOCAL' ELSE value_json END AS value_json FROM cf UNION ALL SELECT DISTINCT provider, 'mine', 'segment', 'LOCAL' FROM cf")
+def _(s, d):
+    f, local = local_facts(s, d)
+    mine = f.select("provider", F.lit("mine").alias("model"), F.lit("segment").alias("fact_key"), F.lit("LOCAL").alias("value_json")).distinct()
+    return layers.overlay(f, local.unionByName(mine), layers.KEY, "value_json")[0]
+
+
+def local_facts(s, d) -> tuple[DataFrame, DataFrame]:
     f = customer_facts(s, d)
-    local = f.where("fact_key = 'segment' AND cast(model AS long) % 6 = 0").withColumn("value_json", F.lit("LOCAL"))
-    return layers.overlay(f, local, layers.KEY, "value_json")[1]
+    return f, f.where("fact_key = 'segment' AND cast(model AS long) % 6 = 0").withColumn("value_json", F.lit("LOCAL"))
 
 
-@query("lineage_precedence", """SELECT p_partkey::VARCHAR AS model, CASE WHEN p_partkey % 10 = 0 THEN 'by-model' WHEN p_partkey % 7 <> 0 AND p_type = 'PROMO' THEN 'by-family' WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'by-lab' WHEN p_partkey % 7 <> 0 THEN 'by-provider' END AS lineage FROM part""")
+@query("lineage_precedence", """WITH x AS (SELECT p_brand AS provider, p_partkey AS n, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS family, CASE WHEN p_partkey % 3 = 0 THEN 'lab' || p_size % 5 END AS lab, p_partkey % 7 = 0 AS alias FROM part)
+SELECT provider, n::VARCHAR AS model, CASE WHEN n % 10 = 0 THEN 'by-model' WHEN NOT alias AND family IS NOT NULL THEN CASE WHEN family = 'PROMO' THEN 'by-family' END WHEN lab IS NOT NULL THEN CASE WHEN lab IN ('lab1', 'lab2') THEN 'by-lab' END WHEN NOT alias AND provider IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'by-provider' END AS lineage FROM x""")
 def _(s, d):
-    p = table(s, d, "part").select(F.lit("p").alias("provider"), F.col("p_partkey").cast("string").alias("model"), F.col("p_type").alias("family"), F.col("p_brand").alias("lab"), (F.col("p_partkey") % 7 == 0).alias("is_alias"))
+    n = F.col("p_partkey")
+    said = layers.stated({"model.family": F.when(n % 4 != 0, F.concat(F.lit('"'), "p_type", F.lit('"'))), "model.canonical_id": F.when(n % 3 == 0, F.concat(F.lit('"lab'), (F.col("p_size") % 5).cast("string"), F.lit('/m"')))})
+    p = table(s, d, "part")
+    e = p.select(F.col("p_brand").alias("provider"), n.cast("string").alias("model"), said.alias("facts"), F.when(n % 7 == 0, F.struct(F.lit("x").alias("provider"))).alias("alias_of"))
     one = lambda keys, c: keys.toDF("key").distinct().withColumn("class", F.lit(c))
-    return layers.classify_lineage(p, one(p.where("cast(model AS long) % 10 = 0").select("model"), "by-model"), one(p.where("family = 'PROMO'").select("family"), "by-family"), one(p.where("lab IN ('Brand#1', 'Brand#2')").select("lab"), "by-lab"), one(p.select("provider"), "by-provider")).select("model", "lineage")
+    lab = F.concat(F.lit("lab"), (F.col("p_size") % 5).cast("string"))
+    out = layers.lineage(e, one(p.where(n % 10 == 0).select(F.concat_ws("/", "p_brand", n.cast("string"))), "by-model"), one(p.where("p_type = 'PROMO'").select("p_type"), "by-family"), one(p.select(lab.alias("l")).where("l IN ('lab1', 'lab2')"), "by-lab"), one(p.where("p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')").select("p_brand"), "by-provider"))
+    return out.select("provider", "model", F.get_json_object(F.concat(F.lit('{"v":'), F.col("facts")["model.lineage"], F.lit("}")), "$.v").alias("lineage"))
 
 
 @query("limits_by_rule", """WITH e AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, p_size, p_partkey FROM part), l AS (SELECT DISTINCT p_brand AS provider, p_size % 4 AS t, p_size AS lim FROM part)
@@ -490,28 +520,35 @@ def _(s, d):
     p = table(s, d, "part")
     e = p.select(F.col("p_brand").alias("provider"), F.col("p_partkey").cast("string").alias("model"), F.col("p_size").alias("context"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 3 + 1), lambda x: x.cast("string")).alias("modalities"))
     t = F.col("p_size") % 4
-    return layers.apply_limits(e, p.select(F.col("p_brand").alias("provider"), t.cast("string").alias("modality"), F.col("p_size").cast("long").alias("limit"), F.when(t != 0, t * 10).alias("min_context")).distinct())
+    return layers.strictest_limits(e, p.select(F.col("p_brand").alias("provider"), t.cast("string").alias("modality"), F.col("p_size").cast("long").alias("limit"), F.when(t != 0, t * 10).alias("min_context")).distinct())
 
 
-@query("ttl_rates", """WITH r AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, unnest([0, 1]) AS tier, CAST(p_retailprice * 100 AS BIGINT) AS input, p_partkey FROM part), q AS (SELECT *, CASE WHEN input * 5 % 4 = 0 THEN input * 5 // 4 END AS short, CASE WHEN p_partkey % 9 = 0 AND tier = 1 THEN 1 ELSE input * 5 // 4 END AS cache_write FROM r),
-ok AS (SELECT provider, model FROM q GROUP BY 1, 2 HAVING bool_and(short IS NOT NULL AND short = cache_write)) SELECT q.provider, q.model, q.tier, t.ttl, CASE t.ttl WHEN '5m' THEN q.short ELSE q.input * 2 END AS rate FROM q JOIN ok USING (provider, model), (VALUES ('5m'), ('1h')) t(ttl)""")
+@query("ttl_rates", """WITH r AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, p_partkey AS n, unnest(['', '.above_context.1']) AS tier, CAST(round(p_retailprice * 100) AS BIGINT) AS input FROM part), q AS (SELECT *, CASE WHEN n % 9 = 0 AND tier <> '' THEN 1 ELSE input * 5 // 4 END AS cache_write FROM r),
+ok AS (SELECT provider, model FROM q GROUP BY 1, 2 HAVING bool_and(input * 5 % 4 = 0 AND cache_write = input * 5 // 4 AND (n % 2 = 1 OR input * 7 % 3 = 0)))
+SELECT q.provider, q.model, 'rate.cache_write' || tier || '.ttl.' || t.ttl AS fact_key, CASE WHEN t.ttl = '5m' THEN input * 5 // 4 WHEN n % 2 = 1 THEN input * 2 ELSE input * 7 // 3 END AS units FROM q JOIN ok USING (provider, model), (VALUES ('5m'), ('1h')) t(ttl)""")
 def _(s, d):
-    i = F.round(F.col("p_retailprice") * 100).cast("long")
-    r = table(s, d, "part").select(F.col("p_brand").alias("provider"), F.col("p_partkey").cast("string").alias("model"), F.explode(F.array(F.lit(0), F.lit(1))).alias("tier"), i.alias("input"), "p_partkey")
-    r = r.withColumn("cache_write", F.when((F.col("p_partkey") % 9 == 0) & (F.col("tier") == 1), F.lit(1).cast("long")).otherwise(F.floor(F.col("input") * 5 / 4).cast("long")))
-    rule = r.select("provider", "model").distinct().select("provider", "model", F.explode(F.array(F.struct(F.lit("5m").alias("ttl"), F.lit(5).alias("num"), F.lit(4).alias("den")), F.struct(F.lit("1h").alias("ttl"), F.lit(2).alias("num"), F.lit(1).alias("den")))).alias("x")).select("provider", "model", "x.ttl", "x.num", "x.den")
-    return layers.derive_ttl_rates(r.drop("p_partkey"), rule)
+    n, i = F.col("p_partkey"), F.round(F.col("p_retailprice") * 100).cast("long")
+    rate = lambda v: F.to_json(F.struct(F.lit("priced").alias("state"), v.cast("long").alias("units"), F.lit(9).alias("exponent")))
+    short = F.floor(i * 5 / 4)
+    said = F.map_from_arrays(F.array(*map(F.lit, ("rate.input", "rate.input.above_context.1", "rate.cache_write", "rate.cache_write.above_context.1"))), F.array(rate(i), rate(i), rate(short), F.when(n % 9 == 0, rate(F.lit(1))).otherwise(rate(short))))
+    e = table(s, d, "part").select(F.col("p_brand").alias("provider"), n.cast("string").alias("model"), said.alias("facts"), n)
+    ratio = lambda ttl, a, b: F.struct(F.lit(ttl).alias("ttl"), a.alias("num"), b.alias("den"))
+    odd = n % 2 == 1
+    rule = e.select("provider", "model", F.array(F.lit("5m"), F.lit("1h")).alias("lifetimes"), F.array(ratio("5m", F.lit(5), F.lit(4)), ratio("1h", F.when(odd, 2).otherwise(7), F.when(odd, 1).otherwise(3))).alias("ratios"))
+    out = layers.unfold(layers.apply_lifetimes(e.drop("p_partkey"), rule)).where("fact_key LIKE '%.ttl.%'")
+    return out.select("provider", "model", "fact_key", F.get_json_object("value_json", "$.units").cast("long").alias("units"))
 
 
-@query("plane_rules", """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS entity, unnest(['quantity', 'tax', 'discount', 'price']) AS class, 0 AS tier, unnest([l_quantity, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_tax END, l_discount, l_extendedprice]) AS v FROM lineitem), f AS (SELECT entity, class, tier, CAST(CAST(v * 100 AS BIGINT) AS VARCHAR) AS value FROM (SELECT entity, class, tier, max(v) AS v FROM r GROUP BY 1, 2, 3) WHERE v IS NOT NULL)
-SELECT f.entity, f.class, CASE f.class WHEN 'tax' THEN 'stated_zero' WHEN 'discount' THEN coalesce(t.value, 'not_established') WHEN 'price' THEN q.value ELSE f.value END AS value, f.class <> 'quantity' AS ruled FROM f LEFT JOIN f t ON t.entity = f.entity AND t.class = 'tax' AND f.class = 'discount' LEFT JOIN f q ON q.entity = f.entity AND q.class = 'quantity' AND f.class = 'price'""")
+@query("plane_rules", """WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS entity, l_linenumber % 2 = 1 AS taxed, CAST(max(l_quantity) AS BIGINT)::VARCHAR AS q FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT entity, unnest(['quantity', 'tax', 'discount', 'price']) AS class, unnest([q, '{"state":"stated_zero"}', CASE WHEN taxed THEN '{"key":"rate.tax","state":"billed_as"}' ELSE '{"reason":"not_established","state":"unpriced"}' END, '{"key":"rate.quantity","state":"billed_as"}']) AS value, unnest([false, true, true, true]) AS ruled FROM f""")
 def _(s, d):
-    cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
-    li = table(s, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entity"), F.col("l_linenumber")).agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount", "l_extendedprice")])
-    pair = lambda k, v: F.struct(F.lit(k).alias("class"), v.alias("value"))
-    r = li.select("entity", F.explode(F.array(pair("quantity", cents("l_quantity")), pair("tax", F.when(F.col("l_linenumber") % 2 != 0, cents("l_tax"))), pair("discount", cents("l_discount")), pair("price", cents("l_extendedprice")))).alias("x")).select("entity", "x.class", F.lit(0).alias("tier"), "x.value").where("value IS NOT NULL")
-    rule = r.select("class").distinct().where("class <> 'quantity'").select("class", F.when(F.col("class") == "tax", "stated_zero").otherwise("billed_as").alias("action"), F.when(F.col("class") == "discount", "tax").when(F.col("class") == "price", "quantity").alias("target"))
-    return layers.apply_plane(r, rule).drop("tier")
+    li = table(s, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entity"), F.col("l_linenumber")).agg(F.max("l_returnflag").alias("provider"), *[F.max(c).cast("long").cast("string").alias(c) for c in ("l_quantity", "l_tax", "l_extendedprice")])
+    said = layers.stated({"rate.quantity": F.col("l_quantity"), "rate.tax": F.when(F.col("l_linenumber") % 2 == 1, F.col("l_tax")), "rate.price": F.col("l_extendedprice")})
+    e = li.select("provider", F.col("entity").cast("string").alias("model"), said.alias("facts"))
+    rule = F.inline(F.array(*[F.struct(F.lit(c).alias("class"), F.lit(a).alias("action"), F.lit(t).cast("string").alias("target"), F.lit(None).cast("array<string>").alias("model_ids")) for c, a, t in (("tax", "stated_zero", None), ("discount", "billed_as", "tax"), ("price", "billed_as", "quantity"))]))
+    rules_ = table(s, d, "lineitem").select(F.col("l_returnflag").alias("provider")).distinct().select("provider", rule)
+    out = layers.unfold(layers.apply_plane(e, rules_, keep_published=False), "ruled")
+    return out.select(F.col("model").cast("long").alias("entity"), F.substring("fact_key", 6, 100).alias("class"), F.col("value_json").alias("value"), F.map_contains_key("ruled", F.col("fact_key")).alias("ruled"))
 
 
 # scalar functions, sources and exports
@@ -530,9 +567,98 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", to_nano(n, F.col("p_partkey") % 10).alias("nano"), exact_ratio(n, F.lit(5), F.lit(4)).alias("ratio"))
 
 
-@query("facts_unpivot", "SELECT p_partkey, unnest(['name', 'brand', 'type', 'size']) AS fact_key, unnest([p_name, p_brand, p_type, p_size::VARCHAR]) AS value_json FROM part")
+def part_documents(s, d) -> DataFrame:
+    """A nested document for each part: its brand as the provider, with one model."""
+    n, z = F.col("p_partkey"), F.col("p_size")
+    older = F.when(n % 7 == 0, z + 2).when(n % 3 == 0, z + 1)  # a seventh has an older tier that no tier repeats
+    tier = F.struct(F.struct(F.lit("context").alias("type"), F.lit(1000).alias("size")).alias("tier"), (z + 1).alias("input"))
+    cost = F.struct(z.alias("input"), F.when(n % 5 == 0, F.lit(-1)).alias("output"), F.lit(0).alias("cache_read"), F.lit(4).alias("image"), F.array(tier).alias("tiers"), F.when(older.isNotNull(), F.struct(older.alias("input"))).alias("context_over_200k"))
+    modes = F.struct(F.struct(F.struct(F.struct(F.lit(3).alias("input")).alias("cost")).alias("fast"), F.struct(F.struct(F.lit(3).alias("image")).alias("cost")).alias("slow")).alias("modes"))
+    options = F.array(F.struct(F.lit("effort").alias("type"), F.array(F.lit("low"), F.lit("high")).alias("values")))
+    m = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("family"), (z % 2 == 0).alias("open_weights"), options.alias("reasoning_options"), F.struct(z.alias("context"), F.lit(0).alias("output")).alias("limit"), F.struct(F.array(F.lit("text"), F.lit("image")).alias("input")).alias("modalities"), cost.alias("cost"), F.when(n % 3 == 0, modes).alias("experimental"))
+    doc = F.concat(F.lit('{"'), "p_brand", F.lit('":{"name":"'), "p_brand", F.lit('","npm":"kit","models":{"'), n.cast("string"), F.lit('":'), F.to_json(m), F.lit("}}}"))
+    return table(s, d, "part").select(n.cast("string").alias("file"), doc.alias("value"))
+
+
+_PRICE = """'{"state":"priced","units":' || (%s)::BIGINT * 1000000000 || ',"exponent":9,"currency":"USD"}'"""
+_DOCS = f"""df AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, unnest(['model.family', 'model.open_weights', 'model.canonical_id', 'model.status', 'limit.context', 'limit.output', 'capability.reasoning', 'capability.reasoning_options', 'capability.tool_call', 'capability.attachment', 'capability.input_modalities', 'capability.output_modalities', 'model.name', 'provider.name', 'wire.npm', 'existence']) AS fact_key,
+ unnest(['"' || p_type || '"', (p_size % 2 = 0)::VARCHAR, 'null', 'null', p_size::VARCHAR, 'null', 'null', '[{{"type":"effort","values":["low","high"]}}]', 'null', 'null', '["image","text"]', 'null', '"' || p_name || '"', '"' || p_brand || '"', '{{"value":"kit","from":"provider"}}', '"present"']) AS value_json FROM part
+UNION ALL SELECT p_brand, p_partkey::VARCHAR, unnest(['rate.input', 'rate.cache_read', 'rate.input.above_context.1000']), unnest([{_PRICE % 'p_size'}, '{{"state":"stated_zero"}}', {_PRICE % 'p_size + 1'}]) FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0
+UNION ALL SELECT p_brand, p_partkey::VARCHAR, 'rate.input.mode.fast', {_PRICE % '3'} FROM part WHERE p_partkey % 3 = 0)"""
+
+
+@query("document_facts", f"WITH {_DOCS} SELECT * FROM df")
+def _(s, d):
+    return src.to_facts(src.normalise_models(src.parse_documents(part_documents(s, d))))
+
+
+@query("document_findings", "SELECT p_brand AS provider, p_partkey::VARCHAR AS model, unnest(list_filter(['unknown_unit', CASE WHEN p_partkey % 5 = 0 THEN 'negative' END, CASE WHEN p_partkey % 7 = 0 THEN 'orphaned_older_tier' END, CASE WHEN p_partkey % 3 = 0 THEN 'unknown_unit' END], lambda x: x IS NOT NULL)) AS finding FROM part")
+def _(s, d):
+    return src.rates(src.normalise_models(src.parse_documents(part_documents(s, d))))[1].select("provider", "model", "finding")
+
+
+def part_rules(s, d):
+    from factledger.plans.view import Rules
+
+    p = table(s, d, "part")
+    brand, n = F.col("p_brand").alias("provider"), F.col("p_partkey")
+    brands, model = p.select(brand).distinct(), n.cast("string").alias("model")
+    key = F.concat(F.lit("lab/"), n.cast("string")).alias("key")
+    image = brands.select("provider", F.lit("limit.image_bytes").alias("fact_key"), F.lit("image").alias("modality"), F.lit("context_at_least").alias("kind"), F.lit(5000).alias("value"), F.lit(25).alias("at"), F.lit(700).alias("other"), F.lit(None).cast("array<struct<above:int,value:int>>").alias("conditions"))
+    graded = p.where(n % 3 == 0).select(key, F.lit("low").alias("effort"), n.alias("recorded_at_ms"))
+    work = p.where(n % 4 == 0).select(key, F.lit("chat").alias("workload"), F.lit("high").alias("effort_default"), F.lit(None).cast("string").alias("effort_minimum"), (n % 8 == 0).alias("excluded"), n.alias("recorded_at_ms"))
+    return Rules(
+        overrides=p.where(n % 3 == 0).select(brand, model, F.lit("limit.context").alias("fact_key"), F.lit("99").alias("value"), F.lit("10").alias("replaces")),
+        families=brands.limit(1).select(F.lit("kit").alias("npm"), F.lit(None).cast("string").alias("shape"), F.lit("chatlike").alias("family")),
+        links=p.where(n % 2 == 0).select(brand, model, F.concat(F.lit('"lab/'), n.cast("string"), F.lit('"')).alias("value")),
+        limits=image, ranges=brands.select("provider", F.lit(0).alias("low"), F.lit(2).alias("high")),
+        judgments=judged.judgments(None, None, graded, None, work),
+        plane_rules=brands.select("provider", F.lit("cache_write").alias("class"), F.lit("billed_as").alias("action"), F.lit("input").alias("target"), F.lit(None).cast("array<string>").alias("model_ids")),
+    )
+
+
+def part_eras(s, d) -> DataFrame:
+    """Facts of the documents as eras, every eleventh part absent from instant 10 on; ids follow the boundary."""
+    f = src.to_facts(src.normalise_models(src.parse_documents(part_documents(s, d))))
+    gone = f.where("fact_key = 'existence' AND cast(model AS long) % 11 = 0").withColumn("value_json", F.lit('"absent"')).withColumn("boundary", F.lit(10).cast("long"))
+    e = f.withColumn("boundary", F.lit(1).cast("long")).unionByName(gone)
+    return e.withColumn("id", F.col("boundary")).withColumn("prior_ms", F.when(F.col("boundary") > 1, F.lit(5).cast("long")))
+
+
+# what the layers make of the facts of a part: overridden context, link, family, limit, range, efforts and workloads of linked parts
+_LAYERS = f"""{_DOCS}, al AS (SELECT p_brand AS provider, p_partkey::VARCHAR AS model, p_partkey AS n, CASE WHEN p_partkey % 3 = 0 AND p_size = 10 THEN 99 ELSE p_size END AS context, p_partkey % 2 = 0 AS linked FROM part WHERE p_partkey % 11 <> 0),
+served AS (SELECT df.provider, df.model, df.fact_key, CASE WHEN fact_key = 'limit.context' THEN context::VARCHAR WHEN fact_key = 'model.canonical_id' AND linked THEN '"lab/' || n || '"' ELSE value_json END AS value_json FROM df JOIN al USING (provider, model)
+UNION ALL SELECT provider, model, 'wire.family', '"chatlike"' FROM al UNION ALL SELECT provider, model, 'limit.image_bytes', CASE WHEN context >= 25 THEN '5000' ELSE '700' END FROM al UNION ALL SELECT provider, model, 'limit.temperature_min', '0' FROM al UNION ALL SELECT provider, model, 'limit.temperature_max', '2' FROM al
+UNION ALL SELECT provider, model, 'quality.graded_effort', '"low"' FROM al WHERE linked AND n % 3 = 0 UNION ALL SELECT provider, model, 'workload.chat.excluded', 'true' FROM al WHERE n % 8 = 0 UNION ALL SELECT provider, model, 'workload.chat.effort_default', '"high"' FROM al WHERE n % 4 = 0 AND n % 8 <> 0)"""
+
+
+@query("served_current", f"WITH {_LAYERS} SELECT * FROM served")
+def _(s, d):
+    from factledger.plans.view import served_view
+    return served_view(part_eras(s, d), part_rules(s, d)).facts
+
+
+@query("served_plane", f"""WITH {_LAYERS}, b AS (SELECT * FROM served WHERE provider = 'Brand#3'), priced AS (SELECT DISTINCT model FROM b WHERE fact_key = 'rate.input'), tier AS (SELECT DISTINCT model FROM b WHERE fact_key = 'rate.input.above_context.1000'), ids AS (SELECT DISTINCT model FROM b),
+r AS (SELECT model, 'rate.cache_write' AS fact_key, CASE WHEN model IN (SELECT model FROM priced) THEN '{{"key":"rate.input","state":"billed_as"}}' ELSE '{{"reason":"not_established","state":"unpriced"}}' END AS v FROM ids UNION ALL SELECT model, 'rate.cache_write.above_context.1000', '{{"key":"rate.input.above_context.1000","state":"billed_as"}}' FROM tier)
+SELECT model, fact_key, CASE WHEN fact_key LIKE 'rate.%' THEN CASE WHEN value_json LIKE '%stated_zero%' THEN 'zero' ELSE json_extract_string(value_json, '$.units') END END AS units, NULL AS ruled FROM b WHERE fact_key NOT LIKE '%.mode.%' UNION ALL SELECT model, fact_key, NULL, v FROM r""")
+def _(s, d):
+    from factledger.plans.view import Plane, served_view
+    v = served_view(part_eras(s, d), part_rules(s, d), plane=Plane("Brand#3", "key", "quota_proxy")).facts
+    rate, ruled = F.col("fact_key").startswith("rate."), F.col("fact_key").startswith("rate.cache_write")
+    units = F.when(rate & ~ruled, F.when(F.get_json_object("value_json", "$.state") == "stated_zero", "zero").otherwise(F.get_json_object("value_json", "$.units")))
+    return v.select("model", "fact_key", units.alias("units"), F.when(ruled, F.col("value_json")).alias("ruled"))
+
+
+@query("served_dated", f"""WITH {_DOCS}, x AS (SELECT *, model::BIGINT AS n FROM df), held AS (SELECT * FROM x WHERE fact_key = 'limit.context' AND n % 4 = 0) SELECT provider, model, fact_key, CASE WHEN fact_key = 'limit.context' AND n % 3 = 0 AND value_json = '10' THEN '99' ELSE value_json END AS value_json, false AS withheld FROM x WHERE fact_key LIKE 'limit.%' AND NOT (fact_key = 'limit.context' AND n % 4 = 0)
+UNION ALL SELECT provider, model, fact_key, NULL, true FROM held UNION ALL SELECT provider, model, 'uncertain', NULL, NULL FROM (SELECT DISTINCT provider, model FROM x WHERE n % 11 = 0)""")
 def _(s, d):
-    return table(s, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").cast("string").alias("size")).unpivot("p_partkey", ["name", "brand", "type", "size"], "fact_key", "value_json")
+    from factledger.plans.view import served_view
+    e = part_eras(s, d)
+    fix = e.where("fact_key = 'limit.context' AND cast(model AS long) % 4 = 0").select("provider", "model", "fact_key", F.lit(2).alias("from_ms"), F.lit(8).alias("until_ms"))
+    v = served_view(e, part_rules(s, d), fix, at=7, prefixes=["limit."])
+    none = F.lit(None)
+    out = v.facts.withColumn("withheld", F.lit(False)).unionByName(v.withheld.where("fact_key LIKE 'limit.%'").select("provider", "model", "fact_key", none.cast("string").alias("value_json"), F.lit(True).alias("withheld")))
+    return out.unionByName(v.uncertain.select("provider", "model", F.lit("uncertain").alias("fact_key"), none.cast("string").alias("value_json"), none.cast("boolean").alias("withheld")))
 
 
 @query("size_profile", f"""WITH {_CF} SELECT provider, sum(length('{{"fact_key":"' || fact_key || '","value_json":"' || value_json || '"}}'))::BIGINT AS bytes, count(*) AS facts FROM cf GROUP BY 1""")
@@ -584,13 +710,13 @@ def _(s, d):
     return judged.limit_facts(e, image.unionByName(pages))
 
 
-@query("audio_rates", """WITH c AS (SELECT c_nationkey AS p, c_custkey AS m FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 6 <> 0), t AS (SELECT *, CASE WHEN m % 4 = 0 THEN (p + 1) % 25 ELSE p END AS tp FROM c)
+@query("audio_rates", """WITH c AS (SELECT c_nationkey AS p, c_custkey AS m FROM customer WHERE c_custkey % 6 <> 0), t AS (SELECT *, CASE WHEN m % 4 = 0 THEN (p + 1) % 25 ELSE p END AS tp FROM c)
 SELECT p::VARCHAR AS provider, m::VARCHAR AS model, 'limit.audio_tokens_per_second' AS fact_key, CASE WHEN m % 10 = 0 AND m % 4 <> 0 THEN '999' ELSE tp::VARCHAR END AS value_json FROM t WHERE tp % 3 <> 0 AND tp IN (SELECT c_nationkey FROM customer)""")
 def _(s, d):
     c = table(s, d, "customer")
     p, m = F.col("c_nationkey").cast("string").alias("provider"), F.col("c_custkey").cast("string").alias("model")
     fact = lambda rows, key: rows.select(p, m, F.lit(key).alias("fact_key"), F.lit("1").alias("value_json"))
-    f = fact(c.where("c_custkey % 2 = 0"), "rate.input_audio").unionByName(fact(c.where("c_custkey % 6 = 0"), "limit.audio_tokens_per_second"))
+    f = fact(c, "rate.input_audio").unionByName(fact(c.where("c_custkey % 6 = 0"), "limit.audio_tokens_per_second"))
     aliases = c.where("c_custkey % 4 = 0").select(p, m, ((F.col("c_nationkey") + 1) % 25).cast("string").alias("target_provider"), F.lit("other").alias("target"))
     return judged.audio_rates(f, c.where("c_nationkey % 3 <> 0").select(p, F.col("c_nationkey").alias("value")).distinct(), c.where("c_custkey % 10 = 0").select(p, m, F.lit(999).alias("value")), aliases)
 

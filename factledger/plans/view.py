@@ -1,7 +1,13 @@
 """The served view: recorded facts at an instant, under the layers, in their fixed order.
 
-Order matters: overrides run before corrections, rates are inherited before lifetimes are priced, twins come after all
-derived facts, and narrowing to the asked prefixes is last, since a derived fact may need inputs that were not asked for.
+Entities are folded once (one row each, see operators.layers); every layer is an expression and a join with a rule table, and
+the facts are unfolded at the end. Order matters: overrides run before the table of endpoint corrections, rates are inherited
+before lifetimes are priced, a billing plane comes after all derived facts, speed twins after the plane, and narrowing
+to the asked prefixes is last, since a derived fact may need inputs that were not asked for.
+
+A dated read applies only what has a history: overrides, lifetimes and judgments, as its caller resolved them for the instant
+(asof.as_of, ledger.latest_judgments), and corrections. Nothing is inherited, aliased or curated into a past state, so a fact
+that a correction withholds stays withheld.
 """
 
 from __future__ import annotations
@@ -11,40 +17,65 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factledger.functions.keys import has_prefix, is_mode_rate
+from factledger.functions.claims import put, quoted, text_of
 from factledger.operators import judged, layers
-from factledger.operators.asof import as_of, current, filter_presence, select_prefixes
-from factledger.operators.corrections import corrections_at, uncertain, withhold
+from factledger.operators.asof import latest_per_key, select_prefixes
+from factledger.operators.corrections import corrections_at, uncertain
+from factledger.operators.layers import ID, fact_map
 
-KEYS = ["provider", "model", "fact_key"]
-OPTIONS, CANONICAL = "capability.reasoning_options", "model.canonical_id"
+KEYS = [*ID, "fact_key"]
+OPTIONS, CANONICAL, FAMILY = "capability.reasoning_options", "model.canonical_id", "model.family"
+_RATES = ["rate.", FAMILY, "model.open_weights"]
 #: What a derived fact is made from, besides itself.
-NEEDS = {"rate.": ["rate.", "family", "open_weights"], "temperature.": ["temperature"], "mode_of": ["rate."], "lineage": ["family"], "limit.": ["modalities.input", "limit.", "rate.input_audio"], "quality.": [OPTIONS, CANONICAL], "workload.": [OPTIONS, CANONICAL]}
+NEEDS = {
+    "rate.": [*_RATES, CANONICAL], "route.": ["rate.", OPTIONS], "model.mode_of": ["rate."], "model.lineage": [FAMILY, CANONICAL], "capability.cache_lifetimes": ["rate."], "capability.reasoning_default": [OPTIONS],
+    "limit.": ["capability.input_modalities", "limit.", "capability.temperature", *_RATES], "quality.": [OPTIONS, CANONICAL, "model.type"], "workload.": [OPTIONS, CANONICAL], "wire.": ["wire."],
+}
+
+
+@dataclass
+class Plane:
+    """A billing plane of a provider: how a login is charged. kind: upstream (published rates stand) or quota_proxy."""
+
+    provider: str
+    method: str
+    kind: str = "upstream"
+    rates_from: str | None = None
+    family: str | None = None
 
 
 @dataclass
 class Rules:
-    """Rule tables; a layer whose table is None is skipped."""
+    """Rule tables; a layer whose table is None is skipped. Their columns are in the docstrings of operators.layers and judged."""
 
     overrides: DataFrame | None = None
+    endpoints: DataFrame | None = None  # wire.api by provider and model
+    complete: DataFrame | None = None  # providers whose endpoints are all listed
+    families: DataFrame | None = None
+    links: DataFrame | None = None
+    creators: DataFrame | None = None
     aliases: DataFrame | None = None
-    route_keys: tuple[str, ...] = ()
     curated: DataFrame | None = None
     held: DataFrame | None = None
-    retired: DataFrame | None = None
-    creators: DataFrame | None = None
-    ranges: DataFrame | None = None
-    twins: DataFrame | None = None
+    logins: DataFrame | None = None
+    lifetimes: DataFrame | None = None
     limits: DataFrame | None = None
+    ranges: DataFrame | None = None
     audio: DataFrame | None = None
     audio_overrides: DataFrame | None = None
-    graded: DataFrame | None = None
-    derived: DataFrame | None = None
-    workloads: DataFrame | None = None
+    lineage: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None
+    judgments: DataFrame | None = None  # judged.judgments(...)
+    plane_rules: DataFrame | None = None
+    twins: DataFrame | None = None
+    retired: DataFrame | None = None
+    policy: str | None = None  # the policy that units are assumed by
 
 
 @dataclass
 class ServedView:
-    facts: DataFrame
+    facts: DataFrame  # provider, model, fact_key, value_json
+    entities: DataFrame  # folded, with what the layers disclose: overridden, alias_of, curated, login_methods, ruled, judged_at_ms
     withheld: DataFrame | None
     uncertain: DataFrame | None
 
@@ -56,66 +87,112 @@ def widen(prefixes: list[str] | None) -> list[str] | None:
     return sorted({*prefixes, *more, "existence"})
 
 
-def entities(facts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """What the judged layers ask of an entity, from its facts: modalities, context, canonical_id, efforts; and is_alias."""
-    def said(key):
-        return F.max(F.when(F.col("fact_key") == key, F.col("value_json")))
-    e = facts.groupBy("provider", "model").agg(said("modalities.input").alias("m"), said("limit.context").alias("c"), said(CANONICAL).alias("i"), said(OPTIONS).alias("o"))
-    e = e.select("provider", "model", F.from_json("m", "array<string>").alias("modalities"), F.col("c").try_cast("long").alias("context"), F.get_json_object(F.concat(F.lit('{"v":'), "i", F.lit("}")), "$.v").alias("canonical_id"), judged.listed_efforts(F.col("o")).alias("efforts"))
-    if aliases is None:
-        return e.withColumn("is_alias", F.lit(False))
-    marked = aliases.select("provider", "model", F.lit(True).alias("_a")).distinct()
-    return e.join(marked, ["provider", "model"], "left").withColumn("is_alias", F.coalesce("_a", F.lit(False))).drop("_a")
-
-
-def _put(facts: DataFrame, new: DataFrame) -> DataFrame:
-    """new facts in the place of those of the same key."""
-    new = new.select(*KEYS, "value_json")
-    return layers.merge_layers(facts.join(new.select(*KEYS), KEYS, "left_anti"), new)
-
-
-def served_view(eras: DataFrame, rules: Rules, corrections: DataFrame | None = None, at: int | None = None, prefixes: list[str] | None = None, provider: str | None = None, include_retired: bool = False) -> ServedView:
-    """One lazy plan. Filters on provider and on widened prefixes stand before the first aggregation, so they reach the scan."""
-    rows = select_prefixes(eras, widen(prefixes))
-    if provider is not None:
-        rows = rows.where(F.col("provider") == provider)
-    held_back = doubtful = None
-    told = rows.select(*KEYS, "value_json", "boundary", "id")  # the aggregation carries whole rows, so they are narrow
+def states(eras: DataFrame, at: int | None, covering: DataFrame | None = None) -> DataFrame:
+    """Every entity that was ever recorded: facts in force (narrow rows, one aggregation per fact and one per entity) and `withheld`, the
+    keys that a correction covers."""
+    told = eras.select(*KEYS, "value_json", "boundary", "id")
     if at is None:
-        facts = current(told, KEYS)
+        now = latest_per_key(told, KEYS, ["boundary", "id"]).select(*KEYS, F.struct("value_json").alias("v"))
     else:
-        facts = as_of(told, at, KEYS)
-        if corrections is not None:
-            facts, held_back = withhold(facts, corrections_at(corrections, at), KEYS)
-        doubtful = uncertain(facts, rows, at, KEYS)
-    facts = filter_presence(facts, ["provider", "model"], include_retired).select(*KEYS, "value_json")
+        valid = F.when(F.col("boundary") <= at, F.struct("boundary", "id"))
+        now = told.groupBy(*KEYS).agg(F.max_by(F.struct("value_json"), valid).alias("v"))
+    hit = F.lit(False)
+    if covering is not None:
+        now = now.join(covering.select(*KEYS).distinct().withColumn("_hit", F.lit(True)), KEYS, "left")
+        hit = F.col("_hit").isNotNull()
+    entry = F.when(F.col("v").isNotNull() & ~hit, F.struct("fact_key", F.col("v.value_json")))
+    return now.groupBy(*ID).agg(F.map_from_entries(F.collect_list(entry)).alias("facts"), F.collect_list(F.when(F.col("v").isNotNull() & hit, F.col("fact_key"))).alias("withheld"))
+
+
+def served_view(eras: DataFrame, rules: Rules, corrections: DataFrame | None = None, at: int | None = None, prefixes: list[str] | None = None, provider: str | None = None, model: str | None = None, include_retired: bool = False, method: str | None = None, plane: Plane | None = None) -> ServedView:
+    """One lazy plan. Filters on provider, model and widened prefixes stand before the first aggregation, so they reach the scan."""
+    mine = eras if provider is None else eras.where(F.col("provider") == provider)
+    if model is not None:
+        mine = mine.where(F.col("model") == model)
+    known = mine.select(*ID).distinct()
+    rows = select_prefixes(mine, widen(prefixes))
+    covering = None if at is None or corrections is None else corrections_at(corrections, at)
+    e = states(rows, at, covering)
+    held_back = None if covering is None else e.select(*ID, F.explode("withheld").alias("fact_key"))
+    doubtful = None if at is None else uncertain(layers.unfold(e), rows, at, KEYS)
+    seen = ['"present"', '"absent"'] if include_retired else ['"present"']
+    e = layers.hide_nulls(e.where(fact_map()["existence"].isin(seen)), rules.policy)
+    raw = e
     if rules.overrides is not None:
-        facts = layers.apply_overrides(facts, rules.overrides, held_back).drop("overridden")
+        e = layers.apply_overrides(e, rules.overrides)
+    if at is None:
+        e = _current(e, raw, known, rules, method)
+    if rules.lifetimes is not None:
+        e = layers.apply_lifetimes(e, rules.lifetimes)
+    if at is None:
+        if rules.limits is not None:
+            e = judged.apply_limits(e, rules.limits)
+        if rules.ranges is not None:
+            e = layers.apply_ranges(e, rules.ranges)
+        if rules.audio is not None:
+            own = rules.audio.select("provider", F.lit(None).cast("string").alias("model"), "value").limit(0) if rules.audio_overrides is None else rules.audio_overrides
+            e = judged.apply_audio(e, rules.audio, own)
+        if rules.lineage is not None:
+            e = layers.lineage(e, *rules.lineage)
+    if rules.judgments is not None:
+        e = judged.apply_judgments(e, rules.judgments, prefixes)
+    if at is None:
+        if plane is not None:
+            e = _plane(e, raw, rules, plane)
+        if rules.twins is not None:
+            e = layers.apply_twins(e, rules.twins)
+        if include_retired and rules.retired is not None:
+            e = layers.apply_retired(e, rules.retired, known)
+    e = e.withColumn("facts", F.map_filter(fact_map(), lambda k, _: has_prefix(k, prefixes)))
+    for disclosed in ("overridden", "ruled"):  # only what is still served, with the value it gave
+        if disclosed in e.columns:
+            e = e.withColumn(disclosed, F.map_filter(disclosed, lambda k, v: F.coalesce(fact_map()[k] == v, F.lit(False))))
+    return ServedView(layers.unfold(e), e, held_back, doubtful)
+
+
+def _current(e: DataFrame, raw: DataFrame, known: DataFrame, rules: Rules, method: str | None) -> DataFrame:
+    """The layers that only a current read has, up to login methods."""
+    none = known.limit(0)
+    if rules.endpoints is not None:
+        e = layers.apply_corrections_table(e, rules.endpoints, none if rules.complete is None else rules.complete, "wire.api")
+    if rules.families is not None:
+        e = layers.apply_families(e, rules.families)
+    if rules.links is not None:
+        e = layers.fill_missing(e, rules.links, CANONICAL)
     if rules.creators is not None:
-        facts = layers.inherit_rates(facts, rules.creators).drop("inherited_from")
-    projected = None
+        cards = layers.rate_cards(raw, rules.creators.select(F.col("creator").alias("provider")))
+        e = layers.inherit_rates(e, rules.creators, cards)
     if rules.aliases is not None:
-        rows, projected = layers.project_aliases(facts, rules.aliases, list(rules.route_keys))
-        facts = layers.merge_layers(facts, rows.drop("borrowed_from"))
+        e = layers.project_aliases(e, rules.aliases, known)
     if rules.curated is not None:
-        none = rules.curated.select("provider", "model").limit(0)
-        facts = layers.apply_curated(facts, rules.curated, facts.where("fact_key = 'existence'"), none if rules.held is None else rules.held)
-    if include_retired and rules.retired is not None:
-        facts = layers.apply_retired(facts, rules.retired)
-    # none of these reads what another adds, so all are made from the same facts and put in at once
-    judgments, added = (rules.graded, rules.derived, rules.workloads), []
-    if rules.limits is not None:
-        added.append(judged.limit_facts(entities(facts, projected).where("NOT is_alias"), rules.limits))
-    if rules.audio is not None:
-        own = rules.audio.select("provider", F.lit(None).cast("string").alias("model"), "value").limit(0) if rules.audio_overrides is None else rules.audio_overrides
-        targets = None if projected is None else projected.withColumn("target_provider", F.col("provider"))
-        added.append(judged.audio_rates(facts, rules.audio, own, targets))
-    if all(j is not None for j in judgments):
-        added.append(judged.effort_facts(entities(facts, projected), *judgments).drop("recorded_at_ms"))
-    if added:
-        facts = _put(facts, layers.merge_layers(*added))
-    if rules.ranges is not None:
-        facts = layers.apply_ranges(facts, rules.ranges)
-    if rules.twins is not None:
-        facts = layers.apply_twins(facts, rules.twins)
-    return ServedView(select_prefixes(facts, prefixes), held_back, doubtful)
+        e = layers.apply_curated(e, rules.curated, none if rules.held is None else rules.held, method)
+    if rules.logins is not None:
+        e = layers.apply_logins(e, rules.logins, method)
+    return e
+
+
+def _plane(e: DataFrame, raw: DataFrame, rules: Rules, plane: Plane) -> DataFrame:
+    """The entities of the plane's provider as that login sees and pays them."""
+    e = e.where(F.col("provider") == plane.provider)
+    proxy = plane.kind == "quota_proxy"
+    if plane.rates_from not in (None, plane.provider):
+        target = text_of(fact_map()[CANONICAL])
+        if rules.twins is not None and "api_card" in rules.twins.columns:  # a twin's card is named, not guessed from its canonical id
+            t = rules.twins.select("provider", F.col("twin").alias("model"), F.col("api_card").alias("_card")).distinct()
+            e, target = e.join(t, ID, "left"), F.coalesce("_card", target)
+        under = F.when(target.startswith(f"{plane.rates_from}/"), F.substring(target, len(plane.rates_from) + 2, 10_000))
+        of = raw.sparkSession.createDataFrame([(plane.rates_from,)], "provider string")
+        e = layers.borrow_rates(e, layers.rate_cards(raw, of), under, plane.rates_from).drop("_card")
+    if plane.method == "gateway":
+        e = e.withColumn("facts", layers.without(lambda k: k == "wire.api"))  # the address belongs to the login
+    if proxy:
+        e = e.withColumn("facts", layers.without(is_mode_rate))
+        if plane.rates_from in (None, plane.provider):
+            marker = layers._marker(F.lit(plane.provider), text_of(fact_map()[FAMILY]), "quota_proxy")
+            e = e.withColumn("facts", layers._marked(fact_map(), marker))
+    if rules.plane_rules is not None:
+        e = layers.apply_plane(e, rules.plane_rules, keep_published=not proxy)
+    if plane.family is not None:
+        open_ = ~F.coalesce(F.col("endpoint_withheld"), F.lit(False)) if "endpoint_withheld" in e.columns else F.lit(True)
+        e = e.withColumn("facts", F.when(open_, put(fact_map(), F.lit("wire.family"), quoted(F.lit(plane.family)))).otherwise(fact_map()))
+    return e

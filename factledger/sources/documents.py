@@ -5,65 +5,124 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factledger.functions.claims import quoted
+from factledger.functions.keys import is_mode_name
 from factledger.functions.money import encode_rate, to_minor_units
 
-MODEL = """STRUCT<id STRING, name STRING, family STRING, status STRING, type STRING, release_date STRING, open_weights BOOLEAN, reasoning BOOLEAN,
- structured_output BOOLEAN, temperature BOOLEAN, tool_call BOOLEAN, attachment BOOLEAN, limit STRUCT<context BIGINT, output BIGINT, input BIGINT>,
- modalities STRUCT<input ARRAY<STRING>, output ARRAY<STRING>>, cost STRING, provider STRUCT<npm STRING, api STRING, shape STRING>>"""
+MODEL = """STRUCT<id STRING, name STRING, family STRING, canonical_model_id STRING, status STRING, type STRING, release_date STRING, last_updated STRING,
+ knowledge STRING, open_weights BOOLEAN, reasoning BOOLEAN, reasoning_options STRING, structured_output BOOLEAN, temperature BOOLEAN, tool_call BOOLEAN, attachment BOOLEAN,
+ limit STRUCT<context BIGINT, output BIGINT, input BIGINT>, modalities STRUCT<input ARRAY<STRING>, output ARRAY<STRING>>, cost STRING,
+ provider STRUCT<npm STRING, api STRING, shape STRING>, experimental STRUCT<modes MAP<STRING, STRING>>>"""
 DOCUMENT = f"MAP<STRING, STRUCT<name STRING, doc STRING, api STRING, npm STRING, env ARRAY<STRING>, models MAP<STRING, {MODEL}>>>"
-#: Facts that every model has, null where unstated; the others only where stated.
-ALWAYS = ("family", "release_date", "open_weights", "reasoning", "tool_call", "attachment", "limit.context", "limit.output", "limit.input", "modalities.input", "modalities.output", "status")
-SPARSE = ("name", "type", "structured_output", "temperature")
+#: The rate classes that are priced per million tokens, and those that are only where there is evidence.
+CLASSES, AUDIO = ("input", "output", "cache_read", "cache_write", "reasoning"), ("input_audio", "output_audio")
+#: Facts of every model, null where unstated (field of the document: key); and those only where stated.
+ALWAYS = {
+    "family": "model.family", "open_weights": "model.open_weights", "canonical_model_id": "model.canonical_id", "status": "model.status", "limit.context": "limit.context", "limit.output": "limit.output", "reasoning": "capability.reasoning",
+    "reasoning_options": "capability.reasoning_options", "tool_call": "capability.tool_call", "attachment": "capability.attachment", "modalities.input": "capability.input_modalities", "modalities.output": "capability.output_modalities",
+}
+SPARSE = {"name": "model.name", "type": "model.type", "structured_output": "capability.structured_output", "temperature": "capability.temperature"}
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per model of each file: file, provider, provider columns, model and its struct. A document that isn't a map stops the read."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    """One row per model of each file, see parse_documents."""
+    return parse_documents(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def parse_documents(raw: DataFrame) -> DataFrame:
+    """raw(file, value) -> one row per model: file, provider, provider columns, model and its struct. A document that isn't a map stops the job."""
     doc = F.from_json("value", DOCUMENT)
     providers = raw.select("file", F.explode(F.when(F.col("value").rlike(r"^\s*\{"), doc).otherwise(F.raise_error(F.lit("the document is not a map")).cast(DOCUMENT))).alias("provider", "p"))
     return providers.select("file", "provider", F.col("p.name").alias("provider_name"), F.col("p.npm").alias("provider_npm"), F.col("p.api").alias("provider_api"), F.col("p.doc").alias("provider_doc"), F.col("p.env").alias("provider_env"), F.explode("p.models").alias("model", "m"))
 
 
 def normalise_models(models: DataFrame) -> DataFrame:
-    """A zero limit and an empty name count as unstated; npm and api come from the model or else its provider, with `npm_from` and `api_from`."""
-    m = models.withColumn("m", F.col("m").withField("name", F.nullif(F.trim("m.name"), F.lit(""))))
+    """A zero limit and an empty name count as unstated; npm and api come from the model or else its provider, shape from the model
+    alone, each with where it is from in `npm_from`, `api_from` and `shape_from`."""
+    m = models.withColumn("m", F.col("m").withField("name", F.nullif(F.trim("m.name"), F.lit("")))).withColumn("provider_name", F.nullif(F.trim("provider_name"), F.lit("")))
     for k in ("context", "output", "input"):
         m = m.withColumn("m", F.col("m").withField(f"limit.{k}", F.nullif(F.col(f"m.limit.{k}"), F.lit(0))))
-    for k in ("npm", "api"):
-        own, given = F.col(f"m.provider.{k}"), F.col(f"provider_{k}")
+    for k in ("npm", "api", "shape"):
+        own, given = F.col(f"m.provider.{k}"), F.col(f"provider_{k}") if k != "shape" else F.lit(None).cast("string")
         m = m.withColumn(k, F.coalesce(own, given)).withColumn(f"{k}_from", F.when(own.isNotNull(), "model").when(given.isNotNull(), "provider"))
     return m
 
 
-def rates(models: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rate facts, findings) from the open cost block: plain classes, tiers[] with a context size, and context_over_200k.
-    A number that is negative, no number or rounds to zero is a finding, and so is a tier of an unknown type."""
-    cost = models.where("m.cost IS NOT NULL").select("provider", "model", F.from_json("m.cost", "map<string,string>").alias("cost"))
-    plain = cost.select("provider", "model", F.explode("cost").alias("class", "text")).where(~F.col("class").isin("tiers", "context_over_200k")).select("provider", "model", F.concat(F.lit("rate."), "class").alias("fact_key"), "text")
-    legacy = cost.select("provider", "model", F.explode(F.from_json(F.col("cost")["context_over_200k"], "map<string,string>")).alias("class", "text")).select("provider", "model", F.concat(F.lit("rate."), "class", F.lit(".above_context.200000")).alias("fact_key"), "text")
-    tier = cost.select("provider", "model", F.explode(F.from_json(F.col("cost")["tiers"], "array<map<string,string>>")).alias("t"))
-    size = F.get_json_object(F.col("t")["tier"], "$.size")
-    known = F.get_json_object(F.col("t")["tier"], "$.type") == "context"
-    tiers = tier.where(known).select("provider", "model", size.alias("size"), F.explode(F.map_filter("t", lambda k, _: k != "tier")).alias("class", "text")).select("provider", "model", F.concat(F.lit("rate."), "class", F.lit(".above_context."), "size").alias("fact_key"), "text")
-    found = plain.unionByName(legacy).unionByName(tiers).withColumn("n", to_minor_units(F.col("text")))
-    ok = found.where("n.error IS NULL").select("provider", "model", "fact_key", encode_rate(F.col("n.units")).alias("value_json"))
-    bad = found.where("n.error IS NOT NULL").select("provider", "model", "fact_key", F.col("n.error").alias("finding"))
-    return ok, bad.unionByName(tier.where(~F.coalesce(known, F.lit(False))).select("provider", "model", F.lit("rate.tiers").alias("fact_key"), F.lit("unknown_tier_type").alias("finding")))
-
-
-def to_facts(models: DataFrame) -> DataFrame:
-    """Wide models -> facts (provider, model, fact_key, value_json); one generator, no shuffle. Lists of modalities are sorted."""
+_FOUND = "array<struct<fact_key: string, text: string, finding: string>>"
+
+
+def _found(key, text, finding=None):
+    return F.struct(key.alias("fact_key"), text.cast("string").alias("text"), (F.lit(None) if finding is None else finding).cast("string").alias("finding"))
+
+
+def rates(models: DataFrame, audio: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rate facts, findings) from the open cost block and the modes; one generator, no shuffle but for the join with audio.
+
+    Plain classes are read at the top and in tiers[] (a context size each; one without a size says nothing). Audio classes count only where
+    audio(provider, class) says that the provider prices them by token, and not where a tier or the older block prices them
+    too; they and any other key are findings, since the unit is not known. context_over_200k must repeat a tier; if not, and
+    where a tier has no type or an unknown one, or a number is negative, no number or rounds to zero, the whole card is
+    refused with a finding. A mode is refused alone: a name that can't be a key, a cost that isn't an object, a key
+    without a unit, a bad number; a mode without a cost says nothing.
+    """
+    m = models
+    if audio is not None:
+        told = audio.groupBy(F.col("provider")).agg(F.collect_set("class").alias("_audio"))
+        m = m.join(told, "provider", "left")
+    proven = F.coalesce(F.col("_audio"), F.array().cast("array<string>")) if audio is not None else F.array().cast("array<string>")
+    top = "map<string,string>"
+    m = m.select("provider", "model", proven.alias("proven"), F.from_json("m.cost", top).alias("cost"), F.coalesce(F.col("m.experimental.modes"), F.create_map().cast(top)).alias("modes"))
+    m = m.withColumn("tiers", F.coalesce(F.from_json(F.col("cost")["tiers"], f"array<{top}>"), F.array().cast(f"array<{top}>"))).withColumn("older", F.from_json(F.col("cost")["context_over_200k"], top))
+    scalars = lambda t: F.map_filter(t, lambda k, _: k != "tier")
+    kind = lambda t: F.get_json_object(t["tier"], "$.type")
+    text = lambda c: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+    bad_tier = F.transform(F.filter("tiers", lambda t: F.coalesce(kind(t) != "context", F.lit(True))), lambda t: _found(F.lit("rate.tiers"), kind(t), F.when(kind(t).isNull(), "tier_without_type").otherwise("unknown_tier_type")))
+    orphan = F.when(F.col("older").isNotNull() & ~F.exists("tiers", lambda t: text(scalars(t)) == text(F.col("older"))), F.array(_found(F.lit("rate.context_over_200k"), text(F.col("older")), F.lit("orphaned_older_tier"))))
+    base = F.map_filter(F.coalesce("cost", F.create_map().cast(top)), lambda k, _: ~k.isin("tiers", "context_over_200k"))
+    twice = lambda k: F.exists("tiers", lambda t: F.map_contains_key(t, k)) | F.coalesce(F.map_contains_key("older", k), F.lit(False))
+    counted = lambda k: k.isin(*CLASSES) | (k.isin(*AUDIO) & F.array_contains("proven", k) & ~twice(k))
+    plain = F.transform(F.map_entries(base), lambda x: _found(F.concat(F.lit("rate."), x["key"]), x["value"], F.when(~counted(x["key"]), "unknown_unit")))
+    size = lambda t: F.get_json_object(t["tier"], "$.size")
+    tiered = F.flatten(F.transform(F.filter("tiers", lambda t: size(t).isNotNull()), lambda t: F.transform(F.filter(F.map_entries(t), lambda x: x["key"].isin(*CLASSES)), lambda x: _found(F.concat(F.lit("rate."), x["key"], F.lit(".above_context."), size(t)), x["value"]))))
+    one = m.select("provider", "model", F.lit(None).cast("string").alias("mode"), F.concat(bad_tier, F.coalesce(orphan, F.array().cast(_FOUND)), plain, tiered).alias("found"))
+    mode = m.select("provider", "model", F.explode("modes").alias("mode", "raw"))
+    cost = F.get_json_object("raw", "$.cost")
+    entries = F.map_entries(F.from_json(cost, top))
+    in_mode = F.transform(entries, lambda x: _found(F.concat(F.lit("rate."), x["key"], F.lit(".mode."), F.col("mode")), x["value"], F.when(~x["key"].isin(*CLASSES), "unknown_unit")))
+    refused = F.when(~F.col("raw").rlike(r"^\s*\{"), "not_an_object").when(cost.isNull(), None).when(~is_mode_name(F.col("mode")), "bad_mode_name").when(~cost.rlike(r"^\s*\{"), "cost_is_no_object")
+    mode = mode.select("provider", "model", "mode", F.when(refused.isNotNull(), F.array(_found(F.lit("rate.mode"), F.col("raw"), refused))).otherwise(F.coalesce(in_mode, F.array().cast(_FOUND))).alias("found"))
+
+    def judged(c):
+        """Findings of a card, with those of its numbers."""
+        n = F.transform(c, lambda x: F.struct(x["fact_key"].alias("fact_key"), to_minor_units(x["text"]).alias("n"), x["finding"].alias("finding")))
+        return F.transform(n, lambda x: F.struct(x["fact_key"].alias("fact_key"), x["n"]["units"].alias("units"), F.coalesce(x["finding"], x["n"]["error"]).alias("finding")))
+
+    cards = one.unionByName(mode).withColumn("found", judged(F.col("found")))
+    own = lambda x: x["finding"].isNotNull() & ((x["finding"] != "unknown_unit") | F.col("mode").isNotNull())  # noqa: E731  an unknown unit of the base refuses that key alone
+    cards = cards.withColumn("refused", F.exists("found", own))
+    rows = cards.select("provider", "model", "refused", F.explode("found").alias("x")).select("provider", "model", "refused", "x.fact_key", "x.units", "x.finding")
+    ok = rows.where("NOT refused AND finding IS NULL").select("provider", "model", "fact_key", encode_rate(F.col("units")).alias("value_json"))
+    return ok, rows.where("finding IS NOT NULL").select("provider", "model", "fact_key", "finding")
+
+
+def to_facts(models: DataFrame, audio: DataFrame | None = None) -> DataFrame:
+    """Normalised models -> facts (provider, model, fact_key, value_json), rates included. Lists of modalities are sorted; reasoning options keep
+    their order."""
     def text(name: str):
         c = F.col(f"m.{name}")
         if name.startswith("modalities"):
             return F.to_json(F.array_sort(c))
         kind = models.select(c.alias("x")).schema["x"].dataType.typeName()
-        return F.when(c.isNotNull(), F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":(.*)\}$", "$1")) if kind == "string" else c.cast("string")
+        return quoted(c) if kind == "string" and name != "reasoning_options" else c.cast("string")
 
-    entries = [F.struct(F.lit(k).alias("fact_key"), F.coalesce(text(k), F.lit("null")).alias("value_json"), F.lit(True).alias("keep")) for k in ALWAYS]
-    entries += [F.struct(F.lit(f"model.{k}" if k in ("name", "type") else k).alias("fact_key"), F.coalesce(text(k), F.lit("null")).alias("value_json"), F.col(f"m.{k}").isNotNull().alias("keep")) for k in SPARSE]
-    entries.append(F.struct(F.lit("existence").alias("fact_key"), F.lit('"present"').alias("value_json"), F.lit(True).alias("keep")))
-    return models.select("provider", "model", F.explode(F.array(*entries)).alias("f")).where("f.keep").select("provider", "model", "f.fact_key", "f.value_json")
+    entry = lambda key, value, keep: F.struct(F.lit(key).alias("fact_key"), F.coalesce(value, F.lit("null")).alias("value_json"), keep.alias("keep"))
+    entries = [entry(k, text(f), F.lit(True)) for f, k in ALWAYS.items()] + [entry(k, text(f), F.col(f"m.{f}").isNotNull()) for f, k in SPARSE.items()]
+    entries.append(entry("provider.name", quoted(F.col("provider_name")), F.col("provider_name").isNotNull()))
+    for k in ("npm", "api", "shape"):
+        entries.append(entry(f"wire.{k}", F.to_json(F.struct(F.col(k).alias("value"), F.col(f"{k}_from").alias("from"))), F.col(k).isNotNull()))
+    entries.append(entry("existence", F.lit('"present"'), F.lit(True)))
+    plain = models.select("provider", "model", F.explode(F.filter(F.array(*entries), lambda x: x["keep"])).alias("f")).select("provider", "model", "f.fact_key", "f.value_json")
+    return plain.unionByName(rates(models, audio)[0])
 
 
 def export_snapshot(facts: DataFrame) -> DataFrame:
@@ -92,11 +151,16 @@ def read_releases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def provider_directory(models: DataFrame, hand_kept: DataFrame) -> DataFrame:
-    """models(provider, name, doc, env, modalities) and hand-kept providers: one row each with the sorted union of output
-    modalities. A hand-kept id that upstream has too stops the job."""
-    up = models.groupBy("provider").agg(F.max("name").alias("name"), F.max("doc").alias("doc"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("modalities")))).alias("modalities"))
+    """models(provider, name, doc, modalities and, if they are there, env array and type) and hand-kept providers: one row each with the
+    sorted union of output modalities, to which a model of type embedding adds `embedding`. A hand-kept id that upstream has too stops
+    the job."""
+    more = F.when(F.col("type") == "embedding", F.array(F.lit("embedding"))).otherwise(F.array().cast("array<string>")) if "type" in models.columns else F.array().cast("array<string>")
+    env = [F.first("env", ignorenulls=True).alias("env")] if "env" in models.columns else []
+    said = models.withColumn("modalities", F.concat(F.coalesce("modalities", F.array().cast("array<string>")), more))
+    up = said.groupBy("provider").agg(F.max("name").alias("name"), F.max("doc").alias("doc"), *env, F.array_sort(F.array_distinct(F.flatten(F.collect_set("modalities")))).alias("modalities"))
     clash = hand_kept.join(up.select(F.col("provider"), F.lit(True).alias("_up")), "provider", "left")
-    kept = clash.select(F.when(F.col("_up"), F.raise_error(F.lit("a hand-kept provider clashes with upstream"))).otherwise(F.col("provider")).alias("provider"), "name", "doc", F.array_sort("modalities").alias("modalities"))
+    own = [F.col(c) for c in ("name", "doc", *(["env"] if env else []))]
+    kept = clash.select(F.when(F.col("_up"), F.raise_error(F.lit("a hand-kept provider clashes with upstream"))).otherwise(F.col("provider")).alias("provider"), *own, F.array_sort("modalities").alias("modalities"))
     return up.unionByName(kept)
 
 

@@ -24,9 +24,27 @@ def append_batch(df: DataFrame, path: str, now: int) -> str:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of committed batches. `batch` is a partition column, so uncommitted folders are pruned, not read."""
-    commits = spark.read.schema(MARKER).parquet(f"{path}/commits").select("batch").distinct()
-    return spark.read.parquet(f"{path}/data").join(commits, "batch", "left_semi").drop("batch")
+    """Rows of committed batches: these are listed (one row per write) and named to the scan, so uncommitted folders are pruned, not read."""
+    names = [r["batch"] for r in spark.read.schema(MARKER).parquet(f"{path}/commits").select("batch").distinct().toLocalIterator()]
+    return spark.read.parquet(f"{path}/data").where(F.col("batch").isin(names)).drop("batch")
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table, or an empty one of the schema where none is there yet."""
+    try:
+        return read_table(spark, path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_eras(spark: SparkSession, path: str, source: str, low: str | None = None, high: str | None = None) -> DataFrame:
+    """Eras of a source and a closed range of providers. Batches are written in ranges of (provider, model, fact_key), so both filters
+    reach the scan and skip files and row groups by their statistics."""
+    rows = read_table(spark, path).where(F.col("source") == source)
+    rows = rows if low is None else rows.where(F.col("provider") >= low)
+    return rows if high is None else rows.where(F.col("provider") <= high)
 
 
 def append_eras(eras: DataFrame, observations: DataFrame, path: str, now: int, first_id: int) -> str:
@@ -43,17 +61,16 @@ def append_eras(eras: DataFrame, observations: DataFrame, path: str, now: int, f
     return append_batch(out.select(*[f.split()[0] for f in ERA.split(", ")]), path, now)
 
 
-def seed_if_empty(spark: SparkSession, facts: DataFrame, path: str, source: str, now: int) -> bool:
-    """An empty ledger is filled from a snapshot with eras of kind seed; a second run writes nothing."""
-    try:
-        if not read_table(spark, path).isEmpty():
-            return False
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+def seed_if_empty(spark: SparkSession, facts: DataFrame, path: str, source: str, now: int, observations: str | None = None) -> bool:
+    """An empty ledger is filled from a snapshot with eras of kind seed (no poll, no window), and the log of polls, if given, with one
+    observation `seeded`, which confirms for the eras after it; a second run writes nothing."""
+    if not read_or_empty(spark, path, ERA).isEmpty():
+        return False
     blank = {f.split()[0]: f.split()[1] for f in ERA.split(", ")}
     given = {"id": F.monotonically_increasing_id(), "source": F.lit(source), "boundary": F.lit(now).cast("long"), "kind": F.lit("seed")}
-    cols = [given[c].alias(c) if c in given else F.col(c) if c in facts.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()]
+    cols = [given[c].alias(c) if c in given else F.col(c) if c in facts.columns and c not in ("prior_ms", "observation_id") else F.lit(None).cast(t).alias(c) for c, t in blank.items()]
+    if observations is not None:
+        append_batch(spark.createDataFrame([(0, source, now, "seeded", None, None, None, None, None, None)], OBSERVATION), observations, now)
     append_batch(facts.select(*cols), path, now)
     return True
 
@@ -76,11 +93,13 @@ def import_history(df: DataFrame, schema: str, target_is_empty: bool) -> DataFra
 
 
 def export_state(eras: DataFrame, at: int, null_ok: tuple[str, ...] = ()) -> DataFrame:
-    """Facts in force at an instant of entities that are present, without tombstones (null values), but for keys that may be null."""
+    """Facts in force at an instant of entities that are present, as bare claims without annotations, without tombstones (null values) but for
+    keys that may be null."""
+    from factledger.functions.claims import canonical
     from factledger.operators.asof import filter_presence
 
-    facts = filter_presence(as_of(eras, at, ["provider", "model", "fact_key"]), ["provider", "model"])
-    return facts.where((F.col("value_json") != "null") | F.col("fact_key").isin(*null_ok)).select("provider", "model", "fact_key", "value_json")
+    facts = filter_presence(as_of(eras.select("provider", "model", "fact_key", "value_json", "boundary", "id"), at, ["provider", "model", "fact_key"]), ["provider", "model"])
+    return facts.where((F.col("value_json") != "null") | F.col("fact_key").isin(*null_ok)).select("provider", "model", "fact_key", canonical(F.col("value_json")).alias("value_json"))
 
 
 def export_history(df: DataFrame, path: str) -> int:
@@ -93,6 +112,17 @@ def export_history(df: DataFrame, path: str) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
-def history_days(ops: DataFrame, path: str) -> None:
-    """Ops of releases in one folder per UTC day."""
-    ops.withColumn("day", F.to_date(F.timestamp_millis("published_at_ms"))).repartition("day").sortWithinPartitions("release", "pos").write.partitionBy("day").parquet(path)
+def history_days(ops: DataFrame, path: str, first_release: int = 0, days: int | None = None) -> None:
+    """Ops of releases in one folder per UTC day, bounds [start, start + a day). The import (release first_release) is left out. A release that
+    is missing between others, and, with days, a day without any up to the last, is refused before anything is written. A day is
+    dealt in ranges of (release, position), so a large one is many tasks' work."""
+    from pyspark.sql import Window
+
+    rows = ops.where(F.col("release") > first_release).withColumn("day", F.to_date(F.timestamp_millis("published_at_ms")))
+    told = rows.select("release", "day").distinct()
+    order = Window.partitionBy().orderBy("release")  # one row per release
+    if not told.withColumn("_gap", F.col("release") - F.lag("release").over(order)).where("_gap > 1").isEmpty():
+        raise ValueError("a release is missing")
+    if days is not None and told.select("day").distinct().count() != days:
+        raise ValueError("a day is empty")
+    rows.repartitionByRange("day", "release", "pos").sortWithinPartitions("day", "release", "pos").write.partitionBy("day").parquet(path)

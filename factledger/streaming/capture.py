@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from factledger.functions.claims import canonical
+
 OUT = StructType([StructField("key", StringType()), StructField("value_json", StringType()), StructField("boundary", LongType()), StructField("prior_ms", LongType())])
 _STATE = StructType([StructField("value_json", StringType()), StructField("seen_ms", LongType())])
 
 
 class _Capture(StatefulProcessor):
-    """One state row per fact: its claim and when it was last confirmed. The state never expires, since a fact stays in force."""
+    """One state row per fact: its claim (canonical) and when it was last confirmed. The state never expires, since a fact stays in force."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", _STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        got = sorted((int(t), i, v) for pdf in rows for t, i, v in zip(pdf["boundary"], pdf["id"], pdf["value_json"]))
+        got = sorted((int(t), int(i), v, c) for pdf in rows for t, i, v, c in zip(pdf["boundary"], pdf["id"], pdf["value_json"], pdf["claim"]))
         value, seen = self.held.get() if self.held.exists() else (None, None)
         out = []
-        for t, _, v in got:
-            if seen is None or v != value:
+        for t, _, v, claim in got:
+            if seen is None or claim != value:
                 out.append((key[0], v, t, seen))
-            value, seen = v, t
+            value, seen = claim, t
         self.held.update((value, seen))
         yield pd.DataFrame({"key": [o[0] for o in out], "value_json": [o[1] for o in out], "boundary": pd.array([o[2] for o in out], dtype="Int64"), "prior_ms": pd.array([pd.NA if o[3] is None else o[3] for o in out], dtype="Int64")})
 
@@ -39,8 +41,9 @@ class _Capture(StatefulProcessor):
 def capture_changes(stream: DataFrame) -> DataFrame:
     """stream(key, value_json, boundary, id) -> an era for each change of a key's claim: (key, value_json, boundary, prior_ms),
     prior_ms being the last confirmation before it. The source must deliver a key's rows in order from batch to batch;
-    inside a batch they are sorted. Needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(_Capture(), OUT, "Append", "None")
+    inside a batch they are sorted (a key's rows of one batch are held at once). Claims are compared by what they say, not by how they
+    are written. Needs the RocksDB state store."""
+    return stream.withColumn("claim", canonical(F.col("value_json"))).groupBy("key").transformWithStateInPandas(_Capture(), OUT, "Append", "None")
 
 
 def start_capture(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
@@ -69,3 +72,58 @@ def apply_releases(state: DataFrame, ops: DataFrame, last_release: int) -> DataF
     if span["n"] and (span["lo"] != last_release + 1 or span["hi"] - span["lo"] + 1 != span["n"]):
         raise ValueError("a release is missing")
     return replay_chain(state, ops.where(F.col("release") > last_release), ["provider", "model", "fact_key"], ["release", "pos"])
+
+
+def poll_stream(spark, folder: str, ledger: str, source: str, observations: str, checkpoint: str, clock: Callable[[], int], parse: Callable[[DataFrame], DataFrame]):
+    """The poll of a source as a stream: each file that lands in `folder` is one document and one observation. parse(file, value) gives its
+    facts (provider, model, fact_key, value_json). The observation's outcome is not_modified (the same bytes as the last document),
+    unchanged (the same facts by digest), changed (eras are appended to the ledger) or failed, with a class: parse (no document) or
+    shrink (too much would go). Until a new process has read one document it doesn't trust the saved digest alone, so the first
+    document is always compared in full. Runs over all that is there now, file by file, in the order of their names."""
+    from factledger.operators.asof import current
+    from factledger.operators.diff import facts_digest, state_digest
+    from factledger.sources.tables import ERA, append_batch, append_eras, read_or_empty, OBSERVATION
+
+    entity, trusted = ["provider", "model"], {"yes": False}
+
+    def observe(file: str, value: str) -> None:
+        now = clock()
+        held = read_or_empty(spark, observations, OBSERVATION)
+        last = held.where(F.col("source") == source).where("normalized_hash IS NOT NULL").orderBy(F.desc("observed_at_ms"), F.desc("id")).limit(1).collect()
+        raw = spark.createDataFrame([(file, value)], "file string, value string")
+        raw_hash = raw.select(F.sha2("value", 256)).first()[0]
+        outcome, failure, digest, eras = "changed", None, last[0]["normalized_hash"] if last else None, None
+        if trusted["yes"] and last and last[0]["raw_hash"] == raw_hash:
+            outcome = "not_modified"
+        else:
+            try:
+                facts = parse(raw)
+                digest = state_digest(facts_digest(facts, entity), entity).first()["digest"]
+                told = read_or_empty(spark, ledger, ERA).where(F.col("source") == source)
+                now_held = current(told.select(*entity, "fact_key", "value_json", "boundary", "id"), [*entity, "fact_key"])
+                outcome, eras = poll_batch(now_held, facts, entity, last[0]["normalized_hash"] if last and trusted["yes"] else None)
+                if outcome == "changed" and eras.isEmpty():
+                    outcome = "unchanged"
+                failure, trusted["yes"] = ("shrink" if outcome == "failed" else None), outcome != "failed"
+            except Exception as e:  # a document that can't be read is a failed poll, not a failed stream
+                if "PATH_NOT_FOUND" in str(e):
+                    raise
+                outcome, failure, digest = "failed", "parse", None
+        ok = outcome != "failed"
+        n = held.count() + 1
+        row = (n, source, now, outcome, failure, file, digest if ok else None, raw_hash if ok else None, None, None)
+        seen = spark.createDataFrame([row], OBSERVATION)
+        if outcome == "changed":
+            first = not last
+            base = eras.select(F.lit(source).alias("source"), *entity, "fact_key", "value_json", F.lit(now).cast("long").alias("boundary"), F.lit("asserted" if first else "observed").alias("kind"), F.lit(n).cast("long").alias("observation_id"))
+            kind = {f.split()[0]: f.split()[1] for f in ERA.split(", ")}
+            base = base.select(*[F.col(c) if c in base.columns else F.lit(None).cast(t).alias(c) for c, t in kind.items()])
+            append_eras(base, held, ledger, now, n << 40)
+        append_batch(seen, observations, now)
+
+    def batch(df: DataFrame, _: int) -> None:
+        for r in df.orderBy("file").toLocalIterator():  # a file is a poll, one after another
+            observe(r["file"], r["value"])
+
+    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", 1).load(folder)
+    return files.select(F.col("_metadata.file_path").alias("file"), "value").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -46,13 +46,25 @@ def test_as_of_join_shuffles_once(spark, stored):
     assert "Join" not in text and text.count("hashpartitioning") == 1
 
 
-#: Their join key (the one source, the one provider) is a literal in the query, so Spark folds the equality away and
-#: plans a nested loop. Known and not mended yet.
-CONSTANT_KEY = {"failure_history", "freshness", "lineage_precedence"}
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - CONSTANT_KEY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_query_pairs_all_rows(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_the_view_folds_entities_once(stored):
+    """Layers are expressions: however many there are, the eras are aggregated per fact and per entity once (known ids apart)."""
+    t = lambda rows, schema: stored.sparkSession.createDataFrame(rows, schema)
+    r = Rules(overrides=t([("p", "m", "limit.context", "1", None)], "provider string, model string, fact_key string, value string, replaces string"), ranges=t([("p", 0, 2)], "provider string, low int, high int"), limits=t([("p", "limit.image_bytes", "image", "fixed", 3, None, None, None)], "provider string, fact_key string, modality string, kind string, value long, at long, other long, conditions array<struct<above long, value long>>"), policy="x")
+    text = plan(served_view(stored, r).facts)
+    assert len([x for x in text.splitlines() if x.startswith("Location") and "eras" in x]) == 1
+
+
+def test_committed_batches_are_named_to_the_scan(spark, tmp_path):
+    from factledger.sources import tables
+
+    path = str(tmp_path / "t")
+    tables.seed_if_empty(spark, spark.createDataFrame([("p", "m", "f", "1")], "provider string, model string, fact_key string, value_json string"), path, "s", 1)
+    text = plan(tables.read_eras(spark, path, "s", "p", "q"))
+    assert any(x.startswith("PartitionFilters") and "batch" in x for x in text.splitlines()) and "GreaterThanOrEqual(provider,p)" in text and "Join" not in text
