@@ -7,7 +7,7 @@ a date are two snapshots; parts, customers, suppliers and nations carry the rule
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions.money import exact_ratio, to_minor_units, to_nano
@@ -122,7 +122,6 @@ def _(s, d):
 
 @query("fact_history", f"WITH {_ERAS} SELECT user_id, fact_key, id, boundary, prior_ms, row_number() OVER (PARTITION BY user_id, fact_key ORDER BY boundary, id)::INTEGER AS n FROM eras")
 def _(s, d):
-    from pyspark.sql import Window
     h = asof.histories(eras(s, d), KEYS)
     return h.select(*KEYS, "id", "boundary", "prior_ms", F.row_number().over(Window.partitionBy(*KEYS).orderBy("boundary", "id")).alias("n"))
 
@@ -863,3 +862,181 @@ def _(s, d):
     b = e.groupBy(F.col("observation_id").alias("id")).agg((F.floor(F.min("boundary") / 100_000_000).cast("long") * 1000).alias("now_ms"))
     key = F.when(F.col("fact_key") == "purchase", "rate.input").otherwise("quality.note")
     return reports.version_cursors(b, e.select(F.col("observation_id").alias("id"), key.alias("fact_key")), 1_704_000)
+
+
+# operators of the layers, the log and the exchange of changes, each over whole tables
+
+def customer_entities(s, d) -> DataFrame:
+    return layers.fold(customer_facts(s, d))
+
+
+_N = "cu AS (SELECT c_nationkey::VARCHAR AS provider, c_custkey::VARCHAR AS model, c_custkey AS n, c_mktsegment AS segment FROM customer)"
+
+
+@query("served_timeline", f"""WITH {_ERAS}, {_FIX}, v AS (SELECT * FROM eras WHERE fact_key = 'view'), b AS (SELECT user_id, min(boundary) AS b FROM v GROUP BY 1), t AS (SELECT user_id, boundary AS "at" FROM v UNION SELECT user_id, from_ms FROM fixes UNION SELECT user_id, until_ms + 1 FROM fixes),
+r AS (SELECT t.user_id, t."at", arg_max(v.value_json, {{'b': v.boundary, 'i': v.id}}) AS value, (SELECT count(*) FROM fixes f WHERE f.user_id = t.user_id AND t."at" BETWEEN f.from_ms AND f.until_ms) > 0 AS hit FROM t JOIN b ON b.user_id = t.user_id AND t."at" >= b.b JOIN v ON v.user_id = t.user_id AND v.boundary <= t."at" GROUP BY 1, 2),
+x AS (SELECT user_id, "at", CASE WHEN hit THEN 'refused' ELSE 'value' END AS state, CASE WHEN NOT hit THEN value END AS value FROM r), y AS (SELECT *, row_number() OVER w = 1 OR state IS DISTINCT FROM lag(state) OVER w OR value IS DISTINCT FROM lag(value) OVER w AS isnew FROM x WINDOW w AS (PARTITION BY user_id ORDER BY "at"))
+SELECT user_id, "at" AS from_ms, lead("at") OVER (PARTITION BY user_id ORDER BY "at") AS until_ms, state, value FROM y WHERE isnew""")
+def _(s, d):
+    e = eras(s, d).where("fact_key = 'view'").select("user_id", "value_json", "boundary", "id")
+    return corrections.served_timeline(e, fixes(s, d).select("user_id", "from_ms", "until_ms"), ["user_id"]).select("user_id", "from_ms", "until_ms", "state", "value")
+
+
+@query("apply_corrections", f"""WITH {_ERAS}, {_FIX}, cur AS (SELECT user_id, max(boundary) AS since, arg_max(value_json, {{'b': boundary, 'i': id}}) AS v FROM eras WHERE fact_key = 'view' GROUP BY 1),
+w AS (SELECT f.record, f.user_id, f.from_ms, f.until_ms, any_value(cur.since) AS since, any_value(cur.v) AS v, arg_max(e.value_json, {{'b': e.boundary, 'i': e.id}}) FILTER (e.boundary <= f.from_ms) AS entering, count(*) FILTER (e.boundary > f.from_ms AND e.boundary <= f.until_ms AND e.value_json <> cur.v) AS moved FROM fixes f JOIN cur USING (user_id) JOIN eras e ON e.user_id = f.user_id AND e.fact_key = 'view' GROUP BY 1, 2, 3, 4)
+SELECT user_id, from_ms, v AS value_json, 'corrected' AS kind FROM w WHERE since >= until_ms AND NOT coalesce(entering = v AND moved = 0, false)""")
+def _(s, d):
+    f, e = fixes(s, d).withColumn("reason", F.lit("audit")), eras(s, d)
+    plan = corrections.plan_corrections(f, e, f.limit(0), KEYS)
+    return corrections.apply_corrections(plan, e, 2**62, KEYS).select("user_id", "from_ms", "value_json", "kind")
+
+
+@query("curated_history", f"WITH {_ERAS}, {_ASOF} SELECT user_id, fact_key, value_json FROM inforce WHERE id % 4 <> 0")
+def _(s, d):
+    e = eras(s, d).withColumn("tombstone_reason", F.when(F.col("id") % 4 == 0, "missing"))
+    return ledger.curated_at(e, AT, KEYS).select(*KEYS, "value_json")
+
+
+@query("observations_since", f"WITH {_ERAS}, {_POLLS} SELECT id, observed_at_ms, outcome FROM polls WHERE observed_at_ms >= {AT} AND observed_at_ms < {AT} + 864000000")
+def _(s, d):
+    return ledger.read_observations(polls(s, d), AT, AT + 864_000_000).select("id", "observed_at_ms", "outcome")
+
+
+@query("artifact_marks", f"""WITH {_ERAS}, p AS (SELECT DISTINCT observation_id FROM eras), ev AS (SELECT observation_id FROM p WHERE observation_id % 3 <> 0), live AS (SELECT observation_id FROM p WHERE observation_id % 3 = 1)
+SELECT observation_id, CASE WHEN observation_id % 2 = 0 THEN 'mark' ELSE 'retract' END AS action FROM p WHERE CASE WHEN observation_id % 2 = 0 THEN observation_id NOT IN (SELECT observation_id FROM live) ELSE observation_id IN (SELECT observation_id FROM live) END""")
+def _(s, d):
+    p = eras(s, d).select("observation_id").distinct()
+    o = F.col("observation_id")
+    events = p.where(o % 3 != 0).select(o, F.lit(1).alias("id"), F.lit("mark").alias("action")).unionByName(p.where(o % 3 == 2).select(o, F.lit(2).alias("id"), F.lit("retract").alias("action")))
+    asked = p.select(o, F.when(o % 2 == 0, "mark").otherwise("retract").alias("action"), F.lit("audit").alias("reason"))
+    return ledger.mark_artifacts(asked, events, p.limit(0).withColumn("restated", F.lit(0))).select("observation_id", "action")
+
+
+@query("judgment_requests", f"WITH {_N} SELECT model, CASE WHEN n % 3 = 0 AND n % 5 <> 0 THEN CASE WHEN n % 4 = 0 THEN 'nothing_to_withdraw' ELSE 'not_a_positive_number' END WHEN n % 3 = 1 AND n % 5 = 0 AND n % 4 <> 0 THEN 'no_change' WHEN n % 3 = 0 AND n % 5 = 0 AND n % 4 <> 0 THEN 'not_a_positive_number' ELSE 'written' END AS result FROM cu")
+def _(s, d):
+    c, n = table(s, d, "customer"), F.col("c_custkey")
+    model = n.cast("string").alias("model")
+    log = c.where(n % 5 == 0).select(n.alias("id"), model, F.lit("5").alias("grade"), F.lit(0).alias("withdrawn"), F.lit(1).cast("long").alias("recorded_at_ms"))
+    asked = c.select(model, F.when(n % 4 == 0, None).when(n % 3 == 0, "-1").when(n % 3 == 1, "5").otherwise("6").alias("grade"), F.when((n % 4 == 0) & ((n % 3 == 0) | (n % 5 == 0)), 1).otherwise(0).alias("withdrawn"))
+    asked = asked.withColumn("grade", F.when((F.col("withdrawn") == 0) & F.col("grade").isNull(), "7").otherwise(F.col("grade")))
+    ok, no = ledger.append_judgments(asked, log, ["model"])
+    return ok.select("model", F.lit("written").alias("result")).unionByName(no.select("model", F.array_join("reasons", ",").alias("result")))
+
+
+@query("replay_violations", f"""WITH {_N}, ops AS (SELECT provider, CASE WHEN n % 11 = 0 THEN NULL ELSE model END AS model, 'segment' AS fact_key, n, CASE WHEN n % 6 = 0 THEN 'remove' ELSE 'set' END AS op FROM cu WHERE n % 3 = 0), held AS (SELECT provider, model FROM cu WHERE n % 4 = 0)
+SELECT 'removes_nothing' AS violation, count(DISTINCT (provider, coalesce(model, ''))) AS n FROM ops o WHERE op = 'remove' AND (provider, coalesce(model, '')) NOT IN (SELECT (provider, op2.m) FROM (SELECT provider, coalesce(model, '') AS m FROM ops WHERE model IS NULL AND op = 'set') op2) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.provider = o.provider AND h.model = o.model)""")
+def _(s, d):
+    c, n = table(s, d, "customer"), F.col("c_custkey")
+    brand, model = F.col("c_nationkey").cast("string").alias("provider"), n.cast("string")
+    held = c.where(n % 4 == 0).select(brand, model.alias("model"), F.lit("segment").alias("fact_key"), F.col("c_mktsegment").alias("value_json"))
+    ops = c.where(n % 3 == 0).select(brand, F.when(n % 11 != 0, model).alias("model"), F.lit("segment").alias("fact_key"), F.when(n % 6 == 0, "remove").otherwise("set").alias("op"), F.lit("new").alias("value"))
+    bad = diff.replay_change(held, ops, ["provider", "model", "fact_key"])[1].where("violation = 'removes_nothing'")
+    return bad.agg(F.lit("removes_nothing").alias("violation"), F.count(F.lit(1)).alias("n"))
+
+
+@query("release_hashes", """WITH o AS (SELECT o_custkey % 50 + 1 AS release, o_orderkey AS pos, o_orderstatus AS v FROM orders), r AS (SELECT release, count(*) AS n FROM o GROUP BY 1)
+SELECT release, CASE WHEN release % 7 = 0 THEN 'state_hash' WHEN release % 5 = 0 AND release > 1 THEN 'curation_version' END AS violation FROM r WHERE release % 7 = 0 OR (release % 5 = 0 AND release > 1)""")
+def _(s, d):
+    o = table(s, d, "orders").select((F.col("o_custkey") % 50 + 1).alias("release"), F.col("o_orderkey").alias("pos"), F.lit("p").alias("provider"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("model"), F.lit("status").alias("fact_key"), F.lit("set").alias("op"), F.col("o_orderstatus").alias("value"))
+    digests = diff.change_digests(o)
+    r = F.col("release")
+    rel = o.groupBy("release").agg(F.count(F.lit(1)).alias("n_ops")).join(digests.select("release", F.col("digest").alias("change_hash")), "release")
+    rel = rel.select(r, F.when(r > 1, r - 1).alias("parent"), (r * 1000).alias("published_at_ms"), "n_ops", "change_hash", ((r % 5 != 0) & (r % 7 != 0)).alias("curation_changed"), F.when(r % 7 == 0, (F.floor((r - 1) / 7) * 7 + 6) * 10).otherwise(r * 10).alias("curation_version"), F.lit("c").alias("curation_hash"), F.lit("u").alias("upstream_hash"))
+    rel = rel.withColumn("curation_version", F.when(r % 7 == 0, F.lag("curation_version").over(Window.partitionBy().orderBy("release"))).otherwise(F.col("curation_version")))
+    rel = rel.withColumn("state_hash", F.when(r % 7 == 0, F.lit("x")).otherwise(diff.state_hash(F.col("curation_hash"), F.col("upstream_hash"))))
+    return diff.verify_chain(rel, digests)
+
+
+@query("exported_state", f"WITH {_CF} SELECT provider, model, fact_key, value_json FROM cf WHERE model::BIGINT % 8 <> 0 AND model::BIGINT % 9 <> 0 UNION ALL SELECT provider, model, fact_key, value_json FROM cf WHERE model::BIGINT % 8 <> 0 AND model::BIGINT % 9 = 0 AND fact_key <> 'segment' UNION ALL SELECT DISTINCT provider, model, 'existence', '\"present\"' FROM cf WHERE model::BIGINT % 8 <> 0")
+def _(s, d):
+    from factledger.sources.tables import export_state
+    f = customer_facts(s, d)
+    n = F.col("model").cast("long")
+    alive = layers.known_ids(f).select("provider", "model", F.lit("existence").alias("fact_key"), F.when(n % 8 == 0, '"absent"').otherwise('"present"').alias("value_json"))
+    e = f.withColumn("value_json", F.when((F.col("fact_key") == "segment") & (n % 9 == 0), "null").otherwise(F.col("value_json"))).unionByName(alive)
+    return export_state(e.withColumn("boundary", F.lit(1).cast("long")).withColumn("id", F.lit(1).cast("long")), 5)
+
+
+@query("canonical_links", f"WITH {_N} SELECT provider, model, CASE WHEN n % 4 = 0 THEN 'lab/own' WHEN n % 3 = 0 THEN 'lab/' || model END AS canonical FROM cu")
+def _(s, d):
+    e, n = customer_entities(s, d), F.col("model").cast("long")
+    key = "model.canonical_id"
+    own = F.when(n % 4 == 0, F.create_map(F.lit(key), F.lit('"lab/own"'))).otherwise(F.when(n % 5 == 0, F.create_map(F.lit(key), F.lit("null"))).otherwise(F.create_map().cast("map<string,string>")))
+    e = e.withColumn("facts", F.map_concat("facts", own))
+    out = layers.fill_missing(e, e.where(n % 3 == 0).select("provider", "model", F.concat(F.lit('"lab/'), "model", F.lit('"')).alias("value")), key)
+    return out.select("provider", "model", F.get_json_object(F.concat(F.lit('{"v":'), F.col("facts")[key], F.lit("}")), "$.v").alias("canonical"))
+
+
+@query("login_methods", f"WITH {_N} SELECT provider, model, n % 3 = 0 AND n % 7 <> 0 AS listed FROM cu WHERE NOT (n % 3 = 0 AND n % 7 <> 0 AND n % 2 = 0)")
+def _(s, d):
+    n = F.col("model").cast("long")
+    e = customer_entities(s, d).withColumn("alias_of", F.when(n % 7 == 0, F.struct(F.lit("p").alias("provider"))))
+    rows = e.where(n % 3 == 0).select("provider", "model", F.when(n % 2 == 0, F.array(F.lit("oauth"))).otherwise(F.array(F.lit("oauth"), F.lit("apikey"))).alias("methods"))
+    return layers.apply_logins(e, rows, "apikey").select("provider", "model", F.col("login_methods").isNotNull().alias("listed"))
+
+
+@query("temperature_ranges", f"WITH {_N} SELECT provider, model, 'limit.temperature_' || x AS fact_key, CASE x WHEN 'min' THEN '0' ELSE (n_nationkey % 3 + 1)::VARCHAR END AS value_json FROM cu JOIN nation ON n_nationkey = provider::INT, (VALUES ('min'), ('max')) v(x) WHERE n % 4 <> 0 AND n % 7 <> 0 AND n_nationkey % 5 <> 0")
+def _(s, d):
+    n = F.col("model").cast("long")
+    e = customer_entities(s, d).withColumn("alias_of", F.when(n % 7 == 0, F.struct(F.lit("p").alias("provider"))))
+    e = e.withColumn("facts", F.when(n % 4 == 0, F.map_concat("facts", F.create_map(F.lit("capability.temperature"), F.lit("false")))).otherwise(F.col("facts")))
+    k = F.col("n_nationkey")
+    ranges = table(s, d, "nation").where(k % 5 != 0).select(k.cast("string").alias("provider"), F.lit(0).alias("low"), (k % 3 + 1).alias("high"))
+    return layers.unfold(layers.apply_ranges(e, ranges)).where("fact_key LIKE 'limit.temperature%'")
+
+
+@query("speed_twins", """WITH p AS (SELECT p_brand AS provider, p_partkey AS n, p_size FROM part), t AS (SELECT a.provider, a.n AS base, b.n AS twin, b.p_size AS price FROM p a JOIN p b ON a.provider = b.provider AND b.n = a.n + 25)
+SELECT provider, base::VARCHAR AS model, 'rate.input.mode.fast' || x AS fact_key, price::VARCHAR AS value_json FROM t, (VALUES (''), ('.above_context.9')) v(x) WHERE base % 2 = 1 UNION ALL SELECT provider, twin::VARCHAR, 'model.mode_of', '{"mode":"fast","model_id":"' || base || '"}' FROM t WHERE base % 2 = 1 UNION ALL SELECT provider, base::VARCHAR, 'route.mode_wire_ids', '{"fast":"' || twin || '"}' FROM t WHERE base % 2 = 1""")
+def _(s, d):
+    n, z = F.col("p_partkey"), F.col("p_size").cast("string")
+    rates_ = F.create_map(F.lit("rate.input"), z, F.lit("rate.input.above_context.9"), z, F.lit("rate.input.mode.other"), F.lit("0"))
+    e = table(s, d, "part").select(F.col("p_brand").alias("provider"), n.cast("string").alias("model"), rates_.alias("facts"))
+    t = e.select("provider", F.col("model").alias("base"), (F.col("model").cast("long") + 25).cast("string").alias("twin")).join(e.select("provider", F.col("model").alias("twin")), ["provider", "twin"], "left_semi")
+    t = t.where(F.col("base").cast("long") % 2 == 1).select("provider", "base", F.lit("fast").alias("mode"), "twin", F.lit("Fast").alias("label"))
+    return layers.unfold(layers.apply_twins(e, t)).where("fact_key LIKE '%.mode.fast%' OR fact_key IN ('model.mode_of', 'route.mode_wire_ids')")
+
+
+@query("grades", f"WITH {_N} SELECT provider, model, k AS fact_key, v AS value_json FROM (SELECT provider, model, unnest(['quality.elo', 'quality.eq']) AS k, unnest([n::VARCHAR, (n + 1)::VARCHAR]) AS v FROM cu WHERE n % 2 = 0 AND n % 5 <> 0 AND n % 7 <> 0 UNION ALL SELECT provider, model, 'quality.grade.image', '3' FROM cu WHERE n % 3 = 0 AND n % 7 <> 0 UNION ALL SELECT provider, model, 'quality.decommissioned', 'true' FROM cu WHERE n % 11 = 0 AND n % 7 <> 0)")
+def _(s, d):
+    e, n = customer_entities(s, d), F.col("model").cast("long")
+    e = e.withColumn("alias_of", F.when(n % 7 == 0, F.struct(F.lit("p").alias("provider")))).withColumn("facts", F.when(n % 5 == 0, F.map_concat("facts", F.create_map(F.lit("model.type"), F.lit('"image"')))).otherwise(F.col("facts")))
+    c, k = table(s, d, "customer"), F.col("c_custkey")
+    key, none, at = F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), k.cast("string")).alias("key"), F.lit(None).cast("string"), k.alias("recorded_at_ms")
+    g = c.where(k % 2 == 0).select(key, none.alias("kind"), k.alias("elo"), (k + 1).alias("eq"), none.alias("grade"), at).unionByName(c.where(k % 3 == 0).select(key, F.lit("image").alias("kind"), F.lit(None).cast("long").alias("elo"), F.lit(None).cast("long").alias("eq"), F.lit("3").alias("grade"), at))
+    told = judged.judgments(g, c.where(k % 11 == 0).select(key, at))
+    return layers.unfold(judged.apply_judgments(e, told)).where("fact_key LIKE 'quality.%'")
+
+
+@query("borrowed_rates", f"WITH {_N} SELECT provider, model, CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN (n % 10)::VARCHAR ELSE 'no_api_card' END AS said FROM cu WHERE provider <> '7'")
+def _(s, d):
+    e, n = customer_entities(s, d), F.col("model").cast("long")
+    e = e.withColumn("facts", F.create_map(F.lit("rate.input"), F.lit('{"state":"priced","units":1}')))
+    cards = table(s, d, "customer").where("c_custkey % 2 = 0").select(F.lit("7").alias("provider"), F.col("c_custkey").cast("string").alias("model"), F.create_map(F.lit("rate.input"), F.to_json(F.struct(F.lit("priced").alias("state"), (F.col("c_custkey") % 10).alias("units")))).alias("card"))
+    out = layers.borrow_rates(e.where("provider <> '7'"), cards, F.when(n % 3 == 0, F.col("model")), "7")
+    rate = F.col("facts")["rate.input"]
+    return out.select("provider", "model", F.coalesce(F.get_json_object(rate, "$.reason"), F.get_json_object(rate, "$.units")).alias("said"))
+
+
+@query("pruned_disclosures", f"WITH {_CF} SELECT provider, model, fact_key FROM cf WHERE fact_key = 'segment' AND model::BIGINT % 3 = 0 AND value_json = 'BUILDING'")
+def _(s, d):
+    f = customer_facts(s, d)
+    told = f.where("cast(model AS long) % 3 = 0").select("provider", "model", "fact_key", F.lit("BUILDING").alias("value_json"))
+    return layers.prune(told, f.where("fact_key = 'segment'"), layers.KEY, "value_json").select(*layers.KEY)
+
+
+@query("scalar_functions", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'USD' END AS currency, c_custkey % 2 = 0 AS mode_name, 'lab' || c_nationkey AS lab, c_custkey || '/x' AS name, 'lab' || c_nationkey || '/' || c_custkey || '/x' AS joined, c_custkey % 5 <> 0 AS model_key, (c_custkey::BIGINT * 7777777 // 86400000) * 86400000 AS day, strftime(make_timestamp(c_custkey::BIGINT * 7777777000), '%Y-%m-%d') AS text,
+ CASE WHEN c_custkey % 4 = 0 THEN 'rate.input.mode.m' WHEN c_custkey % 4 = 1 THEN 'limit.context' WHEN c_custkey % 4 = 2 THEN 'existence' END AS fact_key, 'v' || c_custkey AS put, sha256('{"curation":"c' || c_custkey || '","upstream":"u"}') AS state FROM customer""")
+def _(s, d):
+    from factledger.functions import claims, keys, times
+    from factledger.functions.money import currency_code
+    k = F.col("c_custkey")
+    t = k.cast("string")
+    path = F.concat(F.lit("lab"), F.col("c_nationkey").cast("string"), F.lit("/"), t, F.lit("/x"))
+    part = keys.split_id(path)
+    kind = F.when(k % 4 == 0, "rate").when(k % 4 == 1, "limit").when(k % 4 == 2, "existence").otherwise("tier_rate")
+    key = keys.fact_key_for(kind, F.when(k % 4 == 1, "context").otherwise("input"), F.when(k % 4 == 0, "m"))
+    word = F.when(k % 5 == 0, F.concat(t, F.lit(" x"))).otherwise(t)
+    return table(s, d, "customer").select(
+        k, currency_code(F.when(k % 3 == 0, " usd ").otherwise("dollars")).alias("currency"), keys.is_mode_name(F.when(k % 2 == 0, F.concat(F.lit("m-"), t)).otherwise(F.concat(F.lit("M"), t))).alias("mode_name"),
+        part["lab"].alias("lab"), part["model"].alias("name"), keys.join_id(part["lab"], part["model"]).alias("joined"), keys.is_model_key(word).alias("model_key"), times.day_start(k * 7_777_777).alias("day"), times.utc_text(k * 7_777_777).alias("text"), key.alias("fact_key"),
+        claims.put(F.create_map(F.lit("a"), F.lit("old")), F.lit("a"), F.concat(F.lit("v"), t))["a"].alias("put"), diff.state_hash(F.concat(F.lit("c"), t), F.lit("u")).alias("state"))
