@@ -1,10 +1,14 @@
 """Near-duplicate detection by min-max hashing.
 
 A document is the set of its distinct word shingles. Under each permutation both the least and the greatest image are
-kept, so P permutations give 2P signature values. Bands of values make buckets; the buckets' members form clusters that
-no pair of similar documents straddles (but for the banding's chance of a miss, below 1e-8 with the parameters here).
-Inside a cluster, pairs are tried in the order of their estimated similarity and confirmed on the full sets; a pair that
-is joined already is skipped. A large cluster is dealt out in pairs of chunks, so no task holds more than two chunks.
+kept, so P permutations give 2P signature values. Bands of values make buckets; a pair at the threshold shares none with a
+chance below 1e-8 with the parameters here, and only pairs that share a bucket are tried.
+
+First every member of a bucket is tried with the bucket's least document, its leader: a number of pairs that is linear in the
+documents, whatever the size of a bucket. What this joins, directly or through others, is joined for good; of buckets that
+still hold several components, only the pairs across components are tried, by sketches first (512 bytes each), large buckets
+in pairs of chunks. Candidates are confirmed on the full sets, so a text is sent only where a sketch says that it may
+be similar. A leader of many is dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +26,8 @@ from factledger.llm.components import components
 from factledger.llm.shared import documents, materialise
 
 ROWS, BANDS = 6, 64  # at similarity 0.8: (1 - 0.8^6)^64 = 4e-9 of pairs share no bucket
-CHUNK_DOCS, CHUNK_SHINGLES = 512, 2_000_000
-SKETCH = 256  # values that order and prune the pairs of a cluster
+CHUNK_DOCS = 512  # of one bucket, or of one leader, at a time
+SKETCH = 256  # values of the signature, 16 bits of each, that tell which pairs to confirm
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -89,26 +92,29 @@ def _bands(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (128 bits of the set; null for an empty one) and bands (array<long>, empty for an empty set)."""
+    """doc_id, n_shingles, f1, f2 (128 bits of the set; null for an empty one), bands (array<long>) and sketch, both empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # Arrow: ids stay whole beside nulls
         shingles, minmax = Shingler(width), MinMax(-(-rows * bands // 2))
         for batch in batches:
-            n, prints, found = [], [], []
+            n, prints, found, sketches = [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 if len(s):
                     prints.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist())
-                    found.append(_bands(minmax(s), rows, bands))
+                    signature = minmax(s)
+                    found.append(_bands(signature, rows, bands))
+                    sketches.append(signature[:SKETCH].astype("<u2").tobytes())
                 else:
                     prints.append((None, None))
+                    sketches.append(b"")
             ends = np.concatenate(([0], np.cumsum(np.array(n, np.int64) > 0))) * bands
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))
             f1, f2 = zip(*prints) if prints else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists], names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"])
 
-    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -119,79 +125,131 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def joins(left: list[int], right: list[int], sets: list[np.ndarray], sketches: np.ndarray, threshold: float, within: bool) -> list[tuple[int, int]]:
-    """A forest of confirmed links over the pairs left x right (within: the pairs of left)."""
-    per_cent, parent = round(threshold * 100), list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    size = np.array([len(s) for s in sets])
-    equal = np.zeros((len(left), len(right)), np.uint16)
-    for k in range(sketches.shape[1]):
-        equal += sketches[left, k][:, None] == sketches[right, k][None, :]
-    estimate = equal / sketches.shape[1]
-    # a pair at the threshold has an estimate this far below it with a chance of 1e-9
-    edge = threshold - 6 * math.sqrt(threshold * (1 - threshold) / sketches.shape[1])
-    a, b = size[left][:, None], size[right][None, :]
-    try_it = (estimate >= edge) & (100 * np.minimum(a, b) >= per_cent * np.maximum(a, b))
-    if within:
-        try_it &= np.triu(np.ones_like(try_it), 1)
-    at = np.flatnonzero(try_it.ravel())
-    at = at[np.argsort(-estimate.ravel()[at], kind="stable")]
-    found = []
-    for x, y in zip((at // len(right)).tolist(), (at % len(right)).tolist()):
-        x, y = left[x], right[y]
-        p, q = root(x), root(y)
-        if p != q:
-            both = _overlap(sets[x], sets[y])
-            if 100 * both >= per_cent * (len(sets[x]) + len(sets[y]) - both):
-                parent[p] = q
-                found.append((x, y))
-    return found
-
-
-def confirmed_links(texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """texts(cluster, chunks, doc_id, f1, f2, text) -> links (u, v) that hold on the full sets and join, within each cluster, all that is
-    similar, directly or through others. texts of other sets than (f1, f2), and repeated rows, are passed over."""
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    rows = texts.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
-    rows = rows.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "f1", "f2", "text")
-    rows = rows.repartition(F.col("cluster"), F.col("i"), F.col("j")).sortWithinPartitions("cluster", "i", "j", "doc_id", "f1", "f2")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, minmax = Shingler(width), MinMax(SKETCH // 2, seed=17)
-        key, ids, chunks, sets, last = None, [], [], [], None
-
-        def closed() -> list[tuple[int, int]]:
-            if len(ids) < 2:
-                return []
-            left = [n for n, c in enumerate(chunks) if c == key[1]]
-            right = left if key[1] == key[2] else [n for n, c in enumerate(chunks) if c == key[2]]
-            if not left or not right:
-                return []
-            sketches = np.stack([minmax(s) for s in sets])
-            return [(ids[x], ids[y]) for x, y in joins(left, right, sets, sketches, threshold, key[1] == key[2]) if ids[x] != ids[y]]
-
-        for pdf in batches:
-            out = []
-            for cluster, i, j, c, doc, f1, f2, text in pdf.itertuples(index=False, name=None):
-                if (cluster, i, j) != key:
-                    out += closed()
-                    key, ids, chunks, sets, last = (cluster, i, j), [], [], [], None
-                s = shingles(text)
-                if (doc, f1, f2) != last and xxhash.xxh3_128_digest(s.tobytes()) == np.array([f1, f2], "<i8").tobytes():
-                    last = (doc, f1, f2)
-                    ids.append(doc)
-                    chunks.append(c)
-                    sets.append(s)
-            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-        yield pd.DataFrame(closed(), columns=["u", "v"], dtype="int64")
+def _edge(threshold: float, values: int) -> float:
+    """A pair at the threshold has an estimate below this with a chance of 1e-9."""
+    return threshold - 6 * math.sqrt(threshold * (1 - threshold) / values)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """pairs(u, v) with salt, such that (u, salt) has about CHUNK_DOCS rows at most."""
+    most = pairs.groupBy("u").count().agg(F.max("count")).first()[0]
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(-(-(most or 1) // CHUNK_DOCS))))
+
+
+def _roles(dealt: DataFrame) -> DataFrame:
+    """(id, u, salt, side): who is needed where; side 0 is the leader, once for each (u, salt)."""
+    lead = dealt.select("u", "salt").distinct().select(F.col("u").alias("id"), "u", "salt", F.lit(0).alias("side"))
+    return lead.unionByName(dealt.select(F.col("v").alias("id"), "u", "salt", F.lit(1).alias("side")))
 
-    return rows.mapInPandas(run, "u long, v long")
+
+def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) that size and sketch allow to be similar. reps(rep, n, sketch)."""
+    rows = _roles(_dealt(pairs)).join(reps.select(F.col("rep").alias("id"), "n", "sketch"), "id")
+    rows = rows.select("u", "salt", "side", "id", "n", "sketch").repartition(F.col("u"), F.col("salt")).sortWithinPartitions("u", "salt", "side")
+    per_cent = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leaders = None, []  # a document whose id has several texts leads with each
+        for batch in batches:
+            u, salt, side, ids, n = (batch.column(i).to_numpy() for i in range(5))
+            all_ = _sketches(batch.column(5))
+            starts = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (salt[1:] != salt[:-1])))).tolist()
+            keep = np.zeros(len(u), bool)
+            for i, j in zip(starts, [*starts[1:], len(u)]):
+                if (u[i], salt[i]) != group:
+                    group, leaders = (u[i], salt[i]), []
+                m = i + int((side[i:j] == 0).sum())
+                leaders += [(n[x], all_[x].copy()) for x in range(i, m)]
+                for size, sketch in leaders:
+                    alike = (all_[m:j] == sketch).mean(1) >= _edge(threshold, all_.shape[1])
+                    keep[m:j] |= alike & (100 * np.minimum(n[m:j], size) >= per_cent * np.maximum(n[m:j], size))
+            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(ids[keep])], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def across(members: DataFrame, threshold: float) -> DataFrame:
+    """members(bucket, rep, root, n, sketch) -> distinct pairs (u, v) of a bucket with different roots that size and sketch allow to be similar.
+    A bucket of more than CHUNK_DOCS is dealt out in pairs of chunks, so a task holds two chunks of sketches."""
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("chunks"))
+    rows = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "root", "n", "sketch")
+    rows = rows.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j")
+    per_cent = round(threshold * 100)
+
+    def tried(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        chunk, rep, root, n = (np.concatenate(x) for x in zip(*[h[:4] for h in held]))
+        sketch = np.concatenate([h[4] for h in held])
+        left = np.flatnonzero(chunk == key[1])
+        right = left if key[1] == key[2] else np.flatnonzero(chunk == key[2])
+        equal = np.zeros((len(left), len(right)), np.uint16)
+        for k in range(sketch.shape[1]):
+            equal += sketch[left, k][:, None] == sketch[right, k][None, :]
+        a, b = n[left][:, None], n[right][None, :]
+        ok = (equal >= _edge(threshold, sketch.shape[1]) * sketch.shape[1]) & (root[left][:, None] != root[right][None, :]) & (100 * np.minimum(a, b) >= per_cent * np.maximum(a, b))
+        x, y = np.nonzero(ok)
+        x, y = rep[left[x]], rep[right[y]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            bucket, i, j, chunk, rep, root, n = (batch.column(c).to_numpy() for c in range(7))
+            sketch = _sketches(batch.column(7))
+            starts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))).tolist()
+            for x, y in zip(starts, [*starts[1:], len(bucket)]):
+                key = (bucket[x], i[x], j[x])
+                if key != group:
+                    if held:
+                        yield tried(group, held)
+                    group, held = key, []
+                held.append((chunk[x:y], rep[x:y], root[x:y], n[x:y], sketch[x:y]))
+        if held:
+            yield tried(group, held)
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar. reps(rep, f1, f2); texts of other sets than a document's (f1, f2), and repeated rows,
+    are passed over."""
+    roles = _roles(_dealt(pairs)).join(reps.select(F.col("rep").alias("id"), "f1", "f2"), "id")
+    texts = df.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
+    # dealt by id at every size: the list of roles grows with the input, so it isn't broadcast even where it is small
+    rows = texts.join(roles.hint("merge"), "id").select("u", "salt", "side", "id", "f1", "f2", "text")
+    rows = rows.repartition(F.col("u"), F.col("salt")).sortWithinPartitions("u", "salt", "side", "id", "f1", "f2")
+    per_cent = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, group, leaders, last = Shingler(width), None, [], None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for u, salt, side, i, f1, f2, text in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if (u, salt) != group:
+                    group, leaders, last = (u, salt), [], None
+                if (side, i, f1, f2) == last:
+                    continue
+                s = shingles(text)
+                if xxhash.xxh3_128_digest(s.tobytes()) != np.array([f1, f2], "<i8").tobytes():
+                    continue
+                last = (side, i, f1, f2)
+                if side == 0:
+                    leaders.append(s)
+                    continue
+                for leader in leaders:
+                    both = _overlap(leader, s)
+                    if 100 * both >= per_cent * (len(leader) + len(s) - both):
+                        out.append((u, i))
+                        break
+            x, y = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -206,19 +264,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sig = materialise(signatures(df, id_col, text_col, width, rows, bands), "minmax")
     # equal sets: one representative each, so thousands of copies count once from here on
     classes = materialise(sig.where("f1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    reps = sig.select("f1", "f2", "bands", F.col("doc_id").alias("rep")).join(classes.drop("n"), ["f1", "f2", "rep"], "left_semi")
+    own = sig.select("f1", "f2", F.col("doc_id").alias("rep"), "bands", "sketch").join(classes, ["f1", "f2", "rep"]).dropDuplicates(["f1", "f2"])
+    reps = materialise(own.select("f1", "f2", "rep", "n", "bands", "sketch"), "representatives")
     member = reps.select("rep", F.explode("bands").alias("bucket"))
-    lead = member.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
-    lead = materialise(lead.select("bucket", "first"), "buckets")
-    clusters = materialise(components(member.join(lead, "bucket").select(F.col("rep").alias("u"), F.col("first").alias("v"))), "clusters")
-    listed = clusters.join(classes, clusters["node"] == classes["rep"]).select(F.col("root").alias("cluster"), "rep", "f1", "f2", "n")
-    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).cast("int")
-    sized = listed.groupBy("cluster").agg(chunks.alias("chunks"))
-    listed = materialise(listed.drop("n").join(sized, "cluster"), "listed")
-    # dealt by id at every size: the list of members grows with the input, so it isn't broadcast even where it is small
-    texts = df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").join(listed.hint("merge"), F.col("doc_id") == F.col("rep")).drop("rep")
-    links = materialise(confirmed_links(texts, width, threshold), "links")
-    found = components(links)
+    lead = materialise(member.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("bucket", "first"), "buckets")
+    shared = materialise(member.join(lead, "bucket"), "members")
+    pairs = materialise(shared.where("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v")).distinct(), "leaders")
+    pairs = materialise(likely(pairs, reps, threshold), "likely")
+    links = materialise(confirmed(pairs, reps, df, id_col, text_col, width, threshold), "links")
+    found = materialise(components(links), "joined")
+    # buckets that still hold several components; their leaders have been tried with everybody
+    now = shared.join(found, shared["rep"] == found["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    rest = shared.where("rep <> first").select("bucket", "rep").join(mixed, "bucket", "left_semi")
+    rest = rest.join(found, rest["rep"] == found["node"], "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    left = rest.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    rest = rest.join(left, "bucket", "left_semi").join(reps.select("rep", "n", "sketch"), "rep")
+    more = materialise(across(rest, threshold), "across")
+    if not more.isEmpty():
+        again = confirmed(more, reps, df, id_col, text_col, width, threshold)
+        found = components(found.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(again))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("component"))
     named = materialise(named, "named")
     out = sig.drop("bands").join(named, ["f1", "f2"], "left")
