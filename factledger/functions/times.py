@@ -21,5 +21,5 @@ def day_start(c: Column) -> Column:
 
 
 def days_overdue(review_by: Column, now: Column) -> Column:
-    """Whole days since the review was due; null before."""
-    return F.when(now >= review_by, F.floor((now - review_by) / DAY).cast("long"))
+    """Whole days since the review was due; null before and at that instant."""
+    return F.when(now > review_by, F.floor((now - review_by) / DAY).cast("long"))

@@ -52,6 +52,16 @@ def value_at(eras: DataFrame, corrections: DataFrame, at: int, keys: list[str])
     return out.select(*keys, state.alias("state"), F.when(state.isin("known", "known_stale"), F.col("value_json")).alias("value_json"))
 
 
+def value_at_detail(eras: DataFrame, corrections: DataFrame, at: int, keys: list[str]) -> DataFrame:
+    """value_at with what stands behind a state: of known_stale the bracket in which the next change happened (changed_after, changed_by;
+    open), of corrected how many records cover the instant and the newest (by record) of them."""
+    stale = eras.where((F.col("prior_ms") < at) & (F.col("boundary") > at)).groupBy(*keys).agg(F.min(F.struct("boundary", "prior_ms")).alias("_next"))
+    fixed = corrections_at(corrections, at).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("record", "from_ms", "until_ms")).alias("_fix"))
+    out = value_at(eras, corrections, at, keys).join(stale, keys, "left").join(fixed, keys, "left")
+    known_stale = F.col("state") == "known_stale"
+    return out.select(*keys, "state", "value_json", F.when(known_stale, F.col("_next.prior_ms")).alias("changed_after"), F.when(known_stale, F.col("_next.boundary")).alias("changed_by"), F.coalesce("_n", F.lit(0)).alias("records"), F.col("_fix.record").alias("record"), F.col("_fix.from_ms").alias("from_ms"), F.col("_fix.until_ms").alias("until_ms"))
+
+
 def plan_corrections(requests: DataFrame, eras: DataFrame, corrections: DataFrame, keys: list[str], addressable: Column | None = None, together: list[str] | None = None) -> DataFrame:
     """requests(keys, from_ms, until_ms, reason) with current value, current_since and `refusals`, an array of the first reason against
     the request, or none: bad_window; not_addressable; no_such_fact; present_still_affected (the era in force began before the

@@ -149,6 +149,25 @@ def state_digest(entities: DataFrame, entity: list[str], fan: int = 1024) -> Dat
     return slices.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "slice", "digest"))), ""), 256).alias("digest"))
 
 
+def set_digest(facts: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, facts, digest): a digest of a set of rows that does not depend on their order and adds up, so a task sends one number for
+    each group whatever the group's size: the sum of 60 bits of each row's SHA-256, with the number of rows. It finds changes; it is no
+    proof against somebody who picks rows to cancel each other out."""
+    bits = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return facts.groupBy(*by).agg(F.count(F.lit(1)).alias("facts"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("digest"))
+
+
+def publish_step(held: DataFrame, incoming: DataFrame, entity: list[str], key: str = "fact_key", value: str = "value_json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ops, conflicts, guard) of a publication. Facts that the document states in several ways are conflicts and left out; ops turn what is held
+    into the rest, in the order of their keys, and there are none where the guard (see shrink_guard, over entities; it is asked at once)
+    refuses."""
+    keys = [*entity, key]
+    facts, conflicts = split_conflicts(incoming.select(*keys, value), keys, value)
+    guard = shrink_guard(held.select(*entity).distinct(), facts.select(*entity).distinct())
+    ops = publish_delta(held, facts, keys, value)
+    return (ops.limit(0) if guard.first()["refused"] else ops.orderBy(*keys)), conflicts, guard
+
+
 def state_hash(curation_hash: Column, upstream_hash: Column) -> Column:
     """The hash of a state from those of its two halves."""
     return F.sha2(F.to_json(F.struct(curation_hash.alias("curation"), upstream_hash.alias("upstream"))), 256)

@@ -182,13 +182,30 @@ def ledger_bounds(eras: DataFrame) -> DataFrame:
     return eras.agg(F.min("boundary").alias("begins_at"), F.max("boundary").alias("newest"), F.count(F.lit(1)).alias("eras"), F.max("id").alias("latest_id"))
 
 
-def overdue(rules: DataFrame, now: int) -> DataFrame:
-    """Rules past their review date with the whole days since."""
+def overdue(rules: DataFrame, now: int, claims: str | None = None) -> DataFrame:
+    """Rules past their review date with the whole days since. claims: an array column of sub-claims (subject, review_by_ms, source_ref), each
+    of which is due by itself; then the rows are (the rule's columns but claims and review_by_ms, subject, review_by_ms, days_overdue), with
+    subject price for the rule itself."""
     from factledger.functions.times import days_overdue
 
+    if claims is not None:
+        own = F.struct(F.lit("price").alias("subject"), F.col("review_by_ms").cast("long").alias("review_by_ms"))
+        sub = F.transform(F.coalesce(F.col(claims), F.array().cast(rules.schema[claims].dataType)), lambda x: F.struct(x["subject"].alias("subject"), x["review_by_ms"].cast("long").alias("review_by_ms")))
+        rest = [c for c in rules.columns if c not in (claims, "review_by_ms")]
+        rules = rules.select(*rest, F.explode(F.concat(F.array(own), sub)).alias("_x")).select(*rest, "_x.subject", "_x.review_by_ms")
     return rules.withColumn("days_overdue", days_overdue(F.col("review_by_ms"), F.lit(now))).where("days_overdue IS NOT NULL")
 
 
+def release_prices(rows: DataFrame, history: DataFrame, keys: list[str], claim: list[str], metadata: list[str], published_at: int, first_release: bool) -> DataFrame:
+    """Price rows that a release brings, as they are appended: one whose claim is that of the newest id at publication moves to the time of
+    publication (only its metadata is new); on the first release one that also has the same metadata is skipped. Nulls are equal."""
+    held = latest_per_key(history.where(F.col("boundary") <= published_at), keys, ["id"]).select(*keys, F.struct(*claim).alias("_c"), F.struct(*metadata).alias("_m"), F.lit(True).alias("_had"))
+    met = rows.join(held, keys, "left")
+    same, unchanged = F.coalesce(F.col("_had"), F.lit(False)) & F.struct(*claim).eqNullSafe(F.col("_c")), F.struct(*metadata).eqNullSafe(F.col("_m"))
+    out = met.where(~(same & unchanged)) if first_release else met
+    return out.withColumn("boundary", F.when(same, F.lit(published_at).cast("long")).otherwise(F.col("boundary"))).select(*rows.columns)
+
+
 def check_invariants(df: DataFrame, rules: dict[str, Column], unique: list[str] | None = None) -> DataFrame:
     """Every violation: (violation, row as JSON). A rule that is not true (null included) is violated; unique keys that repeat
     are one violation per key."""

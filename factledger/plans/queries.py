@@ -392,7 +392,7 @@ def _(s, d):
     return bad.select("s_suppkey", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("overdue_rules", f"WITH r AS (SELECT s_suppkey, {AT} - (s_suppkey - 4) * 40000000 AS review_by_ms FROM supplier) SELECT s_suppkey, review_by_ms, ({AT} - review_by_ms) // 86400000 AS days_overdue FROM r WHERE review_by_ms <= {AT}")
+@query("overdue_rules", f"WITH r AS (SELECT s_suppkey, {AT} - (s_suppkey - 4) * 40000000 AS review_by_ms FROM supplier) SELECT s_suppkey, review_by_ms, ({AT} - review_by_ms) // 86400000 AS days_overdue FROM r WHERE review_by_ms < {AT}")
 def _(s, d):
     return ledger.overdue(table(s, d, "supplier").select("s_suppkey", (F.lit(AT) - (F.col("s_suppkey") - 4) * 40_000_000).alias("review_by_ms")), AT)
 
@@ -1040,3 +1040,47 @@ def _(s, d):
         k, currency_code(F.when(k % 3 == 0, " usd ").otherwise("dollars")).alias("currency"), keys.is_mode_name(F.when(k % 2 == 0, F.concat(F.lit("m-"), t)).otherwise(F.concat(F.lit("M"), t))).alias("mode_name"),
         part["lab"].alias("lab"), part["model"].alias("name"), keys.join_id(part["lab"], part["model"]).alias("joined"), keys.is_model_key(word).alias("model_key"), times.day_start(k * 7_777_777).alias("day"), times.utc_text(k * 7_777_777).alias("text"), key.alias("fact_key"),
         claims.put(F.create_map(F.lit("a"), F.lit("old")), F.lit("a"), F.concat(F.lit("v"), t))["a"].alias("put"), diff.state_hash(F.concat(F.lit("c"), t), F.lit("u")).alias("state"))
+
+
+@query("overdue_claims", f"""WITH r AS (SELECT s_suppkey, {AT} - (s_suppkey - 4) * 40000000 AS own, {AT} - (s_suppkey - 8) * 30000000 AS sub FROM supplier), x AS (SELECT s_suppkey, 'price' AS subject, own AS review_by_ms FROM r UNION ALL SELECT s_suppkey, 'quota_value', sub FROM r WHERE s_suppkey % 2 = 0)
+SELECT s_suppkey, subject, review_by_ms, ({AT} - review_by_ms) // 86400000 AS days_overdue FROM x WHERE review_by_ms < {AT}""")
+def _(s, d):
+    k = F.col("s_suppkey")
+    sub = F.array(F.struct(F.lit("quota_value").alias("subject"), (F.lit(AT) - (k - 8) * 30_000_000).alias("review_by_ms"), F.lit("s").alias("source_ref")))
+    r = table(s, d, "supplier").select(k, (F.lit(AT) - (k - 4) * 40_000_000).alias("review_by_ms"), F.when(k % 2 == 0, sub).alias("claims"))
+    return ledger.overdue(r, AT, "claims")
+
+
+@query("release_prices", """WITH h AS (SELECT s_suppkey AS k, s_nationkey AS price, s_suppkey % 3 AS quota FROM supplier WHERE s_suppkey % 4 <> 0), r AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_nationkey END AS price, CASE WHEN s_suppkey % 2 = 0 THEN 9 ELSE s_suppkey % 3 END AS quota FROM supplier)
+SELECT r.k, r.price, r.quota, CASE WHEN h.k IS NOT NULL AND r.price IS NOT DISTINCT FROM h.price THEN 500 ELSE 7 END::BIGINT AS boundary FROM r LEFT JOIN h ON h.k = r.k WHERE NOT (h.k IS NOT NULL AND r.price IS NOT DISTINCT FROM h.price AND r.quota = h.quota)""")
+def _(s, d):
+    k = F.col("k")
+    sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("price"))
+    h = sup.where(k % 4 != 0).select(k, "price", (k % 3).alias("quota"), F.lit(100).cast("long").alias("boundary"), k.alias("id"))
+    r = sup.select(k, F.when(k % 5 != 0, F.col("price")).alias("price"), F.when(k % 2 == 0, F.lit(9).cast("long")).otherwise(k % 3).alias("quota"), F.lit(7).cast("long").alias("boundary"))
+    return ledger.release_prices(r, h, ["k"], ["price"], ["quota"], 500, True)
+
+
+@query("value_at_detail", f"""WITH {_ERAS}, {_FIX}, {_ASOF}, k AS (SELECT DISTINCT user_id, fact_key FROM eras), c AS (SELECT user_id, fact_key, count(*) AS records, max(record) AS record, arg_max(from_ms, record) AS from_ms, arg_max(until_ms, record) AS until_ms FROM fixes WHERE from_ms <= {AT} AND until_ms >= {AT} GROUP BY 1, 2),
+n AS (SELECT user_id, fact_key, min(boundary) AS changed_by, arg_min(prior_ms, {{'b': boundary, 'p': prior_ms}}) AS changed_after FROM eras WHERE prior_ms < {AT} AND boundary > {AT} GROUP BY 1, 2),
+t AS (SELECT k.*, a.value_json AS v, c.records, c.record, c.from_ms, c.until_ms, n.changed_by AS cb, n.changed_after AS ca, CASE WHEN c.records IS NOT NULL THEN 'corrected' WHEN a.id IS NULL THEN 'unknown' WHEN n.changed_by IS NOT NULL THEN 'known_stale' ELSE 'known' END AS state FROM k LEFT JOIN inforce a USING (user_id, fact_key) LEFT JOIN c USING (user_id, fact_key) LEFT JOIN n USING (user_id, fact_key))
+SELECT user_id, fact_key, state, CASE WHEN state IN ('known', 'known_stale') THEN v END AS value_json, CASE WHEN state = 'known_stale' THEN ca END AS changed_after, CASE WHEN state = 'known_stale' THEN cb END AS changed_by, coalesce(records, 0) AS records, record, from_ms, until_ms FROM t""")
+def _(s, d):
+    return corrections.value_at_detail(eras(s, d), fixes(s, d), AT, KEYS)
+
+
+@query("set_digests", f"""WITH {_CF} SELECT provider, count(*) AS facts, sum(('0x' || substr(sha256('{{"model":"' || model || '","fact_key":"' || fact_key || '","value_json":"' || value_json || '"}}'), 1, 15))::BIGINT)::VARCHAR AS digest FROM cf GROUP BY 1""")
+def _(s, d):
+    return diff.set_digest(customer_facts(s, d), ["provider"], ["model", "fact_key", "value_json"])
+
+
+@query("publish_step", f"WITH {_SNAPS}, twice AS (SELECT o_custkey, fact_key, value_json FROM b UNION SELECT o_custkey, fact_key, '\"X\"' FROM b WHERE o_custkey % 9 = 0 AND fact_key <> 'existence'), one AS (SELECT o_custkey, fact_key, max(value_json) AS value_json FROM twice GROUP BY 1, 2 HAVING count(*) = 1) SELECT coalesce(a.o_custkey, one.o_custkey) AS o_custkey, coalesce(a.fact_key, one.fact_key) AS fact_key, CASE WHEN one.fact_key IS NULL THEN 'remove' ELSE 'set' END AS op, one.value_json AS value FROM a FULL JOIN one ON a.o_custkey = one.o_custkey AND a.fact_key = one.fact_key WHERE a.value_json IS DISTINCT FROM one.value_json")
+def _(s, d):
+    held, new = order_facts(s, d)
+    twice = new.where("o_custkey % 9 = 0 AND fact_key <> 'existence'").withColumn("value_json", F.lit('"X"'))
+    return diff.publish_step(held, new.unionByName(twice), ["o_custkey"])[0]
+
+
+@query("model_documents", f"WITH {_CF} SELECT * FROM cf")
+def _(s, d):
+    return src.read_models(src.export_models(customer_facts(s, d)))

@@ -143,6 +143,18 @@ def read_snapshot(snapshot: DataFrame) -> DataFrame:
     return own.unionByName(each)
 
 
+def export_models(facts: DataFrame) -> DataFrame:
+    """One row per model, (provider, model, document): its facts as one JSON object; provider facts have a null model. To be written by
+    provider, in as many files as it takes, so no row or task holds a provider."""
+    pair = F.struct(F.col("fact_key").alias("key"), F.col("value_json").alias("value"))
+    return facts.groupBy("provider", "model").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(pair)))).alias("document"))
+
+
+def read_models(exported: DataFrame) -> DataFrame:
+    """Back to facts: (provider, model, fact_key, value_json)."""
+    return exported.select("provider", "model", F.explode(F.from_json("document", "map<string,string>")).alias("fact_key", "value_json"))
+
+
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
     """Change files -> ops: (release, parent, published_at_ms, pos, op, provider, model, fact_key, value)."""
     schema = "release LONG, parent LONG, published_at_ms LONG, upstream ARRAY<STRUCT<op STRING, provider STRING, model STRING, fact STRING, value STRING>>"
