@@ -172,3 +172,60 @@ def apply_judgments(e: DataFrame, told: DataFrame, prefixes: list[str] | None =
     found = F.coalesce(F.filter(entries, lambda x: has_prefix(x["key"], prefixes)), F.array().cast(ENTRY))
     m = m.withColumn("_found", found).withColumn("facts", put_all(fact_map(), _as_facts(F.col("_found"))))
     return m.select(*e.columns, F.array_max(F.transform("_found", lambda x: x["at"])).alias("judged_at_ms"))
+
+
+#: Kinds of grades beside chat with the fact and the modality that a row must state, and the workloads.
+EVIDENCE = {"transcription": ("capability.input_modalities", "audio"), "speech": ("capability.output_modalities", "audio"), "image": ("capability.output_modalities", "image"), "video": ("capability.output_modalities", "video")}
+WORKLOADS = ("reason", "code", "synthesize", "lookup", "quick")
+
+
+def reached(served: DataFrame) -> DataFrame:
+    """One row per judgment key that a served entity answers to (its canonical id, else its own; an alias without one answers to none): what
+    its entities say together: kinds they give evidence of, whether one is a chat model, and the efforts they list."""
+    is_alias = F.col("alias_of").isNotNull() if "alias_of" in served.columns else F.lit(False)
+    f, kind = fact_map(), text_of(fact_map()["model.type"])
+    says = [F.when(F.array_contains(F.from_json(f[fact], "array<string>"), m), F.lit(k)) for k, (fact, m) in EVIDENCE.items()] + [F.when(kind == "search", F.lit("search"))]
+    e = served.select(_judged_key(text_of(f["model.canonical_id"]), is_alias).alias("key"), F.array_compact(F.array(*says)).alias("kinds"), (kind.isNull() | (kind == "chat")).alias("chat"), listed_efforts(f["capability.reasoning_options"]).alias("efforts"))
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))  # noqa: E731  a few kinds and efforts
+    return e.where("key IS NOT NULL").groupBy("key").agg(merged("kinds").alias("kinds"), F.max("chat").alias("chat"), merged("efforts").alias("listed"))
+
+
+def check_grades(requests: DataFrame, served: DataFrame) -> DataFrame:
+    """requests(key, kind, elo, eq, grade, graded_effort, withdrawn, reason) with `refusals`, every reason against a request: empty_reason,
+    unknown_kind, dimensions (elo and eq without a kind, or a grade with one; a withdrawal has none), not_positive, effort_without_chat,
+    local_chat (a local key takes grades of a kind only), unknown_key, no_evidence (no row of the key states what the kind needs),
+    not_chat, effort_not_listed."""
+    m = requests.join(reached(served), "key", "left")
+    c, none = F.col, lambda x: F.col(x).isNull()
+    gone, local = F.coalesce(c("withdrawn") == 1, F.lit(False)), c("key").startswith("local:")
+    chat = c("elo").isNotNull() & c("eq").isNotNull() & none("grade") & none("kind")
+    media = c("grade").isNotNull() & c("kind").isNotNull() & none("elo") & none("eq")
+    empty = none("elo") & none("eq") & none("grade")
+    wrong = lambda x: F.coalesce(F.col(x).try_cast("decimal(38,18)") <= 0, F.col(x).isNotNull())
+    known = c("chat").isNotNull() | local
+    return m.select(*requests.columns, F.array_compact(F.array(
+        F.when(F.coalesce(F.trim("reason"), F.lit("")) == "", "empty_reason"),
+        F.when(~c("kind").isin(*EVIDENCE, "search"), "unknown_kind"),
+        F.when(~F.when(gone, empty).otherwise(chat | media), "dimensions"),
+        F.when(wrong("elo") | wrong("eq") | wrong("grade"), "not_positive"),
+        F.when(c("graded_effort").isNotNull() & ~chat, "effort_without_chat"),
+        F.when(local & (none("kind") | c("elo").isNotNull()), "local_chat"),
+        F.when(~known, "unknown_key"),
+        F.when(known & ~local & ~gone & c("kind").isin(*EVIDENCE, "search") & ~F.array_contains("kinds", c("kind")), "no_evidence"),
+        F.when(chat & c("chat").isNotNull() & ~c("chat"), "not_chat"),
+        F.when(c("graded_effort").isNotNull() & c("listed").isNotNull() & ~F.array_contains("listed", c("graded_effort")), "effort_not_listed"),
+    )).alias("refusals"))
+
+
+def check_workloads(requests: DataFrame, served: DataFrame) -> DataFrame:
+    """requests(key, workload, effort_default, effort_minimum, excluded, withdrawn, reason) with `refusals`: empty_reason, unknown_workload,
+    one_of (a default, perhaps with a minimum; or an exclusion; or a withdrawal), unknown_key, default_not_listed, minimum_not_listed."""
+    m = requests.join(reached(served), "key", "left")
+    out, gone = F.coalesce("excluded", F.lit(False)), F.coalesce(F.col("withdrawn") == 1, F.lit(False))
+    efforts = F.col("effort_default").isNotNull() | F.col("effort_minimum").isNotNull()
+    listed = lambda x: F.col(x).isNull() | F.col("listed").isNull() | F.array_contains("listed", F.col(x))
+    one = F.when(out | gone, ~efforts & ~(out & gone)).otherwise(F.col("effort_default").isNotNull())
+    return m.select(*requests.columns, F.array_compact(F.array(
+        F.when(F.coalesce(F.trim("reason"), F.lit("")) == "", "empty_reason"), F.when(~F.coalesce(F.col("workload").isin(*WORKLOADS), F.lit(False)), "unknown_workload"), F.when(~one, "one_of"), F.when(F.col("chat").isNull(), "unknown_key"),
+        F.when(~listed("effort_default"), "default_not_listed"), F.when(~listed("effort_minimum"), "minimum_not_listed"),
+    )).alias("refusals"))

@@ -17,14 +17,16 @@ class NoCoverage(LookupError):
     """The ledger can't answer: nothing is recorded for the scope, or not yet at the instant. That isn't an empty answer."""
 
 
-def select_scope(eras: DataFrame, provider: str | None = None, model: str | None = None, at: int | None = None) -> DataFrame:
-    """The eras of a scope. A model needs its provider; an unknown provider or model and an instant before the record are
-    refused by one probe (a limit of one row, or a minimum)."""
+def select_scope(eras: DataFrame, provider: str | None = None, model: str | None = None, at: int | None = None, low: str | None = None, high: str | None = None) -> DataFrame:
+    """The eras of a scope: a provider, a model of it, or a closed range of providers. A model needs its provider; an unknown provider or
+    model, an empty range and an instant before the record are refused by one probe (a limit of one row, or a minimum)."""
     if model is not None and provider is None:
         raise ValueError("a model is selected together with its provider")
     rows = eras if provider is None else eras.where(F.col("provider") == provider)
     rows = rows if model is None else rows.where(F.col("model") == model)
-    if (provider is not None or at is not None) and rows.isEmpty():
+    rows = rows if low is None else rows.where(F.col("provider") >= low)
+    rows = rows if high is None else rows.where(F.col("provider") <= high)
+    if not (provider is low is high is at is None) and rows.isEmpty():
         raise NoCoverage(f"nothing is recorded for {provider}{'' if model is None else '/' + model}")
     if at is not None and (begins := eras.agg(F.min("boundary")).first()[0]) > at:
         raise NoCoverage(f"the record begins at {begins}")

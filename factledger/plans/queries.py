@@ -1084,3 +1084,16 @@ def _(s, d):
 @query("model_documents", f"WITH {_CF} SELECT * FROM cf")
 def _(s, d):
     return src.read_models(src.export_models(customer_facts(s, d)))
+
+
+@query("grade_requests", f"WITH {_N} SELECT provider || '/' || model AS key, CASE n % 3 WHEN 0 THEN CASE WHEN n % 5 = 0 THEN 'not_chat' ELSE '' END WHEN 1 THEN CASE WHEN n % 10 = 0 THEN '' ELSE 'no_evidence' END ELSE 'dimensions' END || CASE WHEN n % 7 = 0 THEN '|effort' ELSE '' END AS refusals FROM cu")
+def _(s, d):
+    e, n = customer_entities(s, d), F.col("model").cast("long")
+    options = F.lit('[{"type":"effort","values":["low"]}]')
+    said = layers.stated({"model.type": F.when(n % 5 == 0, '"image"'), "capability.output_modalities": F.when(n % 10 == 0, '["image"]'), "capability.reasoning_options": options})
+    e = e.withColumn("facts", said)
+    c, none = n % 3, F.lit(None).cast("string")
+    req = e.select(F.concat_ws("/", "provider", "model").alias("key"), F.when(c == 1, "image").alias("kind"), F.when(c != 1, "10").alias("elo"), F.when(c == 0, "9").alias("eq"), F.when(c == 1, "3").alias("grade"), F.when((n % 7 == 0), "max").alias("graded_effort"), F.lit(0).alias("withdrawn"), F.lit("r").alias("reason"))
+    out = judged.check_grades(req, e)
+    main = F.filter("refusals", lambda x: ~x.isin("effort_not_listed", "effort_without_chat"))
+    return out.select("key", F.concat(F.array_join(main, ","), F.when(F.array_contains("refusals", "effort_not_listed"), "|effort").otherwise("")).alias("refusals"))

@@ -181,6 +181,23 @@ def test_grades_by_kind(spark):
     assert {r["model"]: r["judged_at_ms"] for r in out.collect()} == {"m": 6, "i": 8, "a": None, "c": 6}
 
 
+def test_requests_for_judgments(spark):
+    e = _entity(spark, {("p", "m"): {"capability.reasoning_options": '[{"type":"effort","values":["low"]}]'}, ("p", "i"): {"model.type": '"image"', "capability.output_modalities": '["image"]', "model.canonical_id": '"lab/i"'}, ("p", "a"): {"x": "1"}})
+    e = e.withColumn("alias_of", F.when(F.col("model") == "a", F.struct(F.lit("p").alias("provider"))))
+    req = [
+        ("p/m", None, "10", "9", None, "low", 0, "r", []), ("p/m", None, "10", None, None, None, 0, "r", ["dimensions"]), ("p/m", None, "-1", "9", None, "max", 0, " ", ["empty_reason", "not_positive", "effort_not_listed"]),
+        ("lab/i", "image", None, None, "3", None, 0, "r", []), ("lab/i", "video", None, None, "3", "low", 0, "r", ["effort_without_chat", "no_evidence", "effort_not_listed"]), ("lab/i", None, "1", "1", None, None, 0, "r", ["not_chat"]), ("lab/i", "music", None, None, "3", None, 0, "r", ["unknown_kind"]),
+        ("p/i", "image", None, None, "3", None, 0, "r", ["unknown_key"]), ("p/a", None, "1", "1", None, None, 0, "r", ["unknown_key"]), ("local:x", None, "1", "1", None, None, 0, "r", ["local_chat"]), ("local:x", "image", None, None, "x", None, 0, "r", ["not_positive"]), ("p/m", None, None, None, None, None, 1, "r", []),
+    ]
+    df = spark.createDataFrame([(n, *r[:-1]) for n, r in enumerate(req)], "n int, key string, kind string, elo string, eq string, grade string, graded_effort string, withdrawn int, reason string")
+    got = {r["n"]: r["refusals"] for r in judged.check_grades(df, e).collect()}
+    assert [got[n] for n in range(len(req))] == [r[-1] for r in req]
+    work = [("p/m", "code", "low", None, False, 0, "r", []), ("p/m", "code", "max", "max", False, 0, "r", ["default_not_listed", "minimum_not_listed"]), ("p/m", "chat", None, None, True, 0, "r", ["unknown_workload"]), ("p/m", "code", None, "low", False, 0, "r", ["one_of"]), ("p/x", "code", None, None, True, 1, "", ["empty_reason", "one_of", "unknown_key"])]
+    df = spark.createDataFrame([(n, *r[:-1]) for n, r in enumerate(work)], "n int, key string, workload string, effort_default string, effort_minimum string, excluded boolean, withdrawn int, reason string")
+    got = {r["n"]: r["refusals"] for r in judged.check_workloads(df, e).collect()}
+    assert [got[n] for n in range(len(work))] == [r[-1] for r in work]
+
+
 def test_overrides_hold_while_upstream_says_the_same(spark):
     e = _entity(spark, {("p", "m"): {"limit.context": "10", "model.status": "null", "capability.reasoning_options": '[{"type":"effort","values":["low"]}]'}}).withColumn("withheld", F.array(F.lit("limit.output")))
     o = spark.createDataFrame([("p", "m", "limit.context", "20", " 10"), ("p", "m", "limit.output", "5", None), ("p", "m", "model.status", '"deprecated"', None), ("p", "m", "capability.reasoning_default", '{"type":"effort","value":"high"}', None), ("q", "z", "x", "1", None)], "provider string, model string, fact_key string, value string, replaces string")
@@ -436,7 +453,8 @@ def test_scope_is_refused_not_empty(spark):
     assert reports.select_scope(e, "p", "m", 10).count() == 1
     with pytest.raises(ValueError):
         reports.select_scope(e, model="m")
-    for scope in (dict(provider="q"), dict(provider="p", model="x"), dict(at=9)):
+    assert reports.select_scope(e, low="o", high="q").count() == 1
+    for scope in (dict(provider="q"), dict(provider="p", model="x"), dict(at=9), dict(low="q"), dict(high="o")):
         with pytest.raises(reports.NoCoverage):
             reports.select_scope(e, **scope)
     price = spark.createDataFrame([("p", 1, 10, "5")], "provider string, id long, boundary long, price string")
