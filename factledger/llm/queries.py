@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import chat, exact_dedup, langid, lm, minhash, mixing, packing, quality, sharding, topk
+from factledger.llm import bpe, chat, exact_dedup, langid, lm, minhash, mixing, packing, quality, sharding, topk
 from factledger.llm.shared import documents
 
 
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_quality": quality.op8,
     "op9_shard_placement": sharding.op9,
     "op10_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(documents(spark, sf_dir)),
+    "op11_bpe": bpe.op11,
 }
 
 ORACLES = {
