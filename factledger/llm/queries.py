@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import bpe, chat, exact_dedup, langid, lm, minhash, mixing, packing, quality, sharding, topk
+from factledger.llm import bpe, chat, divergence, exact_dedup, langid, lm, minhash, mixing, packing, quality, sharding, topk
 from factledger.llm.shared import documents
 
 
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_shard_placement": sharding.op9,
     "op10_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(documents(spark, sf_dir)),
     "op11_bpe": bpe.op11,
+    "op12_divergence": divergence.op12,
 }
 
 ORACLES = {
@@ -29,4 +30,5 @@ ORACLES = {
     "op6_topk": topk.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
