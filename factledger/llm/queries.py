@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import bpe, chat, divergence, exact_dedup, langid, lm, minhash, mixing, packing, quality, sharding, topk
+from factledger.llm import bpe, chat, divergence, exact_dedup, langid, lm, minhash, mixing, packing, quality, resampling, sharding, topk
 from factledger.llm.shared import documents
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_exact_dedup": lambda spark, sf_dir: exact_dedup.exact_groups(documents(spark, sf_dir)),
     "op11_bpe": bpe.op11,
     "op12_divergence": divergence.op12,
+    "op13_resampling": resampling.op13,
 }
 
 ORACLES = {
