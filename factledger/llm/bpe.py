@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from factledger.llm.shared import documents
 
 #: Characters that a worker splits at once, and pre-tokens whose ids it remembers from one step to the next.
-STEP, MEMORY = 1 << 20, 500_000
+STEP, MEMORY = 1 << 20, 350_000
 _CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 
@@ -237,8 +237,9 @@ def load(path: str, pattern: str | None = None) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode_documents(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens) of every row; ids as little-endian unsigned 32-bit numbers.
+def encode_documents(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, ids, n_tokens) of every row; ids as little-endian unsigned 32-bit numbers. With `decoded` a column of that name too: the bytes
+    that these ids say, by the same workers.
 
     Every match of the pattern is encoded by itself, without special tokens (their strings are ordinary text). A null text counts as
     empty and has no ids. Null ids stay null, rows that repeat an id or a text are rows of their own, other columns are not read. A
@@ -248,13 +249,17 @@ def encode_documents(df: DataFrame, codec: Codec, id_col: str = "doc_id", text_c
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             gc.disable()  # nothing below makes cycles, and the many short-lived lists would set it off again and again
             ids = list(sent.value.encode(t.as_py() for t in batch.column(1)))
             gc.enable()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+            columns = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded:
+                columns.append(pa.array([sent.value.decode(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
+    names = ["doc_id", "ids", "n_tokens", *["decoded"] * decoded]
+    return rows.mapInArrow(run, "doc_id long, ids binary, n_tokens long" + ", decoded binary" * decoded)
 
 
 def decode_documents(df: DataFrame, codec: Codec, ids_col: str = "ids") -> DataFrame:
@@ -276,6 +281,5 @@ def op11(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> Dat
         import public_tokenizers
 
         ranks_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    codec = load(ranks_path)
-    back = decode_documents(encode_documents(documents(spark, sf_dir), codec), codec)
+    back = encode_documents(documents(spark, sf_dir), load(ranks_path), decoded=True)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
