@@ -24,15 +24,25 @@ ALWAYS = {
 SPARSE = {"name": "model.name", "type": "model.type", "structured_output": "capability.structured_output", "temperature": "capability.temperature"}
 
 
+#: What the error of a document that can't be read says.
+REFUSED = "the document is not a map of providers"
+
+
+def refused(error: Exception) -> bool:
+    """Whether an error comes from the document, not from the system that reads it."""
+    return f"{REFUSED}" in str(error) and "USER_RAISED_EXCEPTION" in str(error)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per model of each file, see parse_documents."""
     return parse_documents(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
 
 
 def parse_documents(raw: DataFrame) -> DataFrame:
-    """raw(file, value) -> one row per model: file, provider, provider columns, model and its struct. A document that isn't a map stops the job."""
-    doc = F.from_json("value", DOCUMENT)
-    providers = raw.select("file", F.explode(F.when(F.col("value").rlike(r"^\s*\{"), doc).otherwise(F.raise_error(F.lit("the document is not a map")).cast(DOCUMENT))).alias("provider", "p"))
+    """raw(file, value) -> one row per model: file, provider, provider columns, model and its struct. A document that isn't a map of providers stops
+    the job with an error that refused() knows."""
+    doc = F.when(F.col("value").rlike(r"^\s*\{"), F.from_json("value", DOCUMENT))
+    providers = raw.select("file", F.explode(F.coalesce(doc, F.raise_error(F.lit(REFUSED)).cast(DOCUMENT))).alias("provider", "p"))
     return providers.select("file", "provider", F.col("p.name").alias("provider_name"), F.col("p.npm").alias("provider_npm"), F.col("p.api").alias("provider_api"), F.col("p.doc").alias("provider_doc"), F.col("p.env").alias("provider_env"), F.explode("p.models").alias("model", "m"))
 
 

@@ -1,32 +1,96 @@
-"""Ledger tables on Parquet: append-only, a batch is visible only through its commit marker."""
+"""Ledger tables on Parquet: append-only, a batch is visible only through its commit marker; a commit may hold batches of several tables."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.operators.asof import as_of
 
 ERA = "id LONG, source STRING, provider STRING, model STRING, fact_key STRING, value_json STRING, boundary LONG, kind STRING, prior_ms LONG, observation_id LONG, from_ms LONG, until_ms LONG, reason STRING"
 OBSERVATION = "id LONG, source STRING, observed_at_ms LONG, outcome STRING, failure_class STRING, detail STRING, normalized_hash STRING, raw_hash STRING, etag STRING, duration_ms LONG"
-MARKER = "batch STRING, committed_at_ms LONG, rows LONG"
+MARKER = "batch STRING, committed_at_ms LONG, rows LONG, table_name STRING, commit_key STRING, replaces ARRAY<STRING>"
+#: Bits of an era's id: its row in a task, its task, and its poll before them.
+ROW_BITS, TASK_BITS = 28, 16
 
 
-def append_batch(df: DataFrame, path: str, now: int) -> str:
-    """Data first, marker last: readers never see half a batch, and a failed one leaves nothing they look at."""
+def _split(path: str) -> tuple[str, str]:
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return folder, name
+
+
+def _read_markers(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(MARKER).parquet(f"{path}/commits")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], MARKER)
+
+
+def _markers(spark: SparkSession, path: str) -> DataFrame:
+    """Commit markers of a table: its own, and those in the log of the ledger whose folder it lies in."""
+    folder, name = _split(path)
+    return _read_markers(spark, path).unionByName(_read_markers(spark, folder).where(F.col("table_name") == name))
+
+
+def _write_data(df: DataFrame, path: str) -> tuple[str, int]:
     batch = uuid.uuid4().hex
     df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/data")
-    rows = df.sparkSession.read.parquet(f"{path}/data").where(F.col("batch") == batch).count()
-    df.sparkSession.createDataFrame([(batch, now, rows)], MARKER).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return batch, df.sparkSession.read.schema("batch STRING").parquet(f"{path}/data").where(F.col("batch") == batch).count()
+
+
+def _mark(spark: SparkSession, path: str, markers: list[tuple]) -> None:
+    """All markers of one commit in one file, which appears whole or not at all."""
+    spark.createDataFrame(markers, MARKER).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def append_batch(df: DataFrame, path: str, now: int) -> str:
+    """Data first, marker last: readers never see half a batch, and a failed one leaves nothing they look at."""
+    batch, rows = _write_data(df, path)
+    _mark(df.sparkSession, path, [(batch, now, rows, None, None, None)])
+    return batch
+
+
+def is_committed(spark: SparkSession, ledger: str, key: str) -> bool:
+    return not _read_markers(spark, ledger).where(F.col("commit_key") == key).isEmpty()
+
+
+def commit(spark: SparkSession, ledger: str, tables: dict[str, DataFrame], now: int, key: str | None = None) -> bool:
+    """Rows for several tables of a ledger (folders in its folder) at once: the data of all first, then one file of markers, so readers see
+    all of it or nothing. A commit whose key (of a stream and its micro-batch, say) is in the log already writes nothing and returns
+    False; one that broke off before its markers has left nothing that is read and may run again. One writer at a time for a ledger."""
+    if key is not None and is_committed(spark, ledger, key):
+        return False
+    found = [(*_write_data(df, f"{ledger}/{name}"), name) for name, df in tables.items()]
+    _mark(spark, ledger, [(batch, now, rows, name, key, None) for batch, rows, name in found])
+    return True
+
+
+def live_batches(spark: SparkSession, path: str) -> list[str]:
+    """Committed batches of a table but those that a compacted one stands for: one name per write since the last compaction."""
+    gone = F.explode("replaces").alias("batch")
+    marks = _markers(spark, path)
+    return [r["batch"] for r in marks.select("batch").distinct().join(marks.select(gone).distinct(), "batch", "left_anti").orderBy("batch").toLocalIterator()]
+
+
+def compact(spark: SparkSession, path: str, now: int, order: list[str]) -> str | None:
+    """All live batches of a table as one, dealt in ranges of `order`; its marker names those that it stands for, so the switch is one file.
+    Tables of fewer than two batches are left alone."""
+    names = live_batches(spark, path)
+    if len(names) < 2:
+        return None
+    batch, rows = _write_data(read_table(spark, path).repartitionByRange(*order).sortWithinPartitions(*order), path)
+    _mark(spark, path, [(batch, now, rows, None, None, names)])
     return batch
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of committed batches: these are listed (one row per write) and named to the scan, so uncommitted folders are pruned, not read."""
-    names = [r["batch"] for r in spark.read.schema(MARKER).parquet(f"{path}/commits").select("batch").distinct().toLocalIterator()]
-    return spark.read.parquet(f"{path}/data").where(F.col("batch").isin(names)).drop("batch")
+    """Rows of committed batches: these are listed (one row per write since the last compaction) and named to the scan, so uncommitted
+    folders are pruned, not read."""
+    return spark.read.parquet(f"{path}/data").where(F.col("batch").isin(live_batches(spark, path))).drop("batch")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -47,32 +111,55 @@ def read_eras(spark: SparkSession, path: str, source: str, low: str | None = Non
     return rows if high is None else rows.where(F.col("provider") <= high)
 
 
-def append_eras(eras: DataFrame, observations: DataFrame, path: str, now: int, first_id: int) -> str:
-    """Observed eras get the last confirming poll of their source before the boundary as prior_ms; one without any stops the
-    batch, so all or nothing is written. Ids go on from first_id in the order of the keys."""
+def row_ids(first_id: int) -> Column:
+    """first_id and on: unique and rising in the order of tasks and their rows, not dense, so no task sees all rows. They stay below
+    first_id + 2^(ROW_BITS + TASK_BITS); more rows or tasks than that stop the job."""
+    at = F.monotonically_increasing_id()
+    task, row = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
+    fits = (task < (1 << TASK_BITS)) & (row < (1 << ROW_BITS))
+    return F.when(fits, F.shiftleft(task, ROW_BITS) + row + first_id).otherwise(F.raise_error(F.lit("too many rows or tasks for one batch of ids")).cast("long"))
+
+
+def poll_ids(n: int) -> int:
+    """The first id of the eras of poll n; those of the seed are poll 0's."""
+    if not 0 <= n < 1 << (63 - ROW_BITS - TASK_BITS):
+        raise ValueError("polls have run out of ids")
+    return n << (ROW_BITS + TASK_BITS)
+
+
+def era_rows(eras: DataFrame, observations: DataFrame, first_id: int) -> DataFrame:
+    """Eras as they are stored: observed ones get the last confirming poll of their source before the boundary as prior_ms, and one without
+    any stops the job. Ids go on from first_id in the order of the keys."""
     from factledger.operators.ledger import CONFIRMING
 
     ok = observations.where(F.col("outcome").isin(*CONFIRMING)).select("source", F.col("observed_at_ms").alias("_at"))
     prior = eras.where("kind = 'observed'").select("source", "boundary").distinct().join(ok, "source").where("_at < boundary").groupBy("source", "boundary").agg(F.max("_at").alias("_prior"))
     rows = eras.join(prior, ["source", "boundary"], "left")
     need = F.when((F.col("kind") == "observed") & F.col("_prior").isNull(), F.raise_error(F.lit("an observed era has no confirming poll before it")).cast("long")).when(F.col("kind") == "observed", F.col("_prior"))
-    ids = F.monotonically_increasing_id() + first_id  # unique and rising, not dense: no task sees all rows
-    out = rows.withColumn("prior_ms", need).drop("_prior").repartitionByRange("provider", "model", "fact_key").sortWithinPartitions("provider", "model", "fact_key").withColumn("id", ids)
-    return append_batch(out.select(*[f.split()[0] for f in ERA.split(", ")]), path, now)
+    out = rows.withColumn("prior_ms", need).drop("_prior").repartitionByRange("provider", "model", "fact_key").sortWithinPartitions("provider", "model", "fact_key").withColumn("id", row_ids(first_id))
+    return out.select(*[f.split()[0] for f in ERA.split(", ")])
+
+
+def append_eras(eras: DataFrame, observations: DataFrame, path: str, now: int, first_id: int) -> str:
+    """Writes era_rows() as one batch: all or nothing."""
+    return append_batch(era_rows(eras, observations, first_id), path, now)
 
 
 def seed_if_empty(spark: SparkSession, facts: DataFrame, path: str, source: str, now: int, observations: str | None = None) -> bool:
     """An empty ledger is filled from a snapshot with eras of kind seed (no poll, no window), and the log of polls, if given, with one
-    observation `seeded`, which confirms for the eras after it; a second run writes nothing."""
+    observation `seeded`, which confirms for the eras after it, in the same commit; a second run writes nothing."""
     if not read_or_empty(spark, path, ERA).isEmpty():
         return False
     blank = {f.split()[0]: f.split()[1] for f in ERA.split(", ")}
-    given = {"id": F.monotonically_increasing_id(), "source": F.lit(source), "boundary": F.lit(now).cast("long"), "kind": F.lit("seed")}
+    given = {"id": row_ids(poll_ids(0)), "source": F.lit(source), "boundary": F.lit(now).cast("long"), "kind": F.lit("seed")}
     cols = [given[c].alias(c) if c in given else F.col(c) if c in facts.columns and c not in ("prior_ms", "observation_id") else F.lit(None).cast(t).alias(c) for c, t in blank.items()]
+    ledger, name = _split(path)
+    parts = {name: facts.select(*cols)}
     if observations is not None:
-        append_batch(spark.createDataFrame([(0, source, now, "seeded", None, None, None, None, None, None)], OBSERVATION), observations, now)
-    append_batch(facts.select(*cols), path, now)
-    return True
+        if _split(observations)[0] != ledger:
+            raise ValueError("tables of one commit lie in one folder")
+        parts[_split(observations)[1]] = spark.createDataFrame([(0, source, now, "seeded", None, None, None, None, None, None)], OBSERVATION)
+    return commit(spark, ledger, parts, now)
 
 
 def import_history(df: DataFrame, schema: str, target_is_empty: bool) -> DataFrame:

@@ -74,56 +74,74 @@ def apply_releases(state: DataFrame, ops: DataFrame, last_release: int) -> DataF
     return replay_chain(state, ops.where(F.col("release") > last_release), ["provider", "model", "fact_key"], ["release", "pos"])
 
 
-def poll_stream(spark, folder: str, ledger: str, source: str, observations: str, checkpoint: str, clock: Callable[[], int], parse: Callable[[DataFrame], DataFrame]):
+def _query_id(spark, checkpoint: str) -> str:
+    """Of the stream whose micro-batch runs now; it outlives restarts from the same checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+
+
+def poll_stream(spark, folder: str, ledger: str, source: str, observations: str, checkpoint: str, clock: Callable[[], int], parse: Callable[[DataFrame], DataFrame], refused: Callable[[Exception], bool] | None = None):
     """The poll of a source as a stream: each file that lands in `folder` is one document and one observation. parse(file, value) gives its
     facts (provider, model, fact_key, value_json). The observation's outcome is not_modified (the same bytes as the last document),
-    unchanged (the same facts by digest), changed (eras are appended to the ledger) or failed, with a class: parse (no document) or
-    shrink (too much would go). Until a new process has read one document it doesn't trust the saved digest alone, so the first
-    document is always compared in full. Runs over all that is there now, file by file, in the order of their names."""
+    unchanged (the same facts by digest), changed (eras are appended to the ledger) or failed, with a class: parse (refused(error) says
+    that the document can't be read; any other error stops the stream, and the file stays unread) or implausible (too much would go).
+    Until a new process has read one document it doesn't trust the saved digest alone, so the first document is always compared in
+    full. Runs over all that is there now, file by file, in the order of their names.
+
+    `ledger` and `observations` are tables in one folder. An observation and its eras are one commit under (stream, micro-batch, file): a
+    micro-batch that runs again writes nothing, and one that broke off has left nothing that is read. A document's text stays with the
+    executors; the driver sees its name and digests."""
     from factledger.operators.asof import current
     from factledger.operators.diff import facts_digest, state_digest
-    from factledger.sources.tables import ERA, append_batch, append_eras, read_or_empty, OBSERVATION
+    from factledger.sources import documents
+    from factledger.sources.tables import ERA, OBSERVATION, commit, era_rows, is_committed, poll_ids, read_or_empty
 
-    entity, trusted = ["provider", "model"], {"yes": False}
+    entity, trusted, refused = ["provider", "model"], {"yes": False}, refused or documents.refused
+    (root, _, eras_name), (other, _, polls_name) = ledger.rstrip("/").rpartition("/"), observations.rstrip("/").rpartition("/")
+    if root != other:
+        raise ValueError("tables of one commit lie in one folder")
 
-    def observe(file: str, value: str) -> None:
+    def observe(file: str, raw: DataFrame, key: str) -> None:
+        if is_committed(spark, root, key):
+            return
         now = clock()
         held = read_or_empty(spark, observations, OBSERVATION)
         last = held.where(F.col("source") == source).where("normalized_hash IS NOT NULL").orderBy(F.desc("observed_at_ms"), F.desc("id")).limit(1).collect()
-        raw = spark.createDataFrame([(file, value)], "file string, value string")
         raw_hash = raw.select(F.sha2("value", 256)).first()[0]
-        outcome, failure, digest, eras = "changed", None, last[0]["normalized_hash"] if last else None, None
+        outcome, failure, digest, eras, facts = "changed", None, last[0]["normalized_hash"] if last else None, None, None
         if trusted["yes"] and last and last[0]["raw_hash"] == raw_hash:
             outcome = "not_modified"
         else:
             try:
-                facts = parse(raw)
+                facts = parse(raw).persist()
                 digest = state_digest(facts_digest(facts, entity), entity).first()["digest"]
+            except Exception as e:
+                if not refused(e):
+                    raise
+                outcome, failure, digest = "failed", "parse", None
+            if outcome != "failed":
                 told = read_or_empty(spark, ledger, ERA).where(F.col("source") == source)
                 now_held = current(told.select(*entity, "fact_key", "value_json", "boundary", "id"), [*entity, "fact_key"])
                 outcome, eras = poll_batch(now_held, facts, entity, last[0]["normalized_hash"] if last and trusted["yes"] else None)
                 if outcome == "changed" and eras.isEmpty():
                     outcome = "unchanged"
-                failure, trusted["yes"] = ("shrink" if outcome == "failed" else None), outcome != "failed"
-            except Exception as e:  # a document that can't be read is a failed poll, not a failed stream
-                if "PATH_NOT_FOUND" in str(e):
-                    raise
-                outcome, failure, digest = "failed", "parse", None
-        ok = outcome != "failed"
-        n = held.count() + 1
-        row = (n, source, now, outcome, failure, file, digest if ok else None, raw_hash if ok else None, None, None)
-        seen = spark.createDataFrame([row], OBSERVATION)
+                failure, trusted["yes"] = ("implausible" if outcome == "failed" else None), outcome != "failed"
+        n = (held.agg(F.max("id")).first()[0] or 0) + 1
+        row = (n, source, now, outcome, failure, file, digest if outcome != "failed" else None, raw_hash, None, None)
+        parts = {polls_name: spark.createDataFrame([row], OBSERVATION)}
         if outcome == "changed":
             first = not last
             base = eras.select(F.lit(source).alias("source"), *entity, "fact_key", "value_json", F.lit(now).cast("long").alias("boundary"), F.lit("asserted" if first else "observed").alias("kind"), F.lit(n).cast("long").alias("observation_id"))
             kind = {f.split()[0]: f.split()[1] for f in ERA.split(", ")}
             base = base.select(*[F.col(c) if c in base.columns else F.lit(None).cast(t).alias(c) for c, t in kind.items()])
-            append_eras(base, held, ledger, now, n << 40)
-        append_batch(seen, observations, now)
-
-    def batch(df: DataFrame, _: int) -> None:
-        for r in df.orderBy("file").toLocalIterator():  # a file is a poll, one after another
-            observe(r["file"], r["value"])
+            parts[eras_name] = era_rows(base, held, poll_ids(n))
+        commit(spark, root, parts, now, key)
+        if facts is not None:
+            facts.unpersist()
+
+    def batch(df: DataFrame, micro: int) -> None:
+        stream = _query_id(spark, checkpoint)
+        for r in df.select("file").orderBy("file").collect():  # as many as maxFilesPerTrigger; a file is a poll, one after another
+            observe(r["file"], df.where(F.col("file") == r["file"]), f"{stream}/{micro}/{r['file']}")
 
     files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", 1).load(folder)
     return files.select(F.col("_metadata.file_path").alias("file"), "value").writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

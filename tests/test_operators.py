@@ -314,7 +314,7 @@ def test_the_poll_stream_classifies_documents(spark, tmp_path):
     q.awaitTermination(300)
     assert q.exception() is None
     obs = tables.read_table(spark, str(tmp_path / "obs")).orderBy("id").collect()
-    assert [(o["outcome"], o["failure_class"]) for o in obs] == ([("changed", None), ("not_modified", None), ("unchanged", None), ("changed", None), ("failed", "parse"), ("failed", "shrink"), ("unchanged", None)])
+    assert [(o["outcome"], o["failure_class"]) for o in obs] == ([("changed", None), ("not_modified", None), ("unchanged", None), ("changed", None), ("failed", "parse"), ("failed", "implausible"), ("unchanged", None)])
 
 
 def test_seed_confirms_for_the_first_observed_era(spark, tmp_path):
