@@ -14,12 +14,27 @@ from factledger.functions.claims import same_claim
 from factledger.functions.keys import withdrawal_value
 
 
+def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which null keys are equal, as those of a provider's own facts are; the keys stand once, first. `how`: inner, left, full_outer,
+    left_semi or left_anti."""
+    other = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    met = a.join(other, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how)
+    if how in ("left_semi", "left_anti"):
+        return met
+    rest = [c for c in [*a.columns, *b.columns] if c not in keys]
+    if how != "full_outer":
+        return met.select(*keys, *rest)
+    there = F.col("_left_side").isNotNull()  # a null on one side may be the key itself
+    met = a.withColumn("_left_side", F.lit(True)).join(other, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how)
+    return met.select(*[F.when(there, F.col(k)).otherwise(F.col(f"_r_{k}")).alias(k) for k in keys], *rest)
+
+
 def diff_keyed(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Keys whose value differs, with old_value, new_value and change: added, removed or changed. One full outer join."""
+    """Keys whose value differs, with old_value, new_value and change: added, removed or changed. One full outer join, null keys equal."""
     a = old.select(*keys, F.col(value).alias("old_value"), F.lit(True).alias("_a"))
     b = new.select(*keys, F.col(value).alias("new_value"), F.lit(True).alias("_b"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("old_value").eqNullSafe(F.col("new_value")), "changed")
-    return a.join(b, keys, "full_outer").withColumn("change", change).where("change IS NOT NULL").drop("_a", "_b")
+    return join_on(a, b, keys, "full_outer").withColumn("change", change).where("change IS NOT NULL").drop("_a", "_b")
 
 
 def plan_ingest(current: DataFrame, incoming: DataFrame, entity: list[str], touched: DataFrame | None = None) -> DataFrame:
@@ -62,50 +77,70 @@ def split_conflicts(facts: DataFrame, keys: list[str], value: str = "value_json"
 
 
 def publish_delta(old: DataFrame, new: DataFrame, keys: list[str], value: str = "value_json") -> DataFrame:
-    """Ops that turn old into new: (keys, op set | remove, value). Compares digests, so a wide old side can be kept as hashes."""
+    """Ops that turn old into new: (keys, op set | remove, value); null keys are equal. Compares digests, so a wide old side can be kept as hashes."""
     a = old.select(*keys, F.sha2(F.col(value), 256).alias("_a"))
     b = new.select(*keys, F.col(value).alias("value"), F.sha2(F.col(value), 256).alias("_b"))
-    met = a.join(b, keys, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    met = join_on(a, b, keys, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
     return met.select(*keys, F.when(F.col("_b").isNull(), "remove").otherwise("set").alias("op"), "value")
 
 
+SETS, REMOVES = ("set", "set_provider"), ("remove", "remove_provider")
+
+
+def rising(ops: DataFrame, by: list[str], pos: str, rank: list[str], width: int = 1 << 16) -> DataFrame:
+    """Ops whose rank doesn't exceed that of the op before them (of the same `by`, in the order of pos; a null ranks first). Ops are dealt in
+    slices of `width` positions and compared inside; then the last of a slice is compared with the first of the next one, over one row
+    for each slice. So an order of any length is many tasks' work."""
+    slice_, key = F.floor(F.col(pos) / width).alias("_slice"), F.struct(*[F.struct(F.col(k).isNotNull().alias("there"), F.col(k).alias("v")).alias(k) for k in rank]).alias("_key")
+    keep = list(dict.fromkeys([*by, *rank]))
+    o = ops.select(*keep, F.col(pos).alias("_pos"), slice_, key)
+    inside = Window.partitionBy(*by, "_slice").orderBy("_pos")
+    bad = o.withColumn("_before", F.lag("_key").over(inside)).where(F.col("_before") >= F.col("_key"))
+    edges = o.groupBy(*by, "_slice").agg(F.min_by(F.struct(*keep, "_key"), "_pos").alias("_first"), F.max_by("_key", "_pos").alias("_last"))
+    edges = edges.withColumn("_before", F.lag("_last").over(Window.partitionBy(*by).orderBy("_slice"))).where(F.col("_before") >= F.col("_first._key"))
+    return bad.select(*keep).unionByName(edges.select(*[F.col("_first")[k].alias(k) for k in keep]))
+
+
 def replay_change(facts: DataFrame, ops: DataFrame, keys: list[str], value: str = "value_json", order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(facts after one change, violations): a key may occur once in a change, and a removal must hit. With `order`, the columns that
-    number the ops, keys must rise strictly (not_sorted).
+    """(facts after one change, violations), null keys being equal. An op sets or removes (set_provider and remove_provider are the same on a null
+    model; any other is unknown_op); a key may occur once in a change (repeated_key), and a removal must hit (removes_nothing). With `order`
+    (columns of which the last numbers the ops and those before it separate changes), keys must rise strictly (not_sorted).
 
     Where keys are (provider, model, ...), rows without a model are facts of the provider itself: one may be set only where the provider
     has facts or the change gives it a model (unknown_provider), and a provider must not be left with these alone
-    (orphan_provider_facts).
+    (orphan_provider_facts). Who gets violations takes none of the change: the facts after it are what its ops would make of them.
     """
+    sets, removes = F.col("o.op").isin(*SETS), F.col("o.op").isin(*REMOVES)
     last = ops.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("op", "value"), F.col("op")).alias("o"))
     named = lambda rows, text: rows.select(*keys, F.lit(text).alias("violation"))
-    met = last.join(facts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_there")), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
-    bad = named(last.where("n > 1"), "repeated_key").unionByName(named(met.where("o.op = 'remove' AND _there IS NULL"), "removes_nothing"))
-    kept = facts.select(*keys, value).join(last.select(*[F.col(k).alias(f"_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
-    after = kept.unionByName(last.where("o.op = 'set'").select(*keys, F.col("o.value").alias(value)))
+    met = join_on(last, facts.select(*keys, F.lit(True).alias("_there")), keys, "left")
+    found = F.array_compact(F.array(F.when(F.col("n") > 1, "repeated_key"), F.when(removes & F.col("_there").isNull(), "removes_nothing"), F.when(~(sets | removes), "unknown_op")))
+    bad = met.select(*keys, F.explode(found).alias("violation"))
+    after = join_on(facts.select(*keys, value), last.where(sets | removes).select(*keys), keys, "left_anti")
+    after = after.unionByName(last.where(sets).select(*keys, F.col("o.value").alias(value)))
     if order:
-        by = Window.partitionBy().orderBy(*order)  # the ops of one change
-        n = ops.withColumn("_before", F.lag(F.struct(*[F.coalesce(k, F.lit("")).alias(k) for k in keys])).over(by))
-        bad = bad.unionByName(named(n.where(F.col("_before") > F.struct(*[F.coalesce(k, F.lit("")).alias(k) for k in keys])), "not_sorted"))
+        bad = bad.unionByName(named(rising(ops, order[:-1], order[-1], keys), "not_sorted"))
     if keys[:2] == ["provider", "model"]:
         had = facts.select("provider").distinct().withColumn("_had", F.lit(True))
-        gives = last.where("model IS NOT NULL AND o.op = 'set'").select("provider").distinct().withColumn("_gives", F.lit(True))
-        own = last.where("model IS NULL AND o.op = 'set'").join(had, "provider", "left").join(gives, "provider", "left")
+        gives = last.where(F.col("model").isNotNull() & sets).select("provider").distinct().withColumn("_gives", F.lit(True))
+        own = join_on(join_on(last.where(F.col("model").isNull() & sets), had, ["provider"], "left"), gives, ["provider"], "left")
         bad = bad.unionByName(named(own.where("_had IS NULL AND _gives IS NULL"), "unknown_provider"))
         alone = after.groupBy("provider").agg(F.max("model").alias("_m")).where("_m IS NULL").select("provider")
-        bad = bad.unionByName(alone.join(ops.select("provider").distinct(), "provider", "left_semi").select("provider", *[F.lit(None).cast(facts.schema[k].dataType).alias(k) for k in keys[1:]], F.lit("orphan_provider_facts").alias("violation")))
+        bad = bad.unionByName(join_on(alone, ops.select("provider").distinct(), ["provider"], "left_semi").select("provider", *[F.lit(None).cast(facts.schema[k].dataType).alias(k) for k in keys[1:]], F.lit("orphan_provider_facts").alias("violation")))
     return after, bad
 
 
 def replay_chain(base: DataFrame | None, ops: DataFrame, keys: list[str], order: list[str], value: str = "value_json") -> DataFrame:
-    """Net state after many changes: per key the last op wins and removals drop; one aggregation, whatever their number."""
-    last = ops.groupBy(*keys).agg(F.max_by(F.struct("op", "value"), F.struct(*order)).alias("o"))
-    out = last.where("o.op = 'set'").select(*keys, F.col("o.value").alias(value))
-    return out if base is None else base.select(*keys, value).join(last, keys, "left_anti").unionByName(out)
+    """Net state after many changes: per key (null keys equal) the last op wins and removals drop; one aggregation, whatever their number.
+    An op that neither sets nor removes stops the job."""
+    known = F.when(F.col("op").isin(*SETS, *REMOVES), F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown op: "), F.coalesce("op", F.lit("null")))))
+    last = ops.withColumn("op", known).groupBy(*keys).agg(F.max_by(F.struct("op", "value"), F.struct(*order)).alias("o"))
+    out = last.where(F.col("o.op").isin(*SETS)).select(*keys, F.col("o.value").alias(value))
+    return out if base is None else join_on(base.select(*keys, value), last.select(*keys), keys, "left_anti").unionByName(out)
 
 
-def running_digest(rows: DataFrame, by: list[str], part: str) -> DataFrame:
-    """(by, digest): SHA-256 of the group's parts in order, one after another. Groups are sorted on disk where they are large and
+def running_digest(rows: DataFrame, by: list[str], part: str, order: str | None = None) -> DataFrame:
+    """(by, digest): SHA-256 of the group's parts, one after another, in the order of `order` or of themselves. Groups are sorted on disk where they are large and
     streamed through one running hash, so no row or task holds a group. Null parts are passed over."""
     schema = StructType([rows.schema[c] for c in by] + [StructField("digest", StringType())])
 
@@ -132,7 +167,8 @@ def running_digest(rows: DataFrame, by: list[str], part: str) -> DataFrame:
         if sha is not None:
             yield closed([(*group, sha.hexdigest())])
 
-    return rows.select(*by, part).repartition(*by).sortWithinPartitions(*by, part).mapInArrow(run, schema)
+    dealt = rows.select(*by, part, *[order] * bool(order)).repartition(*by).sortWithinPartitions(*by, order or part)
+    return dealt.select(*by, part).mapInArrow(run, schema)
 
 
 def facts_digest(facts: DataFrame, entity: list[str], key: str = "fact_key", value: str = "value_json") -> DataFrame:
@@ -177,10 +213,8 @@ def change_digests(ops: DataFrame, by: str = "release", pos: str = "pos") -> Dat
     """(by, digest, sorted): SHA-256 of the ops of each change in order, and whether their keys rise strictly. Streamed; no change is gathered."""
     key = F.to_json(F.struct("provider", F.coalesce("model", F.lit("")).alias("model"), "fact_key"), {"ignoreNullFields": "false"})
     row = F.concat(F.lpad(F.col(pos).cast("string"), 19, "0"), F.lit(":"), F.sha2(F.concat_ws("|", "op", key, F.coalesce("value", F.lit("-"))), 256))
-    order = Window.partitionBy(by).orderBy(pos)
-    rank = F.struct(F.col("provider"), F.coalesce("model", F.lit("")), F.col("fact_key"))
-    rising = ops.select(by, (F.lag(rank).over(order) < rank).alias("_up")).groupBy(by).agg(F.coalesce(F.min("_up"), F.lit(True)).alias("sorted"))
-    return running_digest(ops.select(by, row.alias("_row")), [by], "_row").join(rising, by)
+    bad = rising(ops, [by], pos, ["provider", "model", "fact_key"]).select(by).distinct().withColumn("_bad", F.lit(True))
+    return running_digest(ops.select(by, row.alias("_row")), [by], "_row").join(bad, by, "left").select(by, "digest", F.col("_bad").isNull().alias("sorted"))
 
 
 def verify_chain(releases: DataFrame, digests: DataFrame | None = None) -> DataFrame:

@@ -1097,3 +1097,6 @@ def _(s, d):
     out = judged.check_grades(req, e)
     main = F.filter("refusals", lambda x: ~x.isin("effort_not_listed", "effort_without_chat"))
     return out.select("key", F.concat(F.array_join(main, ","), F.when(F.array_contains("refusals", "effort_not_listed"), "|effort").otherwise("")).alias("refusals"))
+
+
+from factledger.plans import release_queries  # noqa: E402, F401  registers its queries here

@@ -166,10 +166,11 @@ def read_models(exported: DataFrame) -> DataFrame:
 
 
 def read_releases(spark: SparkSession, path: str) -> DataFrame:
-    """Change files -> ops: (release, parent, published_at_ms, pos, op, provider, model, fact_key, value)."""
-    schema = "release LONG, parent LONG, published_at_ms LONG, upstream ARRAY<STRUCT<op STRING, provider STRING, model STRING, fact STRING, value STRING>>"
-    d = spark.read.schema(schema).json(path, multiLine=True)
-    return d.select("release", "parent", "published_at_ms", F.posexplode("upstream").alias("pos", "o")).select("release", "parent", "published_at_ms", "pos", "o.op", "o.provider", "o.model", F.col("o.fact").alias("fact_key"), "o.value")
+    """Release files -> ops: (release, parent, published_at_ms, pos, op, provider, model, fact_key, value as canonical JSON); see
+    factledger.sources.releases for the envelopes and their hashes. A file of another shape stops the job."""
+    from factledger.sources import releases
+
+    return releases.ops(releases.read_release_files(spark, path))
 
 
 def provider_directory(models: DataFrame, hand_kept: DataFrame) -> DataFrame:

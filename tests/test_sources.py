@@ -15,10 +15,11 @@ DAY = 86_400_000
 
 def test_releases_are_read_in_order(spark, tmp_path):
     for r in (1, 2):
-        ops = [{"op": "set", "provider": "p", "model": "m", "fact": f"f{i}", "value": str(i)} for i in range(2)] + [{"op": "remove", "provider": "p", "fact": "provider.name"}]
-        (tmp_path / f"{r}.json").write_text(json.dumps({"release": r, "parent": r - 1 or None, "published_at_ms": r * 10, "upstream": ops}, indent=1))
+        ops = [{"op": "set", "provider": "p", "model": "m", "fact": f"f{i}", "value": str(i)} for i in range(2)] + [{"op": "remove_provider", "provider": "p", "fact": "provider.name"}]
+        head = {"release": r, "parent": r - 1 or None, "published_at_ms": r * 10} | dict.fromkeys(("upstream_observed_at_ms", "upstream_hash", "curation_version", "curation_hash", "state_hash", "change_hash"))
+        (tmp_path / f"{r}.json").write_text(json.dumps({"envelope": head, "change": {"curation_set": None, "upstream": ops}}, indent=1))
     got = documents.read_releases(spark, str(tmp_path)).orderBy("release", "pos").collect()
-    assert [(r["release"], r["parent"], r["pos"], r["op"], r["model"], r["fact_key"], r["value"]) for r in got[:3]] == [(1, None, 0, "set", "m", "f0", "0"), (1, None, 1, "set", "m", "f1", "1"), (1, None, 2, "remove", None, "provider.name", None)]
+    assert [(r["release"], r["parent"], r["pos"], r["op"], r["model"], r["fact_key"], r["value"]) for r in got[:3]] == [(1, None, 0, "set", "m", "f0", '"0"'), (1, None, 1, "set", "m", "f1", '"1"'), (1, None, 2, "remove_provider", None, "provider.name", None)]
     assert len(got) == 6 and got[5]["published_at_ms"] == 20
 
 
