@@ -76,11 +76,13 @@ def hide_nulls(e: DataFrame, policy: str | None = None) -> DataFrame:
     return e.withColumn("facts", facts)
 
 
-def apply_overrides(e: DataFrame, overrides: DataFrame) -> DataFrame:
-    """overrides(KEY, value, replaces): a fact is replaced only while upstream still says `replaces`; with replaces null the fact is
-    added only where the key is absent or null and not among `withheld` (an array of keys, if e has it). A default effort must be
-    among the efforts that the entity lists. Adds the column overridden: the facts that an override gave."""
+def apply_overrides(e: DataFrame, overrides: DataFrame, additions: tuple[str, ...] | None = None) -> DataFrame:
+    """overrides(KEY, value, replaces). Keys that upstream doesn't record (`additions`, by default rules.ADDED_ONLY) are added only where the entity has no such fact, not
+    even null, and the key isn't among `withheld` (an array of keys, if e has it). Any other fact is replaced, only while upstream
+    still says `replaces`; a replaces of null stands for a null that is stored, so a fact that isn't there is not replaced. A default effort
+    must be among the efforts that the entity lists. Adds the column overridden: the facts that an override gave."""
     from factledger.functions.claims import listed_efforts
+    from factledger.operators.rules import ADDED_ONLY
 
     rows = overrides.groupBy(*ID).agg(F.map_from_entries(F.collect_list(F.struct("fact_key", F.struct("value", "replaces")))).alias("_o"))
     held = F.coalesce(F.col("withheld"), F.array().cast("array<string>")) if "withheld" in e.columns else F.array().cast("array<string>")
@@ -88,8 +90,9 @@ def apply_overrides(e: DataFrame, overrides: DataFrame) -> DataFrame:
 
     def applies(k: Column, o: Column) -> Column:
         there = F.map_contains_key(fact_map(), k)
-        replaced = o["replaces"].isNotNull() & there & same_claim(fact_map()[k], o["replaces"])
-        added = o["replaces"].isNull() & (~there | (fact_map()[k] == "null")) & ~F.array_contains(held, k)
+        addition = k.isin(*(ADDED_ONLY if additions is None else additions))
+        replaced = ~addition & there & same_claim(fact_map()[k], F.coalesce(o["replaces"], F.lit("null")))
+        added = addition & ~there & ~F.array_contains(held, k)
         fits = (k != "capability.reasoning_default") | F.array_contains(efforts, F.get_json_object(o["value"], "$.value"))
         return F.coalesce((replaced | added) & fits, F.lit(False))
 
@@ -182,7 +185,8 @@ def project_aliases(e: DataFrame, aliases: DataFrame, known: DataFrame) -> DataF
     m = m.withColumn("_a", F.explode(F.concat(F.array(me), F.coalesce("_a", F.array().cast(m.schema["_a"].dataType)))))
     a = F.col("_a")
     kept = without(lambda k: k.isin(*ROUTE_FACTS) | k.startswith("route.") | ((k == "capability.temperature") & (F.coalesce(fact_map()["capability.temperature"], F.lit("")) != "false")))
-    kept = _marked(kept, _marker(F.col("provider"), text_of(fact_map()["model.family"]), "alias", F.col("model")))
+    m = m.withColumn("_tp", F.col("provider")).withColumn("_tm", F.col("model"))  # a lambda would take the names below for the alias's own
+    kept = _marked(kept, _marker(F.col("_tp"), text_of(fact_map()["model.family"]), "alias", F.col("_tm")))
     mapped = F.coalesce(F.size(a["wire_ids"]) > 0, F.lit(False))
     options = "capability.reasoning_options"
     said = {

@@ -121,7 +121,7 @@ TOKEN_CLASSES = ("input", "output", "cache_read", "cache_write", "reasoning", "i
 LIMIT_FACTS = {"limit.images_per_request": "image", "limit.image_bytes": "image", "limit.image_long_edge_px": "image", "limit.document_pages": "pdf", "limit.document_bytes": "pdf"}
 LIFETIMES = (("5m", "1h"), ("30m", "12h"), ("in_memory", "24h"), ("24h",))
 OVERRIDABLE = ("limit.context", "limit.output", "capability.server_side_fallback", "capability.mid_conversation_system", "capability.reasoning_default", "capability.temperature", "model.status", "rate.output", "rate.output_image", "rate.cached_input_audio")
-ADDED_ONLY = ("capability.server_side_fallback", "capability.mid_conversation_system", "capability.reasoning_default", "model.status")
+ADDED_ONLY = ("capability.server_side_fallback", "capability.mid_conversation_system", "capability.reasoning_default", "rate.output_image", "rate.cached_input_audio")
 
 
 def specs() -> dict[str, RuleSpec]:
@@ -170,7 +170,7 @@ def specs() -> dict[str, RuleSpec]:
         "fact_overrides": RuleSpec((*by, "fact_key"), ("value", "reason", "quote", "source_ref"), {
             "not_overridable": key.isin(*OVERRIDABLE), "same_as_replaced": replaces.isNull() | (value != replaces),
             "not_positive": ~key.isin("limit.context", "limit.output") | (number("value") & number("replaces")), "not_boolean": ~key.isin("capability.temperature", "capability.server_side_fallback", "capability.mid_conversation_system") | boolean,
-            "addition": ~key.isin(*ADDED_ONLY, "rate.output_image", "rate.cached_input_audio") | replaces.isNull(), "replacement": ~key.isin("capability.temperature", "rate.output") | replaces.isNotNull(),
+            "addition": ~key.isin(*ADDED_ONLY, "model.status") | replaces.isNull(), "replacement": ~key.isin("capability.temperature", "rate.output") | replaces.isNotNull(),
             "default_effort": (key != "capability.reasoning_default") | value.rlike(r'^\{"type":"effort","value":"[^"]*\S[^"]*"\}$'), "status": (key != "model.status") | (value == '"deprecated"'), "rate": ~key.startswith("rate.") | (state == "priced"),
         }, review_days=60),
         "audio_evidence": RuleSpec(("provider", "class"), ("quote",), {

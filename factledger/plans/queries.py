@@ -270,7 +270,7 @@ def _(s, d):
 
 
 @query("freshness", f"""WITH {_ERAS}, {_POLLS}, l AS (SELECT source, max(observed_at_ms) AS last_attempt_ms, max(observed_at_ms) FILTER (outcome <> 'failed') AS last_confirmed_ms FROM polls GROUP BY 1),
-f AS (SELECT l.*, (SELECT count(*) FROM polls p WHERE p.source = l.source AND outcome = 'failed' AND p.observed_at_ms > l.last_confirmed_ms) AS failing FROM l) SELECT *, CASE WHEN 1706655600000 - last_attempt_ms > 4200000 THEN 'silent' WHEN failing >= 4 THEN 'failing' WHEN 1706655600000 - last_confirmed_ms > 7200000 THEN 'stale' ELSE 'fresh' END AS status FROM f""")
+f AS (SELECT l.*, (SELECT count(*) FROM polls p WHERE p.source = l.source AND outcome = 'failed' AND p.observed_at_ms > l.last_confirmed_ms) AS failing FROM l) SELECT *, CASE WHEN 1706655600000 - last_attempt_ms > 4200000 THEN 'silent' WHEN 1706655600000 - last_confirmed_ms > 7200000 THEN 'stale' WHEN failing >= 4 THEN 'failing' ELSE 'fresh' END AS status FROM f""")
 def _(s, d):
     return ledger.freshness(polls(s, d), 1_706_655_600_000, ["source"])
 
@@ -420,7 +420,7 @@ def _(s, d):
     o = f.where("fact_key = 'segment' AND cast(model AS long) % 3 = 0")
     a = o.select("provider", "model", "fact_key", F.lit("FIXED").alias("value"), F.lit("BUILDING").alias("replaces"))
     b = o.where("cast(model AS long) % 2 = 0").select("provider", "model", F.lit("tier").alias("fact_key"), F.lit("gold").alias("value"), F.lit(None).cast("string").alias("replaces"))
-    out = layers.unfold(layers.apply_overrides(layers.fold(f), a.unionByName(b)), "overridden")
+    out = layers.unfold(layers.apply_overrides(layers.fold(f), a.unionByName(b), ("tier",)), "overridden")
     return out.select(*layers.FACT, F.map_contains_key("overridden", F.col("fact_key")).alias("overridden"))
 
 
@@ -1099,4 +1099,4 @@ def _(s, d):
     return out.select("key", F.concat(F.array_join(main, ","), F.when(F.array_contains("refusals", "effort_not_listed"), "|effort").otherwise("")).alias("refusals"))
 
 
-from factledger.plans import release_queries  # noqa: E402, F401  registers its queries here
+from factledger.plans import release_queries, scope_queries  # noqa: E402, F401  they register their queries here

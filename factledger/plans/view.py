@@ -13,8 +13,9 @@ that a correction withholds stays withheld.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions.keys import has_prefix, is_mode_rate
@@ -104,11 +105,54 @@ def states(eras: DataFrame, at: int | None, covering: DataFrame | None = None) -
     return now.groupBy(*ID).agg(F.map_from_entries(F.collect_list(entry)).alias("facts"), F.collect_list(F.when(F.col("v").isNotNull() & hit, F.col("fact_key"))).alias("withheld"))
 
 
+def in_scope(provider: str | None, model: str | None, columns: tuple[str, str] = ("provider", "model")) -> Column | None:
+    """Whether an entity is asked for; None if all are."""
+    tests = [F.col(c) == v for c, v in zip(columns, (provider, model)) if v is not None]
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def read_scope(eras: DataFrame, rules: Rules, provider: str | None, model: str | None, plane: Plane | None = None) -> DataFrame:
+    """The eras that a scoped read needs: those of the scope, of the twins and bases of what it asks for, of the targets of its aliases (and of
+    aliases among those twins), of the cards that creators lend to any of these, and of the provider whose rates a plane borrows. Who is needed
+    is read from the rule tables, by semi-joins that leave the rest of the ledger unread; entities may be more than needed, never fewer."""
+    asked = in_scope(provider, model)
+    if asked is None:
+        return eras
+    pairs: list[DataFrame] = []  # (provider, model)
+    spark = eras.sparkSession
+    if rules.twins is not None and model is not None:  # of a whole provider they are in the scope
+        of = lambda a, b: rules.twins.where(in_scope(provider, model, ("provider", a))).select("provider", F.col(b).alias("model"))
+        pairs += [of("base", "twin"), of("twin", "base")]
+    if rules.aliases is not None:
+        target = [F.col("target_provider").alias("provider"), F.col("target").alias("model")]
+        more = [rules.aliases.join(reduce(DataFrame.unionByName, pairs).distinct(), ID, "left_semi").select(*target)] if pairs else []
+        pairs += [rules.aliases.where(asked).select(*target), *more]
+    one = reduce(DataFrame.unionByName, pairs).distinct() if pairs else None
+    other = eras.where(~F.coalesce(asked, F.lit(False)))
+    out, covered = eras.where(asked), None  # covered: providers of which all that could be needed is read
+    if plane is not None and plane.rates_from is not None:
+        covered = spark.createDataFrame([(plane.rates_from,)], "provider string")
+        out = out.unionByName(other.join(covered, "provider", "left_semi"))
+    if rules.creators is not None:
+        lenders = rules.creators.select(F.col("creator").alias("provider")).distinct()
+        fresh = lenders if covered is None else lenders.join(covered, "provider", "left_anti")
+        cards = other.join(fresh, "provider", "left_semi")
+        if model is not None:  # a card is lent to the same model of another provider
+            asked_for = spark.createDataFrame([(model,)], "model string")
+            models = asked_for if one is None else asked_for.unionByName(one.select("model")).distinct()
+            cards = cards.join(models, "model", "left_semi")
+        out = out.unionByName(cards)
+        covered = lenders if covered is None else covered.unionByName(lenders).distinct()
+    if one is not None:
+        out = out.unionByName(other.join(one if covered is None else one.join(covered, "provider", "left_anti"), ID, "left_semi"))
+    return out
+
+
 def served_view(eras: DataFrame, rules: Rules, corrections: DataFrame | None = None, at: int | None = None, prefixes: list[str] | None = None, provider: str | None = None, model: str | None = None, include_retired: bool = False, method: str | None = None, plane: Plane | None = None) -> ServedView:
-    """One lazy plan. Filters on provider, model and widened prefixes stand before the first aggregation, so they reach the scan."""
-    mine = eras if provider is None else eras.where(F.col("provider") == provider)
-    if model is not None:
-        mine = mine.where(F.col("model") == model)
+    """One lazy plan. Filters on provider, model and widened prefixes stand before the first aggregation, so they reach the scan. A scope
+    (provider, model) reads what its facts are made from too (see read_scope) and is applied to the result, so a scoped view is the
+    whole view, filtered."""
+    mine = read_scope(eras, rules if at is None else Rules(), provider, model, plane)
     known = mine.select(*ID).distinct()
     rows = select_prefixes(mine, widen(prefixes))
     covering = None if at is None or corrections is None else corrections_at(corrections, at)
@@ -143,6 +187,10 @@ def served_view(eras: DataFrame, rules: Rules, corrections: DataFrame | None = N
             e = layers.apply_twins(e, rules.twins)
         if include_retired and rules.retired is not None:
             e = layers.apply_retired(e, rules.retired, known)
+    asked = in_scope(provider, model)
+    if asked is not None:
+        e = e.where(asked)
+        held_back, doubtful = (None if d is None else d.where(asked) for d in (held_back, doubtful))
     e = e.withColumn("facts", F.map_filter(fact_map(), lambda k, _: has_prefix(k, prefixes)))
     for disclosed in ("overridden", "ruled"):  # only what is still served, with the value it gave
         if disclosed in e.columns:
