@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from factledger.llm.shared import documents
 
 #: Characters that a worker splits at once, and pre-tokens whose ids it remembers from one step to the next.
-STEP, MEMORY = 1 << 20, 350_000
+STEP, MEMORY = 1 << 20, 800_000
 _CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
 
 
