@@ -145,8 +145,8 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     return df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
 
 
-def label_rows(df: DataFrame, model: LanguageModel, text_col: str = "text", pred: str = "lang_pred", score: str = "lang_score", unsure: str = "lang_ambiguous") -> DataFrame:
-    """df with the three columns added to its own, for filters; columns of these names are replaced."""
+def guesses(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """row (all columns of df) and guess (lang, score, ambiguous), apart, so that no name clashes."""
     known = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
@@ -154,8 +154,13 @@ def label_rows(df: DataFrame, model: LanguageModel, text_col: str = "text", pred
         m = known.value
         return pd.DataFrame([m.predict(t) for t in texts], columns=["lang", "score", "ambiguous"])
 
-    rows = df.drop(pred, score, unsure).withColumn("_guess", guess(F.col(text_col)))
-    return rows.withColumn(pred, F.col("_guess.lang")).withColumn(score, F.col("_guess.score")).withColumn(unsure, F.col("_guess.ambiguous")).drop("_guess")
+    return df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns]).alias("row"), guess(F.col(f"`{text_col}`")).alias("guess"))
+
+
+def label_rows(df: DataFrame, model: LanguageModel, text_col: str = "text", pred: str = "lang_pred", score: str = "lang_score", unsure: str = "lang_ambiguous") -> DataFrame:
+    """df with the three columns added to its own, for filters; columns of these names are replaced."""
+    keep = [c for c in df.columns if c not in (pred, score, unsure)]
+    return guesses(df, model, text_col).select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("guess.lang").alias(pred), F.col("guess.score").alias(score), F.col("guess.ambiguous").alias(unsure))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,12 +120,12 @@ def encoder(path: str):
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 1024, segments: int = 256, end_id: int = 0) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = 1024, segments: int | None = None, end_id: int = 0) -> DataFrame:
     """Documents into sequences of at most `tokens` tokens, cut freely: one row per piece (see PIECE_SCHEMA).
 
     A document is the ids of its whole text and then end_id; a null or empty text is end_id alone. Stretches of `tokens`
     ids are sequences of their own, the rest is packed; every token bears loss. Only the last sequence of a task is
-    padded, unless the limit on segments binds. Null ids stay null, rows that repeat an id are documents of their own.
+    padded, unless a limit on segments is given and binds. Null ids stay null, rows that repeat an id are documents of their own.
     """
     rows = df.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")]
@@ -143,7 +143,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             out.clear()
             return b
 
-        packer = Packer((tokens, segments, tokens), True, TaskContext.get().partitionId() << 32, place)
+        packer = Packer((tokens, tokens if segments is None else segments, tokens), True, TaskContext.get().partitionId() << 32, place)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")

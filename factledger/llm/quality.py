@@ -123,11 +123,11 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = SEED, epochs: int =
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", max_docs: int = MAX_DOCS) -> ByteNet:
     """Learns from the whole texts of at most max_docs labelled rows that `usable` (on doc_id) holds for: those with the least hashes
     of id and label. A null or unknown label or a null id is not learned from; a document with labels both ways counts once for
-    each, and rows of docs that repeat an id count each."""
+    each, and of rows of docs that repeat an id the one with the least text counts."""
     known = labels.where(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y")).distinct()
     chosen = least(known.withColumn("h", F.xxhash64(F.lit("quality"), "doc_id", "y")), "h", max_docs, known.count()).select("doc_id", "y")
-    # max_docs rows of two numbers are broadcast
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toPandas()
+    # max_docs rows of two numbers are broadcast, and as many texts come back
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas()
     rows = rows.sort_values(["doc_id", "y", "text"], kind="stable")
     return fit([t.encode("utf-8", "replace") for t in rows["text"]], rows["y"].to_numpy(np.float32))
 

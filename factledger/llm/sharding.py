@@ -54,9 +54,11 @@ def place(df: DataFrame, key_col: str, shards: list[str], size: int = PRIME, slo
     nothing is shuffled, so a hot key costs nothing here. An empty table gives an empty table."""
     table = lookup_table(shards, size)
     rows = [(int(slot), shards[owner]) for slot, owner in enumerate(table)]
-    owners = df.sparkSession.createDataFrame(rows, f"`_slot` long, `{shard_name}` string")
-    keyed = df.drop(slot_name, shard_name).withColumn(slot_name, slot_of(key_col, size))
-    return keyed.join(F.broadcast(owners), keyed[slot_name] == owners["_slot"]).drop("_slot")
+    owners = df.sparkSession.createDataFrame(rows, "slot long, shard string")
+    keep = [c for c in df.columns if c not in (slot_name, shard_name)]
+    keyed = df.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row"), slot_of(key_col, size).alias("slot"))  # apart, so that no name clashes
+    met = keyed.join(F.broadcast(owners), "slot")
+    return met.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("slot").alias(slot_name), F.col("shard").alias(shard_name))
 
 
 def shard_names(n: int) -> list[str]:

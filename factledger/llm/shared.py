@@ -49,9 +49,16 @@ def edge_of(share: float) -> int:
 
 
 def least(rows: DataFrame, h: str, k: int, n: int) -> DataFrame:
-    """The rows with the k least values of the 64-bit hash h (rows that share the k-th value too), of n rows in all. Only hashes below an
-    edge that more than k surely lie under are ranked, so one task gets some k numbers however many rows there are."""
+    """k rows with the least values of the 64-bit hash h, of n rows in all; of rows that share the k-th value as many as still fit. Only hashes below an
+    edge that more than k surely lie under are ranked, so one task gets some k numbers however many rows there are, or repeat."""
     if k >= n:
         return rows
-    found = rows.where(F.col(h) <= edge_of((2 * k + 200) / n)).select(h).orderBy(h).limit(k).agg(F.max(h)).first()[0]
-    return rows.where(F.col(h) <= (-(2**63) if found is None else found)) if k else rows.limit(0)
+    if k <= 0:
+        return rows.limit(0)
+    share = (2 * k + 200) / n
+    while True:
+        edge = edge_of(min(share, 1.0))
+        got = rows.where(F.col(h) <= edge).select(h).orderBy(h).limit(k).agg(F.count(F.lit(1)), F.max(h)).first()
+        if got[0] == k or share >= 1:
+            return rows.where(F.col(h) <= (-(2**63) if got[1] is None else got[1])).orderBy(h).limit(k)
+        share *= 16  # rows that repeat leave fewer hashes below an edge than it promises

@@ -415,6 +415,8 @@ def test_the_least_hashes_are_drawn_at_every_size(spark):
     rows_ = spark.range(20_000).withColumn("h", F.xxhash64("id"))
     want = sorted(r["h"] for r in rows_.collect())[:7]
     assert sorted(r["h"] for r in least(rows_, "h", 7, 20_000).collect()) == want
+    same = spark.range(3000).selectExpr("5L h", "id % 2 x")
+    assert least(same, "h", 7, 3000).count() == 7  # rows that tie are no reason to take more
     assert least(rows_, "h", 30_000, 20_000).count() == 20_000 and least(rows_, "h", 0, 20_000).count() == 0 and least(rows_.limit(0), "h", 5, 0).count() == 0
 
 
@@ -584,3 +586,66 @@ def corpus_total(spark):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, "/root/testdata/sf0.001").agg(F.sum("length"), F.count_distinct("doc_id")).first()
+
+
+# names that clash, corpora without labels, very short texts
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, lang_score string, lang_ambiguous string, _guess string, _slot string, row string, guess string, slot string, shard string"
+
+
+@pytest.fixture(scope="module")
+def clash(spark):
+    said = {"en": "the cat and the dog went over the hill with them", "de": "der Hund und die Katze gingen mit ihnen auf den Berg"}
+    r = [(i, f"{said[k]} {i} {said[k]}" if i % 9 else [None, "", "123"][i % 3], k if i % 4 else None, f"s{i % 2}", i, *["x"] * 9) for i, k in enumerate(["en", "de"] * 30)]
+    return spark.createDataFrame(r, CLASH)
+
+
+def test_stages_keep_every_column(spark, clash):
+    import corpus_pipeline
+
+    before = {r["doc_id"]: r for r in clash.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, None)
+        assert out.columns == clash.columns, name
+        rest = [c for c in clash.columns if c != "lang"]
+        assert all([r[c] for c in rest] == [before[r["doc_id"]][c] for c in rest] for r in out.collect()) and out.count()
+    got = corpus_pipeline.language(spark, clash, None)
+    assert {r["doc_id"]: r["lang"] for r in got.collect()} == {i: ["en", "de"][i % 2] for i in range(60) if i % 9}
+    placed = sharding.place(clash, "doc_id", sharding.shard_names(4))
+    assert sorted(placed.columns) == sorted(clash.columns) and placed.where("_slot = 'x' AND row = 'x' AND shard LIKE 'shard-%'").count() == 60
+    named = langid.label_rows(clash, langid.train(clash, F.lit(True)))
+    assert sorted(named.columns) == sorted(clash.columns) and named.where("_guess = 'x' AND guess = 'x' AND lang_pred <> 'x'").count() == 60
+
+
+def test_a_corpus_without_labels_is_kept(spark, clash):
+    import corpus_pipeline
+
+    bare = clash.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language(spark, bare, None)
+    assert got.columns == bare.columns and sorted(r["doc_id"] for r in got.collect()) == [i for i in range(60) if i % 9]
+    assert corpus_pipeline.language(spark, bare.limit(0), None).count() == 0
+
+
+def test_very_short_texts_fill_their_sequences(spark):
+    import public_tokenizers
+
+    df = spark.range(5000).selectExpr("id doc_id", "if(id % 2 = 0, '', null) text").coalesce(1)
+    got = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json")).groupBy("sequence_id").agg(F.sum("length").alias("n")).orderBy(F.desc("n")).collect()
+    assert [r["n"] for r in got] == [1024] * 4 + [5000 - 4096]
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs_ = spark.createDataFrame([(1, "good text " * 30)] * 500 + [(2, "bad !!!! " * 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once = quality.train(docs_.distinct(), labels, F.lit(True))
+    assert all(np.array_equal(getattr(once, n), getattr(quality.train(docs_, labels, F.lit(True)), n)) for n in ("filters", "out", "embed"))
+
+
+def test_blocks_list_only_ranges_that_they_ask_for():
+    own = lm.Asked()
+    own.add(lm.folded("a few words that are asked for"), True, 1)
+    for bits in (0, 3, 20):
+        rows_ = [r for part in own.slices(7, bits) for r in part.to_pylist()]
+        assert len({r["slice"] for r in rows_}) == len(rows_) <= min(1 << bits, 200) and all(any(r[c] for c in ("pairs", "tokens", "borders")) for r in rows_)
+        keys_ = np.concatenate([lm._unpack(r["pairs"], "<u8") for r in rows_])
+        assert np.array_equal(keys_, own.pairs.all()[0])
