@@ -14,10 +14,13 @@ from factledger.llm.shared import documents, materialise
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (null, or no letter) and those on the fence between two; a missing label is filled in."""
-    rows = langid.label_rows(docs, langid.train(docs, F.lit(True)))
-    rows = rows.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("lang_ambiguous"))
-    return rows.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Rejects documents without a language (null, or no letter) and those on the fence between two; a missing label is filled in. Where no document
+    is labelled nothing can be learned, and only those without a letter are rejected. Columns are those of docs, whatever their names."""
+    model = langid.train(docs, F.lit(True))
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = langid.guesses(docs, model).where((F.col("guess.lang") != langid.UNKNOWN) & ~F.col("guess.ambiguous"))
+    return rows.select(*[(F.coalesce("row.lang", "guess.lang") if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
