@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factledger.functions.claims import same_claim
 from factledger.operators.asof import as_of, as_of_join, latest_per_key
+from factledger.operators.intervals import stab
 
 
 def corrections_at(corrections: DataFrame, at: int) -> DataFrame:
@@ -18,13 +19,10 @@ def corrections_at(corrections: DataFrame, at: int) -> DataFrame:
     return corrections.where((F.col("from_ms") <= at) & (F.col("until_ms") >= at))
 
 
-def corrections_covering(points: DataFrame, corrections: DataFrame, keys: list[str], at_col: str, width: int = 3_600_000) -> DataFrame:
-    """points x the records that cover them, for many instants: windows are dealt to buckets of `width` ms, so the join is
-    on equality of key and bucket and the range is only a filter."""
-    buckets = F.sequence(F.floor(F.col("from_ms") / width), F.floor(F.col("until_ms") / width))
-    c = corrections.where("from_ms <= until_ms").withColumn("_bucket", F.explode(buckets))
-    p = points.withColumn("_bucket", F.floor(F.col(at_col) / width))
-    return p.join(c, [*keys, "_bucket"]).where((F.col("from_ms") <= F.col(at_col)) & (F.col("until_ms") >= F.col(at_col))).drop("_bucket")
+def corrections_covering(points: DataFrame, corrections: DataFrame, keys: list[str], at_col: str) -> DataFrame:
+    """points x the records that cover them, for many instants, through the index of intervals: some fifty rows for a window at most,
+    whether it spans an hour or ten years."""
+    return stab(points, corrections, keys, at_col)
 
 
 def withhold(facts: DataFrame, covering: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -70,10 +68,16 @@ def plan_corrections(requests: DataFrame, eras: DataFrame, corrections: DataFram
     together: columns that make requests one plan; where one of these is refused, the others say plan_refused."""
     now = latest_per_key(eras, keys, ["boundary", "id"]).select(*keys, F.col("value_json").alias("current_value"), F.col("boundary").alias("current_since"))
     window = [*keys, "from_ms", "until_ms"]
-    met = requests.select(*window).distinct().join(now, keys).join(eras.select(*keys, "boundary", "id", "value_json"), keys)
-    entering = F.max_by("value_json", F.when(F.col("boundary") <= F.col("from_ms"), F.struct("boundary", "id")))
-    inside = (F.col("boundary") > F.col("from_ms")) & (F.col("boundary") <= F.col("until_ms"))
-    met = met.groupBy(*window).agg(entering.alias("_entering"), F.max(inside & ~same_claim(F.col("value_json"), F.col("current_value"))).alias("_moved"))
+    # eras of the facts asked for, each with the number of eras up to it that say something else than the newest: a window's own are a difference
+    # of two as-of reads, so windows and eras are never paired
+    asked = requests.select(*window).distinct()
+    told = eras.select(*keys, "boundary", "id", "value_json").join(asked.select(*keys).distinct(), keys, "left_semi").join(now.select(*keys, "current_value"), keys)
+    upto = Window.partitionBy(*keys).orderBy("boundary", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    differs = F.when(same_claim(F.col("value_json"), F.col("current_value")), 0).otherwise(1)
+    told = told.select(*keys, "boundary", "id", F.col("value_json").alias("_entering"), F.sum(differs).over(upto).alias("_n"))
+    met = as_of_join(asked, told.withColumnRenamed("_n", "_n0"), keys, "from_ms", ["_entering", "_n0"])
+    met = as_of_join(met, told.withColumnRenamed("_n", "_n1"), keys, "until_ms", ["_n1"])
+    met = met.select(*window, "_entering", (F.coalesce("_n1", F.lit(0)) > F.coalesce("_n0", F.lit(0))).alias("_moved"))
     known = corrections.select(*window, "reason").distinct().withColumn("_known", F.lit(True))
     r = requests.join(now, keys, "left").join(met, window, "left").join(known, [*window, "reason"], "left")
     ok = F.lit(True) if addressable is None else addressable
@@ -140,7 +144,7 @@ def served_timeline(eras: DataFrame, corrections: DataFrame, keys: list[str], ov
         fits = F.when(F.col("_o.replaces").isNull(), F.col("_up").isNull() | (F.col("_up") == "null")).otherwise(same_claim(F.col("_up"), F.col("_o.replaces")))
         hit = F.coalesce(F.col("_o.value").isNotNull() & fits, F.lit(False))
         source, value = F.when(hit, "override").otherwise("upstream"), F.when(hit, F.col("_o.value")).otherwise(F.col("_up"))
-    covered = corrections_covering(rows.select(*keys, "at"), corrections.select(*keys, "from_ms", "until_ms"), keys, "at", 30 * 86_400_000).select(*keys, "at").distinct().withColumn("_hit", F.lit(True))
+    covered = corrections_covering(rows.select(*keys, "at"), corrections.select(*keys, "from_ms", "until_ms"), keys, "at").select(*keys, "at").distinct().withColumn("_hit", F.lit(True))
     rows = rows.join(covered, [*keys, "at"], "left")
     state = F.when(F.col("_hit"), "refused").when(value.isNull() | (value == "null"), "absent").otherwise("value")
     shown = state == "value"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factledger.functions.claims import same_claim
-from factledger.operators.asof import as_of, latest_per_key, with_previous
+from factledger.operators.asof import as_of, as_of_join, latest_per_key, with_previous
 
 CONFIRMING = ("changed", "unchanged", "not_modified", "seeded")
 
@@ -159,12 +159,13 @@ def append_scd2(rows: DataFrame, history: DataFrame, keys: list[str], claim: str
 
 
 def append_prices(rows: DataFrame, history: DataFrame, keys: list[str], claim: str, now: int) -> DataFrame:
-    """Price rows to append: each is compared with the newest id at or before its own boundary; a key that is dropped gets one
-    refusal row (claim null)."""
-    met = rows.select(*keys, F.col(claim).alias("_new"), F.col("boundary").alias("_b")).join(history.select(*keys, F.col(claim).alias("_old"), "boundary", "id"), keys, "left")
-    seen = F.when(F.col("boundary") <= F.col("_b"), F.col("id"))
-    last = met.groupBy(*keys, "_b").agg(F.max("_new").alias("_new"), F.max_by("_old", seen).alias("_old"), F.max(seen).alias("_id"))
-    add = last.where(F.col("_id").isNull() | ~F.col("_old").eqNullSafe(F.col("_new"))).select(*keys, F.col("_new").alias(claim), F.col("_b").alias("boundary"))
+    """Price rows to append: each is compared with the newest id at or before its own boundary, by one as-of read; a key that is dropped gets
+    one refusal row (claim null)."""
+    upto = Window.partitionBy(*keys).orderBy("boundary", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = history.select(*keys, "boundary", "id", F.max(F.struct("id", F.col(claim).alias("claim"))).over(upto).alias("_seen"))
+    asked = rows.groupBy(*keys, F.col("boundary").alias("_b")).agg(F.max(claim).alias("_new"))
+    last = as_of_join(asked, told, keys, "_b", ["_seen"])
+    add = last.where(F.col("_seen").isNull() | ~F.col("_seen.claim").eqNullSafe(F.col("_new"))).select(*keys, F.col("_new").alias(claim), F.col("_b").alias("boundary"))
     gone = latest_per_key(history, keys, ["id"]).where(F.col(claim).isNotNull()).join(rows.select(*keys).distinct(), keys, "left_anti")
     return add.unionByName(gone.select(*keys, F.lit(None).cast(history.schema[claim].dataType).alias(claim), F.lit(now).cast("long").alias("boundary")))
 

@@ -97,15 +97,12 @@ def list_judgments(log: DataFrame, key: str, prefix: str | None = None, of: str
 
 def fact_history(eras: DataFrame, corrections: DataFrame, marked: DataFrame, keys: list[str], at: int) -> DataFrame:
     """Eras with valid_to, the number of corrections of their fact that touch [boundary, valid_to), and the fact's last genuine
-    change. The windows of a fact are joined to its own eras only."""
+    change. Windows and eras are counted, not paired."""
     from factledger.operators.asof import with_intervals
+    from factledger.operators.intervals import overlaps
 
-    rows = with_intervals(eras, keys)
-    c = corrections.select(*keys, "from_ms", "until_ms")
-    touch = (F.col("until_ms") >= F.col("boundary")) & (F.col("valid_to").isNull() | (F.col("from_ms") < F.col("valid_to")))
-    n = rows.select(*keys, "id", "boundary", "valid_to").join(c, keys).where(touch).groupBy("id").agg(F.count(F.lit(1)).alias("corrections"))
-    changed = last_changed(eras, marked, at, keys)
-    return rows.join(n, "id", "left").withColumn("corrections", F.coalesce("corrections", F.lit(0))).join(changed, keys, "left")
+    rows = overlaps(with_intervals(eras, keys), corrections.select(*keys, "from_ms", "until_ms"), keys, "boundary", "valid_to", "corrections")
+    return rows.join(last_changed(eras, marked, at, keys), keys, "left")
 
 
 def source_status(obs: DataFrame, eras: DataFrame, entity: list[str], n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

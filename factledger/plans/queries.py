@@ -135,7 +135,7 @@ def _(s, d):
 
 @query("corrections_many", f"WITH {_ERAS}, {_FIX} SELECT e.id, f.record FROM eras e JOIN fixes f ON e.user_id = f.user_id AND e.fact_key = f.fact_key AND e.boundary BETWEEN f.from_ms AND f.until_ms")
 def _(s, d):
-    return corrections.corrections_covering(eras(s, d).select("id", *KEYS, "boundary"), fixes(s, d), KEYS, "boundary", 96 * HOUR).select("id", "record")
+    return corrections.corrections_covering(eras(s, d).select("id", *KEYS, "boundary"), fixes(s, d), KEYS, "boundary").select("id", "record")
 
 
 @query("withheld_facts", f"WITH {_ERAS}, {_FIX}, {_ASOF}, c AS (SELECT DISTINCT user_id, fact_key FROM fixes WHERE from_ms <= {AT} AND until_ms >= {AT}) SELECT a.user_id, a.fact_key, a.value_json, c.user_id IS NOT NULL AS withheld FROM inforce a LEFT JOIN c ON a.user_id = c.user_id AND a.fact_key = c.fact_key")
