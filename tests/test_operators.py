@@ -341,7 +341,7 @@ def test_rules_report_every_reason(spark):
     ok, bad = rules.load_rules(r, rules.RuleSpec(("provider", "model"), ("target",), target=("provider", "target")))
     assert [x["model"] for x in ok.collect()] == ["b"]
     assert {x["model"]: x["reasons"] for x in bad.collect()} == {"a": ["chained_target"], "d": ["self_target"], "e": ["empty_target"], "f": ["duplicate_key"]}
-    assert {"aliases", "billing_rules", "wire_families", "judgments"} <= set(rules.specs()) and len(rules.specs()) == 18
+    assert {"aliases", "billing_rules", "wire_families", "judgments"} <= set(rules.specs()) and len(rules.specs()) == 21
 
 
 def test_judgments(spark):
