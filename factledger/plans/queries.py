@@ -92,11 +92,11 @@ def _(s, d):
     return asof.current(eras(s, d), KEYS).select(*KEYS, "value_json", "boundary")
 
 
-@query("asof_join_orders", f"""WITH {_ERAS}, o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, 1704067200000 + (o_orderkey * 7919 % 2592000) * 1000 AS "at" FROM orders), v AS (SELECT * FROM eras WHERE fact_key = 'purchase'),
+@query("asof_join_orders", f"""WITH {_ERAS}, o AS (SELECT o_orderkey, o_custkey % 150 AS user_id, 1704067200000 + (o_orderkey * 7919 % 2592000) * 1000 AS "at" FROM orders), v AS (SELECT * FROM eras),
 r AS (SELECT o.o_orderkey, o.user_id, o."at", v.value_json, v.boundary, row_number() OVER (PARTITION BY o_orderkey ORDER BY v.boundary DESC, v.id DESC) AS rn FROM o LEFT JOIN v ON o.user_id = v.user_id AND v.boundary <= o."at") SELECT o_orderkey, user_id, "at", value_json, boundary FROM r WHERE rn = 1""")
 def _(s, d):
     o = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (F.lit(1704067200000) + (F.col("o_orderkey") * 7919 % 2592000) * 1000).alias("at"))
-    return asof.as_of_join(o, eras(s, d).where("fact_key = 'purchase'"), ["user_id"], "at", ["value_json", "boundary"])
+    return asof.as_of_join(o, eras(s, d), ["user_id"], "at", ["value_json", "boundary"], bucket_ms=5 * 24 * HOUR)
 
 
 @query("era_intervals", f"WITH {_ERAS} SELECT id, user_id, fact_key, boundary, lead(boundary) OVER (PARTITION BY user_id, fact_key ORDER BY boundary, id) AS valid_to FROM eras")
@@ -328,11 +328,11 @@ def _(s, d):
     return ledger.latest_judgments(log, ["user_id"], AT).select("user_id", "grade", "id")
 
 
-@query("run_origin", """WITH e AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) // 1000) AS boundary, l_returnflag AS claim FROM lineitem WHERE l_linenumber = 1), i AS (SELECT k, max(id) AS id, max(boundary) AS boundary, max(claim) AS claim FROM e GROUP BY k, id),
+@query("run_origin", """WITH e AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) // 1000) AS boundary, l_returnflag AS claim FROM lineitem), i AS (SELECT k, max(id) AS id, max(boundary) AS boundary, max(claim) AS claim FROM e GROUP BY k, id),
 f AS (SELECT *, first_value(claim) OVER w AS newest FROM i WINDOW w AS (PARTITION BY k ORDER BY id DESC)), r AS (SELECT *, sum(CASE WHEN claim = newest THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY id DESC) AS breaks FROM f)
 SELECT k, max(id) AS id, arg_max(claim, id) AS claim, arg_max(boundary, id) AS boundary, arg_min(boundary, id) AS origin FROM r WHERE breaks = 0 GROUP BY 1""")
 def _(s, d):
-    li = table(s, d, "lineitem").where("l_linenumber = 1")
+    li = table(s, d, "lineitem")
     e = li.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ms(li, "l_shipdate").alias("boundary"), F.col("l_returnflag").alias("claim"))
     e = e.groupBy("k", "id").agg(F.max("boundary").alias("boundary"), F.max("claim").alias("claim"))
     return ledger.run_origin(e, 2**62, ["k"], "claim")
@@ -347,12 +347,13 @@ def _(s, d):
     return ledger.append_scd2(r, h, ["k"], "claim", 1000)
 
 
-@query("price_append", """WITH h AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, (epoch_us(l_shipdate) // 1000) AS boundary, CAST(l_quantity AS BIGINT) AS claim FROM lineitem WHERE l_linenumber = 1), r AS (SELECT p_partkey AS k, p_size::BIGINT AS claim, 900000000000 AS boundary FROM part WHERE p_partkey % 6 <> 0),
+@query("price_append", """WITH h AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS id, max(epoch_us(l_shipdate) // 1000) AS boundary, max(CAST(l_quantity AS BIGINT)) AS claim FROM lineitem GROUP BY 1, 2), r AS (SELECT p_partkey AS k, p_size::BIGINT AS claim, 900000000000 AS boundary FROM part WHERE p_partkey % 6 <> 0),
 l AS (SELECT r.k, r.claim, r.boundary, max(h.id) FILTER (h.boundary <= r.boundary) AS lid FROM r LEFT JOIN h ON h.k = r.k GROUP BY 1, 2, 3), c AS (SELECT l.*, (SELECT max(h.claim) FROM h WHERE h.k = l.k AND h.id = l.lid) AS old FROM l)
 SELECT k, claim, boundary FROM c WHERE lid IS NULL OR claim IS DISTINCT FROM old UNION ALL SELECT DISTINCT k, NULL::BIGINT, 1000000000000 FROM h WHERE k NOT IN (SELECT k FROM r)""")
 def _(s, d):
-    li = table(s, d, "lineitem").where("l_linenumber = 1")
+    li = table(s, d, "lineitem")
     h = li.select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), ms(li, "l_shipdate").alias("boundary"), F.col("l_quantity").cast("long").alias("claim"))
+    h = h.groupBy("k", "id").agg(F.max("boundary").alias("boundary"), F.max("claim").alias("claim"))
     r = table(s, d, "part").where("p_partkey % 6 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("claim"), F.lit(900_000_000_000).alias("boundary"))
     return ledger.append_prices(r, h, ["k"], "claim", 1_000_000_000_000)
 
@@ -828,11 +829,11 @@ def _(s, d):
     return reports.source_status(polls(s, d), existence_eras(s, d), ["user_id"], 40)[3].select("observation_id", "outcome", "eras", "arrived", "withdrawn", "facts_changed")
 
 
-@query("draft_proposals", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN '{\"a\":1,\"b\":' || c_nationkey || '}' END AS current, '{\"b\": ' || (c_nationkey + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END) || ', \"a\": 1}' AS proposed FROM customer WHERE c_custkey % 3 = 0 AND (c_custkey % 5 = 0 OR c_custkey % 2 = 0)")
+@query("draft_proposals", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN '{\"a\":1,\"b\":' || c_nationkey || '}' END AS current, '{\"b\": ' || (c_nationkey + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END) || ', \"a\": 1}' AS proposed FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 2 = 0")
 def _(s, d):
     c, n = table(s, d, "customer"), F.col("c_nationkey").cast("long")
     state = c.where("c_custkey % 5 <> 0").select("c_custkey", F.concat(F.lit('{"a":1,"b":'), n.cast("string"), F.lit("}")).alias("value"))
-    drafts = c.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit('{"b": '), (n + F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0)).cast("string"), F.lit(', "a": 1}')).alias("value"))
+    drafts = c.select("c_custkey", F.concat(F.lit('{"b": '), (n + F.when(F.col("c_custkey") % 2 == 0, 1).otherwise(0)).cast("string"), F.lit(', "a": 1}')).alias("value"))
     return reports.diff_proposals(state, drafts, ["c_custkey"])
 
 
@@ -855,10 +856,10 @@ def _(s, d):
     return reports.release_rows(*order_facts(s, d), ops, ["o_custkey"], 7, 5000)
 
 
-@query("rate_cursors", f"""WITH {_ERAS}, b AS (SELECT observation_id AS id, min(boundary) // 100000000 * 1000 AS now_ms, count(*) FILTER (fact_key = 'purchase') > 0 AS rates FROM eras WHERE fact_key <> 'view' GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM b), v AS (SELECT id, rates, greatest(1704000, max(now_ms - n) OVER (ORDER BY id)) + n AS version FROM n)
+@query("rate_cursors", f"""WITH {_ERAS}, b AS (SELECT observation_id AS id, min(boundary) // 100000000 * 1000 AS now_ms, count(*) FILTER (fact_key = 'purchase') > 0 AS rates FROM eras GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM b), v AS (SELECT id, rates, greatest(1704000, max(now_ms - n) OVER (ORDER BY id)) + n AS version FROM n)
 SELECT id, version, max(CASE WHEN rates THEN version END) OVER (ORDER BY id) AS rates_version FROM v""")
 def _(s, d):
-    e = eras(s, d).where("fact_key <> 'view'")
+    e = eras(s, d)
     b = e.groupBy(F.col("observation_id").alias("id")).agg((F.floor(F.min("boundary") / 100_000_000).cast("long") * 1000).alias("now_ms"))
     key = F.when(F.col("fact_key") == "purchase", "rate.input").otherwise("quality.note")
     return reports.version_cursors(b, e.select(F.col("observation_id").alias("id"), key.alias("fact_key")), 1_704_000)
@@ -873,13 +874,14 @@ def customer_entities(s, d) -> DataFrame:
 _N = "cu AS (SELECT c_nationkey::VARCHAR AS provider, c_custkey::VARCHAR AS model, c_custkey AS n, c_mktsegment AS segment FROM customer)"
 
 
-@query("served_timeline", f"""WITH {_ERAS}, {_FIX}, v AS (SELECT * FROM eras WHERE fact_key = 'view'), b AS (SELECT user_id, min(boundary) AS b FROM v GROUP BY 1), t AS (SELECT user_id, boundary AS "at" FROM v UNION SELECT user_id, from_ms FROM fixes UNION SELECT user_id, until_ms + 1 FROM fixes),
-r AS (SELECT t.user_id, t."at", arg_max(v.value_json, {{'b': v.boundary, 'i': v.id}}) AS value, (SELECT count(*) FROM fixes f WHERE f.user_id = t.user_id AND t."at" BETWEEN f.from_ms AND f.until_ms) > 0 AS hit FROM t JOIN b ON b.user_id = t.user_id AND t."at" >= b.b JOIN v ON v.user_id = t.user_id AND v.boundary <= t."at" GROUP BY 1, 2),
-x AS (SELECT user_id, "at", CASE WHEN hit THEN 'refused' ELSE 'value' END AS state, CASE WHEN NOT hit THEN value END AS value FROM r), y AS (SELECT *, row_number() OVER w = 1 OR state IS DISTINCT FROM lag(state) OVER w OR value IS DISTINCT FROM lag(value) OVER w AS isnew FROM x WINDOW w AS (PARTITION BY user_id ORDER BY "at"))
-SELECT user_id, "at" AS from_ms, lead("at") OVER (PARTITION BY user_id ORDER BY "at") AS until_ms, state, value FROM y WHERE isnew""")
+@query("served_timeline", f"""WITH {_ERAS}, {_FIX}, v AS (SELECT * FROM eras), b AS (SELECT user_id, fact_key, min(boundary) AS b FROM v GROUP BY 1, 2), t AS (SELECT user_id, fact_key, boundary AS "at" FROM v UNION SELECT user_id, fact_key, from_ms FROM fixes UNION SELECT user_id, fact_key, until_ms + 1 FROM fixes),
+h AS (SELECT DISTINCT t.user_id, t.fact_key, t."at" FROM t JOIN fixes f ON f.user_id = t.user_id AND f.fact_key = t.fact_key AND t."at" BETWEEN f.from_ms AND f.until_ms),
+r AS (SELECT t.user_id, t.fact_key, t."at", arg_max(v.value_json, {{'b': v.boundary, 'i': v.id}}) AS value, any_value(h."at") IS NOT NULL AS hit FROM t JOIN b ON b.user_id = t.user_id AND b.fact_key = t.fact_key AND t."at" >= b.b JOIN v ON v.user_id = t.user_id AND v.fact_key = t.fact_key AND v.boundary <= t."at" LEFT JOIN h ON h.user_id = t.user_id AND h.fact_key = t.fact_key AND h."at" = t."at" GROUP BY 1, 2, 3),
+x AS (SELECT user_id, fact_key, "at", CASE WHEN hit THEN 'refused' ELSE 'value' END AS state, CASE WHEN NOT hit THEN value END AS value FROM r), y AS (SELECT *, row_number() OVER w = 1 OR state IS DISTINCT FROM lag(state) OVER w OR value IS DISTINCT FROM lag(value) OVER w AS isnew FROM x WINDOW w AS (PARTITION BY user_id, fact_key ORDER BY "at"))
+SELECT user_id, fact_key, "at" AS from_ms, lead("at") OVER (PARTITION BY user_id, fact_key ORDER BY "at") AS until_ms, state, value FROM y WHERE isnew""")
 def _(s, d):
-    e = eras(s, d).where("fact_key = 'view'").select("user_id", "value_json", "boundary", "id")
-    return corrections.served_timeline(e, fixes(s, d).select("user_id", "from_ms", "until_ms"), ["user_id"]).select("user_id", "from_ms", "until_ms", "state", "value")
+    e = eras(s, d).select(*KEYS, "value_json", "boundary", "id")
+    return corrections.served_timeline(e, fixes(s, d).select(*KEYS, "from_ms", "until_ms"), KEYS).select(*KEYS, "from_ms", "until_ms", "state", "value")
 
 
 @query("apply_corrections", f"""WITH {_ERAS}, {_FIX}, cur AS (SELECT user_id, max(boundary) AS since, arg_max(value_json, {{'b': boundary, 'i': id}}) AS v FROM eras WHERE fact_key = 'view' GROUP BY 1),
@@ -923,13 +925,13 @@ def _(s, d):
     return ok.select("model", F.lit("written").alias("result")).unionByName(no.select("model", F.array_join("reasons", ",").alias("result")))
 
 
-@query("replay_violations", f"""WITH {_N}, ops AS (SELECT provider, CASE WHEN n % 11 = 0 THEN NULL ELSE model END AS model, 'segment' AS fact_key, n, CASE WHEN n % 6 = 0 THEN 'remove' ELSE 'set' END AS op FROM cu WHERE n % 3 = 0), held AS (SELECT provider, model FROM cu WHERE n % 4 = 0)
+@query("replay_violations", f"""WITH {_N}, ops AS (SELECT provider, CASE WHEN n % 11 = 0 THEN NULL ELSE model END AS model, 'segment' AS fact_key, n, CASE WHEN n % 6 = 0 THEN 'remove' ELSE 'set' END AS op FROM cu), held AS (SELECT provider, model FROM cu WHERE n % 4 = 0)
 SELECT 'removes_nothing' AS violation, count(DISTINCT (provider, coalesce(model, ''))) AS n FROM ops o WHERE op = 'remove' AND (provider, coalesce(model, '')) NOT IN (SELECT (provider, op2.m) FROM (SELECT provider, coalesce(model, '') AS m FROM ops WHERE model IS NULL AND op = 'set') op2) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.provider = o.provider AND h.model = o.model)""")
 def _(s, d):
     c, n = table(s, d, "customer"), F.col("c_custkey")
     brand, model = F.col("c_nationkey").cast("string").alias("provider"), n.cast("string")
     held = c.where(n % 4 == 0).select(brand, model.alias("model"), F.lit("segment").alias("fact_key"), F.col("c_mktsegment").alias("value_json"))
-    ops = c.where(n % 3 == 0).select(brand, F.when(n % 11 != 0, model).alias("model"), F.lit("segment").alias("fact_key"), F.when(n % 6 == 0, "remove").otherwise("set").alias("op"), F.lit("new").alias("value"))
+    ops = c.select(brand, F.when(n % 11 != 0, model).alias("model"), F.lit("segment").alias("fact_key"), F.when(n % 6 == 0, "remove").otherwise("set").alias("op"), F.lit("new").alias("value"))
     bad = diff.replay_change(held, ops, ["provider", "model", "fact_key"])[1].where("violation = 'removes_nothing'")
     return bad.agg(F.lit("removes_nothing").alias("violation"), F.count(F.lit(1)).alias("n"))
 
