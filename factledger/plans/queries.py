@@ -1101,4 +1101,4 @@ def _(s, d):
     return out.select("key", F.concat(F.array_join(main, ","), F.when(F.array_contains("refusals", "effort_not_listed"), "|effort").otherwise("")).alias("refusals"))
 
 
-from factledger.plans import release_queries, rule_queries, scope_queries  # noqa: E402, F401  they register their queries here
+from factledger.plans import range_queries, release_queries, rule_queries, scope_queries  # noqa: E402, F401  they register their queries here
