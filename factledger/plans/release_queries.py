@@ -99,3 +99,16 @@ def _(s, d):
     text = F.concat(F.lit('{"curation_set":null,"upstream":[{"fact":"f","model":"'), r.cast("string"), F.lit('","op":"set","provider":"p","value":1}]}'))
     heads = heads.withColumn("change_hash", F.when(r % 5 == 0, F.lit("other")).otherwise(F.sha2(text, 256)))
     return releases.check_envelopes(heads, releases.change_hashes(heads, ops))
+
+
+@query("page_plan", """WITH RECURSIVE s AS (SELECT s_name AS provider, 50 + s_suppkey * 37 % 400 AS bytes, row_number() OVER (ORDER BY s_name) AS i, count(*) OVER () AS n FROM supplier),
+t AS (SELECT provider, bytes, i, CASE WHEN i = n THEN 0 ELSE 9 + strlen(provider) END AS e FROM s),
+p AS (SELECT provider, bytes, i, 0::BIGINT AS page, 20 + bytes AS used, e FROM t WHERE i = 1
+UNION ALL SELECT t.provider, t.bytes, t.i, CASE WHEN p.used + p.e > 500 OR p.used + t.bytes + t.e > 500 THEN p.page + 1 ELSE p.page END, CASE WHEN p.used + p.e > 500 OR p.used + t.bytes + t.e > 500 THEN 20 + t.bytes ELSE p.used + t.bytes END, t.e FROM p JOIN t ON t.i = p.i + 1)
+SELECT provider, bytes, page, used + e AS page_bytes FROM p""")
+def _(s, d):
+    """Whole suppliers on pages of 500 bytes."""
+    from factledger.sources.documents import page_plan
+
+    profile = table(s, d, "supplier").select(F.col("s_name").alias("provider"), (F.lit(50) + F.col("s_suppkey") * 37 % 400).alias("bytes"))
+    return page_plan(profile, 500, envelope=20, token=9)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,3 +193,43 @@ def provider_directory(models: DataFrame, hand_kept: DataFrame) -> DataFrame:
 def size_profile(facts: DataFrame, by: str = "provider") -> DataFrame:
     """Bytes and facts per provider as serialised, to plan exports that keep providers whole."""
     return facts.groupBy(by).agg(F.sum(F.octet_length(F.to_json(F.struct("fact_key", "value_json")))).alias("bytes"), F.count(F.lit(1)).alias("facts"))
+
+
+def page_plan(profile: DataFrame, limit: int, by: str = "provider", envelope: int = 0, token: int = 0, after: str | None = None) -> DataFrame:
+    """(provider, bytes, page, page_bytes) of profile(provider, bytes, ...): whole providers in the order of their names on pages of at most `limit` bytes,
+    each page as full as that order allows; one that is above the limit by itself has a page of its own. A page holds `envelope` bytes
+    besides, and one that isn't the last also `token` bytes and the name of its last provider, to go on from; after: go on from there, as a
+    plan from the start would only if that name ends a page of it. One row for each provider passes through one task, as a running sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, used, filled, held = 0, envelope, False, None
+        out: list[tuple] = []
+
+        def place(name: str, size: int, last: bool) -> None:
+            nonlocal page, used, filled
+            end = 0 if last else token + len(name.encode())
+            if filled and used + size + end > limit:
+                page, used, filled = page + 1, envelope, False
+            used, filled = used + size, True
+            out.append((name, size, page, used + end))
+            if used + end > limit:
+                page, used, filled = page + 1, envelope, False
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*out) if out else [[]] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=[by, "bytes", "page", "page_bytes"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held is not None:
+                    place(*held, False)
+                held = row
+            yield flush()
+        if held is not None:
+            place(*held, True)
+        yield flush()
+
+    rows = profile.select(F.col(by), F.col("bytes").cast("long")).where(F.col(by).isNotNull() if after is None else F.col(by) > after)
+    return rows.repartition(1).sortWithinPartitions(by).mapInArrow(run, f"`{by}` string, bytes long, page long, page_bytes long")

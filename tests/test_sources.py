@@ -84,3 +84,34 @@ def test_from_a_document_to_a_view(spark, tmp_path):
     assert got["quality.graded_effort"] == '"low"' and got["limit.image_bytes"] == "3" and got["rate.output"] == '{"state":"stated_zero"}' and got["provider.name"] == '"The P"'
     none = spark.createDataFrame([], "provider string, model string, fact_key string, from_ms long, until_ms long")
     assert [tuple(r) for r in provider_labels(eras, none, 5).collect()] == [("p", "The P")]
+
+
+def test_pages_of_whole_providers(spark):
+    """Against a loop, from the start and from any cursor."""
+    import random
+
+    r = random.Random(3)
+    sizes = {f"p{i:02d}{'é' * (i % 3)}": r.choice([5, 10, 30, 99, 100, 101, 250]) for i in range(60)}
+    profile = spark.createDataFrame([*sizes.items(), (None, 5)], "provider string, bytes long").repartition(4)
+
+    def by_hand(names, limit, envelope, token):
+        out, at, page = [], 0, 0
+        while at < len(names):
+            used, k = envelope, at
+            while k < len(names):
+                end = token + len(names[k].encode()) if k + 1 < len(names) else 0
+                if k > at and used + sizes[names[k]] + end > limit:
+                    break
+                used += sizes[names[k]]
+                out.append((names[k], sizes[names[k]], page, used + end))
+                k += 1
+                if used + end > limit:
+                    break
+            at, page = k, page + 1
+        return out
+
+    names = sorted(sizes, key=str.encode)
+    for limit, envelope, token in ((200, 0, 0), (200, 17, 9), (50, 1, 1), (10**6, 5, 5)):
+        for after in (None, names[10], names[-1]):
+            got = [tuple(x) for x in documents.page_plan(profile, limit, envelope=envelope, token=token, after=after).collect()]
+            assert got == by_hand([n for n in names if after is None or n.encode() > after.encode()], limit, envelope, token)
