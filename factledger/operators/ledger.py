@@ -5,6 +5,8 @@ Poll-level windows run over one row per poll and are partitioned by source, so t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,3 +234,48 @@ def era_rules() -> dict[str, Column]:
         "window_order": F.col("from_ms").isNull() | (F.col("from_ms") <= F.col("until_ms")),
         "seed_poll": (kind != "seed") | F.col("observation_id").isNull(),
     }
+
+
+def _stated(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def price_rules() -> dict[str, Column]:
+    """Column rules of a price: asserted, a price or a refusal, a price with all its parts, and its provenance."""
+    price, refused = F.col("minor_units").isNotNull(), F.col("refusal_reason").isNotNull()
+    return {"required": _stated("provider", "tier", "boundary", "established_by", "established_at_ms", "review_by_ms", "source_ref"), "kind": F.col("kind") == "asserted", "price_or_refusal": price != refused, "price_parts": refused | _stated("minor_units", "exponent", "currency", "period")}
+
+
+def curated_rules() -> dict[str, Column]:
+    """Column rules of a curated model: facts with login methods and a review date, or a tombstone without any."""
+    told = F.col("facts_json").isNotNull()
+    return {"required": _stated("provider", "model", "boundary", "source_ref", "established_at_ms"), "tombstone": told == F.col("tombstone_reason").isNull(), "auth_methods": told == F.col("auth_methods_json").isNotNull(), "review": told == F.col("review_by_ms").isNotNull()}
+
+
+def override_rules() -> dict[str, Column]:
+    """Column rules of a fact override: a value with its reason, quote and review date, or a tombstone that replaces and notes nothing."""
+    told = F.col("value_json").isNotNull()
+    each = {c: told == F.col(c).isNotNull() for c in ("reason", "quote", "review_by_ms")}
+    return {"required": _stated("provider", "model", "fact_key", "boundary", "source_ref", "established_by", "established_at_ms"), "tombstone": told == F.col("tombstone_reason").isNull(), **each, "leftover": told | (F.col("replaces_json").isNull() & F.col("notes").isNull())}
+
+
+#: The kinds of models that are graded by one number.
+GRADE_KINDS = ("transcription", "speech", "image", "video", "search")
+
+
+def judgment_rules() -> dict[str, Column]:
+    """Column rules of a grade: withdrawn with nothing graded, or both numbers of a chat model, or one number and the kind it is for."""
+    chat, one, none = _stated("elo", "eq"), F.col("grade").isNotNull(), F.col("elo").isNull() & F.col("eq").isNull()
+    gone, live = F.col("withdrawn") == 1, F.col("withdrawn") == 0
+    shape = (gone & none & ~one) | (live & chat & ~one & F.col("kind").isNull()) | (live & none & one & F.col("kind").isNotNull())
+    return {"required": _stated("model", "graded_by", "reason", "recorded_at_ms"), "withdrawn": F.col("withdrawn").isin(0, 1), "kind": F.col("kind").isNull() | F.col("kind").isin(*GRADE_KINDS), "shape": shape}
+
+
+def mark_rules() -> dict[str, Column]:
+    """Column rules of a decommissioning."""
+    return {"required": _stated("model", "marked_by", "reason", "recorded_at_ms"), "decommissioned": F.col("decommissioned").isin(0, 1)}
+
+
+def lifetime_rules() -> dict[str, Column]:
+    """Column rules of a cache lifetime: a claim or, where it is null, a tombstone."""
+    return {"required": _stated("provider", "model", "boundary", "recorded_at_ms")}

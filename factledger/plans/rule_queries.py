@@ -64,3 +64,30 @@ def _(s, d):
         bad = rules.load_rules(rows, specs[kind], mine)[1]
         rejects.append(bad.select(F.lit(kind).alias("kind"), "pos", F.array_join("reasons", ",").alias("reasons")))
     return reduce(DataFrame.unionByName, rejects)
+
+
+@query("table_invariants", """WITH c AS (SELECT c_custkey AS k FROM customer), v AS (
+SELECT 'price' AS tbl, unnest(list_filter([CASE WHEN k % 17 = 0 THEN 'required' END, CASE WHEN k % 19 = 0 THEN 'kind' END, CASE WHEN k % 6 = 5 THEN 'price_or_refusal' END, CASE WHEN k % 6 = 4 THEN 'price_parts' END], lambda x: x IS NOT NULL)) AS violation FROM c
+UNION ALL SELECT 'curated', unnest(list_filter([CASE WHEN k % 17 = 0 THEN 'required' END, CASE WHEN k % 5 = 3 THEN 'tombstone' END, CASE WHEN k % 5 = 4 THEN 'auth_methods' END, CASE WHEN k % 5 = 4 THEN 'review' END], lambda x: x IS NOT NULL)) FROM c
+UNION ALL SELECT 'override', unnest(list_filter([CASE WHEN k % 17 = 0 THEN 'required' END, CASE WHEN k % 5 = 3 THEN 'reason' END, CASE WHEN k % 5 = 4 THEN 'leftover' END], lambda x: x IS NOT NULL)) FROM c
+UNION ALL SELECT 'judgment', unnest(list_filter([CASE WHEN k % 17 = 0 THEN 'required' END, CASE WHEN k % 6 = 3 THEN 'withdrawn' END, CASE WHEN k % 6 = 4 THEN 'kind' END, CASE WHEN k % 6 IN (3, 5) THEN 'shape' END], lambda x: x IS NOT NULL)) FROM c)
+SELECT tbl, violation, count(*) AS n FROM v GROUP BY 1, 2""")
+def _(s, d):
+    """Violations of four tables, planted by the customer's number."""
+    from factledger.operators import ledger
+
+    c, k = table(s, d, "customer"), F.col("c_custkey")
+    one, none = F.lit(1).cast("long"), F.lit(None).cast("long")
+    ids = [F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("f").alias("fact_key"), F.lit("t").alias("tier"), one.alias("boundary"), F.when(k % 17 != 0, "https://x").alias("source_ref"), F.lit("us").alias("established_by"), one.alias("established_at_ms"), one.alias("recorded_at_ms")]
+    said = lambda test, value: F.when(test, F.lit(value))
+    m = k % 6
+    price = c.select(*ids, F.when(k % 19 == 0, "observed").otherwise("asserted").alias("kind"), F.when(m != 1, one).alias("minor_units"), said(m.isin(1, 5), "r").alias("refusal_reason"), F.when(m != 4, one).alias("exponent"), F.lit("USD").alias("currency"), F.lit("month").alias("period"), one.alias("review_by_ms"))
+    m = k % 5
+    curated = c.select(*ids, said(m != 1, "{}").alias("facts_json"), said(m.isin(1, 3), "gone").alias("tombstone_reason"), said(~m.isin(1, 4), "[]").alias("auth_methods_json"), F.when(~m.isin(1, 4), one).alias("review_by_ms"))
+    live = ~m.isin(1, 4)
+    override = c.select(*ids, said(live, "1").alias("value_json"), said(~live, "gone").alias("tombstone_reason"), said(live & (m != 3), "r").alias("reason"), said(live, "q").alias("quote"), F.when(live, one).alias("review_by_ms"), said(m == 4, "2").alias("replaces_json"), said(m == 2, "n").alias("notes"))
+    m = k % 6
+    judgment = c.select(F.lit("m").alias("model"), F.when(k % 17 != 0, "us").alias("graded_by"), F.lit("r").alias("reason"), one.alias("recorded_at_ms"), F.when(m == 3, 2).when(m == 1, 1).otherwise(0).alias("withdrawn"), F.when(m.isin(0, 3, 5), one).alias("elo"), F.when(m.isin(0, 3), one).alias("eq"), F.when(m.isin(2, 4), one).otherwise(none).alias("grade"), F.when(m == 2, "image").when(m == 4, "smell").alias("kind"))
+    parts = {"price": (price, ledger.price_rules()), "curated": (curated, ledger.curated_rules()), "override": (override, ledger.override_rules()), "judgment": (judgment, ledger.judgment_rules())}
+    found = [ledger.check_invariants(df, checks).select(F.lit(name).alias("tbl"), "violation") for name, (df, checks) in parts.items()]
+    return reduce(DataFrame.unionByName, found).groupBy("tbl", "violation").agg(F.count(F.lit(1)).alias("n"))
