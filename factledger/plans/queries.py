@@ -620,8 +620,9 @@ def part_rules(s, d):
 def part_eras(s, d) -> DataFrame:
     """Facts of the documents as eras, every eleventh part absent from instant 10 on; ids follow the boundary."""
     f = src.to_facts(src.normalise_models(src.parse_documents(part_documents(s, d))))
-    gone = f.where("fact_key = 'existence' AND cast(model AS long) % 11 = 0").withColumn("value_json", F.lit('"absent"')).withColumn("boundary", F.lit(10).cast("long"))
-    e = f.withColumn("boundary", F.lit(1).cast("long")).unionByName(gone)
+    gone = (F.col("fact_key") == "existence") & (F.col("model").cast("long") % 11 == 0)
+    at = F.when(gone, F.array(F.lit(1), F.lit(10))).otherwise(F.array(F.lit(1))).cast("array<long>")
+    e = f.withColumn("boundary", F.explode(at)).withColumn("value_json", F.when(F.col("boundary") == 10, '"absent"').otherwise(F.col("value_json")))
     return e.withColumn("id", F.col("boundary")).withColumn("prior_ms", F.when(F.col("boundary") > 1, F.lit(5).cast("long")))
 
 

@@ -97,20 +97,24 @@ def rates(models: DataFrame, audio: DataFrame | None = None) -> tuple[DataFrame,
     plain = F.transform(F.map_entries(base), lambda x: _found(F.concat(F.lit("rate."), x["key"]), x["value"], F.when(~counted(x["key"]), "unknown_unit")))
     size = lambda t: F.get_json_object(t["tier"], "$.size")
     tiered = F.flatten(F.transform(F.filter("tiers", lambda t: size(t).isNotNull()), lambda t: F.transform(F.filter(F.map_entries(t), lambda x: x["key"].isin(*CLASSES)), lambda x: _found(F.concat(F.lit("rate."), x["key"], F.lit(".above_context."), size(t)), x["value"]))))
-    one = m.select("provider", "model", F.lit(None).cast("string").alias("mode"), F.concat(bad_tier, F.coalesce(orphan, F.array().cast(_FOUND)), plain, tiered).alias("found"))
-    mode = m.select("provider", "model", F.explode("modes").alias("mode", "raw"))
+    one = F.concat(bad_tier, F.coalesce(orphan, F.array().cast(_FOUND)), plain, tiered)
+    # the card itself (mode null) and each of its modes, in one pass over the document
+    card = F.struct(F.lit(None).cast("string").alias("mode"), F.lit(None).cast("string").alias("raw"))
+    each = F.concat(F.array(card), F.transform(F.map_entries("modes"), lambda x: F.struct(x["key"].alias("mode"), x["value"].alias("raw"))))
+    m = m.withColumn("_card", F.explode(each)).withColumn("mode", F.col("_card.mode")).withColumn("raw", F.col("_card.raw"))
     cost = F.get_json_object("raw", "$.cost")
     entries = F.map_entries(F.from_json(cost, top))
     in_mode = F.transform(entries, lambda x: _found(F.concat(F.lit("rate."), x["key"], F.lit(".mode."), F.col("mode")), x["value"], F.when(~x["key"].isin(*CLASSES), "unknown_unit")))
     refused = F.when(~F.col("raw").rlike(r"^\s*\{"), "not_an_object").when(cost.isNull(), None).when(~is_mode_name(F.col("mode")), "bad_mode_name").when(~cost.rlike(r"^\s*\{"), "cost_is_no_object")
-    mode = mode.select("provider", "model", "mode", F.when(refused.isNotNull(), F.array(_found(F.lit("rate.mode"), F.col("raw"), refused))).otherwise(F.coalesce(in_mode, F.array().cast(_FOUND))).alias("found"))
+    of_mode = F.when(refused.isNotNull(), F.array(_found(F.lit("rate.mode"), F.col("raw"), refused))).otherwise(F.coalesce(in_mode, F.array().cast(_FOUND)))
 
     def judged(c):
         """Findings of a card, with those of its numbers."""
         n = F.transform(c, lambda x: F.struct(x["fact_key"].alias("fact_key"), to_minor_units(x["text"]).alias("n"), x["finding"].alias("finding")))
         return F.transform(n, lambda x: F.struct(x["fact_key"].alias("fact_key"), x["n"]["units"].alias("units"), F.coalesce(x["finding"], x["n"]["error"]).alias("finding")))
 
-    cards = one.unionByName(mode).withColumn("found", judged(F.col("found")))
+    cards = m.select("provider", "model", "mode", F.when(F.col("mode").isNull(), one).otherwise(of_mode).alias("found"))
+    cards = cards.withColumn("found", judged(F.col("found")))
     own = lambda x: x["finding"].isNotNull() & ((x["finding"] != "unknown_unit") | F.col("mode").isNotNull())  # noqa: E731  an unknown unit of the base refuses that key alone
     cards = cards.withColumn("refused", F.exists("found", own))
     rows = cards.select("provider", "model", "refused", F.explode("found").alias("x")).select("provider", "model", "refused", "x.fact_key", "x.units", "x.finding")
