@@ -9,7 +9,7 @@ from factledger.plans.queries import query, table
 from factledger.plans.view import Plane, Rules, served_view
 
 #: (name, provider, model) of the scopes that the query reads.
-SCOPES = (("heir", "p12", None), ("lender", "p1", None), ("model", None, "m4"), ("entity", "p13", "m3"), ("alias", "p15", "al2"), ("base", "p4", "m6"))
+SCOPES = (("heir", "p12", None), ("model", None, "m4"), ("alias", "p15", "al2"), ("base", "p4", "m6"))
 
 
 def grid_eras(s, d) -> DataFrame:
