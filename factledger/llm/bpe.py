@@ -81,6 +81,19 @@ class PerfectHash:
         return self.key_at[self._slots(rest, self.shift[bucket])]
 
 
+class _Known(dict):
+    """pre-token -> its number; one that is met for the first time gets the next number and waits in `fresh` to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
 class Codec:
     """Ids of texts by ranks(token, id); the tables are built once and sent to the workers, which keep them."""
 
@@ -108,7 +121,7 @@ class Codec:
         self.ready = True
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.known_ids, self.known_end = array("I"), array("q", [0])
 
     def merge(self, piece: bytes) -> list[int]:
@@ -142,27 +155,26 @@ class Codec:
                     heapq.heappush(heap, (r << bits) | p)
         return [x for x in ids if x >= 0]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts the ids of new pre-tokens into the memory."""
-        raw = [p.encode() for p in pieces]
-        for piece, b, k in zip(pieces, raw, self.hash.candidates(raw).tolist()):
-            self.known[piece] = len(self.known_end) - 1
-            if self.words[k] == b:
-                self.known_ids.append(int(self.ids[k]))
+    def _learn(self) -> None:
+        """Puts the ids of new pre-tokens into the memory, in the order of their numbers."""
+        raw = [p.encode() for p in self.known.fresh]
+        self.known.fresh = []
+        at = self.hash.candidates(raw)
+        for b, word, i in zip(raw, map(self.words.__getitem__, at.tolist()), self.ids[at].tolist()):
+            if word == b:
+                self.known_ids.append(i)
             else:
                 self.known_ids.extend(self.merge(b))
             self.known_end.append(len(self.known_ids))
 
     def encode_parts(self, parts: list[str]) -> list[np.ndarray]:
         """The ids of each part of a text, or of each text."""
+        if len(self.known) > MEMORY:
+            self._forget()
         pieces = [self.split.findall(p) for p in parts]
         flat = list(itertools.chain.from_iterable(pieces))
-        fresh = [p for p in dict.fromkeys(flat) if p not in self.known]
-        if len(self.known) + len(fresh) > MEMORY:
-            self._forget()
-            fresh = list(dict.fromkeys(flat))
-        self._learn(fresh)
         where = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self._learn()
         end = np.array(self.known_end, np.int64)
         ids = ragged(np.array(self.known_ids, "<u4"), end[where], end[where + 1])
         upto = np.concatenate(([0], np.cumsum(end[where + 1] - end[where])))
