@@ -41,3 +41,12 @@ def test_failures_before_any_confirmation_count_unless_left_out(spark):
     obs = spark.createDataFrame([(i, "never", NOW - i, "failed", "network") for i in range(5)], "id long, source string, observed_at_ms long, outcome string, failure_class string")
     got = [ledger.freshness(obs, NOW, ["source"], unconfirmed=u).first() for u in (True, False)]
     assert [(r["failing"], r["status"]) for r in got] == [(5, "failing"), (0, "fresh")]
+
+
+def test_a_feed_without_any_etag_has_a_row(spark, failing):
+    assert same_as_sql(spark, failing, "last_etag") == [("events", None)]
+
+
+def test_the_last_value_that_is_not_null(spark):
+    obs = spark.createDataFrame([(1, "a", 1, "x"), (2, "a", 2, "y"), (3, "a", 3, None), (4, "b", 1, None)], "id long, source string, observed_at_ms long, etag string")
+    assert rows_of(ledger.last_non_null(obs, "etag", ["source"]), ["source", "etag"]) == [("a", "y"), ("b", None)]
