@@ -36,10 +36,15 @@ def put(facts: Column, key: Column, value: Column) -> Column:
     return F.map_concat(F.coalesce(rest, F.create_map().cast("map<string,string>")), F.create_map(key, value))
 
 
+def bound(f, *columns: Column) -> Column:
+    """f of the columns, each computed once for a row: inside a lambda Spark computes an expression again for every element."""
+    values = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    return F.transform(F.array(values), lambda x: f(*[x[f"_{i}"] for i in range(len(columns))]))[0]
+
+
 def put_all(facts: Column, new: Column) -> Column:
     """A map with all entries of another set."""
-    rest = F.map_filter(facts, lambda k, _: ~F.map_contains_key(new, k))
-    return F.map_concat(rest, new)
+    return bound(lambda old, put: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(put, k)), put), facts, new)
 
 
 def quoted(c: Column) -> Column:

@@ -39,7 +39,14 @@ def fold(facts: DataFrame, *others: Column) -> DataFrame:
 
 
 def unfold(entities: DataFrame, *others: str) -> DataFrame:
-    return entities.select(*ID, *others, F.explode("facts").alias("fact_key", "value_json")).select(*FACT, *others)
+    """Back to facts. For a plain explode Spark adds a filter on the size of the map, which computes every layer a second time below."""
+    return entities.select(*ID, *others, F.explode_outer("facts").alias("fact_key", "value_json")).where("fact_key IS NOT NULL").select(*FACT, *others)
+
+
+def by_entity(table: DataFrame) -> DataFrame:
+    """A table that may have a row for every entity (or key of one): it meets them by a merge and never goes whole to the driver and to every task. Spark's
+    guess of its size comes from compressed files and is far too low for maps and arrays made of them."""
+    return table.hint("merge")
 
 
 def merge_layers(*frames: DataFrame) -> DataFrame:
@@ -229,17 +236,19 @@ def apply_lifetimes(e: DataFrame, rules: DataFrame) -> DataFrame:
     """rules(provider, model, lifetimes array, ratios array<struct<ttl, num, den>>, shortest first): the fact capability.cache_lifetimes, and
     for every tier the price of each lifetime, the input's times an exact ratio. A tier whose write rate is not the shortest
     lifetime's price, or of which a product isn't whole, withholds the prices of the whole card. Inherited prices establish none."""
-    m = e.join(rules.select(*ID, F.col("lifetimes").alias("_l"), F.col("ratios").alias("_r")), ID, "left")
+    m = e.join(by_entity(rules.select(*ID, F.col("lifetimes").alias("_l"), F.col("ratios").alias("_r"))), ID, "left")
     tier = r"^rate\.(?:input|cache_write)((?:\.above_context\.[0-9]+)?)$"
     tiers = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.filter(F.map_keys(fact_map()), lambda k: k.rlike(tier)), lambda k: F.regexp_extract(k, tier, 1))))
-    cost = lambda t, r: exact_ratio(nano_amount(fact_map()[F.concat(F.lit("rate.input"), t)]), r["num"], r["den"])
     write = lambda t: fact_map()[F.concat(F.lit("rate.cache_write"), t)]
-    sound = F.forall(tiers, lambda t: F.coalesce((cost(t, F.col("_r")[0]) == nano_amount(write(t))) & F.forall("_r", lambda r: cost(t, r).isNotNull()), F.lit(False)))
-    price = lambda t, r: F.regexp_replace(F.regexp_replace(write(t), r'"units":[0-9]+', F.concat(F.lit('"units":'), cost(t, r).cast("string"))), r'"exponent":[0-9]+', '"exponent":9')
-    entries = F.flatten(F.transform(tiers, lambda t: F.transform("_r", lambda r: F.struct(F.concat(F.lit("rate.cache_write"), t, F.lit(".ttl."), r["ttl"]), price(t, r)))))
+    told = F.transform(tiers, lambda t: F.struct(t.alias("tier"), nano_amount(fact_map()[F.concat(F.lit("rate.input"), t)]).alias("input"), write(t).alias("write"), nano_amount(write(t)).alias("nano")))
+    m = m.withColumn("_t", F.when(F.col("_l").isNotNull(), told))  # a row's prices are read once, whatever is made of them
+    cost = lambda t, r: exact_ratio(t["input"], r["num"], r["den"])
+    sound = F.forall("_t", lambda t: F.coalesce((cost(t, F.col("_r")[0]) == t["nano"]) & F.forall("_r", lambda r: cost(t, r).isNotNull()), F.lit(False)))
+    price = lambda t, r: F.regexp_replace(F.regexp_replace(t["write"], r'"units":[0-9]+', F.concat(F.lit('"units":'), cost(t, r).cast("string"))), r'"exponent":[0-9]+', '"exponent":9')
+    entries = F.flatten(F.transform("_t", lambda t: F.transform("_r", lambda r: F.struct(F.concat(F.lit("rate.cache_write"), t["tier"], F.lit(".ttl."), r["ttl"]), price(t, r)))))
     priced = F.when((F.size("_r") > 0) & sound, F.map_from_entries(entries)).otherwise(F.create_map().cast(EMPTY))
     facts = put(put_all(fact_map(), priced), F.lit("capability.cache_lifetimes"), F.to_json("_l"))
-    return m.withColumn("facts", F.when(F.col("_l").isNotNull(), facts).otherwise(fact_map())).drop("_l", "_r")
+    return m.withColumn("facts", F.when(F.col("_l").isNotNull(), facts).otherwise(fact_map())).drop("_l", "_r", "_t")
 
 
 def apply_ranges(e: DataFrame, ranges: DataFrame) -> DataFrame:
