@@ -35,7 +35,7 @@ def uncertain(facts: DataFrame, eras: DataFrame, at: int, keys: list[str]) -> Da
     """Facts of the as-of result with a later era whose change may already have happened: prior < at < boundary, both open.
     One row per such era: keys, prior_ms, boundary."""
     near = eras.where((F.col("prior_ms") < at) & (F.col("boundary") > at)).select(*keys, "prior_ms", "boundary")
-    return near.join(facts.select(*keys), keys, "left_semi")
+    return near.join(facts.select(*keys).hint("merge"), keys, "left_semi")  # as many as there are facts
 
 
 def value_at(eras: DataFrame, corrections: DataFrame, at: int, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Rules are gathered per provider, judgments per key, so each layer is one join and one expression over what an entity says.
 What is added is a list of entries (key, value, at), which a view puts into the entity's facts and a report explodes into rows.
-Rule tables carry no broadcast hint.
+Rule tables carry no broadcast hint; judgments, which may be as many as entities, are merged.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.functions.claims import lists, listed_efforts, put_all, quoted, restricted_options, text_of
-from factledger.operators.layers import ID, KEY, fact_map, has
+from factledger.operators.layers import ID, KEY, by_entity, fact_map, has
 
 #: The keys of judged facts, as served.
 GRADED_EFFORT, ELO_EFFORT, EQ_EFFORT = "quality.graded_effort", "quality.elo.effort.", "quality.eq.effort."
@@ -167,7 +167,7 @@ def apply_judgments(e: DataFrame, told: DataFrame, prefixes: list[str] | None =
     from factledger.functions.keys import has_prefix
 
     is_alias = F.col("alias_of").isNotNull() if "alias_of" in e.columns else F.lit(False)
-    m = e.withColumn("key", _judged_key(text_of(fact_map()["model.canonical_id"]), is_alias)).join(told, "key", "left")
+    m = e.withColumn("key", _judged_key(text_of(fact_map()["model.canonical_id"]), is_alias)).join(by_entity(told), "key", "left")
     entries = judged_entries(listed_efforts(fact_map()["capability.reasoning_options"]), text_of(fact_map()["model.type"]))
     found = F.coalesce(F.filter(entries, lambda x: has_prefix(x["key"], prefixes)), F.array().cast(ENTRY))
     m = m.withColumn("_found", found).withColumn("facts", put_all(fact_map(), _as_facts(F.col("_found"))))

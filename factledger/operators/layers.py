@@ -2,7 +2,8 @@
 
 An entity is one row (provider, model, facts map), so a layer is an expression over the map and a join with a small rule
 table on the entity, its provider or its family; the facts themselves are folded once and unfolded once, whatever the
-number of layers. Rule tables are left to Spark's own broadcast threshold, which looks at their size. An entity has
+number of layers. Rule tables by provider or family are left to Spark's own broadcast threshold; those by entity may be as many
+as entities are and are merged with them (by_entity), on keys by which the entities are dealt already. An entity has
 some dozens of facts, so its map is small; entities are as many as they are.
 """
 
@@ -103,7 +104,7 @@ def apply_overrides(e: DataFrame, overrides: DataFrame, additions: tuple[str, ..
         fits = (k != "capability.reasoning_default") | F.array_contains(efforts, F.get_json_object(o["value"], "$.value"))
         return F.coalesce((replaced | added) & fits, F.lit(False))
 
-    m = e.join(rows, ID, "left")
+    m = e.join(by_entity(rows), ID, "left")
     m = m.withColumn("overridden", F.coalesce(F.transform_values(F.map_filter("_o", applies), lambda _, o: o["value"]), F.create_map().cast(EMPTY)))
     return m.withColumn("facts", put_all(fact_map(), F.col("overridden"))).drop("_o")
 
@@ -114,7 +115,7 @@ def apply_corrections_table(e: DataFrame, rules: DataFrame, complete: DataFrame,
     exact = rules.where("model <> '*'").select(*ID, F.struct("value").alias("_exact"))
     star = rules.where("model = '*'").select("provider", F.col("value").alias("_star"))
     done = complete.select("provider", F.lit(True).alias("_done")).distinct()
-    m = e.join(exact, ID, "left").join(star, "provider", "left").join(done, "provider", "left")
+    m = e.join(by_entity(exact), ID, "left").join(star, "provider", "left").join(done, "provider", "left")
     ruled, value = F.col("_exact").isNotNull(), F.col("_exact.value")
     withheld = F.when(ruled, value.isNull()).otherwise(F.coalesce("_done", F.lit(False)))
     put_value = F.when(ruled, value).when(~has(key), F.col("_star"))
@@ -139,7 +140,7 @@ def apply_families(e: DataFrame, families: DataFrame) -> DataFrame:
 
 def fill_missing(e: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """rules(provider, model, value) become the fact `key` of entities that lack it or hold null."""
-    met = e.join(rules.select(*ID, F.col("value").alias("_v")), ID, "left")
+    met = e.join(by_entity(rules.select(*ID, F.col("value").alias("_v"))), ID, "left")
     add = F.col("_v").isNotNull() & F.coalesce(fact_map()[key] == "null", F.lit(True))
     return met.withColumn("facts", F.when(add, put(fact_map(), F.lit(key), F.col("_v"))).otherwise(fact_map())).drop("_v")
 
@@ -166,7 +167,7 @@ def inherit_rates(e: DataFrame, creators: DataFrame, cards: DataFrame) -> DataFr
     heir = none & (fact_map()["model.open_weights"] == "true")
     m = e.withColumn("family", F.when(heir, text_of(fact_map()["model.family"]))).join(creators, "family", "left")
     c = cards.select(F.col("provider").alias("creator"), "model", "card")
-    m = m.join(c, ["creator", "model"], "left")
+    m = m.join(by_entity(c), ["creator", "model"], "left")
     got = F.map_filter("card", lambda k, _: k.startswith("rate.") & ~is_mode_rate(k))
     take = F.col("card").isNotNull() & (F.col("creator") != F.col("provider"))
     facts = F.when(take, put_all(fact_map(), _marked(got, _marker(F.col("creator"), F.col("family"), "open_weights")))).otherwise(fact_map())
@@ -185,9 +186,9 @@ def project_aliases(e: DataFrame, aliases: DataFrame, known: DataFrame) -> DataF
 
     columns = [f.split()[0] for f in ALIAS.split(", ")]
     own = [F.col(c) if c in aliases.columns else F.lit(None).cast(f.split(" ", 1)[1]).alias(c) for c, f in zip(columns, ALIAS.split(", "))]
-    live = aliases.select(*own).join(known.select(*ID), ID, "left_anti")
+    live = aliases.select(*own).join(by_entity(known.select(*ID)), ID, "left_anti")
     to = live.groupBy(F.col("target_provider").alias("_p"), F.col("target").alias("_m")).agg(F.collect_list(F.struct(*columns)).alias("_a"))
-    m = e.join(to, (e["provider"] == F.col("_p")) & (e["model"] == F.col("_m")), "left").drop("_p", "_m")
+    m = e.join(by_entity(to), (e["provider"] == F.col("_p")) & (e["model"] == F.col("_m")), "left").drop("_p", "_m")
     me = F.lit(None).cast(f"struct<{', '.join(f.replace(' ', ': ', 1) for f in ALIAS.split(', '))}>")
     m = m.withColumn("_a", F.explode(F.concat(F.array(me), F.coalesce("_a", F.array().cast(m.schema["_a"].dataType)))))
     a = F.col("_a")
@@ -226,7 +227,7 @@ def apply_curated(e: DataFrame, curated: DataFrame, held: DataFrame, method: str
 def apply_logins(e: DataFrame, rows: DataFrame, method: str | None) -> DataFrame:
     """rows(provider, model, methods array): with a method, upstream's own entities whose list lacks it go; aliases and curated rows have
     lists of their own. Adds the column login_methods."""
-    m = e.join(rows.select(*ID, F.col("methods").alias("login_methods")), ID, "left")
+    m = e.join(by_entity(rows.select(*ID, F.col("methods").alias("login_methods"))), ID, "left")
     own = reduce(lambda a, b: a & b, [F.col("alias_of").isNull() if "alias_of" in e.columns else F.lit(True), ~F.col("curated") if "curated" in e.columns else F.lit(True)])
     m = m.withColumn("login_methods", F.when(own, F.col("login_methods")))
     return m if method is None else m.where(F.col("login_methods").isNull() | F.array_contains("login_methods", method))
@@ -317,7 +318,7 @@ def apply_twins(e: DataFrame, twins: DataFrame) -> DataFrame:
     own, where both are served; the base says route.mode_wire_ids and route.mode_labels, the twin model.mode_of. One shuffle: twins
     send their card to the row of their base."""
     t = twins.groupBy("provider", F.col("twin").alias("model")).agg(F.first(F.struct("base", "mode", "label")).alias("_t"))
-    m = e.join(t, ID, "left")
+    m = e.join(by_entity(t), ID, "left")
     of = F.to_json(F.struct(F.struct(F.col("_t.mode").alias("mode"), F.col("_t.base").alias("model_id")).alias("v")))
     of = F.regexp_extract(of, r'^\{"v":(.*)\}$', 1)
     plain = F.map_filter(fact_map(), lambda k, _: k.startswith("rate.") & ~is_mode_rate(k))
@@ -338,7 +339,7 @@ def apply_twins(e: DataFrame, twins: DataFrame) -> DataFrame:
 
 def apply_retired(e: DataFrame, retired: DataFrame, known: DataFrame) -> DataFrame:
     """retired(provider, model, successor): ids that upstream never knew and that nothing serves get existence = "absent" and the successor."""
-    rows = retired.join(known.select(*ID), ID, "left_anti").select(*ID, F.col("successor").alias("_s"), F.lit(True).alias("_x"))
+    rows = retired.join(by_entity(known.select(*ID)), ID, "left_anti").select(*ID, F.col("successor").alias("_s"), F.lit(True).alias("_x"))
     m = e.join(rows, ID, "full_outer")
     gone = F.create_map(F.lit("existence"), F.lit('"absent"'))
     gone = F.when(F.col("_s").isNotNull(), F.map_concat(gone, F.create_map(F.lit("successor"), quoted(F.col("_s"))))).otherwise(gone)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from factledger.functions.keys import has_prefix, is_mode_rate
 from factledger.functions.claims import put, quoted, text_of
 from factledger.operators import judged, layers
-from factledger.operators.asof import latest_per_key, select_prefixes
+from factledger.operators.asof import select_prefixes
 from factledger.operators.corrections import corrections_at, uncertain
 from factledger.operators.layers import ID, fact_map
 
@@ -90,17 +90,15 @@ def widen(prefixes: list[str] | None) -> list[str] | None:
 
 def states(eras: DataFrame, at: int | None, covering: DataFrame | None = None) -> DataFrame:
     """Every entity that was ever recorded: facts in force (narrow rows, one aggregation per fact and one per entity) and `withheld`, the
-    keys that a correction covers."""
-    told = eras.select(*KEYS, "value_json", "boundary", "id")
-    if at is None:
-        now = latest_per_key(told, KEYS, ["boundary", "id"]).select(*KEYS, F.struct("value_json").alias("v"))
-    else:
-        valid = F.when(F.col("boundary") <= at, F.struct("boundary", "id"))
-        now = told.groupBy(*KEYS).agg(F.max_by(F.struct("value_json"), valid).alias("v"))
-    hit = F.lit(False)
-    if covering is not None:
-        now = now.join(covering.select(*KEYS).distinct().withColumn("_hit", F.lit(True)), KEYS, "left")
-        hit = F.col("_hit").isNotNull()
+    keys that a correction covers. One shuffle, by entity: both aggregations and the records of corrections follow it, and nothing is
+    sorted before it, where a task has as many facts as its file."""
+    told = eras.select(*KEYS, "value_json", "boundary", "id", F.lit(False).alias("_hit"))
+    valid = F.struct("boundary", "id") if at is None else F.when(F.col("boundary") <= at, F.struct("boundary", "id"))
+    if covering is not None:  # a record meets facts of its own key, and a null in a key meets none
+        none = [F.lit(None).cast(told.schema[c].dataType).alias(c) for c in ("value_json", "boundary", "id")]
+        told = told.unionByName(covering.dropna(subset=KEYS).select(*[F.col(c).cast(told.schema[c].dataType).alias(c) for c in KEYS], *none, F.lit(True).alias("_hit")))
+    now = told.repartition(*ID).groupBy(*KEYS).agg(F.max_by(F.struct("value_json"), F.when(~F.col("_hit"), valid)).alias("v"), F.max("_hit").alias("_hit"), F.min("_hit").alias("_only"))
+    now, hit = now.where(~F.col("_only")), F.col("_hit")
     entry = F.when(F.col("v").isNotNull() & ~hit, F.struct("fact_key", F.col("v.value_json")))
     return now.groupBy(*ID).agg(F.map_from_entries(F.collect_list(entry)).alias("facts"), F.collect_list(F.when(F.col("v").isNotNull() & hit, F.col("fact_key"))).alias("withheld"))
 

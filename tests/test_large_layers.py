@@ -43,3 +43,34 @@ def test_a_map_set_by_an_expression_computes_it_once(spark):
     new = F.map_from_entries(F.transform(F.map_entries("facts"), lambda x: F.struct(F.upper(x["key"]), F.get_json_object(x["value"], "$"))))
     out = e.select(put_all(F.col("facts"), new).alias("m"))
     assert [r["m"] for r in out.collect()] == [{"a": "1", "b": "2", "A": "1", "B": "2"}, {}] and plan_of(out).count("get_json_object") == 1
+
+
+def test_a_dated_view_sends_no_table_of_entities_to_every_task(spark):
+    from conftest import SF
+
+    from factledger.plans.queries import QUERIES
+
+    joins = [line for line in plan_of(QUERIES["served_dated"](spark, SF), optimized=False).splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "model#" in line or "key#" in line]
+
+
+ERA = "provider string, model string, fact_key string, value_json string, boundary long, id long"
+
+
+def test_facts_are_folded_behind_one_shuffle(spark):
+    from factledger.plans.view import states
+
+    e = spark.createDataFrame([("p", "m", "k", "1", 1, 1)], ERA)
+    fix = spark.createDataFrame([("p", "m", "k")], "provider string, model string, fact_key string")
+    for df in (states(e, None), states(e, 1), states(e, 1, fix)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange ") == 1 and "Join" not in plan and "Sort" not in plan[plan.index("Exchange ") :]
+
+
+def test_states_with_corrections(spark):
+    from factledger.plans.view import states
+
+    rows = [("p", "m", "a", "1", 1, 1), ("p", "m", "a", "2", 5, 2), ("p", "m", "b", "3", 1, 1), ("p", "m", "c", "4", 9, 1), ("p", None, "a", "5", 1, 1), ("q", "n", "a", "6", 1, 1)]
+    fix = spark.createDataFrame([("p", "m", "b"), ("p", "m", "b"), ("p", "m", "c"), ("p", None, "a"), ("p", "never", "a")], "provider string, model string, fact_key string")
+    got = {(r["provider"], r["model"]): (dict(r["facts"]), list(r["withheld"])) for r in states(spark.createDataFrame(rows, ERA), 5, fix).collect()}
+    assert got == {("p", "m"): ({"a": "2"}, ["b"]), ("p", None): ({"a": "5"}, []), ("q", "n"): ({"a": "6"}, [])}
