@@ -74,3 +74,12 @@ def test_states_with_corrections(spark):
     fix = spark.createDataFrame([("p", "m", "b"), ("p", "m", "b"), ("p", "m", "c"), ("p", None, "a"), ("p", "never", "a")], "provider string, model string, fact_key string")
     got = {(r["provider"], r["model"]): (dict(r["facts"]), list(r["withheld"])) for r in states(spark.createDataFrame(rows, ERA), 5, fix).collect()}
     assert got == {("p", "m"): ({"a": "2"}, ["b"]), ("p", None): ({"a": "5"}, []), ("q", "n"): ({"a": "6"}, [])}
+
+
+def test_rules_of_a_plane_are_computed_once(spark):
+    e = spark.createDataFrame([("p", "m", {"rate.a": "1", "rate.b": "2"})], "provider string, model string, facts map<string,string>")
+    rules = spark.createDataFrame([("p", "c", "billed_as", "a", None), ("p", "d", "not_established", None, None)], "provider string, class string, action string, target string, model_ids array<string>")
+    out = layers.unfold(layers.apply_plane(e, rules, keep_published=False), "ruled")
+    got = {r["fact_key"]: (r["value_json"], r["fact_key"] in r["ruled"]) for r in out.collect()}
+    assert got == {"rate.a": ("1", False), "rate.b": ("2", False), "rate.c": ('{"key":"rate.a","state":"billed_as"}', True), "rate.d": (layers.NOT_ESTABLISHED, True)}
+    assert plan_of(out).count(layers.NOT_ESTABLISHED) == 1
