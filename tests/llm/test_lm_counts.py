@@ -228,3 +228,11 @@ def test_texts_side_by_side_cost_what_they_cost_alone(monkeypatch):
     assert np.allclose(m.log10s(texts, hidden), [m.log10s([t], [h])[0] for t, h in zip(texts, hidden)], rtol=1e-5)
     monkeypatch.setattr(lm, "NEAR", 100)
     assert np.allclose(m.log10s(texts), alone, rtol=1e-5)
+
+
+def test_no_part_of_the_training_documents_is_singled_out(corpus):
+    """Weights and refinement are fixed before any text is read, so only counts of all training documents tell corpora apart."""
+    models = [lm.train(d, F.col("doc_id") % 5 != 0) for d in (corpus, corpus.where("doc_id > 20"))]
+    for m in models:
+        assert (m.weights == np.float32(lm.START)).all() and not m.refine.any()
+        assert m.answers.where(F.col("block") == lm.TUNING_BLOCK).count() == 0
