@@ -36,15 +36,26 @@ def put(facts: Column, key: Column, value: Column) -> Column:
     return F.map_concat(F.coalesce(rest, F.create_map().cast("map<string,string>")), F.create_map(key, value))
 
 
+def has_key(facts: Column, key: Column) -> Column:
+    """Whether a map has a key, false where either is null. For use inside lambdas, where Spark interprets expressions: there map_contains_key leaves its loop by
+    throwing when it finds the key, exists by a plain condition."""
+    return lists(F.map_keys(facts), key)
+
+
 def bound(f, *columns: Column) -> Column:
     """f of the columns, each computed once for a row: inside a lambda Spark computes an expression again for every element."""
     values = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
     return F.transform(F.array(values), lambda x: f(*[x[f"_{i}"] for i in range(len(columns))]))[0]
 
 
+def merged(facts: Column, new: Column) -> Column:
+    """A map with all entries of another set, for columns of the row: what is no column is computed again for every key (put_all)."""
+    return F.map_concat(F.map_filter(facts, lambda k, _: ~has_key(new, k)), new)
+
+
 def put_all(facts: Column, new: Column) -> Column:
     """A map with all entries of another set."""
-    return bound(lambda old, put: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(put, k)), put), facts, new)
+    return bound(merged, facts, new)
 
 
 def quoted(c: Column) -> Column:

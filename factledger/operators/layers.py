@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factledger.functions.claims import put, put_all, quoted, same_claim, text_of, with_field
+from factledger.functions.claims import has_key, lists, merged, put, put_all, quoted, same_claim, text_of, with_field
 from factledger.functions.keys import is_mode_rate
 from factledger.functions.money import exact_ratio, nano_amount
 
@@ -293,24 +293,31 @@ def apply_plane(e: DataFrame, rules: DataFrame, keep_published: bool) -> DataFra
     context tier that the class (of billed_as also the target) has, the entity says billed_as with the target's key (not established
     where the target has no such rate), stated zero or not established. Targets and tiers are those before any rule.
     keep_published leaves a rate that is there alone. Adds the column ruled: the facts that a rule gave."""
-    mine = rules.groupBy("provider").agg(F.collect_list(F.struct("class", "action", "target", "model_ids")).alias("_r"))
-    m = e.join(mine, "provider", "left")
-    ours = F.filter(F.coalesce("_r", F.array().cast(m.schema["_r"].dataType)), lambda r: r["model_ids"].isNull() | F.array_contains(r["model_ids"], F.col("model")))
+    rate = lambda c: F.concat(F.lit("rate."), c)
+    billing = lambda key: F.to_json(F.struct(key.alias("key"), F.lit("billed_as").alias("state")))
+    target = F.when(F.col("action") == "billed_as", rate("target"))
+    other = F.when(F.col("action") == "stated_zero", F.lit(ZERO)).otherwise(F.lit(NOT_ESTABLISHED))
+    # what a rule says is written once for the rule, and what tiers an entity has is read once for the entity, not once for every pair of them
+    said = F.struct(rate("class").alias("key"), target.alias("target"), billing(target).alias("billed"), other.alias("other"), "model_ids")
+    mine = rules.groupBy("provider").agg(F.collect_list(said).alias("_r"))
     tail = r"\.above_context\.[0-9]+$"
-    starts = lambda k, c: k.startswith(F.concat(F.lit("rate."), c, F.lit(".above_context."))) & (F.regexp_replace(k, tail, "") == F.concat(F.lit("rate."), c))
-
-    def entries(r: Column) -> Column:
-        billed = r["action"] == "billed_as"
-        hit = F.filter(F.map_keys(fact_map()), lambda k: starts(k, r["class"]) | F.coalesce(billed & starts(k, r["target"]), F.lit(False)))
-        tiers = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(hit, lambda k: F.regexp_extract(k, tail, 0))))
-        if keep_published:
-            tiers = F.filter(tiers, lambda t: ~F.map_contains_key(fact_map(), F.concat(F.lit("rate."), r["class"], t)))
-        of = lambda t: F.concat(F.lit("rate."), r["target"], t)
-        value = lambda t: F.when(billed & F.coalesce(F.map_contains_key(fact_map(), of(t)), F.lit(False)), F.to_json(F.struct(of(t).alias("key"), F.lit("billed_as").alias("state")))).when(r["action"] == "stated_zero", F.lit(ZERO)).otherwise(F.lit(NOT_ESTABLISHED))
-        return F.transform(tiers, lambda t: F.struct(F.concat(F.lit("rate."), r["class"], t).alias("k"), value(t).alias("v")))
-
-    m = m.withColumn("ruled", F.map_from_entries(F.flatten(F.transform(ours, entries))))
-    return m.withColumn("facts", put_all(fact_map(), F.col("ruled"))).drop("_r")
+    tiered = F.filter(F.map_keys(fact_map()), lambda k: k.contains(".above_context.") & k.rlike(tail))
+    tiered = F.transform(tiered, lambda k: F.struct(F.regexp_replace(k, tail, "").alias("key"), F.regexp_extract(k, tail, 0).alias("tail")))
+    m = e.withColumn("_t", tiered).join(mine, "provider", "left")
+    ours = F.filter(F.coalesce("_r", F.array().cast(m.schema["_r"].dataType)), lambda r: r["model_ids"].isNull() | lists(r["model_ids"], F.col("model")))
+
+    def with_tiers(r: Column) -> Column:
+        hit = F.filter("_t", lambda t: (t["key"] == r["key"]) | F.coalesce(t["key"] == r["target"], F.lit(False)))
+        of = lambda t: F.concat(r["target"], t["tail"])
+        above = F.transform(hit, lambda t: F.struct(F.concat(r["key"], t["tail"]).alias("key"), of(t).alias("target"), billing(of(t)).alias("billed"), r["other"].alias("other"), r["model_ids"].alias("model_ids")))
+        return F.array_distinct(F.concat(F.array(r), above))
+
+    m = m.withColumn("_r", F.when(F.size("_t") == 0, ours).otherwise(F.flatten(F.transform(ours, with_tiers))))
+    value = lambda r: F.when(r["target"].isNotNull() & has_key(fact_map(), r["target"]), r["billed"]).otherwise(r["other"])
+    m = m.withColumn("ruled", F.map_from_arrays(F.col("_r")["key"], F.transform("_r", value)))
+    if keep_published:
+        m = m.withColumn("ruled", F.map_filter("ruled", lambda k, _: ~has_key(fact_map(), k)))
+    return m.withColumn("facts", merged(fact_map(), F.col("ruled"))).drop("_r", "_t")
 
 
 def apply_twins(e: DataFrame, twins: DataFrame) -> DataFrame:

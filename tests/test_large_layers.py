@@ -83,3 +83,46 @@ def test_rules_of_a_plane_are_computed_once(spark):
     got = {r["fact_key"]: (r["value_json"], r["fact_key"] in r["ruled"]) for r in out.collect()}
     assert got == {"rate.a": ("1", False), "rate.b": ("2", False), "rate.c": ('{"key":"rate.a","state":"billed_as"}', True), "rate.d": (layers.NOT_ESTABLISHED, True)}
     assert plan_of(out).count(layers.NOT_ESTABLISHED) == 1
+
+
+PLANE = "provider string, class string, action string, target string, model_ids array<string>"
+
+
+def test_rules_of_a_plane_neither_look_keys_up_by_exceptions_nor_write_json_for_each_entity(spark):
+    e = spark.createDataFrame([("p", "m", {"rate.a": "1"})], "provider string, model string, facts map<string,string>")
+    plan = plan_of(layers.apply_plane(e, spark.createDataFrame([("p", "c", "billed_as", "a", ["m"])], PLANE), keep_published=True))
+    assert "array_contains" not in plan and "map_contains_key" not in plan
+    assert plan.count("StructsToJson") == 2  # one for a rule, one for a tier of an entity that has tiers
+
+
+def test_tiers_of_a_plane(spark):
+    e = spark.createDataFrame([("p", "m", {"rate.a.above_context.9": "1", "rate.b": "2", "rate.b.above_context.7": None, "rate.b.above_context.9": "4", "rate.b.above_context.x": "5", "rate.bb.above_context.3": "6"}), ("q", "m", {"rate.b": "2"})], "provider string, model string, facts map<string,string>")
+    rules = spark.createDataFrame([("p", "a", "billed_as", "b", None), ("p", "c", "not_established", "b", ["m", "n"]), ("p", "d", "stated_zero", None, ["n"]), ("p", "e", "billed_as", None, None)], PLANE)
+    billed = lambda t: '{"key":"rate.b%s","state":"billed_as"}' % t
+    said = {"rate.a": billed(""), "rate.a.above_context.7": billed(".above_context.7"), "rate.a.above_context.9": billed(".above_context.9"), "rate.c": layers.NOT_ESTABLISHED, "rate.e": layers.NOT_ESTABLISHED}
+    facts = {(r["provider"], r["model"]): r["facts"] for r in e.collect()}
+    for keep in (False, True):
+        given = {k: v for k, v in said.items() if not keep or k not in facts["p", "m"]}
+        got = {r["provider"]: (r["ruled"], r["facts"]) for r in layers.apply_plane(e, rules, keep).collect()}
+        assert got == {"p": (given, facts["p", "m"] | given), "q": ({}, facts["q", "m"])}
+
+
+def test_line_items_of_a_plane_are_grouped_without_sorting(spark):
+    from conftest import SF
+
+    from factledger.plans.queries import QUERIES
+
+    assert "SortAggregate" not in plan_of(QUERIES["plane_rules"](spark, SF), optimized=False)
+
+
+def test_line_items_without_flag_or_amounts_follow_the_plane(spark, tmp_path):
+    import duckdb
+
+    from factledger.plans.queries import ORACLES, QUERIES
+
+    rows = [(1, 1, 5.0, 0.1, 9.0, None), (1, 2, None, 0.1, 9.0, "A"), (1, 3, 5.0, None, 9.0, ""), (1, 3, 7.0, None, None, "NR"), (2, 4, None, None, None, None)]
+    t = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double, l_extendedprice double, l_returnflag string")
+    t.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert {tuple(r) for r in QUERIES["plane_rules"](spark, str(tmp_path)).collect()} == set(con.execute(ORACLES["plane_rules"]).fetchall())
